@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ SKETCH_ROWS, SKETCH_CELLS = 2, 1 << 27
 #: Ranges of cells that are merged apart.
 SHARDS = 64
 #: Words of a chunk: what a task holds as hashes at once.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 2_000_000
 #: Windows that one task groups, about.
 GROUP_WINDOWS = 2_000_000
 
@@ -211,53 +212,83 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = AN
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bits = spark.sparkContext.broadcast(sketch_bits(rows, window, anchor, sketch_rows, sketch_cells, chunk_words))
     final = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
-    def result(ids: list, words: list[list[bytes]], gone: list[int], kept: list[list[bytes]]) -> list[pa.Array]:
+    def result(ids: list, counts: list[int], gone: list[int], kept: list[list[bytes]]) -> list[pa.Array]:
         joined = [b" ".join(k) for k in kept]
         return [
-            pa.array(ids, pa.int64()), pa.array(list(map(len, words)), pa.int64()), pa.array(gone, pa.int64()),
+            pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
             pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()), pa.array([j.decode() if texts else None for j in joined], pa.string()),
         ]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A text with candidates gets its chunk's number and stays whole; one without is done."""
+        """A row for each text without candidates, which is done, and one for each chunk of other texts, packed."""
         task, seq, n = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int | None, bytes]] = []
+        windows = 0
+
+        def chunk() -> pa.RecordBatch:
+            sizes = np.array([len(t) for _, t in held], "<u4").tobytes()
+            blob = zstandard.compress(sizes + b"".join([t for _, t in held]), 3)
+            row = [pa.array([None], f.type) for f in _arrow(final)]
+            return pa.RecordBatch.from_arrays(
+                [*row, pa.array([(task << 24) + seq], pa.int64()), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary()), pa.array([windows], pa.int64())],
+                [*final, "chunk", "ids", "blob", "windows"],
+            )
+
         for part in slices(batches):
-            ids, whole = part.column(0).to_pylist(), as_bytes(part.column(1))
-            words = [space_words(t) for t in whole]
-            some = [len(_candidates(w, bits.value, window, anchor, sketch_cells)[0]) for w in words]
-            chunks = []
-            for s, w in zip(some, words):
+            ids, counts, kept = [], [], []
+            for i, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
+                words = space_words(t)
+                some = len(_candidates(words, bits.value, window, anchor, sketch_cells)[0])
+                if not some:
+                    ids.append(i)
+                    counts.append(len(words))
+                    kept.append(words)
+                    continue
+                held.append((i, t))
+                windows += some
+                n += len(words)
                 if n >= chunk_words:
-                    seq, n = seq + 1, 0
-                n += len(w) if s else 0
-                chunks.append((task << 24) + seq if s else None)
-            done = result(ids, words, [0] * len(ids), words)
-            text = [t.decode() if s else None for t, s in zip(whole, some)]
-            done[4] = pa.array([k if not s else None for k, s in zip(done[4].to_pylist(), some)], pa.string())
-            yield pa.RecordBatch.from_arrays([*done, pa.array(text, pa.string()), pa.array(chunks, pa.int64()), pa.array(some, pa.int64())], [*final, "text", "chunk", "some"])
+                    yield chunk()
+                    held, n, windows, seq = [], 0, 0, seq + 1
+            if ids:
+                k = len(ids)
+                nulls = [pa.array([None] * k, f) for f in (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*result(ids, counts, [0] * k, kept), *nulls], [*final, "chunk", "ids", "blob", "windows"])
+        if held:
+            yield chunk()
 
-    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    scan = table_written(rows.mapInArrow(chunked, f"{shape}, text string, chunk long, some long"), "windows")
-    total = scan.agg(F.sum("some")).first()[0] or 0
+    scan = table_written(rows.mapInArrow(chunked, f"{shape}, chunk long, ids array<long>, blob binary, windows long"), "windows")
+    total = scan.agg(F.sum("windows")).first()[0] or 0
     buckets = int(max(1, min(1 << 20, -(-total // GROUP_WINDOWS))))
-    open_ = scan.filter("chunk is not null").select("chunk", "doc_id", "text")
-
-    def unique(texts_of: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """A chunk's candidates: distinct hashes, and which of them it has more than once."""
-        held = [_candidates(space_words(t), bits.value, window, anchor, sketch_cells)[1] for t in texts_of]
-        values, times = np.unique(np.concatenate(held), return_counts=True)
-        return values, times > 1
-
-    def dealt(table: pa.Table) -> pa.Table:
-        """A chunk's distinct candidates, dealt by hash."""
-        values, more = unique(as_bytes(table["text"].combine_chunks()))
-        at = (values["b"].astype(np.int64) % buckets)
-        out = []
-        for b in np.unique(at).tolist():
-            own = at == b
-            out.append((b, table["chunk"][0].as_py(), values["a"][own].tobytes(), values["b"][own].tobytes(), np.packbits(more[own]).tobytes()))
-        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "a", "b", "more"])
+    chunks = scan.filter("chunk is not null").select("chunk", "ids", "blob")
+
+    def unpacked(blob: bytes, n: int) -> list[bytes]:
+        data = zstandard.decompress(blob)
+        cuts = np.cumsum(np.concatenate([[4 * n], np.frombuffer(data, "<u4", n)])).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def found(whole: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [_candidates(space_words(t), bits.value, window, anchor, sketch_cells) for t in whole]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's distinct candidates, dealt by hash, and which of them it has more than once."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                whole = unpacked(batch.column(2)[k].as_py(), len(batch.column(1)[k]))
+                values, times = np.unique(np.concatenate([h for _, h in found(whole)]), return_counts=True)
+                at = values["b"].astype(np.int64) % buckets
+                order = np.argsort(at, kind="stable")
+                own, cuts = np.unique(at[order], return_index=True)
+                parts = np.split(order, cuts[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own, pa.int32()), pa.array([batch.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([values["a"][x].tobytes() for x in parts], pa.binary()),
+                        pa.array([values["b"][x].tobytes() for x in parts], pa.binary()), pa.array([np.packbits(times[x] > 1).tobytes() for x in parts], pa.binary()),
+                    ],
+                    ["bucket", "chunk", "a", "b", "more"],
+                )
 
     def grouped(table: pa.Table) -> pa.Table:
         """Of each chunk's candidates of a bucket, whether they start at two places or more: a bit each."""
@@ -274,27 +305,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = AN
         cuts = np.cumsum([0, *sizes])
         return pa.table([table["bucket"], table["chunk"], pa.array([np.packbits(twice[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary())], names=["bucket", "chunk", "bits"])
 
-    def closed(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of a chunk without what is repeated."""
-        whole = as_bytes(left["text"].combine_chunks())
-        values, _ = unique(whole)
-        at = values["b"].astype(np.int64) % buckets
-        repeated = np.zeros(len(values), bool)
-        for b, own in zip(right["bucket"].to_pylist(), right["bits"].to_pylist()):
-            mine = np.flatnonzero(at == b)
-            repeated[mine] = np.unpackbits(np.frombuffer(own, np.uint8), count=len(mine)).astype(bool)
-        words, kept, gone = [], [], []
-        for t in whole:
-            w = space_words(t)
-            starts, hashes = _candidates(w, bits.value, window, anchor, sketch_cells)
-            k, g = _kept(w, starts[repeated[np.searchsorted(values, hashes)]], window)
-            words.append(w)
-            kept.append(k)
-            gone.append(g)
-        return pa.table(result(left["doc_id"].to_pylist(), words, gone, kept), names=final)
-
-    deal = open_.groupBy("chunk").applyInArrow(dealt, "bucket int, chunk long, a binary, b binary, more binary")
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of each chunk without what is repeated."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = batch.column(0)[k].as_py()
+                whole = unpacked(batch.column(1)[k].as_py(), len(ids))
+                each = found(whole)
+                values = np.unique(np.concatenate([h for _, h in each]))
+                at = values["b"].astype(np.int64) % buckets
+                repeated = np.zeros(len(values), bool)
+                for mark in batch.column(2)[k].as_py():
+                    mine = np.flatnonzero(at == mark["bucket"])
+                    repeated[mine] = np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=len(mine)).astype(bool)
+                counts, kept, gone = [], [], []
+                for t, (starts, hashes) in zip(whole, each):
+                    words = space_words(t)
+                    left, out = _kept(words, starts[repeated[np.searchsorted(values, hashes)]], window)
+                    counts.append(len(words))
+                    kept.append(left)
+                    gone.append(out)
+                yield pa.RecordBatch.from_arrays(result(ids, counts, gone, kept), final)
+
+    deal = chunks.select("chunk", "ids", "blob").mapInArrow(dealt, "bucket int, chunk long, a binary, b binary, more binary")
     marks = deal.groupBy("bucket").applyInArrow(grouped, "bucket int, chunk long, bits binary")
-    after = open_.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(closed, shape)
+    marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
+    after = chunks.join(marks, "chunk").select("ids", "blob", "marks").mapInArrow(closed, shape)
     out = scan.filter("chunk is null").select(*final).unionByName(after)
     return out.select(*final[:4], *([F.col("kept").alias("text")] if texts else []))
+
+
+def _arrow(names: list[str]) -> list[pa.Field]:
+    return [pa.field(n, pa.string() if n.startswith("kept") else pa.int64()) for n in names]
