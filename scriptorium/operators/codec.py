@@ -107,8 +107,8 @@ def decode_scribe(encoded: DataFrame, step: float = 1.0) -> DataFrame:
     state = F.sum(F.when(F.col("code") == DOWN, 1).when(F.col("code") == UP, -1).otherwise(0)).over(w)
     rows = rows.withColumns({"qx": F.sum(move(0)).over(w), "qy": F.sum(move(1)).over(w), "down": state, "stroke_id": F.sum((F.col("code") == DOWN).cast("int")).over(w) - 1})
     wrong = ~F.col("code").between(0, 9) | ~F.col("down").isin(0, 1) | ((F.col("pos") == F.col("n") - 1) & (F.col("down") != 0))
-    rows = rows.withColumn("ok", F.when(wrong, F.raise_error(F.concat(F.lit("bad pen state at token "), F.col("pos").cast("string")))).otherwise(True))
-    kept = rows.filter("ok and down = 1")
+    # one expression: a filter on "down" beside it would let the optimizer fold that value into the check
+    kept = rows.filter(F.when(wrong, F.raise_error(F.concat(F.lit("bad pen state at token "), F.col("pos").cast("string")))).otherwise(F.col("down") == 1))
     number = F.row_number().over(Window.partitionBy("ink_id", "stroke_id").orderBy("pos")) - 1
     return kept.select("ink_id", F.col("stroke_id").cast("int").alias("stroke_id"), number.alias("point_id"), (F.col("origin_x") + F.col("qx") * step).alias("x"), (F.col("origin_y") + F.col("qy") * step).alias("y"))
 

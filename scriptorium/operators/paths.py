@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-STROKE = Window.partitionBy("ink_id", "stroke_id").orderBy("point_id")
-INK = Window.partitionBy("ink_id").orderBy("stroke_id", "point_id")
+
+def _stroke() -> WindowSpec:
+    return Window.partitionBy("ink_id", "stroke_id").orderBy("point_id")
+
+
+def _ink() -> WindowSpec:
+    return Window.partitionBy("ink_id").orderBy("stroke_id", "point_id")
 
 
 def _segments(points: DataFrame) -> DataFrame:
     """Each point with its predecessor in the stroke and the distance to it."""
-    rows = points.withColumns({"px": F.lag("x").over(STROKE), "py": F.lag("y").over(STROKE)})
+    rows = points.withColumns({"px": F.lag("x").over(_stroke()), "py": F.lag("y").over(_stroke())})
     return rows.withColumn("d", F.coalesce(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), F.lit(0.0)))
 
 
 def arc_length(points: DataFrame) -> DataFrame:
     """Add ``s``: the way along the stroke up to each point."""
-    return _segments(points).withColumn("s", F.sum("d").over(STROKE.rowsBetween(Window.unboundedPreceding, 0))).drop("px", "py", "d")
+    return _segments(points).withColumn("s", F.sum("d").over(_stroke().rowsBetween(Window.unboundedPreceding, 0))).drop("px", "py", "d")
 
 
 def densify(points: DataFrame, step: float) -> DataFrame:
@@ -38,7 +43,7 @@ def resample(points: DataFrame, spacing: float) -> DataFrame:
     """
     way = arc_length(points).withColumn("total", F.max("s").over(Window.partitionBy("ink_id", "stroke_id")))
     way = way.withColumn("n", F.ceil(F.col("total") / spacing).cast("int")).withColumn("gap", F.try_divide(F.col("total"), F.col("n")))
-    way = way.withColumns({"px": F.lag("x").over(STROKE), "py": F.lag("y").over(STROKE), "ps": F.lag("s").over(STROKE), "end": F.lead("s").over(STROKE).isNull()})
+    way = way.withColumns({"px": F.lag("x").over(_stroke()), "py": F.lag("y").over(_stroke()), "ps": F.lag("s").over(_stroke()), "end": F.lead("s").over(_stroke()).isNull()})
     # samples k with ps < k * gap <= s; the first point is sample 0, the last point sample n
     part = lambda c: F.floor(F.try_divide(F.col(c), F.col("gap")))
     low, high = part("ps") + 1, F.when(F.col("s") == F.col("total"), F.col("n")).otherwise(part("s"))
@@ -52,13 +57,13 @@ def resample(points: DataFrame, spacing: float) -> DataFrame:
 
 def to_offsets(points: DataFrame) -> DataFrame:
     """Positions as ``dx, dy, eos`` in writing order; the first is at the origin, each stroke's last point ends it."""
-    d = lambda c: F.coalesce(F.col(c) - F.lag(c).over(INK), F.lit(0.0))
-    return points.withColumns({"dx": d("x"), "dy": d("y"), "eos": F.lead("x").over(STROKE).isNull()}).drop("x", "y")
+    d = lambda c: F.coalesce(F.col(c) - F.lag(c).over(_ink()), F.lit(0.0))
+    return points.withColumns({"dx": d("x"), "dy": d("y"), "eos": F.lead("x").over(_stroke()).isNull()}).drop("x", "y")
 
 
 def to_positions(offsets: DataFrame) -> DataFrame:
     """The reverse, from the origin."""
-    upto = INK.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _ink().rowsBetween(Window.unboundedPreceding, 0)
     return offsets.withColumns({"x": F.sum("dx").over(upto), "y": F.sum("dy").over(upto)}).drop("dx", "dy")
 
 
@@ -78,7 +83,7 @@ def centred(points: DataFrame, least: float = 1e-6) -> DataFrame:
     """Points centred on their ink's mean and divided by its height; ``pen`` is 1 at a stroke's end, else -1."""
     w = Window.partitionBy("ink_id")
     h = F.greatest(F.max("y").over(w) - F.min("y").over(w), F.lit(least))
-    pen = F.when(F.lead("x").over(STROKE).isNull(), 1).otherwise(-1)
+    pen = F.when(F.lead("x").over(_stroke()).isNull(), 1).otherwise(-1)
     return points.select("ink_id", "stroke_id", "point_id", ((F.col("x") - F.avg("x").over(w)) / h).alias("x"), ((F.col("y") - F.avg("y").over(w)) / h).alias("y"), pen.alias("pen"))
 
 
