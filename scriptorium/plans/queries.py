@@ -1004,3 +1004,55 @@ def ext_asof(spark, d):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ink to tokens to wire text and back: strokes, points and bounds of each ink."""
     return c3_detokenize(spark, sf_dir)
+
+
+@query("SELECT p_partkey, CASE WHEN NOT regexp_matches(id, '^[A-Za-z][A-Za-z0-9_-]*$') THEN 'syntax' ELSE 'duplicate' END AS problem FROM (SELECT p_partkey, replace(p_name, '#', '-') AS id, count(*) OVER (PARTITION BY replace(p_name, '#', '-')) AS n FROM part) WHERE n > 1 OR NOT regexp_matches(id, '^[A-Za-z][A-Za-z0-9_-]*$')")
+def v1_ids(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit("#"), F.lit("-")).alias("id"))
+    rows = rows.withColumns({"n": F.count("*").over(Window.partitionBy("id")), "good": F.col("id").rlike(tx.IDENTIFIER)})
+    return rows.filter("n > 1 or not good").select("p_partkey", F.when(~F.col("good"), "syntax").otherwise("duplicate").alias("problem"))
+
+
+@query("""WITH a AS (SELECT DISTINCT unnest(string_split(text[:200], '')) AS c FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(text[:200], '')) AS c FROM conversations),
+bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text[:200], '')) AS c FROM documents) WHERE c <> '' AND (c NOT IN (SELECT c FROM a) OR c NOT IN (SELECT c FROM b)))
+SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
+def j20_both_vocabularies(spark, d):
+    lines = _chars(spark, d, "documents", "doc_id")
+    once = corpus.readable(lines, corpus.charset(_chars(spark, d)), "key")
+    return corpus.readable(once, corpus.charset(_chars(spark, d, "conversations", "conv_id")), "key").select("key")
+
+
+@query("SELECT doc_id, 1 AS shard FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 1")
+def o10_concatenate(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("shard")).unionByName(rows.filter("doc_id % 3 = 1").select("doc_id", F.lit(2).alias("shard")))
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i % greatest(n // 5, 1) = 0")
+def o6_stratified(spark, d):
+    """Picks at even steps of the length order of each group."""
+    w = Window.partitionBy("lang")
+    rows = table(spark, d, "documents").select("lang", "doc_id", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    return rows.filter("i % greatest(n div 5, 1) = 0").select("lang", "doc_id")
+
+
+@query("""SELECT ink_id, round(sum(nx), 6) AS sx, round(max(ny), 6) AS top FROM (SELECT ink_id, x * (1 + (ink_id % 7) / 70.0::DOUBLE) + y * 0.1::DOUBLE AS nx, y * (1 - (ink_id % 5) / 50.0::DOUBLE) AS ny FROM v_ink) GROUP BY ink_id""", "v_ink")
+def p23_affine(spark, d):
+    """Affine augmentation with factors drawn from the ink's number, so that any partitioning gives the same."""
+    sx, sy = 1 + (F.col("ink_id") % 7) / 70.0, 1 - (F.col("ink_id") % 5) / 50.0
+    rows = views.ink(spark, d).select("ink_id", (F.col("x") * sx + F.col("y") * 0.1).alias("nx"), (F.col("y") * sy).alias("ny"))
+    return rows.groupBy("ink_id").agg(_r(F.sum("nx")).alias("sx"), _r(F.max("ny")).alias("top"))
+
+
+@query("SELECT ink_id, stroke_id, point_id, round((x - coalesce(lag(x) OVER w, x)) * 0.1::DOUBLE, 6) AS dx FROM v_ink WINDOW w AS (PARTITION BY ink_id ORDER BY stroke_id, point_id)", "v_ink")
+def p10_convert_units(spark, d):
+    """Offsets in another unit: positions scaled by a tenth, then differences."""
+    small = views.ink(spark, d).withColumns({"x": F.col("x") * 0.1, "y": F.col("y") * 0.1})
+    return paths.to_offsets(small).select("ink_id", "stroke_id", "point_id", _r("dx").alias("dx"))
+
+
+@query(f"SELECT a.page, a.idx AS a, b.idx AS b, CASE WHEN a.t = b.t AND a.l < b.r AND b.l < a.r THEN 'overlap' WHEN a.t > b.t AND a.t < b.b AND b.l > a.l AND b.l < a.r THEN 'cross' ELSE 'free' END AS kind FROM {_PAIRS}", "v_box")
+def g21_segment_conflicts(spark, d):
+    """The top side of one box against the top and left sides of another: shared way, crossing, or neither."""
+    kind = F.when(F.expr("at = bt and al < br and bl < ar"), "overlap").when(F.expr("at > bt and at < bb and bl > al and bl < ar"), "cross").otherwise("free")
+    return _box_pairs(spark, d).select("page", F.col("ai").alias("a"), F.col("bi").alias("b"), kind.alias("kind"))
