@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _distinct_tokens(tokens: DataFrame, column: str) -> DataFrame:
+    """Each line gives each of its tokens once, before any shuffle."""
+    return tokens.select(F.explode(F.array_distinct(column)).alias("token")).distinct()
+
+
 def charset(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """``token, id``: the distinct tokens in code-point order, from 2 (0 pads, 1 separates)."""
-    distinct = tokens.select(F.explode(column).alias("token")).distinct()
+    distinct = _distinct_tokens(tokens, column)
     return distinct.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("token").cast("binary"))) + 1)
 
 
 def extended(base: DataFrame, tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """A charset with the new tokens of ``tokens`` after the old ones, whose ids stay."""
-    new = tokens.select(F.explode(column).alias("token")).distinct().join(base, "token", "left_anti")
+    new = _distinct_tokens(tokens, column).join(base, "token", "left_anti")
     first = base.agg(F.coalesce(F.max("id"), F.lit(1)).alias("m"))
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("token").cast("binary")))
     return base.unionByName(new.withColumn("k", number).crossJoin(F.broadcast(first)).select("token", (F.col("m") + F.col("k")).cast("int").alias("id")))
@@ -29,7 +34,7 @@ def encoded(lines: DataFrame, vocabulary: DataFrame, key: str, column: str = "to
 
 def readable(lines: DataFrame, vocabulary: DataFrame, key: str, column: str = "tokens") -> DataFrame:
     """Lines all of whose tokens are in the vocabulary."""
-    bad = lines.select(key, F.explode(column).alias("token")).join(vocabulary, "token", "left_anti").select(key).distinct()
+    bad = lines.select(key, F.explode(F.array_distinct(column)).alias("token")).join(vocabulary, "token", "left_anti").select(key).distinct()
     return lines.join(bad, key, "left_anti")
 
 

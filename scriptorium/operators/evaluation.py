@@ -54,23 +54,48 @@ def evenly(rows: DataFrame, k: int, *order: str) -> DataFrame:
     return n.filter((F.col("__n") <= k) | F.array_contains(at, F.col("__i").cast("long"))).drop("__i", "__n")
 
 
+#: Cells of the cost matrix that a block may hold without another thought.
+BLOCK_CELLS = 2_000_000
+
+
+def _next_row(row: np.ndarray, token: int, label: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The row of least costs below ``row``; drops along it are a running minimum."""
+    out = np.concatenate([row[:1] + 1, np.minimum(row[:-1] + (label != token), row[1:] + 1)])
+    return np.minimum.accumulate(out - steps) + steps
+
+
 def edit_script(read: list[str], label: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """(kind, label token, read token) of the mistakes of a least alignment, from the end; matches and exchanges go before drops, those before additions."""
+    """(kind, label token, read token) of the mistakes of a least alignment, from the end; matches and exchanges go before drops, those before additions.
+
+    Whole rows at a time, in blocks of BLOCK_CELLS or sqrt(len(read)) rows; of
+    all but the last block only the first row is kept, and the others are made
+    again on the way back, so memory grows with sqrt(len(read)) * len(label).
+    """
+    numbers = {t: i for i, t in enumerate(dict.fromkeys([*read, *label]))}
+    r, t = (np.array([numbers[x] for x in side], np.int64) for side in (read, label))
     n, m = len(read), len(label)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
+    steps, size = np.arange(m + 1), max(int(np.sqrt(n)), BLOCK_CELLS // (m + 1), 1)
+    kept, cost = [steps], [steps]  # rows at the starts of blocks; the rows of the last block
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (read[i - 1] != label[j - 1]), cost[i, j - 1] + 1, cost[i - 1, j] + 1)
+        cost.append(_next_row(cost[-1], r[i - 1], t, steps))
+        if i % size == 0 and i < n:
+            kept.append(cost[-1])
+            cost = cost[-1:]
     out: list[tuple[str, str | None, str | None]] = []
-    i, j = n, m
+    i, j, base = n, m, max(n - 1, 0) // size
     while i > 0 or j > 0:
+        if i > 0 and (i - 1) // size != base:
+            base = (i - 1) // size
+            cost = [kept[base]]
+            for k in range(base * size, min((base + 1) * size, n)):
+                cost.append(_next_row(cost[-1], r[k], t, steps))
+        at = i - base * size
         same = i > 0 and j > 0 and read[i - 1] == label[j - 1]
-        if i > 0 and j > 0 and cost[i, j] == cost[i - 1, j - 1] + (not same):
+        if i > 0 and j > 0 and cost[at][j] == cost[at - 1][j - 1] + (not same):
             i, j = i - 1, j - 1
             if not same:
                 out.append(("sub", label[j], read[i]))
-        elif j > 0 and cost[i, j] == cost[i, j - 1] + 1:
+        elif j > 0 and (i == 0 or cost[at][j] == cost[at][j - 1] + 1):
             j -= 1
             out.append(("drop", label[j], None))
         else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def islands(rows: DataFrame, by: str, order: str, holds: Column) -> DataFrame:
     """Add ``island``: the number of the run of consecutive rows for which ``holds`` is true or false."""
@@ -53,10 +55,10 @@ def resolved(targets: DataFrame, spans: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, most: int = 50) -> DataFrame:
     """All (src, dst) reachable in ``edges(src, dst)``, by doubling paths until nothing is new; cycles end it too."""
-    now = edges.select("src", "dst").distinct()
+    now = cut(edges.select("src", "dst").distinct())
     seen = now.count()
     for _ in range(most):
-        now = now.unionByName(now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct()
+        now = cut(now.unionByName(now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
         n = now.count()
         if n == seen:
             break

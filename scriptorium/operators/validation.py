@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
@@ -48,18 +50,17 @@ def order_problems(items: DataFrame, order: DataFrame) -> DataFrame:
 def labels_of_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """``node, root``: the least node reachable in ``edges(u, v)``, by minimum labels and pointer jumping.
 
-    Every few rounds the labels are checkpointed where the session names a folder for it.
+    Each round is cut off by a checkpoint, which outlives lost executors.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both, seen = cut(both), None
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root"))
-    spark, seen = edges.sparkSession, None
     for i in range(most):
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("m"))
         labels = labels.join(near, labels.node == near.u, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
         labels = labels.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            labels = labels.checkpoint()
+        labels = cut(labels)
         mark = labels.agg(F.sum("root").alias("s"), F.count("*").alias("n")).first()
         if mark == seen:
             break

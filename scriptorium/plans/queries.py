@@ -64,9 +64,9 @@ def c1_extract_tokens(spark, d):
     return views.inks(spark, d).select("ink_id", t.alias("t")).select("ink_id", F.size("t").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text[:200], '\s+', ' ', 'g')) AS bare FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS bare FROM documents")
 def c2_strip_tokens(spark, d):
-    marked = F.concat(F.lit("<extra_id_0><ink_token_450>"), F.substring("text", 1, 200), F.lit("<ink_token_12></s>"))
+    marked = F.concat(F.lit("<extra_id_0><ink_token_450>"), F.col("text"), F.lit("<ink_token_12></s>"))
     return table(spark, d, "documents").select("doc_id", tx.plain(marked).alias("bare"))
 
 
@@ -419,16 +419,16 @@ def p25_ink_statistics(spark, d):
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text[:200], ''), lambda c: c <> ''))::INT AS n FROM documents".replace("len(list_filter(string_split(text[:200], ''), lambda c: c <> ''))", "length(text[:200])"))
+@query("SELECT doc_id, length(text)::INT AS n FROM documents")
 def t1_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(tx.char_tokens(F.substring("text", 1, 200))).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(tx.char_tokens(F.col("text"))).alias("n"))
 
 
-_CHARS = "chars AS (SELECT c AS token, row_number() OVER (ORDER BY c) + 1 AS id FROM (SELECT DISTINCT unnest(string_split(text[:200], '')) AS c FROM benchmark) WHERE c <> '')"
+_CHARS = "chars AS (SELECT c AS token, row_number() OVER (ORDER BY c) + 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark) WHERE c <> '')"
 
 
 def _chars(spark, d, name="benchmark", key="item_id"):
-    return table(spark, d, name).select(F.col(key).alias("key"), tx.char_tokens(F.substring("text", 1, 200)).alias("tokens"))
+    return table(spark, d, name).select(F.col(key).alias("key"), tx.char_tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {_CHARS} SELECT token, id::INT AS id FROM chars")
@@ -436,20 +436,20 @@ def t4_charset(spark, d):
     return corpus.charset(_chars(spark, d))
 
 
-@query(f"WITH {_CHARS}, l AS (SELECT item_id AS key, length(text[:200])::INT AS n, list_transform(range(1, length(text[:200]) + 1), lambda i: text[i]) AS c FROM benchmark), e AS (SELECT key, sum(id)::BIGINT AS total FROM (SELECT key, unnest(c) AS token FROM l) JOIN chars USING (token) GROUP BY key) SELECT key, n, 200 AS width, total FROM l JOIN e USING (key)")
+@query(f"WITH {_CHARS}, l AS (SELECT item_id AS key, length(text)::INT AS n, list_transform(range(1, length(text) + 1), lambda i: text[i]) AS c FROM benchmark), e AS (SELECT key, sum(id)::BIGINT AS total FROM (SELECT key, unnest(c) AS token FROM l) JOIN chars USING (token) GROUP BY key) SELECT key, n, greatest(n, 512)::INT AS width, total FROM l JOIN e USING (key)")
 def t3_encode_pad(spark, d):
     lines = _chars(spark, d)
     ids = corpus.encoded(lines, corpus.charset(lines), "key")
-    wide = tx.left_padded(F.col("ids"), F.lit(200))
+    wide = tx.left_padded(F.col("ids"), F.lit(512))
     return ids.select("key", F.size("ids").alias("n"), F.size(wide).alias("width"), F.aggregate(wide, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(f"WITH {_CHARS}, bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text[:200], '')) AS c FROM documents) WHERE c <> '' AND c NOT IN (SELECT token FROM chars)) SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
+@query(f"WITH {_CHARS}, bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND c NOT IN (SELECT token FROM chars)) SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
 def t5_readable(spark, d):
     return corpus.readable(_chars(spark, d, "documents", "doc_id"), corpus.charset(_chars(spark, d)), "key").select("key")
 
 
-@query(f"WITH {_CHARS}, n AS (SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(text[:200], '')) AS c FROM documents) WHERE c <> '' AND c NOT IN (SELECT token FROM chars)) SELECT token, id::INT AS id FROM chars UNION ALL SELECT token, ((SELECT max(id) FROM chars) + row_number() OVER (ORDER BY token))::INT FROM n")
+@query(f"WITH {_CHARS}, n AS (SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND c NOT IN (SELECT token FROM chars)) SELECT token, id::INT AS id FROM chars UNION ALL SELECT token, ((SELECT max(id) FROM chars) + row_number() OVER (ORDER BY token))::INT FROM n")
 def t6_extend_charset(spark, d):
     return corpus.extended(corpus.charset(_chars(spark, d)), _chars(spark, d, "documents", "doc_id"))
 
@@ -511,9 +511,9 @@ def t19_numeric_check(spark, d):
     return table(spark, d, "part").select("p_partkey", validation.numeric_check(chain).alias("ok"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text[:200], '\s+', ' ', 'g') AS clean FROM documents")
+@query(r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS clean FROM documents")
 def t21_clean_reply(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"\s+", " ").alias("clean"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("clean"))
 
 
 # --- boxes ----------------------------------------------------------------------------------------------------------
@@ -638,10 +638,11 @@ def j2_page_text(spark, d):
     return rows.groupBy(F.col("n_regionkey").alias("page")).agg(F.count("*").alias("regions"), F.array_join(names, " ").alias("text"))
 
 
-@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey FROM orders ANTI JOIN customer ON c_custkey = o_custkey + 1")
 def j11_dangling(spark, d):
-    edges = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("dst"))
-    return validation.dangling(edges, "dst", table(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey").select("o_orderkey")
+    """Each order points to the customer after its own; the last has none."""
+    edges = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + 1).alias("dst"))
+    return validation.dangling(edges, "dst", table(spark, d, "customer"), "c_custkey").select("o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -672,23 +673,29 @@ def v11_order(spark, d):
     return validation.order_problems(items, table(spark, d, "orders").select(F.lit(1).alias("page"), F.col("o_custkey").alias("leaf")))
 
 
-_GRAPH = "g AS (SELECT DISTINCT c_custkey % 300 AS u, (c_custkey * 7 + 3) % 300 AS v FROM customer WHERE c_nationkey = 3 UNION SELECT DISTINCT s_suppkey % 300, (s_suppkey + 40) % 300 FROM supplier WHERE s_nationkey < 8)"
+_NETS = f"g AS (SELECT a.page * 100 + a.idx AS u, b.page * 100 + b.idx AS v FROM {_PAIRS} WHERE a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b AND a.label = b.label)"
 
 
-def _graph(spark, d):
-    c = table(spark, d, "customer").filter("c_nationkey = 3").select((F.col("c_custkey") % 300).alias("u"), ((F.col("c_custkey") * 7 + 3) % 300).alias("v"))
-    s = table(spark, d, "supplier").filter("s_nationkey < 8").select((F.col("s_suppkey") % 300).alias("u"), ((F.col("s_suppkey") + 40) % 300).alias("v"))
-    return c.unionByName(s).distinct()
+def _nets(spark, d):
+    """Boxes of a page that touch and have one label: the ends of wires of one net."""
+    rows = views.boxes(spark, d)
+    a, b = (rows.select("page", F.col("idx").alias(f"{p}i"), F.col("label").alias(f"{p}n"), *[F.col(c).alias(p + c) for c in "ltrb"]) for p in "ab")
+    near = a.join(b, "page").filter("ai < bi and an = bn").filter(g.overlaps(g.Box.of("a"), g.Box.of("b"), 0.0))
+    return near.select((F.col("page") * 100 + F.col("ai")).alias("u"), (F.col("page") * 100 + F.col("bi")).alias("v"))
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, b AS (SELECT u, v FROM g UNION SELECT v, u FROM g), w AS (SELECT u, v FROM b UNION SELECT w.u, b.v FROM w JOIN b ON w.v = b.u) SELECT u AS node, least(min(v), u) AS root FROM w GROUP BY u")
+@query(f"WITH RECURSIVE {_NETS}, b AS (SELECT u, v FROM g UNION SELECT v, u FROM g), w AS (SELECT u, v FROM b UNION SELECT w.u, b.v FROM w JOIN b ON w.v = b.u) SELECT u AS node, least(min(v), u) AS root FROM w GROUP BY u", "v_box")
 def v13_components(spark, d):
-    return validation.labels_of_components(_graph(spark, d))
+    return validation.labels_of_components(_nets(spark, d))
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, w AS (SELECT u AS src, v AS dst FROM g UNION SELECT w.src, g.v FROM w JOIN g ON w.dst = g.u) SELECT src, dst FROM w")
+@query("""WITH RECURSIVE g AS (SELECT page * 100 + idx AS u, page * 100 + lead(idx) OVER (PARTITION BY page, label ORDER BY idx) AS v FROM v_box),
+w AS (SELECT u AS src, v AS dst FROM g WHERE v IS NOT NULL UNION SELECT w.src, g.v FROM w JOIN g ON w.dst = g.u WHERE g.v IS NOT NULL) SELECT src, dst FROM w""", "v_box")
 def j17_closure(spark, d):
-    return sequences.closure(_graph(spark, d).select(F.col("u").alias("src"), F.col("v").alias("dst")))
+    """Each box continues the one before it on its page with its label; all that follows it, however far."""
+    node = F.col("page") * 100 + F.col("idx")
+    chain = views.boxes(spark, d).select(node.alias("src"), F.lead(node).over(Window.partitionBy("page", "label").orderBy("idx")).alias("dst"))
+    return sequences.closure(chain.filter("dst is not null"))
 
 
 @query("SELECT count(*) FILTER (WHERE n_chars > 5000) AS too_long, count(*) FILTER (WHERE length(text) < 20) AS too_short, count(*) FILTER (WHERE n_chars <= 5000 AND length(text) >= 20) AS kept FROM documents")
@@ -717,15 +724,17 @@ def a1_micro_metrics(spark, d):
     return evaluation.micro(_metrics(spark, d)).withColumns({c: _r(c) for c in ("recall", "false_rate")})
 
 
-_READS = """reads AS (SELECT conv_id, turn, a, b, levenshtein(a, b) AS errors, length(a) AS tokens FROM (SELECT conv_id, turn, left(text, 60) AS a, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 60) AS b FROM conversations) WHERE b IS NOT NULL AND regexp_full_match(a, '[\\x00-\\x7F]*') AND regexp_full_match(b, '[\\x00-\\x7F]*'))"""
+_READS = "reads AS (SELECT conv_id, turn, levenshtein(a, b) AS errors, strlen(a)::BIGINT AS tokens FROM (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE a IS NOT NULL AND b IS NOT NULL)"
 
 
 def _reads(spark, d):
+    """Each turn read as the next one of its conversation; tokens are the bytes of UTF-8, a character each here."""
+    text = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("a"), F.left(F.lead("text").over(w), F.lit(60)).alias("b"))
-    rows = rows.filter(F.col("b").isNotNull() & F.col("a").rlike(r"\A[\x00-\x7F]*\z") & F.col("b").rlike(r"\A[\x00-\x7F]*\z"))
-    a, b = tx.char_tokens(F.col("a")), tx.char_tokens(F.col("b"))
-    return rows.withColumns({"errors": tx.token_distance(a, b, F.array_union(a, b)), "tokens": F.length("a")})
+    # the work by row is large for its bytes, so that partitions aren't merged by size
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = table(spark, d, "conversations").repartition(parts, "conv_id").select("conv_id", "turn", text.alias("a"), F.lead(text).over(w).alias("b")).filter("a is not null and b is not null")
+    return rows.withColumns({"errors": F.levenshtein("a", "b"), "tokens": F.length("a").cast("long")})
 
 
 @query(f"WITH {_READS} SELECT conv_id, turn, errors FROM reads")
@@ -758,9 +767,9 @@ def a5_most_common(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query(f"WITH {_READS} SELECT CASE WHEN tokens <= 10 THEN '1-10' WHEN tokens <= 25 THEN '11-25' WHEN tokens <= 60 THEN '26-60' END AS len, count(*) AS n, round(sum(errors) / sum(tokens), 6) AS error_rate FROM reads WHERE tokens > 0 GROUP BY 1")
+@query(f"WITH {_READS} SELECT CASE WHEN tokens <= 10 THEN '1-10' WHEN tokens <= 25 THEN '11-25' WHEN tokens <= 60 THEN '26-60' WHEN tokens <= 500 THEN '61-500' WHEN tokens <= 4000 THEN '501-4000' END AS len, count(*) AS n, round(sum(errors) / sum(tokens), 6) AS error_rate FROM reads WHERE tokens > 0 GROUP BY 1")
 def a6_bucketed_rates(spark, d):
-    rows = _reads(spark, d).filter("tokens > 0").withColumn("len", evaluation.bucket(F.col("tokens"), 10, 25, 60))
+    rows = _reads(spark, d).filter("tokens > 0").withColumn("len", evaluation.bucket(F.col("tokens"), 10, 25, 60, 500, 4000))
     return evaluation.error_rate(rows, "len").select("len", "n", _r("error_rate").alias("error_rate"))
 
 
@@ -870,16 +879,16 @@ def o7_dedup(spark, d):
     return table(spark, d, "documents").select("lang", "source").distinct()
 
 
-@query("SELECT doc_id FROM documents WHERE n_chars > 500 INTERSECT SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def o8_set_operations(spark, d):
     labels = table(spark, d, "labels")
-    return table(spark, d, "documents").filter("n_chars > 500").select("doc_id").intersect(labels.select("doc_id")).exceptAll(labels.filter("toxic = 1").select("doc_id").distinct())
+    return table(spark, d, "documents").select("doc_id").intersect(labels.select("doc_id")).exceptAll(labels.filter("toxic = 1").select("doc_id").distinct())
 
 
-@query("SELECT 0 AS part, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents WHERE n_chars < 200")
+@query("SELECT 0 AS part, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents")
 def o9_union(spark, d):
     a = table(spark, d, "benchmark").select(F.lit(0).alias("part"), F.col("item_id").alias("id"), "text")
-    return a.unionByName(table(spark, d, "documents").filter("n_chars < 200").select(F.lit(1).alias("part"), F.col("doc_id").alias("id"), "text"))
+    return a.unionByName(table(spark, d, "documents").select(F.lit(1).alias("part"), F.col("doc_id").alias("id"), "text"))
 
 
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 128)::INT AS shard FROM documents")
@@ -953,11 +962,14 @@ def st1_until(spark, d):
     return pen.join(F.broadcast(first)).filter("t <= t0 + 864000000000").groupBy("writer").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT writer AS item, min(t) AS t0, max(t) AS t1 FROM (SELECT * FROM v_pen WHERE x < 3) GROUP BY 1)
-SELECT t.id, a.t1 AS context_end, min(b.t0) AS first_start FROM (SELECT c_custkey AS id, c_custkey % 150 AS after, (c_custkey * 13) % 150 AS item FROM customer) t JOIN s a ON a.item = t.after JOIN s b ON b.item = t.item GROUP BY ALL HAVING min(b.t0) > a.t1""", "v_pen")
+@query("""WITH s AS (SELECT t // 86400000000 % 30 * 1000 + writer AS item, min(t) AS t0, max(t) AS t1 FROM v_pen GROUP BY 1)
+SELECT t.id, a.t1 AS context_end, min(b.t0) AS first_start FROM (SELECT c_custkey AS id, c_custkey % 30 * 1000 + c_custkey % 150 AS after, c_custkey * 7 % 30 * 1000 + c_custkey * 13 % 150 AS item FROM customer) t JOIN s a ON a.item = t.after JOIN s b ON b.item = t.item GROUP BY ALL HAVING min(b.t0) > a.t1""", "v_pen")
 def st2_resolve_targets(spark, d):
-    spans = views.pen(spark, d).filter("x < 3").groupBy(F.col("writer").alias("item")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 150).alias("after"), (F.col("c_custkey") * 13 % 150).alias("item"))
+    """An item is what one writer wrote on one day."""
+    number = lambda day, writer: day % 30 * 1000 + writer
+    spans = views.pen(spark, d).groupBy(number(F.expr("t div 86400000000"), F.col("writer")).alias("item")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    key = F.col("c_custkey")
+    targets = table(spark, d, "customer").select(key.alias("id"), number(key, key % 150).alias("after"), number(key * 7, key * 13 % 150).alias("item"))
     return sequences.resolved(targets, spans)
 
 
@@ -1013,8 +1025,8 @@ def v1_ids(spark, d):
     return rows.filter("n > 1 or not good").select("p_partkey", F.when(~F.col("good"), "syntax").otherwise("duplicate").alias("problem"))
 
 
-@query("""WITH a AS (SELECT DISTINCT unnest(string_split(text[:200], '')) AS c FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(text[:200], '')) AS c FROM conversations),
-bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text[:200], '')) AS c FROM documents) WHERE c <> '' AND (c NOT IN (SELECT c FROM a) OR c NOT IN (SELECT c FROM b)))
+@query("""WITH a AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations),
+bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND (c NOT IN (SELECT c FROM a) OR c NOT IN (SELECT c FROM b)))
 SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
 def j20_both_vocabularies(spark, d):
     lines = _chars(spark, d, "documents", "doc_id")
@@ -1022,10 +1034,12 @@ def j20_both_vocabularies(spark, d):
     return corpus.readable(once, corpus.charset(_chars(spark, d, "conversations", "conv_id")), "key").select("key")
 
 
-@query("SELECT doc_id, 1 AS shard FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 1")
+@query("SELECT doc_id, doc_id % 3 + 1 AS shard FROM documents")
 def o10_concatenate(spark, d):
+    """Three shards, read one by one and put together; nothing is left out."""
     rows = table(spark, d, "documents")
-    return rows.filter("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("shard")).unionByName(rows.filter("doc_id % 3 = 1").select("doc_id", F.lit(2).alias("shard")))
+    one = lambda k: rows.filter(F.col("doc_id") % 3 == k).select("doc_id", F.lit(k + 1).cast("long").alias("shard"))
+    return one(0).unionByName(one(1)).unionByName(one(2))
 
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i % greatest(n // 5, 1) = 0")
