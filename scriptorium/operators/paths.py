@@ -34,8 +34,8 @@ def densify(points: DataFrame, step: float) -> DataFrame:
     return rows.select("ink_id", "stroke_id", "point_id", "part", on("px", "x").alias("x"), on("py", "y").alias("y"))
 
 
-def resample(points: DataFrame, spacing: float) -> DataFrame:
-    """Points evenly spaced along each stroke, both ends kept: ``ink_id, stroke_id, sample, x, y``.
+def resample(points: DataFrame, spacing: float, *labels: str) -> DataFrame:
+    """Points evenly spaced along each stroke, both ends kept: ``ink_id, stroke_id, sample, x, y``, and ``labels`` of the first point at or past each sample.
 
     The stroke is cut in ceil(length / spacing) equal parts. Samples
     are made segment by segment, each from the share of the way it covers, so
@@ -52,7 +52,37 @@ def resample(points: DataFrame, spacing: float) -> DataFrame:
     rows = way.select("*", F.explode(F.when(F.col("ps").isNull(), F.array(F.lit(0))).otherwise(inner)).alias("sample"))
     share = F.try_divide(F.col("sample") * F.col("gap") - F.col("ps"), F.col("s") - F.col("ps"))
     at = lambda a, b: F.when(F.col("ps").isNull() | ((F.col("sample") == F.col("n")) & (F.col("s") == F.col("total"))), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * share)
-    return rows.select("ink_id", "stroke_id", "sample", at("px", "x").alias("x"), at("py", "y").alias("y"))
+    return rows.select("ink_id", "stroke_id", "sample", at("px", "x").alias("x"), at("py", "y").alias("y"), *labels)
+
+
+def shared_counts(sizes: Column, n: int) -> Column:
+    """How many of ``n`` points each stroke gets: its share of all points, rounded half to even, and one at least; the first largest gives or takes until the sum is n (or the number of strokes, if that is more)."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc + v)
+    want = F.greatest(F.lit(n).cast("long"), F.size(sizes).cast("long"))
+    start = F.transform(sizes, lambda k: F.greatest(F.lit(1).cast("long"), F.bround(k * want / total(sizes)).cast("long")))
+    off = want - total(start)
+
+    def step(counts: Column, i: Column) -> Column:
+        top = F.array_position(counts, F.array_max(counts)) - 1
+        return F.transform(counts, lambda c, k: F.when(k == top, c + F.signum(off).cast("long")).otherwise(c))
+
+    times = F.when(off == 0, F.array().cast("array<long>")).otherwise(F.sequence(F.lit(1).cast("long"), F.abs(off)))
+    return F.aggregate(times, start, step)
+
+
+def resample_to(strokes: Column, n: int) -> Column:
+    """Strokes (arrays of points x, y) drawn with ``n`` points in all, evenly by index; each point has ``label``, the index of the nearest old point, halves to even."""
+    counts = shared_counts(F.transform(strokes, lambda s: F.size(s).cast("long")), n)
+
+    def point(s: Column, m: Column, i: Column) -> Column:
+        t = F.when(m == 1, F.lit(0.0)).otherwise(i * (F.size(s) - 1) / (m - 1))
+        low = F.least(F.floor(t), F.size(s).cast("long") - 1).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        on = lambda c: a[c] + (b[c] - a[c]) * (t - low)
+        return F.struct(on("x").alias("x"), on("y").alias("y"), F.bround(t).cast("int").alias("label"))
+
+    stroke = lambda z: F.transform(F.sequence(F.lit(0).cast("long"), z["m"] - 1), lambda i: point(z["s"], z["m"], i))
+    return F.transform(F.arrays_zip(strokes.alias("s"), counts.alias("m")), stroke)
 
 
 def to_offsets(points: DataFrame) -> DataFrame:

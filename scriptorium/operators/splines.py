@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DEGREE = 3
 
@@ -50,3 +51,27 @@ def fitted(points: DataFrame, per_control: int = 4) -> DataFrame:
         return pd.DataFrame({"ink_id": [rows.ink_id.iloc[0]], "stroke_id": [rows.stroke_id.iloc[0]], "n_points": [len(rows)], "n_controls": [len(control)], "sse": [error]})
 
     return points.groupBy("ink_id", "stroke_id").applyInPandas(run, "ink_id long, stroke_id int, n_points long, n_controls long, sse double")
+
+
+def decode_weights(m: int, per_control: int) -> np.ndarray:
+    """Weights (points, m) of a stroke's control points in its decoded points."""
+    n = 1 if m == 1 else (m - 1) * per_control + 1
+    return basis(np.linspace(0, 1, n), m)
+
+
+def decoded(controls: Column, per_control: int = 4) -> Column:
+    """The points of strokes given as arrays of control points (x, y): ``per_control`` points for each step between two; each has ``label``, the index of the nearest control point."""
+
+    def stroke(control) -> list[dict]:
+        if control is None or not len(control):
+            return []
+        xy = np.array([(p["x"], p["y"]) for p in control], float)
+        points = decode_weights(len(xy), per_control) @ xy
+        near = np.rint(np.linspace(0, 1, len(points)) * (len(xy) - 1)).astype(int)
+        return [{"x": x, "y": y, "label": int(k)} for (x, y), k in zip(points.tolist(), near)]
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(stroke)
+
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<x:double,y:double,label:int>>")(controls)

@@ -30,6 +30,35 @@ def few_exits(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     return nodes.join(out, "node", "left").fillna(0, ["n"]).filter(F.col("n") < least)
 
 
+def not_among(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Rows whose value isn't one of a fixed list; null isn't."""
+    return rows.filter(~F.coalesce(F.col(column).isin(allowed), F.lit(False)))
+
+
+def undrawable(texts: DataFrame, key: str, text: str, glyphs: DataFrame) -> DataFrame:
+    """``key, chars``: the characters of each text that ``glyphs(token)`` lacks, in code-point order."""
+    chars = texts.select(key, F.explode(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))).alias("token"))
+    lost = chars.join(glyphs, "token", "left_anti").groupBy(key).agg(F.collect_set(F.col("token").cast("binary")).alias("c"))
+    return lost.select(key, F.array_join(F.transform(F.array_sort("c"), lambda c: c.cast("string")), "").alias("chars"))
+
+
+def too_deep(items: DataFrame, item: str = "item", parent: str = "parent", most: int = 3) -> DataFrame:
+    """Items nested in more than ``most`` levels: those with that many ancestors, found by as many joins, whatever the depth."""
+    up = items.select(F.col(item).alias("__of"), F.col(parent).alias("__next"))
+    rows = items.select(item, F.col(parent).alias("__at")).filter("__at is not null")
+    for _ in range(most - 1):
+        rows = rows.join(up, F.col("__at") == F.col("__of")).select(item, F.col("__next").alias("__at")).filter("__at is not null")
+    return rows.join(up, F.col("__at") == F.col("__of"), "left_semi").select(item)
+
+
+def table_shape(rows: DataFrame) -> DataFrame:
+    """``table, row, problem`` of truth tables ``rows(table, row, cells)``: rows narrower than the widest, cells that are no 0, 1, x or -."""
+    width = F.max(F.size("cells")).over(Window.partitionBy("table"))
+    odd = F.exists("cells", lambda c: ~F.coalesce(c.isin("0", "1", "x", "X", "-"), F.lit(False)))
+    problem = F.when(F.size("cells") < F.col("__w"), "too few cells").when(odd, "no bit")
+    return rows.withColumn("__w", width).withColumn("problem", problem).filter("problem is not null").select("table", "row", "problem")
+
+
 def counting_order(cells: DataFrame, table: str = "table", row: str = "row", bits: str = "bits") -> DataFrame:
     """Rows of truth tables whose input bits aren't the row number in binary, most significant first."""
     return cells.withColumn("expected", F.lpad(F.bin(F.col(row)), F.length(bits), "0")).filter(F.col("expected") != F.col(bits))

@@ -43,6 +43,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as page items, with ``pos``: their place in writing order, from the top."""
+    return boxes(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy("t", "l", "idx")))
+
+
 SQL = {
     "v_ink": """SELECT vec_id AS ink_id, (p // 8)::INT AS stroke_id, (p % 8)::INT AS point_id, embedding[2 * p + 1]::DOUBLE * 300::DOUBLE + 112::DOUBLE AS x, embedding[2 * p + 2]::DOUBLE * 300::DOUBLE + 112::DOUBLE AS y
         FROM embeddings, (SELECT unnest(range(32)) AS p)""",
@@ -50,6 +55,7 @@ SQL = {
     "v_box": """SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS idx,
         (l_partkey % 40)::DOUBLE AS l, (l_suppkey % 20)::DOUBLE AS t, (l_partkey % 40)::DOUBLE + 20 + l_quantity AS r, (l_suppkey % 20)::DOUBLE + 30 + l_linenumber * 5 AS b,
         l_discount AS score, l_returnflag || l_linestatus AS label FROM lineitem""",
+    "v_item": "SELECT *, row_number() OVER (PARTITION BY page ORDER BY t, l, idx) AS pos FROM v_box",
 }
 
 
