@@ -98,3 +98,47 @@ def rounded(values: Column, digits: int = 2) -> Column:
 
     run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "double")(values)
+
+
+def writing_plan(text: str, corrections: list[dict]) -> list[dict]:
+    """The steps in which a line is written with its corrections (``index, wrong, style, replace``).
+
+    Steps have ``kind`` char (``at`` in the text, null for a wrong character, ``ch``,
+    ``deleted``, ``over``: the step it is written upon) or the style of a
+    mark (``first``, ``last`` step that it crosses out).  A strike or scribble
+    crosses the wrong characters out and writing goes on; an overwrite puts
+    ``replace`` characters, as many as are wrong if null, upon them.
+    Corrections within overwritten characters are passed over; of two at one
+    place the last counts.
+    """
+    steps: list[dict] = []
+    char = lambda at, ch, over=None: steps.append({"kind": "char", "at": at, "ch": ch, "deleted": at is None, "over": over})
+    at = 0
+    for index, c in sorted({c["index"]: c for c in corrections}.items()):
+        if not at <= index < len(text):
+            continue
+        for k in range(at, index):
+            char(k, text[k])
+        at, first, wrong = index, len(steps), c["wrong"]
+        for ch in wrong:
+            char(None, ch)
+        if c["style"] == "overwrite":
+            n = len(wrong) if pd.isna(c.get("replace")) else int(c["replace"])
+            at = min(index + n, len(text))
+            for k in range(index, at):
+                char(k, text[k], first + k - index if k - index < len(wrong) else None)
+        else:
+            steps.append({"kind": c["style"], "first": first, "last": len(steps) - 1})
+    for k in range(at, len(text)):
+        char(k, text[k])
+    return steps
+
+
+def writing_plans(text: Column, corrections: Column) -> Column:
+    """``writing_plan`` of texts and arrays of corrections, by batches."""
+
+    def run(texts: pd.Series, fixes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else writing_plan(t, [] if f is None else list(f)) for t, f in zip(texts, fixes)], dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "fixes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<kind:string,at:int,ch:string,deleted:boolean,over:int,first:int,last:int>>")(text, corrections)

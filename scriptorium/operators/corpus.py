@@ -81,3 +81,9 @@ def batches(lines: DataFrame, pool: str, key: str, length: str, budget: int) ->
 def new_only(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Rows that a manifest doesn't list: what a push or a restarted write still has to do."""
     return rows.join(manifest, key, "left_anti")
+
+
+def only_for_training(lines: DataFrame, split: str = "split") -> DataFrame:
+    """The same lines; a held-out one (``valid`` or ``test``) stops the job, so that none is ever rendered."""
+    held = F.col(split).isin("valid", "test")
+    return lines.withColumn(split, F.when(held, F.raise_error(F.concat(F.lit("held-out line of split "), F.col(split)))).otherwise(F.col(split)))

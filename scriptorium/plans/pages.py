@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators import augment, corpus, diagrams, paths, sequences, splines, targets, validation
+from ..sources import documents
 from . import views
 from .queries import query
 from .views import table
@@ -371,3 +372,40 @@ def l16_digitized(spark, d):
     pen = views.pen(spark, d).withColumn("t", F.col("t") / 1e6)
     out = augment.digitized(pen, "writer", "t", quantum=0.25, drop=0.05, burst=0.02, jitter=600.0, gap=2.0)
     return out.withColumn("t", F.round("t", 3))
+
+
+@query("SELECT p_partkey, length(p_name) + CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS steps, p_name[:2] || 'xy' || p_name[3:] AS written FROM part")
+def t13_writing_plans(spark, d):
+    """Every name is begun wrongly after two characters: overwritten, or struck out with a mark."""
+    style = F.when(F.expr("p_size % 2 = 0"), "overwrite").otherwise("strike")
+    fix = F.array(F.struct(F.lit(2).alias("index"), F.lit("xy").alias("wrong"), style.alias("style"), F.lit(None).cast("int").alias("replace")))
+    rows = table(spark, d, "part").select("p_partkey", augment.writing_plans(F.col("p_name"), fix).alias("s"))
+    return rows.select("p_partkey", F.size("s").cast("long").alias("steps"), F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("written"))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM (SELECT DISTINCT doc_id, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10)) || [lang, source]) AS s FROM documents)) WHERE s <> '' AND length(s) <= 50 GROUP BY doc_id")
+def io30_json_strings(spark, d):
+    doc = F.to_json(F.struct("lang", F.struct("source", F.array(F.struct("text")).alias("blocks")).alias("body"), F.col("n_chars")))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(documents.json_strings(doc)).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query("SELECT o_custkey AS page, count(*) FILTER (WHERE o_orderstatus = 'F') AS renders, count(*) FILTER (WHERE o_orderstatus <> 'F') AS rejected FROM orders GROUP BY 1")
+def io14_manifest(spark, d):
+    problems = F.when(F.col("o_orderstatus") == "F", F.array().cast("array<string>")).otherwise(F.array("o_orderstatus"))
+    m = documents.manifest(table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("file"), problems.alias("problems")))
+    return m.select("page", F.size("renders").cast("long").alias("renders"), F.size("rejected").cast("long").alias("rejected"))
+
+
+@query("SELECT '<table><tr><th>n_nationkey</th><th>n_name</th></tr>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation")
+def io28_html_report(spark, d):
+    return documents.html_report(table(spark, d, "nation"), "n_nationkey", "n_name")
+
+
+@query("SELECT page, idx, greatest(0, l - m) AS l, greatest(0, t - m) AS t, least(80, r + m) AS r, least(90, b + m) AS b FROM (SELECT *, greatest(4, 0.25::DOUBLE * greatest(r - l, b - t)) AS m FROM v_box)", "v_box")
+def io23_crop_boxes(spark, d):
+    crop = documents.crop_box(g.Box.of(), 0.25, 4.0, 80.0, 90.0)
+    return views.boxes(spark, d).select("page", "idx", crop.alias("c")).select("page", "idx", "c.*")

@@ -75,11 +75,13 @@ def svg(strokes: Column, margin: float = 8.0) -> Column:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Detection annotations (XML) -> ``file, id, name, l, t, r, b, label``."""
-    schema = "_id string, _name string, _x double, _y double, _width double, _height double, _textMeaning string"
-    rows = spark.read.format("xml").option("rowTag", "symbol").schema(schema).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_x").alias("l"), F.col("_y").alias("t"),
-                       (F.col("_x") + F.col("_width")).alias("r"), (F.col("_y") + F.col("_height")).alias("b"), F.col("_textMeaning").alias("label"))
+    """Detection annotations (XML) -> ``file, id, name, l, t, r, b, label``; symbols without bounds go. The label is a text's meaning, and a shape's own kind."""
+    schema = "_id string, _name string, bounds struct<_x:double,_y:double,_width:double,_height:double>, textMeaning string"
+    rows = spark.read.format("xml").option("rowTag", "symbol").schema(schema).load(path).filter("bounds is not null")
+    edge = lambda at, size: (F.col(f"bounds.{at}") + F.col(f"bounds.{size}"))
+    label = F.when(F.col("_name") == "text", F.trim(F.coalesce("textMeaning", F.lit("")))).otherwise(F.col("_name"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("bounds._x").alias("l"), F.col("bounds._y").alias("t"),
+                       edge("_x", "_width").alias("r"), edge("_y", "_height").alias("b"), label.alias("label"))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

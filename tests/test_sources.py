@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import spatial
+from scriptorium.operators import augment, corpus, spatial
+from scriptorium.sources import documents
 from scriptorium.sources import ink as source
 
 
@@ -14,10 +16,74 @@ def test_ink_results(spark, tmp_path):
     assert r.text == "x" and [(p.x, p.y) for p in r.strokes[0]] == [(1, 2), (3, 4)]
 
 
+ANNOTATION = """<doc><symbols>
+<symbol id="s1" name="process"><bounds x="1" y="2" width="10" height="5"/></symbol>
+<symbol id="s2" name="decision"><bounds x="90" y="2" width="40" height="5"/></symbol>
+<symbol id="t1" name="text"><bounds x="3" y="3" width="2" height="1"/><textMeaning> Start </textMeaning></symbol>
+<symbol id="t2" name="text"><bounds x="30" y="3" width="2" height="1"/><textMeaning>yes</textMeaning></symbol>
+<symbol id="none" name="text"/></symbols>
+<relations><relation name="arrow_label"><symbolView symbolDataRef="t2"/><symbolView symbolDataRef="a1"/></relation>
+<relation name="arrow_connection"><symbolView symbolDataRef="a1"/><symbolView symbolDataRef="s1"/><symbolView symbolDataRef="s2"/></relation>
+<relation name="arrow_connection"><symbolView symbolDataRef="a1"/><symbolView symbolDataRef="s1"/><symbolView symbolDataRef="t1"/></relation></relations></doc>"""
+
+
 def test_annotations(spark, tmp_path):
-    (tmp_path / "a.xml").write_text('<doc><symbol id="s1" name="box" x="1" y="2" width="10" height="5" textMeaning="Start"/></doc>')
-    r = source.read_annotations(spark, str(tmp_path / "a.xml")).first()
-    assert (r.id, r.name, r.l, r.t, r.r, r.b, r.label) == ("s1", "box", 1, 2, 11, 7, "Start")
+    (tmp_path / "a.xml").write_text(ANNOTATION)
+    symbols, relations = source.read_annotations(spark, str(tmp_path / "a.xml")), documents.read_relations(spark, str(tmp_path / "a.xml"))
+    got = {r.id: (r.name, r.l, r.t, r.r, r.b, r.label) for r in symbols.collect()}
+    assert got["s1"] == ("process", 1, 2, 11, 7, "process") and got["t1"][-1] == "Start" and set(got) == {"s1", "s2", "t1", "t2"}
+    crops = {r.id: tuple(r.crop) for r in documents.crop_regions(symbols, relations, 0.1, 2.0, 100.0, 50.0).collect()}
+    assert crops == {"s1": (0, 0, 13, 9), "s2": (86, 0, 100, 11), "t2": (28, 1, 34, 6)}
+    flow = documents.flow_constraints(symbols.filter("name != 'text'"), relations).collect()
+    assert [(r.before, r.after) for r in flow] == [("s1", "s2")]
+
+
+def test_inkml_groups(spark, tmp_path):
+    note = lambda k, v: f'<annotation type="{k}">{v}</annotation>'
+    unit = f'<traceGroup>{note("label", "a")}<traceView traceDataRef="#t0"/><traceView traceDataRef="#t1"/></traceGroup>'
+    group = f'<traceGroup>{note("element_id", "x.l1")}{note("kind", "text")}{note("element", "x")}{unit}</traceGroup>'
+    (tmp_path / "g.inkml").write_text(f'<ink xmlns="http://www.w3.org/2003/InkML"><trace xml:id="t0">1 2 0</trace><traceGroup>{group}</traceGroup></ink>')
+    got = documents.read_inkml_groups(spark, str(tmp_path / "g.inkml")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("x.l1", "text", "", "x", 0, "a", "t0"), ("x.l1", "text", "", "x", 0, "a", "t1")]
+
+
+def test_svg_font(spark, tmp_path):
+    glyphs = '<glyph unicode="I" horiz-adv-x="300" d="M1 0L1 7"/><glyph unicode="U" d="M 0 0 C 0 2 4 2 4 0"/><glyph unicode="fi" d="M0 0L1 1"/><glyph unicode="." d="M5 5"/>'
+    (tmp_path / "f.svg").write_text(f'<svg xmlns="http://www.w3.org/2000/svg"><defs><font horiz-adv-x="400">{glyphs}</font></defs></svg>')
+    got = {r.ch: r for r in documents.read_svg_glyphs(spark, str(tmp_path / "f.svg")).collect()}
+    assert set(got) == {"I", "U", "."} and got["I"].advance == 300 and got["U"].advance == 400 and got["."].strokes == []
+    assert [tuple(p) for p in got["I"].strokes[0]] == [(1, 0), (1, 7)] and len(got["U"].strokes[0]) == 9 and tuple(got["U"].strokes[0][4]) == (2, 1.5)
+    with pytest.raises(ValueError):
+        documents.glyph_strokes("M0 0 Q 1 1 2 2")
+
+
+def test_strings_reports_lists(spark, tmp_path):
+    df = spark.createDataFrame([('{"a": ["x\\n y ", {"b": "' + "z" * 51 + '"}], "n": 1}',), ("not json",), (None,)], "t string")
+    assert [r[0] for r in df.select(documents.json_strings(F.col("t"))).collect()] == [["x", "y"], [], []]
+    html = documents.html_report(spark.createDataFrame([("<b>", None)], "a string, b int"), "a", "b").first().html
+    assert html == "<table><tr><th>a</th><th>b</th></tr><tr><td>&lt;b&gt;</td><td></td></tr></table>"
+    results = spark.createDataFrame([("p", "a", []), ("p", "b", [str(i) for i in range(12)])], "page string, file string, problems array<string>")
+    row = documents.manifest(results).first()
+    assert row.renders == ["a"] and [(r.file, len(r.problems)) for r in row.rejected] == [("b", 10)]
+    documents.write_json(results, str(tmp_path / "j"), "page")
+    documents.write_json(results, str(tmp_path / "j"), "page", mode="append")
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    documents.write_lines(spark.createDataFrame([("a b",), ("",)], "line string"), str(tmp_path / "l"))
+    assert [r.line for r in documents.read_lines(spark, str(tmp_path / "l")).collect()] == ["a b"]
+
+
+def test_held_out_lines_stop(spark):
+    lines = spark.createDataFrame([("train", 1), ("test", 2)], "split string, k int")
+    assert corpus.only_for_training(lines.filter("k = 1")).count() == 1
+    with pytest.raises(Exception, match="held-out"):
+        corpus.only_for_training(lines).collect()
+
+
+def test_writing_plan():
+    plan = augment.writing_plan("abcd", [{"index": 1, "wrong": "xy", "style": "strike"}])
+    assert [s.get("ch") for s in plan] == ["a", "x", "y", None, "b", "c", "d"] and (plan[3]["first"], plan[3]["last"]) == (1, 2)
+    over = augment.writing_plan("abcd", [{"index": 1, "wrong": "x", "style": "overwrite", "replace": 2}, {"index": 2, "wrong": "q", "style": "strike"}])
+    assert [(s["at"], s["over"]) for s in over] == [(0, None), (None, None), (1, 1), (2, None), (3, None)]
 
 
 def test_ocr_rows(spark, tmp_path):
