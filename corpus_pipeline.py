@@ -6,16 +6,17 @@ return the columns of documents.  A stage judges all that the one before kept.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontam, langid, mixing, pii, simhash
+from scriptorium.llm import decontam, langid, minhash, mixing, pii
 from scriptorium.llm.common import table_written
 from scriptorium.llm.queries import PII_KEY
 
-#: Near copies: shingles of five words, and a similarity of 0.8 or more, which SimHash expects at SIMILAR_BITS of 256
-#: differing bits (256 * acos(2 * 0.8 / 1.8) / pi); CANDIDATE_BITS of the first 64 bits find what is verified so.
-SHINGLE_WORDS, SIMILAR_BITS, CANDIDATE_BITS = 5, 38, 10
+#: Near copies: shingles of five words, and a Jaccard similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id, once. Rows without doc_id stay."""
-    groups = simhash.simhash_groups(docs, SHINGLE_WORDS, CANDIDATE_BITS, SIMILAR_BITS)
+    groups = minhash.near_copies(docs, SHINGLE_WORDS, SIMILARITY)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))

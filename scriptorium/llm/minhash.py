@@ -1,0 +1,132 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide.
+
+Two texts of similarity s share one of BANDS bands of BAND_HASHES least hashes
+with a chance of 1 - (1 - s ** BAND_HASHES) ** BANDS: 0.99993 at 0.8.
+Candidates only say which texts are compared; links are of exact similarity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, slices, space_words, table_written
+from .components import components
+
+SEED = 42
+BANDS, BAND_HASHES = 24, 5
+#: Texts of a block; a group of candidates that is larger is cut in blocks, and every two of them meet in one cell.
+BLOCK_TEXTS = 256
+#: Shingles whose hashes are held at once.
+_STEP = 4096
+_SCALE, _SHIFT = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_HASHES), np.uint64, endpoint=False)
+_SCALE |= np.uint64(1)
+
+
+def shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``words`` words of a UTF-8 text; A-Z are lower-cased.
+
+    Fewer words make one shingle, no words none.
+    """
+    own = space_words(text and text.lower())
+    if not own:
+        return np.zeros(0, np.uint64)
+    k = min(words, len(own))
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())]), np.uint64))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """A signed integer for each band; texts without shingles have none."""
+    if not len(own):
+        return []
+    least = np.full(len(_SCALE), np.iinfo(np.uint64).max)
+    for at in range(0, len(own), _STEP):
+        np.minimum(least, (own[at : at + _STEP, None] * _SCALE + _SHIFT).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_HASHES))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, h1, h2, keys)``: a 128-bit hash of the shingles, and the bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [shingles(t, words) for t in as_bytes(part.column(1))]
+            whole = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "keys"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+
+
+def similar(sets: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
+    """Places that link all sets of at least ``similarity`` to each other, directly or by others."""
+    sizes = np.array([len(s) for s in sets])
+    if not sizes.sum():
+        return [(0, i) for i in range(1, len(sets))]
+    p, q = similarity.numerator, similarity.denominator
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    label, out = np.arange(len(sets)), []
+    mark = np.zeros(ids.max() + 1, bool)
+    for i in range(len(sets) - 1):
+        apart = np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(apart):
+            continue
+        mark[ids[starts[i] : starts[i + 1]]] = True
+        both = np.bincount(owner[starts[i + 1] :][mark[ids[starts[i + 1] :]]], minlength=len(sets))
+        mark[ids[starts[i] : starts[i + 1]]] = False
+        for j in (apart + i + 1)[q * both[apart + i + 1] >= p * (sizes[i] + sizes[apart + i + 1] - both[apart + i + 1])]:
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def verified(cells: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """``cells(root, cell, node, text)`` -> links ``(u, v)`` of similar texts, a forest of each cell; cells are bounded."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_pylist()
+        pairs = similar([shingles(t, words) for t in as_bytes(table["text"].combine_chunks())], similarity)
+        return pa.table({"u": pa.array([node[i] for i, _ in pairs], pa.int64()), "v": pa.array([node[j] for _, j in pairs], pa.int64())})
+
+    return cells.groupBy("root", "cell").applyInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """Groups of ``docs(doc_id, text)`` by links of shingle sets of a Jaccard similarity of at least ``similarity``.
+
+    Returns ``doc_id long, component_id long``, a row for each row that has a
+    doc_id; ``component_id`` is the smallest doc_id that links reach.  Null,
+    empty and blank texts are alike.  Rows that share a doc_id are one document.
+    """
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = table_written(signatures(texts, words), "signatures")
+    distinct = table_written(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "distinct")
+    # candidates: a star in each band's bucket, then all that stars reach
+    banded = distinct.select("node", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("__last")).filter("v != __last").drop("__last")
+    roots = components(banded.join(shared, "key").select(F.col("node").alias("u"), "v"))
+    members = table_written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    # every two blocks of a large group meet in one cell
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("long").alias("n"))
+    cells = members.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = cells.select("root", "node", (F.least("b", "o") * F.col("n") + F.greatest("b", "o")).alias("cell"))
+    cells = cells.join(texts.withColumnRenamed("doc_id", "node"), "node").select("root", "cell", "node", "text")
+    linked = components(verified(cells, words, similarity))
+    named = distinct.join(linked, "node", "left").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("root", "node").alias("component_id"))
+    return rows.join(named, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "component_id")

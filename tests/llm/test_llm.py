@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import chat, components, decontam, html_text, langid, licenses, media, mixing, pii, simhash, substrings
+from scriptorium.llm import chat, components, decontam, html_text, langid, licenses, media, minhash, mixing, pii, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, node long, taken long"
 
@@ -311,3 +311,42 @@ def test_pipeline(spark, rows, tmp_path):
     far = [(a, b) for a in near for b in near if a and b and a < b and a < 50 and b < 50]
     text = {i: t for i, t, _, _ in rows}
     assert all(SequenceMatcher(None, text[a].split(), text[b].split()).ratio() < 0.95 for a, b in far[:200])
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def spread_pairs(n, seed=11):
+    """Pairs of English documents whose five-word shingles have similarities spread over 0.7 to 0.95; ids 2 i and 2 i + 1."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(7))
+    out = []
+    for i in range(n):
+        w = [word() for _ in range(rng.randint(150, 400))]
+        want = 0.7 + 0.25 * i / n
+        other, places = list(w), rng.sample(range(len(w)), len(w))
+        while (s := len(a := five_words(" ".join(w)) & five_words(" ".join(other))) / (2 * len(w) - 8 - len(a))) > want:
+            other[places.pop()] = word()
+        out += [(2 * i, " ".join(w), "en", "a"), (2 * i + 1, " ".join(other), "en", "a")]
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block)
+    pairs = spread_pairs(120)
+    copies = [(1000 + i, pairs[0][1] + f" tail{i}", "en", "a") for i in range(9)]  # one group of several blocks
+    rows = [*pairs, *copies, (None, pairs[0][1], "en", "a")]
+    sets = [five_words(t) for _, t, _, _ in rows]
+    n = len(rows) - 1
+    root = roots(n, [(i, j) for i in range(n) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    want = {rows[i][0] for i in range(n) if root[i] == i}
+    assert 160 < len(want) < 200
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such passage")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == want | {None}
+    if block == 256:
+        assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} - {None} == want
