@@ -39,6 +39,9 @@ HINTS = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|toolbar|social|share|sharing|related|recommended|pagination|pager|skip|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Words after a hint that name its box only, and words that make a name tell of a layout ("has-sidebar", "side-by-side").
+_BOXES = re.compile(r"(?:[-_]+(?:list|wrap|wrapper|container|bar|box|inner|area|section|block|links?|left|right|top|bottom|\d+))+$", re.I)
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|by)(?=[_-])", re.I)
 #: Articles that aren't the page's own, and heads that belong to the article.
 ASIDES = re.compile(r"(?:^|[\s_-])(?:comments?|related|recommended|promo\w*|sponsor\w*|advert\w*|ads?|teaser)(?=$|[\s_-])", re.I)
 OWN_HEADS = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]?(?:header|head|title|body|content|text)(?=$|[\s_-])", re.I)
@@ -50,7 +53,16 @@ _SPACE = re.compile(r"\s+")
 _SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _boilerplate(tag: str, attributes: str, inside: list[str]) -> bool:
+def _hint(value: str) -> int:
+    """2 if one of the names in a class or id is a hint, 3 if one ends in a hint, else 0."""
+    found = [_BOXES.sub("", x) for x in value.split() if not _LAYOUT.search(x)]
+    if any(m.end() == len(x) for x in found if (m := HINTS.match(x))):
+        return 2
+    return 3 if any(m.end() == len(x) for x in found for m in HINTS.finditer(x)) else 0
+
+
+def _boilerplate(tag: str, attributes: str, inside: list[str]) -> int:
+    """0: no, 1: yes, 2 or 3: a hint says so, as in ``_hint``."""
     if tag in HIDDEN:
         return True
     if tag == "header":
@@ -66,19 +78,45 @@ def _boilerplate(tag: str, attributes: str, inside: list[str]) -> bool:
         return True
     names = [found.get(k, "") for k in ("class", "id")]
     if tag == "article":
-        return any(ASIDES.search(x) for x in names)
+        return any(ASIDES.search(y) for x in names for y in x.split() if not _LAYOUT.search(y))
     if any(OWN_HEADS.search(x) for x in names):
         return False
-    return any(HINTS.search(x) for x in names)
+    return min(filter(None, map(_hint, names)), default=0)
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in an article) of each block; blank lines where boilerplate stood."""
+    """(text, characters outside links, in an article) of each block; blank lines where boilerplate stood.
+
+    A hint hides no element that holds the page's own text: its first main
+    element, or else its first article, or, if the hint is only the end of a
+    name, over half of the characters outside links.  Where hints would hide
+    all text, the one that hides most is passed over.
+    """
+    hints: dict[int, list[int]] = {}
+    out = _lines(page, None, hints)
+    if not hints:
+        return out
+    every = sum(free for _, free, _ in out)
+    spared = {i for i, (kind, chief, free) in hints.items() if chief or kind == 3 and 2 * free > every}
+    if len(spared) == len(hints):
+        return out
+    left = _lines(page, spared, {})
+    if not any(line for line, _, _ in left):
+        left = _lines(page, spared | {max(hints, key=lambda i: (hints[i][2], -i))}, {})
+    return left if any(line for line, _, _ in left) else out
+
+
+def _lines(page: str, spared: set[int] | None, hints: dict[int, list[int]]) -> list[tuple[str, int, bool]]:
+    """As ``lines``; only elements in ``spared`` (None: all) are shown against a hint.
+
+    ``hints`` gets, by the place of its tag, (kind, whether it holds the page's own article, characters outside links) of each shown element with a hint.
+    """
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
-    hidden = articles = links = 0
+    stack: list[tuple[str, bool, int]] = []  # open elements, whether they are boilerplate, and the place of a tag in hints
+    hidden = articles = links = free = 0
+    chief = ""
 
     def close_line() -> None:
         nonlocal linked
@@ -90,7 +128,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
     def pop() -> None:
         nonlocal hidden, articles, links
-        tag, plain = stack.pop()
+        tag, plain, hint = stack.pop()
+        if hint >= 0:
+            hints[hint][2] += free
         if plain:
             hidden -= 1
             if not hidden:
@@ -101,12 +141,15 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             links -= 1
 
     def put(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, free
         if piece and not hidden:
             piece = html.unescape(piece)
             text.append(piece)
+            shown = len(_SPACE.sub(" ", piece).strip())
             if links:
-                linked += len(_SPACE.sub(" ", piece).strip())
+                linked += shown
+            else:
+                free += shown
 
     at, n = 0, len(page)
     while at < n:
@@ -122,7 +165,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if tag in BLOCKS:
             close_line()
         if found[1]:
-            names = [t for t, _ in stack]
+            names = [t for t, *_ in stack]
             if tag in names:
                 while stack[-1][0] != tag:
                     pop()
@@ -141,16 +184,33 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 pop()
         elif tag in BLOCKS and stack and stack[-1][0] == "p":
             pop()
-        plain = _boilerplate(tag, found[3], [t for t, _ in stack])
+        kind = _boilerplate(tag, found[3], [t for t, *_ in stack])
+        plain, hint = kind == 1, -1
+        if kind > 1 and not hidden:
+            plain = spared is not None and found.start() not in spared
+            if spared is None:
+                hint = found.start()
+                hints[hint] = [kind, 0, -free]
+        elif kind:
+            plain = True
         if plain:
             close_line()
             if not hidden:
                 out.extend([("", 0, False)] * WINDOW_LINES)
             hidden += 1
-        stack.append((tag, plain))
+        stack.append((tag, plain, hint))
+        if not hidden and (tag == "main" and chief != "main" or tag == "article" and not chief):
+            chief = tag
+            for x in hints.values():
+                x[1] = 0
+            for _, _, i in stack:
+                if i >= 0:
+                    hints[i][1] = 1
         articles += tag in ("article", "main")
         links += tag == "a"
     close_line()
+    while stack:
+        pop()
     return out
 
 

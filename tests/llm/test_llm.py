@@ -350,3 +350,13 @@ def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monke
     assert {r.doc_id for r in got.collect()} == want | {None}
     if block == 256:
         assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} - {None} == want
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content-with-sidebar", "no-footer", "layout-header", "side-by-side", "header", "page sidebar"])
+def test_html_layout_names_hide_no_main_text(name):
+    body = "plain words " * 20
+    for inner in (f"<article><p>{body}</p></article>", f"<main><p>{body}</p></main>", f"<p>{body}</p>"):
+        related = "" if inner[1] == "p" else f"<section class=related><article><p>{'other ' * 30}</p></article></section>"
+        page = f"<body><div class='{name}'><div id=menu>Menu</div>{inner}</div><div class='nav-links'>next page</div>{related}</body>"
+        got = html_text.main_text(page)
+        assert got == body.strip()
