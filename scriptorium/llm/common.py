@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key with more than this share of the rows is hot; there are at most as many hot keys.
+HOT_SHARE = 1000
 #: Rows that one step of an Arrow function holds as Python objects.
 SLICE_ROWS = 256
 #: Lower-case A-Z and blank out every other ASCII byte that is no letter or digit.
@@ -22,13 +24,16 @@ _ALNUM = bytes(
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none, as in tests.
+    Where the session names none, a temporary folder is set in local mode, as
+    in tests; on a cluster that is a RuntimeError, as executors see no folder of the driver.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -54,6 +59,18 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``table(*on, n, ..)``, in which each key occurs once with ``n``, the number of its rows; ``n`` is left out.
+
+    Keys with over a HOT_SHARE-th of the ``total`` rows, HOT_SHARE of them at
+    most, are broadcast, so that their rows stay where they are; the other keys
+    are shuffled.  Rows whose key isn't in the table are left out.
+    """
+    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col("n") * HOT_SHARE <= total), on)
+    return rows.join(hot, on).unionByName(rest).drop("n")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Short pieces of each batch, so that few texts are Python objects at once."""
     for batch in batches:

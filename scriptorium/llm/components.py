@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table_written
+from .common import drop_table, join_hot, table_written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Larger neighbours of each node move to its least one. ``total``: edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    moved = join_hot(both.filter("v > u"), least, ["u"], total)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Smaller neighbours of each node, and itself, move to its least one."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    across = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    across = join_hot(down, least, ["u"], total).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return across.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -25,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(u long, v long)`` -> ``(node long, root long)``: each node that has a link, with the smallest node it reaches, itself left out.
 
     Large-star and small-star steps alternate until the edges stand still; each
-    round is a table in the shared folder.  Self-links, repeated links and
-    nulls have no effect; no edges give an empty table.
+    round is a table in the shared folder.  Edges of hubs aren't shuffled by
+    their hub.  Self-links, repeated links and nulls have no effect; no edges
+    give an empty table.
     """
     now = edges.filter("u is not null and v is not null and u != v")
     now = table_written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -36,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark["n"] == 0 or mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
-        after = table_written(_small_star(_large_star(now)), "edges")
+        # a large star has no more edges than it was given, so the count bounds both steps
+        after = table_written(_small_star(_large_star(now, mark["n"]), mark["n"]), "edges")
         drop_table(now)
         now = after

@@ -21,66 +21,62 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, slices, space_words, table_written
+from .common import as_bytes, join_hot, mix64, slices, space_words, table_written
 from .components import components
 
 SEED = 42
 #: Rows of a bucket that one task compares; larger buckets are split.
 BUCKET_ROWS = 4096
-#: Node numbers from here on stand for fingerprints whose documents have no id.
-_NO_ID = 1 << 62
 #: Seconds that a shuffled row and a compared pair are taken to cost.
 ROW_COST, PAIR_COST = 2e-6, 2e-8
-_WIDE = ("w1", "w2", "w3")
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
 
-def _majority(hashes: np.ndarray, n: int) -> int:
-    """hashes: (n, 8) bytes, most significant first; a bit is 1 if set in over half."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 255):
-        counts += np.add.reduce(np.unpackbits(hashes[at : at + 255], axis=1), axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
-
+def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included.
 
-def fingerprint(text: bytes | None, shingle_words: int = 3, wide: bool = False) -> tuple[int, ...]:
-    """The 64-bit fingerprint of a UTF-8 text as a signed integer; ``wide`` adds three further independent ones.
-
-    A-Z are lower-cased; shingles are space-joined runs of words, repeats
-    included.  Fewer words make one shingle; no words give zero.
+    A-Z are lower-cased; shingles are space-joined runs of words.  Fewer words
+    make one shingle, no words none.
     """
     words = space_words(text and text.lower())
     n = len(words)
     if not n:
-        return (0,) * (4 if wide else 1)
+        return np.zeros(0, np.uint64)
     k = min(shingle_words, n)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    digest = xxhash.xxh64_digest
-    buffer = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())])
-    m = n - k + 1
-    first = np.frombuffer(buffer, np.uint8).reshape(m, 8)
-    if not wide:
-        return (_majority(first, m),)
-    whole = first.view(">u8").reshape(m).astype(np.uint64)
-    more = [mix64(whole + np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64))).astype(">u8").view(np.uint8).reshape(m, 8) for i in (1, 2, 3)]
-    return tuple(_majority(x, m) for x in (first, *more))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64, n - k + 1)
+
 
+def majorities(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """A 64-bit fingerprint for each lane: a bit is 1 if set in over half the lane's hashes; zero without hashes.
+
+    The first lane takes the hashes as they are, further ones scramble them each in its own way.
+    """
+    n, counts = len(hashes), np.zeros(64 * lanes, np.int64)
+    own = np.array([0x9E3779B97F4A7C15 * i % (1 << 64) for i in range(1, lanes)], np.uint64)
+    for at in range(0, n, 255):
+        h = hashes[at : at + 255, None]
+        wide = np.concatenate([h, mix64(h + own)], axis=1) if lanes > 1 else h
+        bits = np.unpackbits(np.ascontiguousarray(wide.astype(">u8")).view(np.uint8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n).view(">u8").astype(np.uint64)
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, wide: bool = False) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp long[, w1, w2, w3])``, a row for each row."""
-    names = ["fp", *(_WIDE if wide else ())]
+
+def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp long)``, a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [fingerprint(t, shingle_words, wide) for t in as_bytes(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(x), pa.int64()) for x in zip(*found))], ["doc_id", *names])
+            found = [majorities(shingle_hashes(t, shingle_words)) for t in as_bytes(part.column(1))]
+            fps = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 # --- the plan -------------------------------------------------------------------------------------------------------
@@ -88,10 +84,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, wide: bool = False) ->
 
 @dataclass(frozen=True)
 class Part:
-    """Bits that are probed together, and how many of them may differ."""
+    """Bits of a lane that are probed together, and how many of them may differ."""
 
     bits: tuple[int, ...]
     threshold: int
+    lane: int = 0
 
     @property
     def mask(self) -> np.uint64:
@@ -102,73 +99,106 @@ class Part:
         return np.array([sum(1 << b for b in c) for n in range(self.threshold + 1) for c in combinations(self.bits, n)], np.uint64)
 
 
-def bit_counts(distinct: DataFrame) -> np.ndarray:
-    """How often bits i and j are both set, (65, 65); row 64 counts all fingerprints. Over every fingerprint."""
+def bit_counts(distinct: DataFrame, names: list[str] = ["fp"]) -> list[np.ndarray]:
+    """For each column of fingerprints, how often bits i and j are both set, (65, 65); row 64 counts all. Over every row."""
+    i, j = np.triu_indices(65)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((65, 65))
+        total = np.zeros((len(names), 65, 65))
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            bits = np.ones((len(fp), 65), np.float32)
-            bits[:, :64] = (fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-            for at in range(0, len(fp), 65536):
-                total += bits[at : at + 65536].T @ bits[at : at + 65536]
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j].astype(np.int64))], ["i", "j", "n"])
-
-    out = np.zeros((65, 65))
-    for i, j, n in distinct.select("fp").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():
-        out[i, j] = n
-    return out
-
-
-def grouped_bits(counts: np.ndarray, parts: int) -> list[tuple[int, ...]]:
-    """Split the 64 bits in parts of nearly equal size, each grown from its most correlated free bits."""
+            for lane in range(len(names)):
+                fp = batch.column(lane).to_numpy(zero_copy_only=False).view(np.uint64)
+                for at in range(0, len(fp), 65536):
+                    bits = np.ones((len(fp[at : at + 65536]), 65), np.float32)
+                    bits[:, :64] = (fp[at : at + 65536, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+                    total[lane] += bits.T @ bits
+        for lane in range(len(names)):
+            n = total[lane][i, j].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), lane, np.int32)), pa.array(np.arange(len(i)), pa.int32()), pa.array(n)], ["lane", "place", "n"])
+
+    out = np.zeros((len(names), 65, 65))
+    for lane, place, n in distinct.select(*names).mapInArrow(run, "lane int, place int, n long").groupBy("lane", "place").agg(F.sum("n")).collect():
+        out[lane, i[place], j[place]] = out[lane, j[place], i[place]] = n
+    return list(out)
+
+
+def _correlation(counts: np.ndarray) -> np.ndarray:
     n = max(counts[64, 64], 1)
     mean = counts[64, :64] / n
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     corr = np.abs((counts[:64, :64] / n - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(corr, 0)
+    return corr
+
+
+def grouped_bits(counts: np.ndarray, sizes: list[int]) -> list[tuple[int, ...]]:
+    """Parts of the given sizes, each grown from its most correlated free bits, a bit next to the one it goes with most."""
+    corr = _correlation(counts)
     free, groups = list(range(64)), []
-    for size in [64 // parts + (i < 64 % parts) for i in range(parts)]:
+    for size in sizes:
         best = max(free, key=lambda b: (corr[b, free].max() if len(free) > 1 else 0, -b))
         group = [best]
         free.remove(best)
         while len(group) < size:
-            best = max(free, key=lambda b: (corr[b, group].mean(), -b))
+            best = max(free, key=lambda b: (corr[b, group[-1]] + corr[b, group].mean(), -b))
             group.append(best)
             free.remove(best)
-        groups.append(tuple(sorted(group)))
+        groups.append(tuple(group))
     return groups
 
 
-def plan(counts: np.ndarray, max_bits: int) -> list[Part]:
-    """Partitions and thresholds of the least estimated cost for the fingerprints whose ``bit_counts`` are given.
+def chances(counts: np.ndarray, bits: tuple[int, ...], most: int) -> np.ndarray:
+    """The chance that two fingerprints differ in at most 0 .. ``most`` of the bits.
 
-    Candidates of a part are estimated as all pairs times the chance that two
-    fingerprints differ there in at most t bits, from each bit's own frequency.
+    Bits are taken as a chain: each depends on the one before it, by how often
+    the two are set together, so that bits that go together count for less.
     """
     n = max(counts[64, 64], 1)
-    mean = counts[64, :64] / n
-    same = np.clip(mean**2 + (1 - mean) ** 2, 1e-9, 1)
+
+    def joint(i: int, j: int) -> np.ndarray:
+        """Chances that two fingerprints agree or differ in i (row) and in j (column)."""
+        both, a, b = counts[i, j] / n, counts[i, i] / n, counts[j, j] / n
+        p = np.maximum(np.array([[1 - a - b + both, b - both], [a - both, both]]), 0)
+        differ_j, differ_i, differ = 2 * (p[0, 0] * p[0, 1] + p[1, 0] * p[1, 1]), 2 * (p[0, 0] * p[1, 0] + p[0, 1] * p[1, 1]), 2 * (p[0, 0] * p[1, 1] + p[0, 1] * p[1, 0])
+        return np.maximum(np.array([[(p**2).sum(), differ_j], [differ_i, differ]]), 1e-12)
+
+    first = joint(bits[0], bits[0])
+    state = np.zeros((2, most + 2))  # last bit agrees or not; bits that differ so far, more than most together
+    state[0, 0], state[1, 1] = first[0, 0], first[1, 1]
+    for i, j in zip(bits, bits[1:]):
+        both = joint(i, j)
+        step = both / both.sum(1, keepdims=True)
+        after = np.zeros_like(state)
+        for was in (0, 1):
+            after[0] += state[was] * step[was, 0]
+            after[1, 1:] += state[was, :-1] * step[was, 1]
+            after[1, -1] += state[was, -1] * step[was, 1]
+        state = after
+    return np.minimum(np.cumsum(state.sum(0)[: most + 1]), 1)
+
+
+def part_cost(n: float, bits: int, threshold: int, chance: float) -> float:
+    """Seconds for the rows to shuffle and the candidates to verify of one part."""
+    rows = sum(math.comb(bits, d) for d in range(threshold + 1))
+    return n * rows * ROW_COST + n * n / 2 * chance * PAIR_COST
+
+
+def plan(counts: np.ndarray, max_bits: int) -> list[Part]:
+    """Partitions and thresholds of the least estimated cost for the fingerprints whose ``bit_counts`` are given."""
+    n = max(counts[64, 64], 1)
     best: tuple[float, list[Part]] = (math.inf, [])
     for m in range(1, max_bits + 2):
-        groups = grouped_bits(counts, m)
+        groups = grouped_bits(counts, [64 // m + (i < 64 % m) for i in range(m)])
         # state: probed so far (sum of t + 1) -> (cost, thresholds)
         states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for bits in groups:
-            s = same[list(bits)]
-            chance = np.array([1.0, 0, 0])
-            for p in s:
-                chance = np.array([chance[0] * p, chance[1] * p + chance[0] * (1 - p), chance[2] * p + chance[1] * (1 - p)])
-            chance = np.cumsum(chance)
+            chance = chances(counts, bits, 2)
             after: dict[int, tuple[float, tuple[int, ...]]] = {}
             for used, (cost, ts) in states.items():
                 for t in (-1, 0, 1, 2):
                     if used + t + 1 > max_bits + 1:
                         break
-                    rows = sum(math.comb(len(bits), d) for d in range(t + 1))
-                    more = 0 if t < 0 else n * rows * ROW_COST + n * n * chance[t] * PAIR_COST
+                    more = 0 if t < 0 else part_cost(n, len(bits), t, chance[t])
                     if cost + more < after.get(used + t + 1, (math.inf,))[0]:
                         after[used + t + 1] = (cost + more, (*ts, t))
             states = after
@@ -198,8 +228,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _links(keys: np.ndarray, center: np.ndarray, node: np.ndarray, fps: list[np.ndarray], max_bits: int, wide_bits: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by bucket (keys: bucket numbers), as a forest of the rows given."""
+def _links(keys: np.ndarray, center: np.ndarray, node: np.ndarray, fps: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by bucket (keys: bucket numbers) that differ in at most ``most`` bits, as a forest of the rows given."""
     n, ua, ub = len(node), [], []
     i, d = np.arange(n), 0
     while len(i):
@@ -207,10 +237,8 @@ def _links(keys: np.ndarray, center: np.ndarray, node: np.ndarray, fps: list[np.
         i = i[i < n - d]
         i = i[keys[i] == keys[i + d]]
         j = i + d
-        far = np.bitwise_count(fps[0][i] ^ fps[0][j])
-        ok = (far <= max_bits) & (center[i] | center[j])
-        if wide_bits is not None and ok.any():
-            ok[ok] = sum(np.bitwise_count(f[i[ok]] ^ f[j[ok]]).astype(np.int64) for f in fps) <= wide_bits
+        far = sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int16) for f in fps)
+        ok = (far <= most) & (center[i] | center[j])
         ua.append(node[i[ok]])
         ub.append(node[j[ok]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ua, ub))
@@ -218,13 +246,12 @@ def _links(keys: np.ndarray, center: np.ndarray, node: np.ndarray, fps: list[np.
     return _forest(a[keep], b[keep]) if keep.any() else (a[:0], b[:0])
 
 
-def _bucket_links(rows: DataFrame, max_bits: int, wide_bits: int | None) -> DataFrame:
-    """rows(part, key, cell, center, node, fp[, w1..]) -> links(u, v), a forest of each Arrow batch; buckets are bounded."""
-    names = ["fp", *(_WIDE if wide_bits is not None else ())]
+def _bucket_links(rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """rows(key, cell, center, node, *names) -> links(u, v), a forest of each Arrow batch; buckets (key, cell) are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table, number: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(number, table["center"].to_numpy(), table["node"].to_numpy(), [table[x].to_numpy().view(np.uint64) for x in names], max_bits, wide_bits)
+            a, b = _links(number, table["center"].to_numpy(), table["node"].to_numpy(), [table[x].to_numpy().view(np.uint64) for x in names], most)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
         rest = None
@@ -233,7 +260,7 @@ def _bucket_links(rows: DataFrame, max_bits: int, wide_bits: int | None) -> Data
             table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
             if not table.num_rows:
                 continue
-            columns = [table[x].to_numpy() for x in ("part", "key", "cell")]
+            columns = [table[x].to_numpy() for x in ("key", "cell")]
             new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
             cut = int(np.flatnonzero(new)[-1])
             number = np.cumsum(new)
@@ -243,29 +270,35 @@ def _bucket_links(rows: DataFrame, max_bits: int, wide_bits: int | None) -> Data
         if rest is not None:
             yield out(rest, np.zeros(rest.num_rows, np.int64))
 
-    sort = ["part", "key", "cell"]
-    rows = rows.select(*sort, "center", "node", *names)
-    return rows.repartition(*[F.col(c) for c in sort]).sortWithinPartitions(*sort).mapInArrow(run, "u long, v long")
+    rows = rows.select("key", "cell", "center", "node", *names)
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "u long, v long")
+
 
+def probes(distinct: DataFrame, parts: list[Part], lanes: list[str], names: list[str]) -> DataFrame:
+    """A row for each part and value within its threshold: (key, center, node, *names); ``lanes`` names the columns of fingerprints.
 
-def _probes(distinct: DataFrame, parts: list[Part], wide: bool) -> DataFrame:
-    """A row for each part and value within its threshold: (part, key, center, node, fp[, w1..])."""
-    names = ["fp", *(_WIDE if wide else ())]
-    tables = [(k, p.mask, p.flips()) for k, p in enumerate(parts)]
+    ``key`` scrambles the part's number and value; two that meet by chance are verified like any others.
+    """
+    tables = [(_key(k), p.lane, p.mask, p.flips()) for k, p in enumerate(parts)]
+    columns = list(dict.fromkeys([*lanes, *names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(names))]
-            fp = own[1].view(np.uint64)
-            for k, mask, flips in tables:
-                keys = ((fp & mask)[:, None] ^ flips).view(np.int64).ravel()
-                center = np.tile(np.arange(len(flips)) == 0, len(fp))
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            own = {x: batch.column(i + 1).to_numpy(zero_copy_only=False) for i, x in enumerate(columns)}
+            for salt, lane, mask, flips in tables:
+                keys = mix64(((own[lanes[lane]].view(np.uint64) & mask)[:, None] ^ flips) + salt).view(np.int64).ravel()
+                center = np.tile(np.arange(len(flips)) == 0, len(node))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), pa.array(center), *(pa.array(np.repeat(x, len(flips))) for x in own)],
-                    ["part", "key", "center", "node", *names],
+                    [pa.array(keys), pa.array(center), pa.array(np.repeat(node, len(flips))), *(pa.array(np.repeat(own[x], len(flips))) for x in names)],
+                    ["key", "center", "node", *names],
                 )
 
-    return distinct.select("node", *names).mapInArrow(run, "part int, key long, center boolean, node long, " + ", ".join(f"{n} long" for n in names))
+    return distinct.select("node", *columns).mapInArrow(run, "key long, center boolean, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _key(part: int) -> np.uint64:
+    return mix64(np.array([0xD1B54A32D192ED03 * (part + 1) % (1 << 64)], np.uint64))[0]
 
 
 def _ball_links(members: DataFrame) -> DataFrame:
@@ -285,55 +318,76 @@ def _ball_links(members: DataFrame) -> DataFrame:
     return near.withColumn("v", F.min("node").over(Window.partitionBy("key"))).filter("node != v").select(F.col("node").alias("u"), "v")
 
 
-def links(distinct: DataFrame, max_bits: int, wide_bits: int | None = None) -> DataFrame:
-    """``distinct(node, fp[, w1, w2, w3])`` -> links ``(u, v)`` that connect whatever is linked directly."""
-    parts = plan(bit_counts(distinct), max_bits)
-    wide = wide_bits is not None
-    rows = _probes(distinct, parts, wide)
-    # large buckets, of which there are few: at most one for each BUCKET_ROWS rows
-    sizes = rows.select("part", "key").groupBy("part", "key").count().filter(F.col("count") > BUCKET_ROWS)
-    sizes = table_written(sizes, "buckets")
-    if sizes.isEmpty():
-        return _bucket_links(rows.withColumn("cell", F.lit(0)), max_bits, wide_bits)
-    rows = rows.join(sizes, ["part", "key"], "left")
-    small = rows.filter("count is null").withColumn("cell", F.lit(0))
-    large = rows.filter("count is not null")
-    if max_bits == 2 and not wide and all(p.threshold == 0 for p in parts):
-        return _bucket_links(small, max_bits, wide_bits).unionByName(_ball_links(large.select("node", "fp").distinct()))
-    # every two blocks of a large bucket meet in one cell, each of bounded size
-    half = BUCKET_ROWS // 2
-    large = large.withColumn("n", F.ceil(F.col("count") / half).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp", "node"), F.col("n")).cast("int"))
-    large = large.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    large = large.withColumn("cell", (F.least("b", "o") * F.col("n") + F.greatest("b", "o")).cast("int"))
-    names = small.drop("count").columns
-    return _bucket_links(small.select(*names).unionByName(large.select(*names)), max_bits, wide_bits)
-
+def bucket_links(rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """Links of ``probes`` that connect whatever differs in at most ``most`` bits of ``names`` in one bucket.
 
-def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, wide_bits: int | None = None) -> DataFrame:
+    Large buckets are split.  Their members are compared with one of them, the
+    center; only those that stay apart from it meet the others, block by block,
+    so the work grows with the bucket times what stays apart.
+    """
+    whole = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", *names)).alias("__mid")).filter(F.col("n") > BUCKET_ROWS)
+    whole = table_written(whole, "buckets")
+    total = whole.agg(F.sum("n")).first()[0]
+    if not total:
+        return _bucket_links(rows.withColumn("cell", F.lit(0).cast("long")), names, most)
+    small = rows.join(whole.select("key"), "key", "left_anti").withColumn("cell", F.lit(0).cast("long"))
+    far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"__mid.{x}"))) for x in names), F.lit(0))
+    large = join_hot(rows, whole.withColumn("rows", F.col("n")), ["key"], total).withColumn("near", F.col("center") & (far <= most))
+    large = table_written(large, "large-buckets")
+    half = BUCKET_ROWS // 2
+    # a center that is a flipped row itself says nothing of flipped rows, so those stay apart
+    blocks = large.groupBy("key", F.col("rows").alias("n")).agg(F.ceil(F.count_if(~F.col("near")) / half).cast("int").alias("a"), F.ceil(F.count("*") / half).cast("int").alias("b")).filter("a > 0")
+    near = large.filter("near and node != __mid.node").select(F.col("node").alias("u"), F.col("__mid.node").alias("v"))
+    cells = join_hot(large, blocks, ["key"], total)
+    own = F.pmod(F.xxhash64("node", "center"), F.col("b")).cast("int")
+    apart = cells.filter("not near").withColumn("x", F.pmod(F.xxhash64("node", "center"), F.col("a")).cast("int")).withColumn("y", F.explode(F.expr("sequence(0, b - 1)")))
+    others = cells.withColumn("y", own).withColumn("x", F.explode(F.expr("sequence(0, a - 1)")))
+    both = apart.unionByName(others).withColumn("cell", F.col("x").cast("long") * F.col("b") + F.col("y") + 1)
+    columns = ["key", "cell", "center", "node", *names]
+    return _bucket_links(small.select(*columns).unionByName(both.select(*columns)), names, most).unionByName(near)
+
+
+def links(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """``distinct(node, fp)`` -> links ``(u, v)`` that connect whatever differs in at most ``max_bits`` bits."""
+    rows = probes(distinct, plan(bit_counts(distinct)[0], max_bits), ["fp"], ["fp"])
+    if max_bits != 2:
+        return bucket_links(rows, ["fp"], max_bits)
+    # within 2 bits, large buckets have a way of their own
+    whole = table_written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS), "buckets")
+    total = whole.agg(F.sum("n")).first()[0]
+    if not total:
+        return _bucket_links(rows.withColumn("cell", F.lit(0).cast("long")), ["fp"], max_bits)
+    large = join_hot(rows, whole, ["key"], total).select("node", "fp").distinct()
+    small = rows.join(whole.select("key"), "key", "left_anti").withColumn("cell", F.lit(0).cast("long"))
+    return _bucket_links(small, ["fp"], max_bits).unionByName(_ball_links(large))
+
+
+def simhash_groups(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)``.
 
     Returns ``doc_id long, fingerprint string, component_id long``, a row for
     each row of ``docs``.  Fingerprints that differ in at most ``max_bits``
     bits are linked; ``component_id`` is the smallest doc_id that links reach.
-    ``wide_bits`` also asks that 256 bits, the 64 included, differ in no more.
 
     Null, empty and blank texts have fingerprint zero and are linked like any
     other.  Repeated rows give repeated rows; rows that share a doc_id are one
-    document.  A row whose doc_id is null takes its group's smallest id; a
-    group without ids has a null component_id.  Other columns are ignored; an
-    empty table gives an empty one.
+    document, so their fingerprints are linked.  Ids may be any 64-bit integers.
+    A row whose doc_id is null takes its group's smallest id; a group without
+    ids has a null component_id.  Other columns are ignored; an empty table
+    gives an empty one.
     """
-    wide = wide_bits is not None
-    names = ["fp", *(_WIDE if wide else ())]
-    rows = table_written(fingerprints(docs, shingle_words, wide), "fingerprints")
-    stand_in = F.lit(_NO_ID) + F.shiftrightunsigned(F.xxhash64(*names), 2)
-    distinct = rows.groupBy(*names).agg(F.min("doc_id").alias("id"))
-    distinct = table_written(distinct.select(*names, F.coalesce("id", stand_in).alias("node")), "distinct")
-    roots = components(links(distinct, max_bits, wide_bits))
-    named = distinct.join(roots, "node", "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("root", "node").alias("c"))
-    same = F.lit(True)
-    for n in names:
-        same = same & (F.col(n) == F.col(f"_{n}"))
-    return rows.join(named, same).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < _NO_ID, F.col("c")).alias("component_id")
-    )
+    rows = table_written(fingerprints(docs, shingle_words), "fingerprints")
+    # a fingerprint is its own node, whatever the ids are
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    distinct = table_written(distinct.select("fp", F.col("fp").alias("node"), "id", "n"), "distinct")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("__last"), F.count("*").alias("n")).filter("v != __last")
+    one_id = join_hot(rows, several, ["doc_id"], total).select(F.col("fp").alias("u"), "v")
+    roots = components(links(distinct, max_bits).unionByName(one_id))
+    named = distinct.join(roots, "node", "left").select("fp", "id", "n", F.coalesce("root", "node").alias("c"))
+    groups = named.groupBy("c").agg(F.min("id").alias("component_id"), F.count("*").alias("k"))
+    # most fingerprints are alone and have their group's id already
+    alone = groups.filter("k = 1").select(F.col("c").alias("fp"), "component_id")
+    linked = join_hot(named.select("fp", "c"), groups.filter("k > 1").select("c", "component_id", F.col("k").alias("n")), ["c"], total).select("fp", "component_id")
+    named = alone.unionByName(linked).join(distinct.select("fp", "n"), "fp")
+    return join_hot(rows, named, ["fp"], total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
