@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontam, langid, minhash, mixing, pii
+from scriptorium.llm import decontam, langid, mixing, near_copies, pii
 from scriptorium.llm.common import table_written
 from scriptorium.llm.queries import PII_KEY
 
@@ -25,13 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id, once. Rows without doc_id stay."""
-    groups = minhash.near_copies(docs, SHINGLE_WORDS, SIMILARITY)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = kept.withColumn("__copy", number).filter("__copy = 1").drop("__copy")
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies: the smallest doc_id, once. Rows without doc_id take part."""
+    return near_copies.one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

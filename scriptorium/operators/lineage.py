@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a folder of its own only where none is set, as in tests."""
+    """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a folder of its own only in local mode where none is set, as in tests."""
     spark = rows.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
     return rows.checkpoint()
