@@ -4,115 +4,177 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import SLICE_ROWS, slices, table_written
 
 #: Orders of the n-grams, and buckets that they are hashed to (a power of 2).
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-#: Languages that a model may have: with BUCKETS this bounds the broadcast matrix (128 MB).
-MAX_LANGUAGES = 512
+#: Languages of one broadcast matrix: with BUCKETS this bounds it to 128 MB; more languages take several, one after the other.
+BLOCK_LANGUAGES = 512
 SMOOTHING = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
-_SPACES = re.compile(r"\s+")
+#: Grams whose log-probabilities are gathered at once, and languages.
+GRAM_STEP, LANGUAGE_STEP = 1 << 16, 16
+#: A text is in no learned language if its grams are less likely, by so many nats on average and standard deviations of
+#: such an average, than grams of the language are. Grams overlap, so fewer than all count as independent.
+STRANGE_NATS, STRANGE_DEVIATIONS, OVERLAP = 2.0, 6.0, 6
+_WORD = re.compile(r"[^\W\d_]+")
+#: Whatever is no letter separates words, so digits, tokens and marks say nothing of a language.
+_BREAKS = re.compile(r"[\W\d_]+")
+_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UNKNOWN = "und"
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """Whether a text has a character of a letter category; numerals such as a half or a Roman eight are none."""
+    return bool(text) and any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
 
 
-def gram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """How often the text's lower-cased character n-grams fall in each bucket; edges count as white space."""
-    chars = np.frombuffer(f" {_SPACES.sub(' ', text.lower())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    bits = np.uint64(64 - (buckets.bit_length() - 1))
-    mult = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-    found, sums = [], None
+def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of all texts' lower-cased character n-grams, an order at a time; whatever is no letter counts as one space, edges too."""
+    plain = [f" {_BREAKS.sub(' ', t.lower())} " for t in texts]
+    chars = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(plain)), [len(t) for t in plain])
+    shift, sums = np.uint64(64 - (buckets.bit_length() - 1)), None
     for n in ORDERS:
         m = len(chars) - n + 1
         if m < 1:
             break
-        own = chars[n - 1 :] * mult[n - 1]
+        own = chars[n - 1 :] * _MULTIPLIERS[n - 1]
         sums = own if sums is None else sums[:m] + own
-        found.append(((sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> bits).astype(np.int64))
-    return np.bincount(np.concatenate(found), minlength=buckets)
+        whole = owner[:m] == owner[n - 1 :]
+        yield owner[:m][whole], ((sums[whole] ^ (sums[whole] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64)
 
 
-def fit(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and log-probabilities, (languages, buckets + 1) with the prior last, from all of ``labelled(text, lang)``.
+@dataclass
+class Block:
+    """Some of the learned languages: log-probabilities of (buckets, languages), log-priors, and the mean and variance of a gram's log-probability in each language."""
+
+    langs: list[str]
+    logs: np.ndarray
+    priors: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+
+
+def fit(labelled: DataFrame, buckets: int = BUCKETS) -> list[Broadcast]:
+    """Learn from all of ``labelled(text, lang)``: broadcast ``Block``s of languages in order.
 
     Rows without a language or a letter are left out.  Counts are added up in
-    tasks and then by bucket; the driver gets at most one row for each language.
+    tasks and then by bucket; the driver gets one row for each language of a
+    block, and the languages' names.
     """
+    spark = labelled.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for part in slices(batches):
+            by: dict[str, list[str]] = {}
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if lang is not None and has_letter(text):
-                    if lang not in held:
-                        held[lang] = np.zeros(buckets + 1, np.int64)
-                    held[lang][:-1] += gram_counts(text, buckets)
-                    held[lang][-1] += 1
+                    by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                own = held.setdefault(lang, np.zeros(buckets + 1, np.int64))
+                own[-1] += len(texts)
+                for _, at in grams(texts, buckets):
+                    own[:-1] += np.bincount(at, minlength=buckets)
+            if len(held) > BLOCK_LANGUAGES:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    def out(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, own in held.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
     parts = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, bucket int, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    rows = rows.select("lang", F.col("counts.bucket").alias("b"), F.col("counts.n").alias("n")).limit(MAX_LANGUAGES + 1).toArrow()
-    if rows.num_rows > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = {lang: (b.values.to_numpy(), n.values.to_numpy()) for lang, b, n in zip(rows["lang"].to_pylist(), rows["b"], rows["n"])}
-    langs = sorted(table)
-    counts = np.zeros((len(langs), buckets + 1))
-    for i, lang in enumerate(langs):
-        counts[i, table[lang][0]] = table[lang][1]
-    grams, docs = counts[:, :-1] + SMOOTHING, counts[:, -1:]
-    if not langs:
-        return [], counts
-    return langs, np.hstack([np.log(grams / grams.sum(1, keepdims=True)), np.log(docs / docs.sum())])
-
-
-def predict(text: str | None, langs: list[str], logs: np.ndarray) -> tuple[str, float]:
-    """The likeliest language and its posterior; ``logs`` is (buckets + 1, languages)."""
-    if not langs or not has_letter(text):
-        return UNKNOWN, 0.0
-    counts = gram_counts(text, len(logs) - 1)
-    at = np.flatnonzero(counts)
-    scores = counts[at] @ logs[at] + logs[-1]
-    best = int(scores.argmax())
-    return langs[best], float(1 / np.exp(np.clip(scores - scores[best], -700, 0)).sum())
-
-
-def _model(docs: DataFrame, langs: list[str], logs: np.ndarray):
-    spark = docs.sparkSession
-    return spark.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T)))
-
-
-def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """Add ``lang_pred string`` and ``score double`` to ``docs(.., text, ..)``; columns of these names are replaced.
-
-    ``und`` with score 0 if the text is null or has no letter, or nothing was
-    learned.  Ties go to the first language in order.  Rows stay as they are.
+    rows = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"), F.sum(F.when(F.col("bucket") == buckets, F.col("n"))).alias("docs"))
+    rows = table_written(rows.select("lang", "docs", F.col("counts.bucket").alias("b"), F.col("counts.n").alias("n")), "languages")
+    known = sorted(rows.select("lang", "docs").collect())
+    total = sum(docs for _, docs in known)
+    blocks = []
+    for at in range(0, len(known), BLOCK_LANGUAGES):
+        langs = [lang for lang, _ in known[at : at + BLOCK_LANGUAGES]]
+        found = rows.filter(F.col("lang").isin(langs)).toArrow()
+        counts = np.full((buckets + 1, len(langs)), SMOOTHING)
+        for lang, b, n in zip(found["lang"].to_pylist(), found["b"], found["n"]):
+            counts[b.values.to_numpy(), langs.index(lang)] += n.values.to_numpy()
+        p = counts[:-1] / counts[:-1].sum(0)
+        logs = np.log(p)
+        mean = (p * logs).sum(0)
+        priors = np.log([docs / total for _, docs in known[at : at + BLOCK_LANGUAGES]])
+        blocks.append(spark.sparkContext.broadcast(Block(langs, logs, priors, mean, (p * logs**2).sum(0) - mean**2)))
+    return blocks
+
+
+def scores(texts: list[str], block: Block) -> np.ndarray:
+    """Log-likelihoods, (texts, languages), of texts with a letter."""
+    out = np.zeros((len(texts), len(block.langs)))
+    for owner, bucket in grams(texts, len(block.logs)):
+        for at in range(0, len(owner), GRAM_STEP):
+            own, places = owner[at : at + GRAM_STEP], bucket[at : at + GRAM_STEP]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            for k in range(0, len(block.langs), LANGUAGE_STEP):
+                out[own[starts], k : k + LANGUAGE_STEP] += np.add.reduceat(block.logs[places, k : k + LANGUAGE_STEP], starts, axis=0)
+    return out
+
+
+def predict(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[str, float, bool]]:
+    """The likeliest language of each text, its posterior, and whether the text is strange to that language."""
+    result = [(UNKNOWN, 0.0, True)] * len(texts)
+    known = [i for i, t in enumerate(texts) if has_letter(t)]
+    if not known or not blocks:
+        return result
+    own = [texts[i] for i in known]
+    sizes = np.zeros(len(own))
+    for owner, _ in grams(own):
+        sizes += np.bincount(owner, minlength=len(own))
+    best, total = np.full(len(own), -np.inf), np.full(len(own), -np.inf)
+    name, strange = np.empty(len(own), object), np.zeros(len(own), bool)
+    for model in blocks:
+        block = model.value
+        likely = scores(own, block)
+        joint = likely + block.priors
+        at = joint.argmax(1)
+        top = joint[np.arange(len(own)), at]
+        total = np.logaddexp(total, top + np.log(np.exp(np.maximum(joint - top[:, None], -700)).sum(1)))
+        ahead = top > best
+        gap = block.mean[at] - likely[np.arange(len(own)), at] / sizes
+        far = gap > STRANGE_NATS + STRANGE_DEVIATIONS * np.sqrt(block.variance[at] * OVERLAP / sizes)
+        best[ahead], strange[ahead] = top[ahead], far[ahead]
+        name[ahead] = [block.langs[i] for i in at[ahead]]
+    for i, lang, score, far in zip(known, name, np.exp(best - total), strange):
+        result[i] = (lang, float(min(score, 1.0)), bool(far))
+    return result
+
+
+def identify(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """Add ``lang_pred string``, ``score double`` and ``strange boolean`` to ``docs(.., text, ..)``; columns of these names are replaced.
+
+    ``und`` with score 0, and strange, if the text is null or has no letter, or
+    nothing was learned.  Ties go to the first language in order.  Texts are
+    scored whole, some at a time; rows stay as they are.
     """
-    model = _model(docs, langs, logs)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "strange")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = model.value
-        for part in slices(batches):
-            got = [predict(t, names, matrix) for t in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*part.schema.names, "lang_pred", "score"])
+        for part in slices(batches, SLICE_ROWS if len(blocks) < 2 else 10_000):
+            got = predict(part.column(at).to_pylist(), blocks)
+            new = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "score", "strange"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("strange", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -124,27 +186,32 @@ def language_of(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, lang)`` -> ``doc_id, held_out, lang_pred, score``, a row for each row.
 
     Learns from text and non-null lang of the documents that aren't held out,
-    all of them; predicts from the text alone.
+    all of them; predicts from the text alone.  A null doc_id is held out;
+    other columns are ignored; an empty table gives an empty one.
     """
-    langs, logs = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
+    blocks = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return identify(rows, langs, logs).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, blocks).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs(doc_id, text, lang, ..)`` whose predicted language isn't ``und``: null texts and texts without a letter go.
+    """The rows and columns of ``docs(doc_id, text, lang, ..)`` whose text is in a learned language; ``lang`` is the predicted one.
 
-    Where nothing was learned, every text with a letter stays.
+    Null texts and texts without a letter go, and texts strange to their
+    likeliest language: those in other languages, and noise.  Where nothing was
+    learned, nothing can be judged, and every text with a letter stays as it is.
     """
-    langs, logs = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
-    model = _model(docs, langs, logs)
-    at = docs.columns.index("text")
+    blocks = fit(docs.filter(~held_out() & F.col("lang").isNotNull()))
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = model.value
-        for part in slices(batches):
+        for part in slices(batches, SLICE_ROWS if len(blocks) < 2 else 10_000):
             texts = part.column(at).to_pylist()
-            keep = [predict(t, names, matrix)[0] != UNKNOWN if names else has_letter(t) for t in texts]
-            yield part.filter(pa.array(keep, pa.bool_()))
+            if not blocks:
+                yield part.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                continue
+            got = predict(texts, blocks)
+            named = part.set_column(lang, part.schema.field(lang), pa.array([x for x, _, _ in got], part.schema.field(lang).type))
+            yield named.filter(pa.array([x != UNKNOWN and not far for x, _, far in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
