@@ -49,6 +49,8 @@ TITLES = {
 OFFICES = frozenset("ambassador chair chairman chairwoman chancellor commissioner judge justice mayor minister moderator officer president prime professor secretary speaker".split())
 # Country calling codes of two digits; 1 and 7 have one digit, all others three.
 CALLING_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# Openings of payment card numbers and their lengths.
+CARDS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}|6(?:011|5\d\d|4[4-9]\d|2\d\d)\d{12,15}")
 # Alphabets of a script whose letters are exchanged among each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâãéèêíìîóòôõúùûäöü", "çñßšžðþłćńśźżčďěňřťů", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъьіїєґ"]
 _RANGES = [(0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0904, 0x0939)]
@@ -225,12 +227,11 @@ class Surrogates:
         return refilled(value, code + new)
 
     def _card(self, value: str) -> str:
-        """Issuer's first digit and validity of the check digit stay."""
+        """The issuer's first digits stay; the check digit is right again."""
         digits = ascii_digits(value)
-        valid = luhn(digits[:-1]) == digits[-1]
-        body = digits[0] + self._digits(digits[1:-1], "card" + digits[0])
-        off = 0 if valid else (int(digits[-1]) - int(luhn(digits[:-1]))) % 10
-        return refilled(value, body + str((int(luhn(body)) + off) % 10))
+        issuer = digits[: 1 if digits[0] == "4" else 4]
+        body = issuer + self._digits(digits[len(issuer) : -1], "card" + issuer)
+        return refilled(value, body + luhn(body))
 
     def _ssn(self, value: str) -> str:
         return refilled(value, self._digits(ascii_digits(value), "ssn"))
@@ -320,6 +321,11 @@ def luhn(digits: str) -> str:
     return str(-total % 10)
 
 
+def is_card(digits: str) -> bool:
+    """Whether an issuer has such numbers, and the check digit is right; other long numbers aren't personal data."""
+    return CARDS.fullmatch(digits) is not None and luhn(digits[:-1]) == digits[-1]
+
+
 def iban_digits(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -395,6 +401,8 @@ def entities(text: str, surrogates: Surrogates) -> list[Entity]:
                     continue
             if kind == "iban" and iban_digits(value[:2], value.replace(" ", "")[4:]) != value[2:4]:
                 continue
+            if kind == "card" and not is_card(ascii_digits(value)):
+                continue
             if kind == "ip" and _VERSION.search(text, max(0, start - 12), start):
                 continue
             found.append(Entity(start, m.end(), kind, canonical(kind, value), surrogates.replace(kind, value)))
