@@ -51,6 +51,14 @@ def table_written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``table_written``, in buckets by ``key``, so that joins on it don't shuffle this table."""
+    spark = df.sparkSession
+    name = f"scriptorium_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(max(1, buckets), key).option("path", f"{shared_folder(spark)}/scriptorium/{name}").format("parquet").saveAsTable(name)
+    return spark.read.table(name)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that ``table_written`` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -1,16 +1,18 @@
 """Removal of repeated passages, with a count-min prefilter.
 
-The first pass counts passages in count-min sketches, one of each chunk of
-texts, that are merged by ranges of cells.  A window is represented there by
-its anchor, the run of words in it with the least hash: equal windows have
-equal anchors at different places, so an anchor's count is never below its
-windows' count, and the sketch never below the anchor's.  The second pass
-groups exactly, by 96 bits of hash, the windows whose estimate is two or more.
+Texts are packed in chunks.  A window is represented by its anchor, the run of
+words in it with the least hash: equal windows have equal anchors at different
+places, so an anchor's count is never below its windows' count.  The first pass
+counts the anchors of each chunk in a count-min sketch, cut in shards by hash,
+as many as the input needs; the shards of all chunks are merged, and each chunk
+gets back a bit for each of its anchors: estimated twice or more.  The second
+pass groups exactly, by 96 bits of hash, the windows of such anchors.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, slices, space_words, table_written
+from .common import as_bytes, mix64, slices, space_words, table_bucketed
 
 WINDOW_WORDS = 35
 #: Words of an anchor.
 ANCHOR_WORDS = 16
-#: Count-min rows and cells of a row (a power of 2). The broadcast bits are SKETCH_ROWS * SKETCH_CELLS / 8 bytes, whatever the input.
-SKETCH_ROWS, SKETCH_CELLS = 2, 1 << 27
-#: Ranges of cells that are merged apart.
-SHARDS = 64
+#: Count-min rows, and cells of a row for each anchor that the input is expected to have (at most).
+SKETCH_ROWS, CELLS_PER_ANCHOR = 2, 16
+#: Anchors of a shard of the sketch, about; the number of shards grows with the input.
+SHARD_ANCHORS = 1 << 18
 #: Words of a chunk: what a task holds as hashes at once.
 CHUNK_WORDS = 2_000_000
 #: Windows that one task groups, about.
@@ -90,96 +92,41 @@ def anchors(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
     return least, grams[most == grams]
 
 
-def _cells(values: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return mix64(values + _U((row + 1) * int(_BASES[1]) % (1 << 64))) & _U(cells - 1)
-
-
-def sketch_bits(docs: DataFrame, window: int, anchor: int, rows: int, cells: int, chunk_words: int) -> np.ndarray:
-    """Merged count-min sketch of the anchors of ``docs(text)`` as bits of (rows, cells): counted twice or more."""
-    shards = min(SHARDS, cells // 8)
-    width = rows * cells // shards
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u4")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sketch of each chunk: cells and whether they were counted once or more often."""
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            values = np.concatenate(held)
-            at = np.concatenate([_cells(values, r, cells) + _U(r * cells) for r in range(rows)])
-            at, times = np.unique(at, return_counts=True)
-            shard = (at // _U(width)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            own = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own, pa.int32()),
-                    pa.array([(at[cuts[s] : cuts[s + 1]] - _U(s * width)).astype(np.uint32).tobytes() for s in own], pa.binary()),
-                    pa.array([np.packbits(times[cuts[s] : cuts[s + 1]] > 1).tobytes() for s in own], pa.binary()),
-                ],
-                ["shard", "cells", "more"],
-            )
 
-        for part in slices(batches):
-            for text in as_bytes(part.column(0)):
-                words = space_words(text)
-                if len(words) >= window:
-                    held.append(anchors(word_hashes(words), window, anchor)[1])
-                    n += len(words)
-                    if n >= chunk_words:
-                        yield out()
-                        held, n = [], 0
-        if held:
-            yield out()
+def _packed(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The order by group, the groups, and each group's values as bytes."""
+    order = np.argsort(groups, kind="stable")
+    own, cuts = np.unique(groups[order], return_index=True)
+    offsets = np.append(cuts, len(values)) * values.dtype.itemsize
+    return order, own, pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values[order]))])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Saturating sums, a shard at a time."""
-        shard, total = None, None
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(total > 1).tobytes()], pa.binary())], ["shard", "bits"])
+def _bits(flags: np.ndarray, groups: np.ndarray) -> list[bytes]:
+    """Flags, ordered by group, as bits of each group."""
+    cuts = np.unique(groups, return_index=True)[1][1:]
+    return [np.packbits(x).tobytes() for x in np.split(flags, cuts)]
 
-        for batch in batches:
-            for s, at, more in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    if shard is not None:
-                        yield out()
-                    shard, total = s, np.zeros(width, np.uint8)
-                at = np.frombuffer(at, np.uint32)
-                total[at] = np.minimum(total[at] + 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)), 2)
-        if shard is not None:
-            yield out()
-
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "shard int, cells binary, more binary")
-    bits = np.zeros((shards, width // 8), np.uint8)
-    merged = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary")
-    for s, own in merged.toLocalIterator():
-        bits[s] = np.frombuffer(own, np.uint8)
-    return bits.reshape(rows, cells // 8)
-
-
-def _estimated(least: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
-    """Whether the sketch counts each anchor at least twice."""
-    ok = np.ones(len(least), bool)
-    for r in range(len(bits)):
-        at = _cells(least, r, cells)
-        ok &= (bits[r][(at >> _U(3)).astype(np.int64)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1 == 1
-    return ok
 
+def _marked(marks: list[dict], groups: np.ndarray) -> np.ndarray:
+    """The flags of values whose groups are given, from the bits that each group sent back."""
+    order = np.argsort(groups, kind="stable")
+    sizes = np.unique(groups, return_counts=True)[1].tolist()
+    flags = np.zeros(len(groups), bool)
+    answers = sorted((m["at"], m["bits"]) for m in marks)
+    flags[order] = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=n) for (_, bits), n in zip(answers, sizes)] or [np.zeros(0, np.uint8)]).astype(bool)
+    return flags
 
-def _candidates(words: list[bytes], bits: np.ndarray, window: int, anchor: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes (two lanes as one structured value) of the windows estimated repeated."""
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, _PAIR)
-    hashes = word_hashes(words)
-    starts = np.flatnonzero(_estimated(anchors(hashes, window, anchor)[0], bits, cells))
-    out = np.empty(len(starts), _PAIR)
-    if len(starts):
-        out["a"] = run_hashes(hashes, window, 0)[starts]
-        out["b"] = run_hashes(hashes, window, 1)[starts] >> _U(32)
-    return starts, out
 
-
-_PAIR = np.dtype([("a", "<u8"), ("b", "<u4")])
+def estimated_twice(values: np.ndarray, more: np.ndarray, rows: int, cells: int) -> np.ndarray:
+    """Whether a count-min sketch of ``rows`` by ``cells`` counts each value at least twice; ``more``: counted twice by itself already."""
+    ok = np.ones(len(values), bool)
+    for r in range(rows):
+        at = (mix64(values.astype(_U) + _U((r + 1) * int(_BASES[1]) % (1 << 64))) % _U(cells)).astype(np.int64)
+        total = np.bincount(at, 1 + more, minlength=cells)
+        ok &= total[at] >= 2
+    return ok
 
 
 def _kept(words: list[bytes], starts: np.ndarray, window: int) -> tuple[list[bytes], int]:
@@ -193,8 +140,8 @@ def _kept(words: list[bytes], starts: np.ndarray, window: int) -> tuple[list[byt
     return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS, sketch_rows: int = SKETCH_ROWS, sketch_cells: int = SKETCH_CELLS,
-                   chunk_words: int = CHUNK_WORDS, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS, chunk_words: int = CHUNK_WORDS, shard_anchors: int = SHARD_ANCHORS,
+                   cells_per_anchor: int = CELLS_PER_ANCHOR, texts: bool = True) -> DataFrame:
     """Texts of ``docs(doc_id, text)`` without repeated passages.
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``,
@@ -206,134 +153,140 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = AN
     Null, empty and blank texts have no words and an empty kept text; texts
     shorter than a window stay whole; a repeated row repeats all its windows.
     Other columns are ignored; an empty table gives an empty one.
+
+    Nothing that grows with the input is broadcast or sent to the driver: a
+    chunk sends 4 bytes for each of its distinct anchors and 12 for each
+    distinct window of an anchor that is estimated repeated, and gets bits back.
     """
-    spark = docs.sparkSession
     anchor = min(anchor, window)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = spark.sparkContext.broadcast(sketch_bits(rows, window, anchor, sketch_rows, sketch_cells, chunk_words))
     final = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
-    def result(ids: list, counts: list[int], gone: list[int], kept: list[list[bytes]]) -> list[pa.Array]:
-        joined = [b" ".join(k) for k in kept]
-        return [
-            pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
-            pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()), pa.array([j.decode() if texts else None for j in joined], pa.string()),
-        ]
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text without candidates, which is done, and one for each chunk of other texts, packed."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, n = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []
-        windows = 0
 
         def chunk() -> pa.RecordBatch:
             sizes = np.array([len(t) for _, t in held], "<u4").tobytes()
             blob = zstandard.compress(sizes + b"".join([t for _, t in held]), 3)
-            row = [pa.array([None], f.type) for f in _arrow(final)]
-            return pa.RecordBatch.from_arrays(
-                [*row, pa.array([(task << 24) + seq], pa.int64()), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary()), pa.array([windows], pa.int64())],
-                [*final, "chunk", "ids", "blob", "windows"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + seq]), pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary()), pa.array([n])], ["chunk", "ids", "blob", "words"])
 
         for part in slices(batches):
-            ids, counts, kept = [], [], []
             for i, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1))):
-                words = space_words(t)
-                some = len(_candidates(words, bits.value, window, anchor, sketch_cells)[0])
-                if not some:
-                    ids.append(i)
-                    counts.append(len(words))
-                    kept.append(words)
-                    continue
-                held.append((i, t))
-                windows += some
-                n += len(words)
+                held.append((i, t or b""))
+                n += len(space_words(t))
                 if n >= chunk_words:
                     yield chunk()
-                    held, n, windows, seq = [], 0, 0, seq + 1
-            if ids:
-                k = len(ids)
-                nulls = [pa.array([None] * k, f) for f in (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*result(ids, counts, [0] * k, kept), *nulls], [*final, "chunk", "ids", "blob", "windows"])
+                    held, n, seq = [], 0, seq + 1
         if held:
             yield chunk()
 
-    scan = table_written(rows.mapInArrow(chunked, f"{shape}, chunk long, ids array<long>, blob binary, windows long"), "windows")
-    total = scan.agg(F.sum("windows")).first()[0] or 0
-    buckets = int(max(1, min(1 << 20, -(-total // GROUP_WINDOWS))))
-    chunks = scan.filter("chunk is not null").select("chunk", "ids", "blob")
+    chunks = table_bucketed(rows.mapInArrow(pack, "chunk long, ids array<long>, blob binary, words long"), "chunks", "chunk", rows.rdd.getNumPartitions())
+    words = chunks.agg(F.sum("words")).first()[0] or 0
+    # two of window - anchor + 2 places are anchors, on average
+    shards = max(1, math.ceil(2 * words / (window - anchor + 2) / shard_anchors))
+    cells = shard_anchors * cells_per_anchor
+    buckets = max(1, math.ceil(words / GROUP_WINDOWS))
 
-    def unpacked(blob: bytes, n: int) -> list[bytes]:
+    def unpacked(ids: list, blob: bytes) -> list[list[bytes]]:
         data = zstandard.decompress(blob)
-        cuts = np.cumsum(np.concatenate([[4 * n], np.frombuffer(data, "<u4", n)])).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        cuts = np.cumsum(np.concatenate([[4 * len(ids)], np.frombuffer(data, "<u4", len(ids))])).tolist()
+        return [space_words(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def hashed(whole: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+        """Of each text: its words' hashes, each window's anchor, and the places' anchors; none for short texts."""
+        found = []
+        for own in whole:
+            hashes = word_hashes(own) if len(own) >= window else None
+            found.append(None if hashes is None else (hashes, *anchors(hashes, window, anchor)))
+        return found
+
+    def distinct_anchors(each: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted anchors of a chunk, whether it has them more than once, and their shards."""
+        values, times = np.unique(np.concatenate([np.zeros(0, _U), *(x[2] for x in each if x)]), return_counts=True)
+        return values, times > 1, ((values >> _U(32)) % _U(shards)).astype(np.int32)
 
-    def found(whole: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [_candidates(space_words(t), bits.value, window, anchor, sketch_cells) for t in whole]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's sparse sketch: 32 bits of each anchor, which say its cells, by shard."""
+        for batch in batches:
+            for chunk, ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                values, more, shard = distinct_anchors(hashed(unpacked(ids, blob.as_py())))
+                order, own, packed = _packed(values.astype(np.uint32), shard)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), chunk)), packed, pa.array(_bits(more[order], shard[order]) if len(own) else [], pa.binary())], ["at", "chunk", "cells", "more"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """The sketch of a shard, and what it says of each chunk's anchors."""
+        parts = [np.frombuffer(x, np.uint32) for x in table["cells"].to_pylist()]
+        more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["more"].to_pylist(), parts)])
+        flags = np.split(estimated_twice(np.concatenate(parts), more, SKETCH_ROWS, cells), np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table([table["at"], table["chunk"], pa.array([np.packbits(x).tobytes() for x in flags], pa.binary())], names=["at", "chunk", "bits"])
+
+    def candidates(each: list, marks: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text, first words and hashes (two lanes as one structured value) of the windows whose anchor is estimated repeated."""
+        values, _, shard = distinct_anchors(each)
+        flags, found = _marked(marks, shard), []
+        for x in each:
+            starts = np.flatnonzero(flags[np.searchsorted(values, x[1])]) if x else np.zeros(0, np.int64)
+            out = np.empty(len(starts), _PAIR)
+            if len(starts):
+                out["a"] = run_hashes(x[0], window, 0)[starts]
+                out["b"] = run_hashes(x[0], window, 1)[starts] >> _U(32)
+            found.append((starts, out))
+        return found
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's distinct candidates, dealt by hash, and which of them it has more than once."""
         for batch in batches:
-            for k in range(batch.num_rows):
-                whole = unpacked(batch.column(2)[k].as_py(), len(batch.column(1)[k]))
-                values, times = np.unique(np.concatenate([h for _, h in found(whole)]), return_counts=True)
+            for chunk, ids, blob, marks in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3)):
+                found = candidates(hashed(unpacked(ids, blob.as_py())), marks.as_py() or [])
+                values, times = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
+                if not len(values):
+                    continue
                 at = values["b"].astype(np.int64) % buckets
-                order = np.argsort(at, kind="stable")
-                own, cuts = np.unique(at[order], return_index=True)
-                parts = np.split(order, cuts[1:])
+                order, own, a = _packed(values["a"], at)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own, pa.int32()), pa.array([batch.column(0)[k].as_py()] * len(own), pa.int64()), pa.array([values["a"][x].tobytes() for x in parts], pa.binary()),
-                        pa.array([values["b"][x].tobytes() for x in parts], pa.binary()), pa.array([np.packbits(times[x] > 1).tobytes() for x in parts], pa.binary()),
-                    ],
-                    ["bucket", "chunk", "a", "b", "more"],
-                )
+                    [pa.array(own, pa.int32()), pa.array(np.full(len(own), chunk)), a, _packed(values["b"], at)[2], pa.array(_bits(times[order] > 1, at[order]), pa.binary())], ["at", "chunk", "a", "b", "more"]
+                )
 
     def grouped(table: pa.Table) -> pa.Table:
         """Of each chunk's candidates of a bucket, whether they start at two places or more: a bit each."""
         a, b = (np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()]) for n, t in (("a", "<u8"), ("b", "<u4")))
         sizes = [len(x) // 8 for x in table["a"].to_pylist()]
-        more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["more"].to_pylist(), sizes)]).astype(bool)
+        # a hash that one chunk has more than once is single there, but counts as repeated
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["more"].to_pylist(), sizes)]).astype(bool)
         order = np.lexsort((b, a))
         same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        twice = np.zeros(len(a), bool)
-        twice[order[1:]] = same
+        twice[order[1:]] |= same
         twice[order[:-1]] |= same
-        # a hash that one chunk has more than once is single there, but counts as repeated
-        twice |= more
         cuts = np.cumsum([0, *sizes])
-        return pa.table([table["bucket"], table["chunk"], pa.array([np.packbits(twice[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary())], names=["bucket", "chunk", "bits"])
+        return pa.table([table["at"], table["chunk"], pa.array([np.packbits(twice[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary())], names=["at", "chunk", "bits"])
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts of each chunk without what is repeated."""
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = batch.column(0)[k].as_py()
-                whole = unpacked(batch.column(1)[k].as_py(), len(ids))
-                each = found(whole)
-                values = np.unique(np.concatenate([h for _, h in each]))
-                at = values["b"].astype(np.int64) % buckets
-                repeated = np.zeros(len(values), bool)
-                for mark in batch.column(2)[k].as_py():
-                    mine = np.flatnonzero(at == mark["bucket"])
-                    repeated[mine] = np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=len(mine)).astype(bool)
-                counts, kept, gone = [], [], []
-                for t, (starts, hashes) in zip(whole, each):
-                    words = space_words(t)
-                    left, out = _kept(words, starts[repeated[np.searchsorted(values, hashes)]], window)
-                    counts.append(len(words))
-                    kept.append(left)
-                    gone.append(out)
-                yield pa.RecordBatch.from_arrays(result(ids, counts, gone, kept), final)
-
-    deal = chunks.select("chunk", "ids", "blob").mapInArrow(dealt, "bucket int, chunk long, a binary, b binary, more binary")
-    marks = deal.groupBy("bucket").applyInArrow(grouped, "bucket int, chunk long, bits binary")
-    marks = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
-    after = chunks.join(marks, "chunk").select("ids", "blob", "marks").mapInArrow(closed, shape)
-    out = scan.filter("chunk is null").select(*final).unionByName(after)
-    return out.select(*final[:4], *([F.col("kept").alias("text")] if texts else []))
+            for ids, blob, marks, repeats in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+                whole = unpacked(ids, blob.as_py())
+                found = candidates(hashed(whole), marks.as_py() or [])
+                values = np.unique(np.concatenate([h for _, h in found]))
+                repeated = _marked(repeats.as_py() or [], values["b"].astype(np.int64) % buckets)
+                kept = [_kept(w, starts[repeated[np.searchsorted(values, h)]] if len(starts) else starts, window) for w, (starts, h) in zip(whole, found)]
+                joined = [b" ".join(k) for k, _ in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()), pa.array([len(w) for w in whole], pa.int64()), pa.array([g for _, g in kept], pa.int64()),
+                        pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()), pa.array([j.decode() if texts else None for j in joined], pa.string()),
+                    ],
+                    final,
+                )
 
+    def by_chunk(answers: DataFrame, name: str) -> DataFrame:
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct("at", "bits")).alias(name)).hint("shuffle_hash")
 
-def _arrow(names: list[str]) -> list[pa.Field]:
-    return [pa.field(n, pa.string() if n.startswith("kept") else pa.int64()) for n in names]
+    sketch = chunks.select("chunk", "ids", "blob").mapInArrow(count, "at int, chunk long, cells binary, more binary")
+    marks = by_chunk(sketch.groupBy("at").applyInArrow(merge, "at int, chunk long, bits binary"), "marks")
+    marked = chunks.join(marks, "chunk", "left")
+    deal = marked.select("chunk", "ids", "blob", "marks").mapInArrow(dealt, "at int, chunk long, a binary, b binary, more binary")
+    repeats = by_chunk(deal.groupBy("at").applyInArrow(grouped, "at int, chunk long, bits binary"), "repeats")
+    out = marked.join(repeats, "chunk", "left").select("ids", "blob", "marks", "repeats")
+    out = out.mapInArrow(closed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return out.select(*final[:4], *([F.col("kept").alias("text")] if texts else []))

@@ -188,10 +188,10 @@ def test_substrings(spark, rows, window, chunk, group, monkeypatch):
                 gone |= set(range(k, k + window))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
-    cells = 1 << 10 if chunk == 150 else 1 << 16  # a small sketch overestimates much
-    got = substrings.remove_repeats(docs(spark, rows), window, sketch_cells=cells, chunk_words=chunk)
+    cells = 1 if chunk == 150 else 16  # a small sketch overestimates much
+    got = substrings.remove_repeats(docs(spark, rows), window, cells_per_anchor=cells, shard_anchors=100, chunk_words=chunk)
     assert by_doc(got) == sorted(want, key=repr)
-    assert substrings.remove_repeats(docs(spark, []), window, sketch_cells=cells).count() == 0
+    assert substrings.remove_repeats(docs(spark, []), window).count() == 0
 
 
 def test_mixing(spark, rows):
