@@ -40,9 +40,20 @@ class Track:
     sizes: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     keys: list[int] | None = None
+    number: int = 0
+    fragments: list[tuple[int, int, bool]] = field(default_factory=list)  #: (offset, size, whether it is a keyframe) of each fragment sample
+    fragment_ticks: int = 0
+
+    @property
+    def ticks(self) -> int:
+        """The duration of all samples; of fragmented files the header names only what lies outside fragments."""
+        return self.duration + self.fragment_ticks
 
     def samples(self) -> list[tuple[int, int]]:
-        """(offset, size) of each sample in decoding order."""
+        """(offset, size) of each sample in decoding order, those of fragments last."""
+        return self._table_samples() + [(at, size) for at, size, _ in self.fragments]
+
+    def _table_samples(self) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         runs = self.chunks
         at = run = 0
@@ -59,8 +70,9 @@ class Track:
 
     def keyframes(self) -> list[tuple[int, int]]:
         """(offset, size) of the sync samples; without a table of them every sample is one."""
-        found = self.samples()
-        return found if self.keys is None else [found[k - 1] for k in self.keys if 0 < k <= len(found)]
+        found = self._table_samples()
+        own = found if self.keys is None else [found[k - 1] for k in self.keys if 0 < k <= len(found)]
+        return own + [(at, size) for at, size, key in self.fragments if key]
 
 
 def boxes(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
@@ -91,30 +103,98 @@ def _table(data: bytes, at: int, end: int, kind: str, skip: int = 4) -> list[tup
 
 
 def parse(data: bytes) -> list[Track]:
-    """The tracks of a file. Raises ValueError if a box or table doesn't fit."""
+    """The tracks of a file, fragments included. Raises ValueError if a box or table doesn't fit.
+
+    Edit lists and composition offsets move samples in presentation time only; they change neither ranges nor media duration.
+    """
     tracks: list[Track] = []
+    defaults: dict[int, tuple[int, int, int]] = {}  # of each track: duration, size and flags of a fragment's samples
 
     def look(at: int, end: int) -> None:
         for kind, a, b in boxes(data, at, end):
             if kind == b"trak":
                 tracks.append(Track())
                 _walk(data, a, b, tracks[-1])
+            elif kind == b"trex":
+                number, _, *own = struct.unpack_from(">IIIII", data, a + 4)
+                defaults[number] = tuple(own)
+            elif kind == b"moof":
+                fragments.append((at_box(a), a, b))
             elif kind in CONTAINERS:
                 look(a, b)
 
+    def at_box(content: int) -> int:
+        """Where the box with this content begins."""
+        return content - (16 if data[content - 16 : content - 12] == b"\0\0\0\1" and data[content - 12 : content - 8] == b"moof" else 8)
+
+    fragments: list[tuple[int, int, int]] = []
     try:
         look(0, len(data))
-    except (struct.error, RecursionError) as e:
+        for start, a, b in fragments:
+            base = start
+            for kind, c, d in boxes(data, a, b):
+                if kind == b"traf":
+                    base = _fragment(data, c, d, start, base, {t.number: t for t in tracks}, defaults)
+    except (struct.error, RecursionError, IndexError, OverflowError) as e:
         raise ValueError(f"the file is damaged: {e}") from e
     return tracks
 
 
+def _fragment(data: bytes, at: int, end: int, moof: int, after: int, tracks: dict[int, Track], defaults: dict[int, tuple[int, int, int]]) -> int:
+    """Read the runs of a track's fragment; returns where the data after its last sample is."""
+    track, ticks, size, flags, base = None, 0, 0, 0, after
+    for kind, a, b in boxes(data, at, end):
+        if kind == b"tfhd":
+            mark, number = struct.unpack_from(">II", data, a)
+            track, p = tracks.get(number), a + 8
+            ticks, size, flags = defaults.get(number, (0, 0, 0))
+            # a base of its own, or the fragment's box where the flag says so or no fragment came before
+            base = moof if mark & 0x020000 else after
+            if mark & 1:
+                base, p = struct.unpack_from(">Q", data, p)[0], p + 8
+            p += 4 * bool(mark & 2)
+            for bit in (8, 16, 32):
+                if mark & bit:
+                    value, p = struct.unpack_from(">I", data, p)[0], p + 4
+                    ticks, size, flags = (value if bit == 8 else ticks, value if bit == 16 else size, value if bit == 32 else flags)
+            after = base
+        elif kind == b"trun":
+            mark, n = struct.unpack_from(">II", data, a)
+            p = a + 8
+            if mark & 1:
+                after, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+            first = None
+            if mark & 4:
+                first, p = struct.unpack_from(">I", data, p)[0], p + 4
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if mark & bit]
+            if p + 4 * n * len(fields) > b or n > len(data):
+                raise ValueError("a run is cut short")
+            for i in range(n):
+                own = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, p)))
+                p += 4 * len(fields)
+                length = own.get(0x200, size)
+                mine = own.get(0x400, first if i == 0 and first is not None else flags)
+                if track is not None:
+                    track.fragments.append((after, length, not mine & 0x10000))
+                    track.fragment_ticks += own.get(0x100, ticks)
+                after += length
+    return after
+
+
 def _walk(data: bytes, at: int, end: int, track: Track) -> None:
     for kind, a, b in boxes(data, at, end):
         if kind in CONTAINERS:
             _walk(data, a, b, track)
         elif kind == b"mdhd":
             track.timescale, track.duration = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+        elif kind == b"tkhd":
+            track.number = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+        elif kind == b"stz2":
+            bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+            if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+                raise ValueError("a table is cut short")
+            raw = data[a + 12 : b]
+            track.sizes = [raw[i // 2] >> 4 * (1 - i % 2) & 15 for i in range(n)] if bits == 4 else list(raw[:n]) if bits == 8 else list(struct.unpack_from(f">{n}H", raw))
         elif kind == b"hdlr":
             track.handler = data[a + 8 : a + 12].decode("latin-1")
         elif kind == b"stsd":
@@ -184,8 +264,10 @@ def media_columns(files: DataFrame, column: str = "content", out: str = "tracks"
     """Add ``out`` (handler, codec, timescale, duration, samples and keyframe byte ranges of each track) and ``<out>_error`` to a table of files.
 
     Null gives null in both; bytes that aren't a whole file give null and a
-    message; a file without tracks gives an empty array.  Duration and ranges
-    come from the tables; payloads aren't decoded.
+    message, whatever the damage; a file without tracks gives an empty array.
+    Duration and ranges come from the tables and fragment runs; payloads aren't
+    decoded.  A column named ``out`` is replaced; other columns and repeated
+    rows stay as they are; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +276,7 @@ def media_columns(files: DataFrame, column: str = "content", out: str = "tracks"
             for data in part.column(0).to_pylist():
                 try:
                     got = None if data is None else [
-                        {"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes),
+                        {"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.ticks, "samples": len(t.samples()),
                          "keyframes": [{"offset": o, "size": s} for o, s in t.keyframes()]} for t in parse(data)
                     ]
                     tracks.append(got)

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, with nulls, empty and repeated rows, and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -148,7 +150,7 @@ def words13(text):
     return bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()).split()
 
 
-@pytest.mark.parametrize("block", [1 << 24, 40])
+@pytest.mark.parametrize("block", [1 << 20, 5])
 def test_decontamination(spark, rows, block):
     items = [(1, rows[3][1]), (2, rows[300 % len(rows)][1]), (10, "one"), (3, "12 3"), (4, None), (5, "..."), (6, " ".join((rows[67][1] or "").split()[5:22])), (7, "One")]
     want = []
@@ -166,10 +168,20 @@ def test_decontamination(spark, rows, block):
         want.append((i, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     d = docs(spark, rows)
-    assert by_doc(decontam.contamination(d, bench, block_bytes=block)) == sorted(want, key=repr)
-    kept = decontam.contamination(d, bench, block_bytes=block, keep=True)
+    assert by_doc(decontam.contamination(d, bench, block_windows=block)) == sorted(want, key=repr)
+    kept = decontam.contamination(d, bench, block_windows=block, keep=True)
     assert kept.columns == d.columns and kept.count() == sum(not w[5] for w in want)
     assert not any(r.contaminated for r in decontam.contamination(d, bench.limit(0)).collect())
+    assert decontam.contamination(d.limit(0), bench).count() == 0 and decontam.contamination(d.limit(0), bench, keep=True).count() == 0
+
+
+def test_search_tables_are_small():
+    """Bytes for each window at the production limit's density; unpickled in one piece."""
+    rng = random.Random(1)
+    items = [(str(i), [b"%d" % rng.randrange(50_000) for _ in range(200)]) for i in range(500)]
+    (machine,) = decontam.machines(items)
+    assert len(pickle.dumps(machine)) < 100 * 500 * 188
+    assert list(machine.find(items[7][1][:13])) == [(0, ["7"])] and not list(machine.find(items[7][1][:12]))
 
 
 @pytest.mark.parametrize("window,chunk,group", [(35, 10**6, 10**6), (35, 150, 40), (3, 200, 100), (1, 500, 50)])
@@ -243,6 +255,53 @@ def test_media(spark, rows):
     assert out[1].tracks is None and out[1].tracks_error and out[2].tracks is None and out[2].tracks_error is None and out[3].tracks == []
 
 
+def fragmented(sizes, keys, base_flag):
+    """A file with one track whose samples lie in two fragments; (file, samples, keyframes)."""
+    box, full = media._box, media._full
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(8))), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide"), box(b"minf", stbl)))
+    data = box(b"ftyp", b"isom") + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 7, 1, 40, 5, 0x10000))))
+    samples, at_keys = [], []
+    for part in (sizes[:2], sizes[2:]):
+        def moof(offset):
+            entries = b"".join(struct.pack(">II", n, 0 if n in keys else 0x10000) for n in part)
+            run = full(b"trun", struct.pack(">Ii", len(part), offset), entries, flags=0x601)
+            return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x020000 * base_flag), run))
+        at = len(data) + len(moof(0)) + 8
+        # the offset counts from the fragment's box, or from the end of the data before it
+        data += moof(at - len(data)) + box(b"mdat", bytes(sum(part)))
+        for n in part:
+            samples.append((at, n))
+            at_keys += [(at, n)] * (n in keys)
+            at += n
+    return data, samples, at_keys
+
+
+def test_media_fragments_and_damage(spark):
+    data, samples, keys = fragmented([10, 20, 30, 40], {10, 30}, True)
+    (track,) = media.parse(data)
+    assert (track.samples(), track.keyframes(), track.ticks, track.codec) == (samples, keys, 160, "avc1")
+    whole = media.pack(bytes(range(192)) * 9)
+    rng = random.Random(6)
+    broken = []
+    for source in (data, whole) * 150:
+        b = bytearray(source)
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        broken.append((b[: rng.randrange(len(b))] if rng.random() < 0.3 else b, "x"))
+    broken.append((bytearray(struct.pack(">I4s", 8, b"moov") + struct.pack(">I4sI4sI4sI4s", 32, b"moov", 24, b"trak", 16, b"mdia", 8, b"mdhd")), "x"))
+    out = media.media_columns(spark.createDataFrame(broken, "content binary, tracks string")).collect()
+    assert len(out) == 301 and all((r.tracks is None) != (r.tracks_error is None) for r in out) and out[-1].tracks_error
+    assert media.media_columns(spark.createDataFrame([], "content binary")).count() == 0
+    assert media.text_media(docs(spark, [])).count() == 0
+    (long,) = media.text_media(docs(spark, [(1, "x" * 2_000_000, None, None)])).collect()
+    assert long.n_bytes == 2_000_000 and long.payload_bytes == 2_000_064
+    small = bytes([0, 0, 0, 0, 0, 0, 0, 4, 0, 0, 0, 3, 0x12, 0x30])
+    t = media.Track()
+    media._walk(media._box(b"stz2", small), 0, 8 + len(small), t)
+    assert t.sizes == [1, 2, 3]
+
+
 def test_language(spark):
     rng = random.Random(2)
     letters = {"en": "etaoin", "fr": "éèauei", "de": "schüßn"}
@@ -361,8 +420,9 @@ def test_html_rows(spark):
 
 def test_licenses(spark):
     assert licenses.evaluate("(GPL-2.0-only WITH Classpath-exception-2.0) OR Apache-2.0 AND MIT") == ({"gpl", "apache", "mit"}, 1.0)
-    assert licenses.postfix("A or B and C with D") == ["A", "B", "C", "D", "with", "and", "or"]
-    for bad in ("", "MIT AND", "(MIT", "AND MIT"):
+    assert licenses.postfix("MIT or Zlib and GPL-2.0 with GCC-exception") == ["MIT", "Zlib", "GPL-2.0", "GCC-exception", "with", "and", "or"]
+    assert licenses.evaluate("MIT or any later version") == ({"mit"}, 1.0) and licenses.evaluate("BSD-3-Clause and see below") == ({"bsd"}, 1.0)
+    for bad in ("", "MIT AND", "(MIT", "AND MIT", "see LICENSE", "(MIT or what"):
         with pytest.raises(ValueError):
             licenses.postfix(bad)
     texts = ["MIT License, mit-license Apache  LICENSE é", None, "", "x // SPDX-License-Identifier: LGPL-3.0-or-later OR MIT\ny", "cc by cc by", "commit license"]
@@ -375,6 +435,30 @@ def test_licenses(spark):
     assert got[3].labels == "lgpl,mit" and got[3].score == 1.0
 
 
+def brute_labels(text):
+    """Labels of notices found word by word: base phrases, and the longest notice at each place."""
+    w = [x.decode() for x in words13(text)]
+    out = set()
+    for k in range(len(w)):
+        here = [p for p in {**licenses.NOTICES, **licenses.BASE} if w[k : k + len(p.split())] == p.split()]
+        out |= {licenses.BASE[p] for p in here if p in licenses.BASE}
+        if here:
+            p = max(here, key=len)
+            out.add(licenses.BASE.get(p) or licenses.NOTICES[p])
+    return ",".join(sorted(out))
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(3)
+    phrases = [*licenses.BASE, *licenses.NOTICES, "gnu", "license", "cc", "by", "creative commons"]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choice([p, p.upper(), "word"]) for p in rng.choices(phrases, k=rng.randint(1, 12))) for _ in range(300)] + ["mit license " * 50_000, "mit license", "mit license"]
+    got = licenses.license_scan(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert len(got) == len(texts) and all(r.labels == brute_labels(texts[r.doc_id]) for r in got if r.doc_id < 300 or r.doc_id > 300)
+    assert next(r for r in got if r.doc_id == 300).n_base == 50_000
+    assert all(r.score == min((licenses.FREEDOM[x] for x in r.labels.split(",") if x), default=0.0) or "cc-by" in r.labels or "gpl" in r.labels for r in got)
+    assert licenses.license_scan(docs(spark, [])).count() == 0
+
+
 def test_pii(spark):
     key = b"k"
     text = 'Mr John Smith and Anna Schmidt: john.smith19@mail5.example.com, +1 (743) 555-3824, 4111 1111 1111 1111 and 4111111111111111, 192.168.1.10, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". Dr. Smith.'
