@@ -98,9 +98,47 @@ def on_segment(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Col
 
 
 def circle(cx: Column, cy: Column, r: Column, n: int = 24) -> Column:
-    """A closed circle of n segments as array<struct<x, y>>."""
+    """A closed circle of n segments as array<struct<x, y>>, from its top counter-clockwise on a page whose y grows down."""
     turn = lambda i: i * (2 * 3.141592653589793 / n)
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((cx + r * F.cos(turn(i))).alias("x"), (cy + r * F.sin(turn(i))).alias("y")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((cx - r * F.sin(turn(i))).alias("x"), (cy - r * F.cos(turn(i))).alias("y")))
+
+
+def rounded_rectangle(box: Box, radius: Column, n: int = 6) -> Column:
+    """A closed outline from the end of the top left corner clockwise; corners are quarter circles of n segments, none of a radius over half a side."""
+    r = F.least(radius, (box.right - box.left) / 2, (box.bottom - box.top) / 2)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    plain = F.array(*(point(x, y) for x, y in ((box.left, box.top), (box.right, box.top), (box.right, box.bottom), (box.left, box.bottom), (box.left, box.top))))
+
+    def at(i: Column) -> Column:
+        corner, part = F.floor(i / (n + 1)), i % (n + 1)
+        turn = F.radians(corner * 90 - 90 + part * (90 / n))
+        x = F.when(corner < 2, box.right - r).otherwise(box.left + r)
+        y = F.when(corner.isin(0, 3), box.top + r).otherwise(box.bottom - r)
+        return point(x + r * F.cos(turn), y + r * F.sin(turn))
+
+    # the last point is the first again
+    round_ = F.transform(F.sequence(F.lit(0), F.lit(4 * n + 4)), lambda i: at(i % (4 * n + 4)))
+    return F.when(r <= 0, plain).otherwise(round_)
+
+
+def segment_conflict(first: tuple[Column, Column, Column, Column], second: tuple[Column, Column, Column, Column], near: float = 0.01) -> Column:
+    """How two level or upright segments (x0, y0, x1, y1) meet: ``overlap``, ``touch``, or null where they are apart or properly cross."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = first, second
+    level_a, level_c = F.abs(ay - by) < near, F.abs(cy - dy) < near
+
+    def along(x0: Column, x1: Column, u0: Column, u1: Column, apart: Column) -> Column:
+        shared = F.least(F.greatest(x0, x1), F.greatest(u0, u1)) - F.greatest(F.least(x0, x1), F.least(u0, u1))
+        return F.when(apart > near, None).when(shared > near, "overlap").when(shared > -near, "touch")
+
+    def across(h: tuple, v: tuple) -> Column:
+        x, y, low_x, high_x = v[0], h[1], F.least(h[0], h[2]), F.greatest(h[0], h[2])
+        low_y, high_y = F.least(v[1], v[3]), F.greatest(v[1], v[3])
+        meet = x.between(low_x - near, high_x + near) & y.between(low_y - near, high_y + near)
+        proper = (x > low_x + near) & (x < high_x - near) & (y > low_y + near) & (y < high_y - near)
+        return F.when(meet & ~proper, "touch")
+
+    same = F.when(level_a, along(ax, bx, cx, dx, F.abs(ay - cy))).otherwise(along(ay, by, cy, dy, F.abs(ax - cx)))
+    return F.when(level_a == level_c, same).when(level_a, across(first, second)).otherwise(across(second, first))
 
 
 def diamond(box: Box) -> Column:
@@ -108,8 +146,9 @@ def diamond(box: Box) -> Column:
     return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((cx, box.top), (box.right, cy), (cx, box.bottom), (box.left, cy), (cx, box.top))))
 
 
-def parallelogram(box: Box, skew: float = 0.2) -> Column:
-    s = box.width * skew
+def parallelogram(box: Box, skew: Column | float = 8.0) -> Column:
+    """``skew``: how far the top edge is set to the right, in the box's unit."""
+    s = F.lit(skew) if isinstance(skew, (int, float)) else skew
     points = ((box.left + s, box.top), (box.right, box.top), (box.right - s, box.bottom), (box.left, box.bottom), (box.left + s, box.top))
     return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in points))
 

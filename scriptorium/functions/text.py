@@ -10,6 +10,8 @@ SEPARATOR, GRID, Y_SHIFT = 450, 224, 225
 TOKEN = r"<ink_token_(\d+)>"
 SENTINEL = r"<extra_id_\d+>|</s>|<pad>"
 LATEX_TOKEN = r"(?s)\\(?:begin|end)\{[A-Za-z*]+\}|\\[A-Za-z]+|\\.|."
+#: The first of the supplementary private characters.
+PRIVATE = 0xF0000
 IDENTIFIER = r"^[A-Za-z][A-Za-z0-9_-]*$"
 
 
@@ -58,7 +60,15 @@ def wrapped(words: Column, limit: int) -> Column:
     return F.aggregate(words, F.array().cast("array<string>"), step)
 
 
-def token_distance(a: Column, b: Column, ids: Column) -> Column:
-    """Edit distance of two token lists: each token becomes one private character by its place in ``ids``."""
-    coded = lambda x: F.array_join(F.transform(x, lambda t: F.char(F.array_position(ids, t) + 32)), "")
-    return F.levenshtein(coded(a), coded(b))
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two token lists: each different token of the two becomes one private character, of which there are 131,068."""
+    known = F.array_distinct(F.concat(a, b))
+    place = lambda t: F.array_position(known, t) + (PRIVATE - 1)
+    one = lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")
+    coded = lambda x: F.array_join(F.transform(x, one), "")
+    return F.when(F.size(known) > 131_068, F.raise_error(F.lit("too many different tokens"))).otherwise(F.levenshtein(coded(a), coded(b)))
+
+
+def words(text: Column) -> Column:
+    """The words between white space as tokens."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,6 +136,42 @@ class Merges:
 
     pairs: tuple[tuple[str, str], ...]
 
+    def __post_init__(self) -> None:
+        """Each merge is of symbols known before it, and makes a new one; raises ValueError otherwise."""
+        known = {(n,) for n in range(2, 10)}
+        made: dict[str, tuple[int, ...]] = {symbol(n): (n,) for n in range(2, 10)}
+        for i, (a, b) in enumerate(self.pairs):
+            if a not in made or b not in made:
+                raise ValueError(f"merge {i} is of symbols that aren't made before it")
+            if made[a] + made[b] in known:
+                raise ValueError(f"merge {i} makes a symbol that is known")
+            made[symbol(10 + i)] = made[a] + made[b]
+            known.add(made[a] + made[b])
+
+    def to_json(self) -> str:
+        """The merges as lists of directions."""
+        return json.dumps({"version": 1, "merges": [[list(self.expansion(x)) for x in pair] for pair in self.pairs]})
+
+    @classmethod
+    def from_json(cls, text: str) -> Merges:
+        """What ``to_json`` wrote; ValueError for another version, form, direction or order."""
+        data = json.loads(text)
+        if not isinstance(data, dict) or data.get("version") != 1:
+            raise ValueError("only version 1 can be read")
+        if not isinstance(data.get("merges"), list):
+            raise ValueError("merges must be a list")
+        symbols: dict[tuple[int, ...], str] = {(n,): symbol(n) for n in range(2, 10)}
+        pairs: list[tuple[str, str]] = []
+        for i, pair in enumerate(data["merges"]):
+            sides = pair if isinstance(pair, list) and len(pair) == 2 and all(isinstance(x, list) and x and all(isinstance(n, int) for n in x) for x in pair) else None
+            if not sides or any(tuple(x) not in symbols for x in sides):
+                raise ValueError(f"merge {i} isn't of two symbols made before it")
+            pairs.append((symbols[tuple(sides[0])], symbols[tuple(sides[1])]))
+            if tuple(sides[0] + sides[1]) in symbols:
+                raise ValueError(f"merge {i} makes a symbol that is known")
+            symbols[tuple(sides[0] + sides[1])] = symbol(10 + i)
+        return cls(tuple(pairs))
+
     def expansion(self, c: str) -> tuple[int, ...]:
         n = ord(c) - FIRST
         return (n,) if n < 10 else tuple(d for x in self.pairs[n - 10] for d in self.expansion(x))
@@ -154,10 +191,16 @@ class Merges:
         return run
 
 
+def adjacent(run: Column) -> Column:
+    """The pairs of neighbouring symbols of a run, overlaps included, in one walk over its characters."""
+    symbols = F.filter(F.split(run, ""), lambda c: c != "")
+    n = F.greatest(F.size(symbols) - 1, F.lit(0))
+    return F.zip_with(F.slice(symbols, F.lit(1), n), F.slice(symbols, F.lit(2), n), lambda a, b: F.concat(a, b))
+
+
 def pair_counts(table: DataFrame) -> DataFrame:
     """Adjacent pairs of symbols, overlaps counted: ``pair, n``."""
-    at = F.explode(F.sequence(F.lit(1), F.length("run") - 1))
-    return table.filter(F.length("run") > 1).select("run", at.alias("at")).groupBy(F.expr("substring(run, at, 2)").alias("pair")).agg(F.count("*").alias("n"))
+    return table.select(F.explode(adjacent(F.col("run"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def fit_merges(table: DataFrame, merges: int, every: int = 8) -> Merges:
@@ -172,8 +215,7 @@ def fit_merges(table: DataFrame, merges: int, every: int = 8) -> Merges:
     lasting = bool(table.sparkSession.conf.get("spark.checkpoint.dir", None))
     now = table.groupBy("run").agg(F.count("*").alias("times")).persist()
     for i in range(merges):
-        at = F.explode(F.sequence(F.lit(1), F.length("run") - 1))
-        counts = now.filter(F.length("run") > 1).select("run", "times", at.alias("at")).groupBy(F.expr("substring(run, at, 2)").alias("pair")).agg(F.sum("times").alias("n"))
+        counts = now.select("times", F.explode(adjacent(F.col("run"))).alias("pair")).groupBy("pair").agg(F.sum("times").alias("n"))
         top = counts.groupBy("n").agg(F.collect_list("pair").alias("pairs")).orderBy(F.desc("n")).limit(1).collect()
         if not top:
             break

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def _distinct_tokens(tokens: DataFrame, column: str) -> DataFrame:
     """Each line gives each of its tokens once, before any shuffle."""
@@ -44,9 +46,25 @@ def offset_statistics(offsets: DataFrame) -> DataFrame:
 
 
 def sharded(lines: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """Add ``shard``: lines in a seeded random order, ``size`` to a shard."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return lines.withColumn("shard", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Add ``shard``: lines in a seeded random order (by MD5 of seed and key), ``size`` to a shard."""
+    rows = ranked(lines.withColumn("__draw", drawn(seed, key)), ["__draw", key], out="__rank")
+    return rows.withColumn("shard", F.expr(f"__rank div {size}").cast("int")).drop("__draw", "__rank")
+
+
+def drawn(seed: int, key: str) -> Column:
+    """A random order that any partitioning and any engine gives alike."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def chunked(lines: DataFrame, key: str, size: int) -> DataFrame:
+    """Add ``shard``: lines in the order of ``key``, ``size`` to a shard."""
+    return ranked(lines, [key], out="__rank").withColumn("shard", F.expr(f"__rank div {size}").cast("int")).drop("__rank")
+
+
+def stratified(lines: DataFrame, by: str, order: list[str], steps: int) -> DataFrame:
+    """Lines at even steps of each group's order, about ``steps`` of them."""
+    rows = ranked(lines, order, by, "__rank", "__size")
+    return rows.filter(F.col("__rank") % F.greatest(F.expr(f"__size div {steps}"), F.lit(1)) == 0).drop("__rank", "__size")
 
 
 def split(lines: DataFrame, last: int, shard: str = "shard") -> DataFrame:
@@ -56,15 +74,16 @@ def split(lines: DataFrame, last: int, shard: str = "shard") -> DataFrame:
 
 
 def picked(lines: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` lines of each group without replacement, by hash."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), by, key), key)
+    """``n`` lines of each group without replacement, in a random order; the first ``n`` are found before the shuffle already."""
+    w = Window.partitionBy(by).orderBy(drawn(seed, key), key)
     return lines.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
-def batches(lines: DataFrame, pool: str, key: str, length: str, budget: int) -> DataFrame:
-    """``pool, key, batch``: lines of a pool by length, in batches whose padded size (lines times longest) keeps in the budget; a longer line has its own.
+def batches(lines: DataFrame, pool: str, key: str, length: str, budget: int, chunk: int = 4096) -> DataFrame:
+    """``pool, key, length, chunk, batch``: lines of a pool by length, in batches whose padded size (lines times longest) keeps in the budget; a longer line has its own.
 
-    An ordered fold by pool; pools are bounded by construction.
+    Each pool is cut in chunks of so many lines in the order of length, and an
+    ordered fold goes over each chunk, so no pool, however large, meets in one row.
     """
     start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
@@ -73,9 +92,10 @@ def batches(lines: DataFrame, pool: str, key: str, length: str, budget: int) ->
         b = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
         return F.struct(b.alias("batch"), F.when(new, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(b)).alias("out"))
 
-    rows = lines.groupBy(pool).agg(F.sort_array(F.collect_list(F.struct(F.col(length).cast("int").alias(length), key))).alias("all"))
+    placed = ranked(lines, [length, key], pool, "__rank").withColumn("chunk", F.expr(f"__rank div {chunk}"))
+    rows = placed.groupBy(pool, "chunk").agg(F.sort_array(F.collect_list(F.struct(F.col(length).cast("int").alias(length), key))).alias("all"))
     rows = rows.withColumn("b", F.aggregate("all", start, step, lambda a: a["out"]))
-    return rows.select(pool, F.explode(F.arrays_zip("all", "b")).alias("z")).select(pool, F.col(f"z.all.{key}").alias(key), F.col(f"z.all.{length}").alias(length), F.col("z.b").alias("batch"))
+    return rows.select(pool, "chunk", F.explode(F.arrays_zip("all", "b")).alias("z")).select(pool, "chunk", F.col(f"z.all.{key}").alias(key), F.col(f"z.all.{length}").alias(length), F.col("z.b").alias("batch"))
 
 
 def new_only(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """A quotient, null where the bottom is zero."""
@@ -47,9 +49,8 @@ def order_score(constraints: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def evenly(rows: DataFrame, k: int, *order: str) -> DataFrame:
-    """``k`` rows at even steps of an order, first and last among them; all rows if there are no more. The rank is the only global step."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    n = rows.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    """``k`` rows at even steps of an order, first and last among them; all rows if there are no more."""
+    n = ranked(rows, list(order), out="__i", size="__n")
     at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / max(k - 1, 1)))
     return n.filter((F.col("__n") <= k) | F.array_contains(at, F.col("__i").cast("long"))).drop("__i", "__n")
 

@@ -145,6 +145,66 @@ def curvature_mean(c: str, by: str, order: str, reach: int = 3) -> Column:
     return F.sum(c).over(w) / (2 * reach + 1)
 
 
+def to_spacing(points: DataFrame, scale: float, spacing: float) -> DataFrame:
+    """Ink in another unit and sampling: positions times ``scale``, each stroke resampled, as offsets ``ink_id, stroke_id, point_id, dx, dy, eos``."""
+    small = points.withColumns({c: F.col(c) * scale for c in "xy"})
+    return to_offsets(resample(small, spacing).withColumnRenamed("sample", "point_id"))
+
+
+def plausible(points: DataFrame, labels: DataFrame, height: float = 1200, narrow: float = 60, wide: float = 400) -> DataFrame:
+    """The ``ink_id`` of inks that can be their label: ``labels(ink_id, label)``.
+
+    Two points or more; the 2nd to 98th percentile of y less than ``height``
+    apart; a width between ``narrow`` and ``wide`` for each character, ends
+    excluded; no fewer strokes than words.
+    """
+    size = points.groupBy("ink_id").agg(
+        F.count("*").alias("n"), (F.percentile("y", 0.98) - F.percentile("y", 0.02)).alias("tall"), (F.max("x") - F.min("x")).alias("width"), F.count_distinct("stroke_id").alias("strokes")
+    )
+    words = F.size(F.filter(F.split("label", r"\s+"), lambda x: x != ""))
+    rows = size.join(labels, "ink_id").withColumn("each", F.col("width") / F.greatest(F.length("label"), F.lit(1)))
+    return rows.filter((F.col("n") >= 2) & (F.col("tall") < height) & (F.col("each") > narrow) & (F.col("each") < wide) & (F.col("strokes") >= words)).select("ink_id")
+
+
+def trimmed(points: DataFrame) -> DataFrame:
+    """Points whose ``char`` says the character they belong to, of a text of ``n`` characters: ``.., char, eos``.
+
+    Strokes at the end that begin past the text go; characters are clipped to
+    the text; the last point that stays ends a stroke.
+    """
+    first = F.first_value("char").over(_stroke())
+    later = Window.partitionBy("ink_id").orderBy("stroke_id").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = points.withColumn("__past", first >= F.col("n")).withColumn("__cut", F.min("__past").over(later)).filter(~F.col("__cut"))
+    last = F.lead("point_id").over(_ink()).isNull()
+    ends = F.lead("point_id").over(_stroke()).isNull()
+    return rows.withColumns({"char": F.greatest(F.least("char", F.col("n") - 1), F.lit(0)), "eos": last | ends}).drop("__past", "__cut")
+
+
+def timed(points: DataFrame, rate: float, short: float = 0.002) -> DataFrame:
+    """Strokes written at ``speed`` (a column at each point) and sampled at ``rate`` a second: ``ink_id, stroke_id, sample, x, y, t``.
+
+    A segment takes its length by the mean speed of its ends.  Samples are at
+    k / rate before the stroke's end, and at its end; the last but one goes
+    where it is within ``short`` of the end.  A point is between the two that
+    its time is between.
+    """
+    w = _stroke()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    way = _segments(points).withColumn("t", F.sum(F.coalesce(F.col("d") / ((F.col("speed") + F.lag("speed").over(w)) / 2), F.lit(0.0))).over(upto))
+    way = way.withColumns({"pt": F.lag("t").over(w), "end": F.max("t").over(Window.partitionBy("ink_id", "stroke_id")), "first": F.row_number().over(w) == 2, "last": F.lead("t").over(w).isNull()})
+    k = F.sequence(F.greatest(F.floor(F.col("pt") * rate) - 1, F.lit(0)), F.ceil(F.col("t") * rate) + 1)
+    at = way.filter("pt is not null").withColumn("k", F.explode(k)).withColumn("at", F.col("k") / F.lit(float(rate)))
+    n = F.ceil(F.col("end") * rate)
+    dropped = (n > 1) & (F.col("k") == n - 1) & (F.col("end") - F.col("at") < short)
+    at = at.filter(((F.col("at") > F.col("pt")) | (F.col("first") & (F.col("k") == 0))) & (F.col("at") <= F.col("t")) & (F.col("k") < n) & ~dropped)
+    share = F.coalesce(F.try_divide(F.col("at") - F.col("pt"), F.col("t") - F.col("pt")), F.lit(0.0))
+    place = lambda c: F.col(f"p{c}") + share * (F.col(c) - F.col(f"p{c}"))
+    inner = at.select("ink_id", "stroke_id", place("x").alias("x"), place("y").alias("y"), F.col("at").alias("t"))
+    ends = way.filter("last").select("ink_id", "stroke_id", "x", "y", F.col("end").alias("t"))
+    number = F.row_number().over(Window.partitionBy("ink_id", "stroke_id").orderBy("t")) - 1
+    return inner.unionByName(ends).withColumn("sample", number).select("ink_id", "stroke_id", "sample", "x", "y", "t")
+
+
 def strictly_rising(rows: DataFrame, t: str, by: str, order: str, gap: Column | float, out: str = "t_fixed") -> DataFrame:
     """Add ``out``: times at least ``gap`` after one another, by the running maximum of t - gap * i."""
     w = Window.partitionBy(by).orderBy(order)

@@ -54,13 +54,42 @@ def resolved(targets: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, most: int = 50) -> DataFrame:
-    """All (src, dst) reachable in ``edges(src, dst)``, by doubling paths until nothing is new; cycles end it too."""
+    """All (src, dst) reachable in ``edges(src, dst)``, by doubling paths until nothing is new; cycles end it too.
+
+    Raises RuntimeError if that takes over ``most`` rounds, which would be paths of over 2 ** ``most`` edges.
+    """
     now = cut(edges.select("src", "dst").distinct())
     seen = now.count()
     for _ in range(most):
         now = cut(now.unionByName(now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
         n = now.count()
         if n == seen:
-            break
+            return now
         seen = n
-    return now
+    raise RuntimeError("the closure isn't complete")
+
+
+def clocked(items: DataFrame, writers: DataFrame, pause: float) -> DataFrame:
+    """When each item is written: ``items(page, item, writer, pos, length)`` in writing order and ``writers(page, writer, start_after)`` -> ``page, item, writer, start, end, trace``.
+
+    A writer writes item after item with a pause between, from time 0, or from
+    a pause after the end of the other writer's item ``start_after``.  ``trace``
+    numbers the items of a page by start, ties by ``pos``, so writers interleave.
+    Writers that wait for each other in a circle have no times, and their items go.
+    """
+    w = Window.partitionBy("page", "writer").orderBy("pos")
+    own = items.withColumn("__before", F.coalesce(F.sum(F.col("length") + pause).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    ends = own.select("page", F.col("item").alias("start_after"), F.col("writer").alias("__of"), (F.col("__before") + F.col("length")).alias("__at"))
+    waits = writers.join(ends, ["page", "start_after"], "left")
+    known = cut(waits.filter("start_after is null").select("page", "writer", F.lit(0.0).alias("__base")))
+    open_ = cut(waits.filter("start_after is not null and __of is not null").select("page", "writer", "__of", "__at"))
+    while True:  # as many rounds as writers wait in a row
+        more = open_.join(known.select("page", F.col("writer").alias("__of"), "__base"), ["page", "__of"]).select("page", "writer", (F.col("__base") + F.col("__at") + pause).alias("__base"))
+        more = cut(more)
+        if more.isEmpty():
+            break
+        known = cut(known.unionByName(more))
+        open_ = cut(open_.join(more, ["page", "writer"], "left_anti"))
+    timed = own.join(known, ["page", "writer"]).withColumn("start", F.col("__base") + F.col("__before")).withColumn("end", F.col("start") + F.col("length"))
+    trace = F.row_number().over(Window.partitionBy("page").orderBy("start", "pos")) - 1
+    return timed.withColumn("trace", trace).select("page", "item", "writer", "start", "end", "trace")

@@ -79,15 +79,20 @@ def labelled(words: DataFrame, regions: DataFrame, share: float = 0.5) -> DataFr
 def near_pairs(points: DataFrame, radius: int, least: int, allowed: DataFrame | None = None) -> DataFrame:
     """Items of a page whose ink comes within ``radius`` cells in ``least`` places or more: ``page, a, b, hits``; a < b.
 
-    ``points(page, item, cx, cy)`` in grid cells.  Each cell is sent to the
-    cells of the disc around it, so the proximity join is an equi-join;
-    ``allowed(page, a, b)`` pairs are left out.
+    ``points(page, item, cx, cy, probes)`` in grid cells.  Cells of items that
+    probe (text and formulas) look around: a place counts for each other item
+    near it, so two such items count from both sides.  Each probing cell is
+    sent to the cells of the disc around it, so the proximity join is an
+    equi-join; ``allowed(page, a, b)`` pairs, a < b, are left out.
     """
     disc = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    cells = points.select("page", "item", "cx", "cy").distinct()
+    cells = points.select("page", "item", "cx", "cy", "probes").distinct()
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc])
-    around = cells.select("page", F.col("item").alias("a"), F.explode(offsets).alias("o"), "cx", "cy").select("page", "a", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    hits = around.join(cells.withColumnRenamed("item", "b"), ["page", "cx", "cy"]).filter("a < b").groupBy("page", "a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
+    around = cells.filter("probes").select("page", "item", F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(offsets).alias("o"))
+    around = around.select("page", "item", "x", "y", (F.col("x") + F.col("o.i")).alias("cx"), (F.col("y") + F.col("o.j")).alias("cy"))
+    other = cells.select("page", F.col("item").alias("other"), "cx", "cy")
+    near = around.join(other, ["page", "cx", "cy"]).filter("item != other").select("page", "item", "other", "x", "y").distinct()
+    hits = near.groupBy("page", F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
     return hits if allowed is None else hits.join(allowed, ["page", "a", "b"], "left_anti")
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import IDENTIFIER
 from .lineage import cut
 
 
@@ -76,6 +77,44 @@ def order_problems(items: DataFrame, order: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).filter("problem is not null").select("page", "leaf", "problem")
 
 
+def document_problems(pages: DataFrame, schema: str) -> DataFrame:
+    """``page, problem, id`` of ``pages(page, schema, elements)``: another schema; else no elements; else element ids that are no identifiers (null too) or not the only one.
+
+    The first two end the check of a page.
+    """
+    ids = F.col("elements")
+    bad = F.transform(F.filter(ids, lambda x: ~F.coalesce(x.rlike(IDENTIFIER), F.lit(False))), lambda x: F.struct(F.lit("syntax").alias("problem"), x.alias("id")))
+    twice = F.filter(F.array_distinct(ids), lambda x: F.size(F.filter(ids, lambda y: y.eqNullSafe(x))) > 1)
+    twice = F.transform(twice, lambda x: F.struct(F.lit("duplicate").alias("problem"), x.alias("id")))
+    whole = lambda name: F.array(F.struct(F.lit(name).alias("problem"), F.lit(None).cast("string").alias("id")))
+    found = F.when(~F.col("schema").eqNullSafe(F.lit(schema)), whole("schema")).when(F.coalesce(F.size(ids), F.lit(0)) < 1, whole("empty")).otherwise(F.concat(bad, twice))
+    return pages.select("page", F.explode(found).alias("p")).select("page", "p.problem", "p.id")
+
+
+def writer_problems(items: DataFrame, writers: DataFrame) -> DataFrame:
+    """``page, problem, name`` of ``items(page, item, writer, pos)`` and ``writers(page, writer, start_after)``.
+
+    Items of an unknown writer; a ``start_after`` that is no item or the
+    writer's own; writers with an item before the one that they start after.
+    """
+    text = lambda c: F.col(c).cast("string").alias("name")
+    unknown = items.join(writers.select("page", "writer"), ["page", "writer"], "left_anti").select("page", F.lit("unknown writer").alias("problem"), text("item"))
+    after = items.select("page", F.col("item").alias("start_after"), F.col("writer").alias("of"), F.col("pos").alias("at"))
+    waits = writers.filter("start_after is not null").join(after, ["page", "start_after"], "left")
+    wrong = waits.filter("of is null or of = writer").select("page", F.lit("start_after is not another writer's item").alias("problem"), text("writer"))
+    first = items.groupBy("page", "writer").agg(F.min("pos").alias("first"))
+    early = waits.join(first, ["page", "writer"]).filter("at > first").select("page", F.lit("starts too early").alias("problem"), text("writer"))
+    return unknown.unionByName(wrong).unionByName(early)
+
+
+def target_problems(targets: DataFrame, items: DataFrame) -> DataFrame:
+    """``page, target`` of ``targets(page, target, after, wanted)``, ``wanted`` an array of items: an id that is no item of the page, or a wanted item not after its context."""
+    place = items.select("page", F.col("item").alias("x"), "pos")
+    rows = targets.select("page", "target", "after", F.explode("wanted").alias("x")).join(place, ["page", "x"], "left").withColumnRenamed("pos", "at")
+    rows = rows.join(place.select("page", F.col("x").alias("after"), F.col("pos").alias("context")), ["page", "after"], "left")
+    return rows.filter("at is null or context is null or at <= context").select("page", "target").distinct()
+
+
 def labels_of_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """``node, root``: the least node reachable in ``edges(u, v)``, by minimum labels and pointer jumping.
 
@@ -92,9 +131,9 @@ def labels_of_components(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = cut(labels)
         mark = labels.agg(F.sum("root").alias("s"), F.count("*").alias("n")).first()
         if mark == seen:
-            break
+            return labels
         seen = mark
-    return labels
+    raise RuntimeError("the components aren't complete")
 
 
 # --- expressions ----------------------------------------------------------------------------------------------------

@@ -192,12 +192,6 @@ def g3_translate_scale(spark, d):
     return views.inks(spark, d).select("ink_id", _r(g.bounds(moved)["l"]).alias("l"), _r(g.bounds(g.scaled(moved, F.lit(2.0), F.lit(3.0)))["r"]).alias("r"), _r(g.bounds(g.scaled(moved, F.lit(2.0), F.lit(3.0)))["t"]).alias("t"))
 
 
-@query("SELECT ink_id % 10 AS page, count(DISTINCT (ink_id, stroke_id))::BIGINT AS strokes, count(*)::BIGINT AS points, min(x) AS l FROM v_ink GROUP BY 1", "v_ink")
-def g5_merge_inks(spark, d):
-    page = views.inks(spark, d).groupBy((F.col("ink_id") % 10).alias("page")).agg(F.flatten(F.collect_list("strokes")).alias("s"))
-    return page.select("page", F.size("s").cast("long").alias("strokes"), F.size(F.flatten("s")).cast("long").alias("points"), g.bounds(F.flatten("s"))["l"].alias("l"))
-
-
 _FIT = """SELECT p_partkey, ratio, w, h, floor((224 - w) / 2)::INT AS dx, floor((224 - h) / 2)::INT AS dy FROM (SELECT *, greatest(1, trunc(pw * ratio))::INT AS w, greatest(1, trunc(ph * ratio))::INT AS h
   FROM (SELECT p_partkey, 100 + p_size * 7 AS pw, p_retailprice AS ph, least(224::DOUBLE / (100 + p_size * 7), 224::DOUBLE / p_retailprice) AS ratio FROM part))"""
 
@@ -284,19 +278,6 @@ def g20_on_segment(spark, d):
     return views.boxes(spark, d).select("page", "idx", g.on_segment(F.lit(30.0), F.lit(10.0), F.col("l"), F.col("t"), F.col("r"), F.col("t")).alias("on_top"))
 
 
-@query("SELECT s_suppkey, round(sum(10 + s_nationkey * cos(i * 2 * pi() / 24)), 6) AS sx, round(max(20 + s_nationkey * sin(i * 2 * pi() / 24)), 6) AS top FROM supplier, (SELECT unnest(range(25)) AS i) GROUP BY s_suppkey")
-def g24_circle(spark, d):
-    points = g.circle(F.lit(10.0), F.lit(20.0), F.col("s_nationkey").cast("double"))
-    rows = table(spark, d, "supplier").select("s_suppkey", points.alias("p"))
-    return rows.select("s_suppkey", _r(F.aggregate("p", F.lit(0.0), lambda a, q: a + q["x"])).alias("sx"), _r(F.array_max(F.transform("p", lambda q: q["y"]))).alias("top"))
-
-
-@query("SELECT page, idx, (l + r) / 2 AS dx, (t + b) / 2 AS dy, l + (r - l) * 0.2::DOUBLE AS px FROM v_box", "v_box")
-def g24_outlines(spark, d):
-    b = g.Box.of()
-    return views.boxes(spark, d).select("page", "idx", g.diamond(b)[0]["x"].alias("dx"), g.diamond(b)[1]["y"].alias("dy"), g.parallelogram(b)[0]["x"].alias("px"))
-
-
 @query("SELECT p_partkey, round(sum((1 - i / 12.0::DOUBLE) ** 3 * 0 + 3 * (1 - i / 12.0::DOUBLE) ** 2 * (i / 12.0::DOUBLE) * p_size + 3 * (1 - i / 12.0::DOUBLE) * (i / 12.0::DOUBLE) ** 2 * 50 + (i / 12.0::DOUBLE) ** 3 * 100), 6) AS sx FROM part, (SELECT unnest(range(13)) AS i) GROUP BY p_partkey")
 def g27_bezier(spark, d):
     n = F.lit
@@ -374,20 +355,6 @@ def p14_line_scale(spark, d):
     return views.ink(spark, d).groupBy("ink_id").agg(_r(paths.line_scale(10.0)).alias("scale"))
 
 
-@query("SELECT ink_id FROM v_ink GROUP BY ink_id HAVING max(y) - min(y) < 120 AND (max(x) - min(x)) BETWEEN 60 AND 400", "v_ink")
-def p15_plausible(spark, d):
-    size = paths.extent(views.ink(spark, d))
-    return size.filter((F.col("height") < 120) & F.col("width").between(60, 400)).select("ink_id")
-
-
-@query("SELECT ink_id, stroke_id, point_id FROM v_ink WHERE stroke_id <= (ink_id % 4)", "v_ink")
-def p16_trim_strokes(spark, d):
-    """Strokes after the first whose label lies past the text's end go; the label here is the stroke's number."""
-    rows = views.ink(spark, d).withColumn("past", F.col("stroke_id") > F.col("ink_id") % 4)
-    w = Window.partitionBy("ink_id").orderBy("stroke_id").rangeBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("cut", F.max("past").over(w)).filter("not cut").select("ink_id", "stroke_id", "point_id")
-
-
 @query("SELECT ink_id, stroke_id, list_sum(list_transform([0, 2, 4, 5, 7], lambda i: xs[i + 1]))::DOUBLE AS sx FROM (SELECT ink_id, stroke_id, list(x ORDER BY point_id) AS xs FROM v_ink GROUP BY ALL)".replace("[0, 2, 4, 5, 7]", "list_transform(range(5), lambda k: round_even(k * 7 / 4::DOUBLE, 0)::INT)").replace("::DOUBLE AS sx", " AS sx").replace("list_sum(", "round(list_sum(").replace(") AS sx", "), 6) AS sx", 1), "v_ink")
 def p17_subsample(spark, d):
     rows = views.inks(spark, d).select("ink_id", F.posexplode("strokes").alias("stroke_id", "s"))
@@ -598,31 +565,6 @@ def j4_words_in_labels(spark, d):
     return rows.groupBy("page", "word").agg(F.min("idx").alias("label"))
 
 
-_CELLS = "cell AS (SELECT DISTINCT ink_id % 20 AS page, ink_id AS item, floor(x / 8)::INT AS cx, floor(y / 8)::INT AS cy FROM v_ink)"
-
-
-@query(f"WITH {_CELLS} SELECT p.page, p.item AS a, q.item AS b, count(*) AS hits FROM cell p JOIN cell q ON p.page = q.page AND p.item < q.item AND (p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2 <= 1 GROUP BY ALL HAVING count(*) >= 3", "v_ink")
-def j9_near_ink(spark, d):
-    ink = views.ink(spark, d)
-    cells = ink.select((F.col("ink_id") % 20).alias("page"), F.col("ink_id").alias("item"), F.floor(F.col("x") / 8).alias("cx"), F.floor(F.col("y") / 8).alias("cy"))
-    return spatial.near_pairs(cells, 1, 3)
-
-
-@query(f"WITH {_CELLS} SELECT page, cx, cy, count(*) AS items FROM cell GROUP BY ALL", "v_ink")
-def a13_grid_cells(spark, d):
-    ink = views.ink(spark, d)
-    cells = ink.select((F.col("ink_id") % 20).alias("page"), F.col("ink_id").alias("item"), F.floor(F.col("x") / 8).cast("int").alias("cx"), F.floor(F.col("y") / 8).cast("int").alias("cy"))
-    return cells.distinct().groupBy("page", "cx", "cy").agg(F.count("*").alias("items"))
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS width FROM lineitem WHERE l_quantity >= 20 AND l_discount > 0")
-def io19_tsv_rows(spark, d):
-    li = table(spark, d, "lineitem")
-    raw = li.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("string").alias("conf"), F.col("l_discount").cast("string").alias("width"))
-    ok = F.expr("try_cast(conf as double) >= 20 and try_cast(width as double) > 0")
-    return raw.filter(ok).select("l_orderkey", "l_linenumber", "l_partkey", F.expr("try_cast(conf as double)").alias("width"))
-
-
 # --- joins, rules and graphs ----------------------------------------------------------------------------------------
 
 
@@ -724,55 +666,11 @@ def a1_micro_metrics(spark, d):
     return evaluation.micro(_metrics(spark, d)).withColumns({c: _r(c) for c in ("recall", "false_rate")})
 
 
-_READS = "reads AS (SELECT conv_id, turn, levenshtein(a, b) AS errors, strlen(a)::BIGINT AS tokens FROM (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE a IS NOT NULL AND b IS NOT NULL)"
-
-
-def _reads(spark, d):
-    """Each turn read as the next one of its conversation; tokens are the bytes of UTF-8, a character each here."""
-    text = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    # the work by row is large for its bytes, so that partitions aren't merged by size
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = table(spark, d, "conversations").repartition(parts, "conv_id").select("conv_id", "turn", text.alias("a"), F.lead(text).over(w).alias("b")).filter("a is not null and b is not null")
-    return rows.withColumns({"errors": F.levenshtein("a", "b"), "tokens": F.length("a").cast("long")})
-
-
-@query(f"WITH {_READS} SELECT conv_id, turn, errors FROM reads")
-def e1_edit_distance(spark, d):
-    return _reads(spark, d).select("conv_id", "turn", "errors")
-
-
-@query(f"WITH {_READS} SELECT conv_id, turn, errors::BIGINT AS edits FROM reads")
-def e2_edit_script(spark, d):
-    ops = evaluation.edit_ops(tx.char_tokens(F.col("b")), tx.char_tokens(F.col("a")))
-    return _reads(spark, d).select("conv_id", "turn", F.size(ops).cast("long").alias("edits"))
-
-
-@query(f"WITH {_READS} SELECT conv_id % 7 AS grp, count(*) AS n, round(sum(errors) / sum(tokens), 6) AS error_rate, round(avg((errors = 0)::INT), 6) AS exact FROM reads GROUP BY 1")
-def a3_error_rate(spark, d):
-    rows = evaluation.error_rate(_reads(spark, d).withColumn("grp", F.col("conv_id") % 7), "grp")
-    return rows.withColumns({c: _r(c) for c in ("error_rate", "exact")})
-
-
-@query(f"WITH {_READS} SELECT sum(errors)::BIGINT AS errors, sum(tokens)::BIGINT AS tokens FROM reads")
-def a4_error_kinds(spark, d):
-    ops = evaluation.edit_ops(tx.char_tokens(F.col("b")), tx.char_tokens(F.col("a")))
-    rows = _reads(spark, d).select("tokens", ops.alias("ops"))
-    of = lambda k: F.size(F.filter("ops", lambda o: o["kind"] == k))
-    return rows.agg((F.sum(of("sub")) + F.sum(of("drop")) + F.sum(of("add"))).alias("errors"), F.sum("tokens").alias("tokens"))
-
-
 @query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, event_type LIMIT 3")
 def a5_most_common(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query(f"WITH {_READS} SELECT CASE WHEN tokens <= 10 THEN '1-10' WHEN tokens <= 25 THEN '11-25' WHEN tokens <= 60 THEN '26-60' WHEN tokens <= 500 THEN '61-500' WHEN tokens <= 4000 THEN '501-4000' END AS len, count(*) AS n, round(sum(errors) / sum(tokens), 6) AS error_rate FROM reads WHERE tokens > 0 GROUP BY 1")
-def a6_bucketed_rates(spark, d):
-    rows = _reads(spark, d).filter("tokens > 0").withColumn("len", evaluation.bucket(F.col("tokens"), 10, 25, 60, 500, 4000))
-    return evaluation.error_rate(rows, "len").select("len", "n", _r("error_rate").alias("error_rate"))
-
-
 @query("SELECT round(avg(best::INT), 6) AS best, count(*) AS labels FROM (SELECT quality, doc_id % 50 AS k, bool_or(toxic = quality) AS best FROM labels GROUP BY ALL)")
 def a7_best_of(spark, d):
     rows = table(spark, d, "labels").groupBy("quality", (F.col("doc_id") % 50).alias("k")).agg(F.bool_or(F.col("toxic") == F.col("quality")).alias("best"))
@@ -802,12 +700,6 @@ def a11_rejection_rate(spark, d):
     return table(spark, d, "labels").agg(_r(evaluation.ratio(F.sum("toxic"), F.count("*"))).alias("rate"))
 
 
-@query("SELECT source AS page, string_agg(lang, ' ' ORDER BY doc_id) AS text, sum(n_chars)::BIGINT AS points, bool_or(n_chars < 30) AS fallback FROM documents GROUP BY source")
-def a14_page_merge(spark, d):
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "lang")))["lang"], " ")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("page")).agg(text.alias("text"), F.sum("n_chars").alias("points"), F.bool_or(F.col("n_chars") < 30).alias("fallback"))
-
-
 @query("SELECT round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS loss FROM lineitem")
 def a15_weighted_mean(spark, d):
     return table(spark, d, "lineitem").agg(_r(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity")).alias("loss"))
@@ -830,24 +722,11 @@ def w2_fragment_order(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(owner, "event_id")).alias("place"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) WHERE list_contains(list_transform(range(9), lambda k: floor(k * (n - 1) / 8)::BIGINT), i)")
-def w9_evenly_spaced(spark, d):
-    return evaluation.evenly(table(spark, d, "documents").select("doc_id", "n_chars"), 9, "n_chars", "doc_id").select("doc_id")
-
-
 @query("SELECT writer, t, round(sum(x) OVER (PARTITION BY writer ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7, 6) AS m FROM v_pen", "v_pen")
 def w10_moving_average(spark, d):
     return views.pen(spark, d).select("writer", "t", _r(paths.curvature_mean("x", "writer", "t")).alias("m"))
 
 
-@query("SELECT writer, t, round(sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY writer ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS way FROM (SELECT writer, t, coalesce(x - lag(x) OVER w, 0) AS dx, coalesce(y - lag(y) OVER w, 0) AS dy FROM v_pen WINDOW w AS (PARTITION BY writer ORDER BY t))", "v_pen")
-def w11_cumulative_way(spark, d):
-    w = Window.partitionBy("writer").orderBy("t")
-    step = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-    rows = views.pen(spark, d).withColumns({"dx": step("x"), "dy": step("y")})
-    return rows.select("writer", "t", _r(F.sum(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("way"))
-
-
 @query("SELECT writer % 10 AS page, writer, row_number() OVER (PARTITION BY writer % 10 ORDER BY t0, writer) - 1 AS trace FROM (SELECT writer, min(t) AS t0 FROM v_pen GROUP BY writer)", "v_pen")
 def w12_trace_numbers(spark, d):
     first = views.pen(spark, d).groupBy("writer").agg(F.min("t").alias("t0")).withColumn("page", F.col("writer") % 10)
@@ -864,16 +743,6 @@ def o3_worst(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
 
 
-@query()
-def o4_shuffle(spark, d):
-    return corpus.sharded(table(spark, d, "documents").select("doc_id"), "doc_id", 64, 7)
-
-
-@query()
-def o5_sample(spark, d):
-    return corpus.picked(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 5, 7)
-
-
 @query("SELECT DISTINCT lang, source FROM documents")
 def o7_dedup(spark, d):
     return table(spark, d, "documents").select("lang", "source").distinct()
@@ -891,21 +760,6 @@ def o9_union(spark, d):
     return a.unionByName(table(spark, d, "documents").select(F.lit(1).alias("part"), F.col("doc_id").alias("id"), "text"))
 
 
-@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 128)::INT AS shard FROM documents")
-def o11_chunks(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.floor((F.row_number().over(w) - 1) / 128).cast("int").alias("shard"))
-
-
-@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars::INT AS len, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k FROM documents),
-f AS (SELECT source, 0::BIGINT AS k, 0 AS batch, 0 AS n, NULL::BIGINT AS doc_id, NULL::INT AS len FROM (SELECT DISTINCT source FROM o)
-  UNION ALL SELECT f.source, o.k, CASE WHEN f.n > 0 AND o.len * (f.n + 1) > 20000 THEN batch + 1 ELSE batch END, CASE WHEN f.n > 0 AND o.len * (f.n + 1) > 20000 THEN 1 ELSE f.n + 1 END, o.doc_id, o.len FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1)
-SELECT source, doc_id, len, batch FROM f WHERE k > 0""")
-def o12_batches(spark, d):
-    rows = table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").cast("int").alias("len"))
-    return corpus.batches(rows, "source", "doc_id", "len", 20_000)
-
-
 @query("SELECT s_suppkey, ['a', 'b', 'c'][(s_suppkey + 1) % 3 + 1] AS font FROM supplier")
 def o13_rotate_fonts(spark, d):
     fonts = F.array(*map(F.lit, "abc"))
@@ -973,12 +827,6 @@ def st2_resolve_targets(spark, d):
     return sequences.resolved(targets, spans)
 
 
-@query("SELECT writer, t, t - lag(t) OVER (PARTITION BY writer % 10 ORDER BY t) AS gap FROM v_pen", "v_pen")
-def st3_interleave(spark, d):
-    pen = views.pen(spark, d)
-    return pen.select("writer", "t", (F.col("t") - F.lag("t").over(Window.partitionBy(F.col("writer") % 10).orderBy("t"))).alias("gap"))
-
-
 def _samples(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("writer"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
 
@@ -1018,13 +866,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c3_detokenize(spark, sf_dir)
 
 
-@query("SELECT p_partkey, CASE WHEN NOT regexp_matches(id, '^[A-Za-z][A-Za-z0-9_-]*$') THEN 'syntax' ELSE 'duplicate' END AS problem FROM (SELECT p_partkey, replace(p_name, '#', '-') AS id, count(*) OVER (PARTITION BY replace(p_name, '#', '-')) AS n FROM part) WHERE n > 1 OR NOT regexp_matches(id, '^[A-Za-z][A-Za-z0-9_-]*$')")
-def v1_ids(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit("#"), F.lit("-")).alias("id"))
-    rows = rows.withColumns({"n": F.count("*").over(Window.partitionBy("id")), "good": F.col("id").rlike(tx.IDENTIFIER)})
-    return rows.filter("n > 1 or not good").select("p_partkey", F.when(~F.col("good"), "syntax").otherwise("duplicate").alias("problem"))
-
-
 @query("""WITH a AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations),
 bad AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND (c NOT IN (SELECT c FROM a) OR c NOT IN (SELECT c FROM b)))
 SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)""")
@@ -1042,14 +883,6 @@ def o10_concatenate(spark, d):
     return one(0).unionByName(one(1)).unionByName(one(2))
 
 
-@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE i % greatest(n // 5, 1) = 0")
-def o6_stratified(spark, d):
-    """Picks at even steps of the length order of each group."""
-    w = Window.partitionBy("lang")
-    rows = table(spark, d, "documents").select("lang", "doc_id", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return rows.filter("i % greatest(n div 5, 1) = 0").select("lang", "doc_id")
-
-
 @query("""SELECT ink_id, round(sum(nx), 6) AS sx, round(max(ny), 6) AS top FROM (SELECT ink_id, x * (1 + (ink_id % 7) / 70.0::DOUBLE) + y * 0.1::DOUBLE AS nx, y * (1 - (ink_id % 5) / 50.0::DOUBLE) AS ny FROM v_ink) GROUP BY ink_id""", "v_ink")
 def p23_affine(spark, d):
     """Affine augmentation with factors drawn from the ink's number, so that any partitioning gives the same."""
@@ -1057,16 +890,3 @@ def p23_affine(spark, d):
     rows = views.ink(spark, d).select("ink_id", (F.col("x") * sx + F.col("y") * 0.1).alias("nx"), (F.col("y") * sy).alias("ny"))
     return rows.groupBy("ink_id").agg(_r(F.sum("nx")).alias("sx"), _r(F.max("ny")).alias("top"))
 
-
-@query("SELECT ink_id, stroke_id, point_id, round((x - coalesce(lag(x) OVER w, x)) * 0.1::DOUBLE, 6) AS dx FROM v_ink WINDOW w AS (PARTITION BY ink_id ORDER BY stroke_id, point_id)", "v_ink")
-def p10_convert_units(spark, d):
-    """Offsets in another unit: positions scaled by a tenth, then differences."""
-    small = views.ink(spark, d).withColumns({"x": F.col("x") * 0.1, "y": F.col("y") * 0.1})
-    return paths.to_offsets(small).select("ink_id", "stroke_id", "point_id", _r("dx").alias("dx"))
-
-
-@query(f"SELECT a.page, a.idx AS a, b.idx AS b, CASE WHEN a.t = b.t AND a.l < b.r AND b.l < a.r THEN 'overlap' WHEN a.t > b.t AND a.t < b.b AND b.l > a.l AND b.l < a.r THEN 'cross' ELSE 'free' END AS kind FROM {_PAIRS}", "v_box")
-def g21_segment_conflicts(spark, d):
-    """The top side of one box against the top and left sides of another: shared way, crossing, or neither."""
-    kind = F.when(F.expr("at = bt and al < br and bl < ar"), "overlap").when(F.expr("at > bt and at < bb and bl > al and bl < ar"), "cross").otherwise("free")
-    return _box_pairs(spark, d).select("page", F.col("ai").alias("a"), F.col("bi").alias("b"), kind.alias("kind"))

@@ -181,7 +181,7 @@ def test_edit_script(spark):
     assert evaluation.edit_script(list("abc"), list("abd")) == [("sub", "d", "c")]
     assert evaluation.edit_script(list("ab"), list("abc")) == [("drop", "c", None)] and evaluation.edit_script(list("abc"), list("ab")) == [("add", None, "c")]
     a, b = (tx.char_tokens(F.lit(x)) for x in ("kitten", "sitting"))
-    assert one(spark, tx.token_distance(a, b, F.array_union(a, b)))[0] == 3
+    assert one(spark, tx.token_distance(a, b))[0] == 3
 
 
 def test_spline_basis():
