@@ -19,6 +19,20 @@ def stretch_factor(most: float, share: float, *key: Column | str) -> Column:
     return F.when(chance(*key, "whether") < share, F.exp(u * F.log(F.lit(most)))).otherwise(F.lit(1.0))
 
 
+def affine(points: DataFrame, by: str, turn: float = 0.1, shear: float = 0.2, stretch: float = 0.15, jitter: float = 0.003) -> DataFrame:
+    """Ink ``by, stroke_id, point_id, x, y`` turned by up to ``turn``, sheared by up to ``shear`` and stretched in x by exp(-/+ ``stretch``), by chance of its key; points move by a normal deviate times ``jitter``."""
+    ink = lambda width, name: (chance(F.col(by), name) * 2 - 1) * width
+
+    def normal(name: str) -> Column:
+        u, v = (chance(F.col(by), F.col("stroke_id"), F.col("point_id"), f"{name}{k}") for k in (1, 2))
+        return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v) * jitter
+
+    rows = points.withColumns({"__a": ink(turn, "turn"), "__s": ink(shear, "shear"), "__w": F.exp(ink(stretch, "stretch")), "__x": F.col("x"), "__y": F.col("y")})
+    x = F.expr("cos(__a) * __w * __x + (cos(__a) * __s - sin(__a)) * __y") + normal("x")
+    y = F.expr("sin(__a) * __w * __x + (sin(__a) * __s + cos(__a)) * __y") + normal("y")
+    return rows.withColumns({"x": x, "y": y}).drop("__a", "__s", "__w", "__x", "__y")
+
+
 def typo(word: Column, *key: Column | str) -> Column:
     """A misspelling of a word of two letters or more: neighbours swapped, a letter dropped or doubled, or only a beginning."""
     n = F.length(word)

@@ -107,3 +107,8 @@ def only_for_training(lines: DataFrame, split: str = "split") -> DataFrame:
     """The same lines; a held-out one (``valid`` or ``test``) stops the job, so that none is ever rendered."""
     held = F.col(split).isin("valid", "test")
     return lines.withColumn(split, F.when(held, F.raise_error(F.concat(F.lit("held-out line of split "), F.col(split)))).otherwise(F.col(split)))
+
+
+def dropped(lines: DataFrame, tokens: str, points: str, most_tokens: int = 50, most_points: int = 2000) -> DataFrame:
+    """``lines`` with ``reason``: ``tokens`` or ``points`` where a line has too many (tokens are asked first), null where it stays."""
+    return lines.withColumn("reason", F.when(F.size(tokens) > most_tokens, "tokens").when(F.col(points) > most_points, "points"))

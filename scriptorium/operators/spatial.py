@@ -68,6 +68,13 @@ def flow_order(nodes: DataFrame, band: float = 48.0) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).drop("__lane")
 
 
+def fragment_order(fragments: DataFrame, places: DataFrame) -> DataFrame:
+    """Add ``order`` to ``fragments(page, idx, owner, t, l)``: by the place of the owner in ``places(page, idx, place)``, fragments without one last, then top, left, idx."""
+    own = places.select("page", F.col("idx").alias("owner"), "place")
+    w = Window.partitionBy("page").orderBy(F.col("place").asc_nulls_last(), "t", "l", "idx")
+    return fragments.join(own, ["page", "owner"], "left").withColumn("order", F.row_number().over(w)).drop("place")
+
+
 def labelled(words: DataFrame, regions: DataFrame, share: float = 0.5) -> DataFrame:
     """Regions with the words that lie in them by ``share`` or more, joined in (top, left) order: ``page, idx, words``."""
     w = words.select("page", F.col("idx").alias("wid"), "label", *[F.col(c).alias(f"w{c}") for c in BOX])

@@ -183,7 +183,7 @@ def v10_warnings(spark, d):
 # --- geometry and joins ---------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT ink_id, stroke_id, point_id, round_even(x, 2) AS x, round_even(y, 2) AS y FROM v_ink", "v_ink")
 def g16_rounded(spark, d):
     return views.ink(spark, d).select("ink_id", "stroke_id", "point_id", augment.rounded(F.col("x")).alias("x"), augment.rounded(F.col("y")).alias("y"))
 

@@ -439,12 +439,6 @@ def t9_normalise(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.normal_label(F.col("text")).alias("label"))
 
 
-@query()
-def t10_wrap_lines(spark, d):
-    lines = tx.wrapped(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 40)
-    return table(spark, d, "benchmark").select("item_id", F.size(lines).alias("lines"), F.array_join(lines, "\n").alias("text"))
-
-
 @query("SELECT item_id, sum(CASE WHEN c BETWEEN 'a' AND 'z' THEN 5 WHEN c = ' ' THEN 3 ELSE 7 END)::BIGINT AS width FROM (SELECT item_id, unnest(string_split(text, '')) AS c FROM benchmark) WHERE c <> '' GROUP BY item_id")
 def t11_text_width(spark, d):
     """Sum of advances from a table of characters (the stand-in's rule: 5 for a-z, 3 for a space, 7 else)."""
@@ -640,12 +634,6 @@ def j17_closure(spark, d):
     return sequences.closure(chain.filter("dst is not null"))
 
 
-@query("SELECT count(*) FILTER (WHERE n_chars > 5000) AS too_long, count(*) FILTER (WHERE length(text) < 20) AS too_short, count(*) FILTER (WHERE n_chars <= 5000 AND length(text) >= 20) AS kept FROM documents")
-def v14_drop_rules(spark, d):
-    long, short = F.col("n_chars") > 5000, F.length("text") < 20
-    return table(spark, d, "documents").agg(F.count_if(long).alias("too_long"), F.count_if(short).alias("too_short"), F.count_if(~long & ~short).alias("kept"))
-
-
 # --- aggregates and evaluation --------------------------------------------------------------------------------------
 
 _MATCH = _greedy_sql() + ", m AS (SELECT page, count(*) AS n_matched FROM f WHERE took GROUP BY page), e AS (SELECT page, count(*) FILTER (WHERE idx % 2 = 1) AS n_expected, count(*) FILTER (WHERE idx % 2 = 0) AS n_found FROM v_box GROUP BY page), z AS (SELECT page, n_expected, n_found, coalesce(n_matched, 0) AS n_matched FROM e LEFT JOIN m USING (page))"
@@ -716,12 +704,6 @@ def w3_contiguous_runs(spark, d):
     return sequences.run_targets(table(spark, d, "events"), "user_id", "event_id", F.col("value") > 50)
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(CASE WHEN value > 50 THEN event_type END, 'zz'), event_id) AS place FROM events")
-def w2_fragment_order(spark, d):
-    owner = F.coalesce(F.when(F.col("value") > 50, F.col("event_type")), F.lit("zz"))
-    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(owner, "event_id")).alias("place"))
-
-
 @query("SELECT writer, t, round(sum(x) OVER (PARTITION BY writer ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7, 6) AS m FROM v_pen", "v_pen")
 def w10_moving_average(spark, d):
     return views.pen(spark, d).select("writer", "t", _r(paths.curvature_mean("x", "writer", "t")).alias("m"))
@@ -882,11 +864,3 @@ def o10_concatenate(spark, d):
     one = lambda k: rows.filter(F.col("doc_id") % 3 == k).select("doc_id", F.lit(k + 1).cast("long").alias("shard"))
     return one(0).unionByName(one(1)).unionByName(one(2))
 
-
-@query("""SELECT ink_id, round(sum(nx), 6) AS sx, round(max(ny), 6) AS top FROM (SELECT ink_id, x * (1 + (ink_id % 7) / 70.0::DOUBLE) + y * 0.1::DOUBLE AS nx, y * (1 - (ink_id % 5) / 50.0::DOUBLE) AS ny FROM v_ink) GROUP BY ink_id""", "v_ink")
-def p23_affine(spark, d):
-    """Affine augmentation with factors drawn from the ink's number, so that any partitioning gives the same."""
-    sx, sy = 1 + (F.col("ink_id") % 7) / 70.0, 1 - (F.col("ink_id") % 5) / 50.0
-    rows = views.ink(spark, d).select("ink_id", (F.col("x") * sx + F.col("y") * 0.1).alias("nx"), (F.col("y") * sy).alias("ny"))
-    return rows.groupBy("ink_id").agg(_r(F.sum("nx")).alias("sx"), _r(F.max("ny")).alias("top"))
-

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..operators import corpus, evaluation, paths, sequences, spatial, validation
+from ..operators import augment, corpus, evaluation, paths, sequences, spatial, validation
 from . import views
-from .queries import _r, query
+from .queries import _FLOW, _nodes, _r, query
 from .views import table
 
 # --- readings as tokens ---------------------------------------------------------------------------------------------
@@ -272,6 +272,27 @@ def p16_trim_strokes(spark, d):
     return paths.trimmed(rows).select("ink_id", "stroke_id", "point_id", "char", "eos")
 
 
+def _chance(*key: str) -> str:
+    """DuckDB's twin of ``augment.chance``."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(key)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _normal(c: str) -> str:
+    u, v = (_chance("ink_id", "stroke_id", "point_id", f"'{c}{k}'") for k in (1, 2))
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}) * 0.003"
+
+
+@query(f"""
+WITH drawn AS (
+  SELECT *, ({_chance("ink_id", "'turn'")} * 2 - 1) * 0.1 AS a, ({_chance("ink_id", "'shear'")} * 2 - 1) * 0.2 AS s, exp(({_chance("ink_id", "'stretch'")} * 2 - 1) * 0.15) AS w FROM v_ink
+)
+SELECT ink_id, stroke_id, point_id, round(cos(a) * w * x + (cos(a) * s - sin(a)) * y + {_normal("x")}, 6) AS x, round(sin(a) * w * x + (sin(a) * s + cos(a)) * y + {_normal("y")}, 6) AS y
+FROM drawn""", "v_ink")
+def p23_affine(spark, d):
+    rows = augment.affine(views.ink(spark, d), "ink_id")
+    return rows.select("ink_id", "stroke_id", "point_id", _r("x").alias("x"), _r("y").alias("y"))
+
+
 #: Speeds of 40 to 75 a second along each stroke, sampled 20 times a second.
 _TIMED = """
 seg AS (
@@ -298,6 +319,33 @@ def w11_timed_samples(spark, d):
     return rows.select("ink_id", "stroke_id", F.col("sample").cast("long").alias("sample"), _r("t").alias("t"), F.round("x", 4).alias("x"))
 
 
+@query(r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM benchmark
+), lines AS (
+  SELECT item_id, 1 AS i, 1 AS line, w[1] AS held FROM words WHERE len(w) > 0
+  UNION ALL
+  SELECT item_id, i + 1, CASE WHEN length(held) + 1 + length(w[i + 1]) <= 40 THEN line ELSE line + 1 END, CASE WHEN length(held) + 1 + length(w[i + 1]) <= 40 THEN held || ' ' || w[i + 1] ELSE w[i + 1] END
+  FROM lines JOIN words USING (item_id) WHERE i < len(w)
+), whole AS (
+  SELECT item_id, line, arg_max(held, i) AS held FROM lines GROUP BY ALL
+)
+SELECT b.item_id, coalesce(t.n, 0)::INT AS lines, coalesce(t.text, '') AS text FROM benchmark b
+LEFT JOIN (SELECT item_id, count(*) AS n, string_agg(held, chr(10) ORDER BY line) AS text FROM whole GROUP BY item_id) t ON t.item_id = b.item_id""")
+def t10_wrap_lines(spark, d):
+    lines = tx.wrapped(tx.words(F.col("text")), 40)
+    return table(spark, d, "benchmark").select("item_id", F.size(lines).alias("lines"), F.array_join(lines, "\n").alias("text"))
+
+
+@query(r"""
+SELECT count(*) FILTER (WHERE tokens > 50) AS too_long, count(*) FILTER (WHERE tokens <= 50 AND n_chars > 200) AS too_many_points, count(*) FILTER (WHERE tokens <= 50 AND n_chars <= 200) AS kept
+FROM (SELECT n_chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS tokens FROM documents)""")
+def v14_drop_rules(spark, d):
+    rows = table(spark, d, "documents").select(tx.words(F.col("text")).alias("tokens"), "n_chars")
+    rows = corpus.dropped(rows, "tokens", "n_chars", 50, 200)
+    return rows.agg(F.count_if(F.col("reason") == "tokens").alias("too_long"), F.count_if(F.col("reason") == "points").alias("too_many_points"), F.count_if(F.col("reason").isNull()).alias("kept"))
+
+
 # --- geometry -------------------------------------------------------------------------------------------------------
 
 
@@ -356,6 +404,14 @@ def g21_segment_conflicts(spark, d):
     return rows.select("page", "a", "b", "side", g.segment_conflict((F.col("ax"), F.col("y"), F.col("bx"), F.col("y")), second).alias("conflict"))
 
 
+@query(f"""WITH {_FLOW}
+SELECT b.page, b.idx, row_number() OVER (PARTITION BY b.page ORDER BY fl.place NULLS LAST, b.t, b.l, b.idx) AS "order" FROM v_box b LEFT JOIN fl ON fl.page = b.page AND fl.idx = b.idx * 3 % 5""", "v_box")
+def w2_fragment_order(spark, d):
+    """Boxes as fragments of the nodes; some have none."""
+    fragments = views.boxes(spark, d).select("page", "idx", "t", "l", (F.col("idx") * 3 % 5).alias("owner"))
+    return spatial.fragment_order(fragments, spatial.flow_order(_nodes(spark, d))).select("page", "idx", "order")
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 _TSV = """
