@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running
+from ..operators.ranks import ranked
 
 #: A rendered turn is OPEN + role + MIDDLE + text + CLOSE.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: The role whose turns a model learns.
 LEARNED = "assistant"
-#: Conversations with one opening whose ranks one task works out together come from so many ranges of hashes.
-RUNS = 1 << 10
 _TURN = "array<struct<role:string,text:string>>"
 
 
@@ -67,15 +65,18 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
     there repeats the turn before it.  Turns are ordered by (turn, role, text);
     rows without conv_id belong to no conversation and are left out.
     """
+    own = F.col("conv_id").cast("long").alias("conv_id")
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("all"))
-    whole = whole.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    keyed = whole.select("conv_id", F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"])).alias("opening"), _hash().alias("h"))
-    ranked = running(keyed, ["opening"], F.shiftright("h", 50), [F.col("h"), F.col("conv_id")], F.lit(1), "rank")
-    pair = ranked.select("conv_id", F.concat_ws(":", "opening", F.floor(F.col("rank") / 2)).alias("pair"))
-    both = pair.groupBy("pair").agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
-    out = both.join(whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")), "chosen_id")
-    out = out.join(whole.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("other")), "rejected_id")
+    turns = conversations.filter("conv_id is not null").select(own, turn.alias("t"))
+    # pairs are found on ids alone; the turns come once, by pair
+    first = turns.groupBy("conv_id").agg(F.min("t").alias("t"))
+    keyed = first.select("conv_id", F.md5(F.concat("t.role", F.lit("\n"), "t.text")).alias("opening"), _hash().alias("h"))
+    place = ranked(keyed, ["h", "conv_id"], "opening")
+    both = place.groupBy("opening", F.expr("rank div 2").alias("pair")).agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
+    member = both.select("chosen_id", "rejected_id", F.explode(F.array_distinct(F.array("chosen_id", "rejected_id"))).alias("conv_id"))
+    out = turns.join(member, "conv_id").groupBy("chosen_id", "rejected_id").agg(F.sort_array(F.collect_list(F.struct((F.col("conv_id") != F.col("chosen_id")).alias("other"), "t"))).alias("all"))
+    side = lambda other: F.transform(F.filter("all", lambda x: x["other"] == other), lambda x: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text")))
+    out = out.select("chosen_id", "rejected_id", side(F.lit(False)).alias("chosen"), side(F.lit(True)).alias("other"))
     last = F.array_max(F.filter(F.sequence(F.lit(1), F.size("chosen")), lambda i: F.element_at("chosen", i)["role"] == LEARNED))
     stale = F.transform("chosen", lambda t, i: F.when(i + 1 == F.col("last"), F.struct(t["role"].alias("role"), F.element_at("chosen", F.greatest(F.col("last") - 1, F.lit(1)))["text"].alias("text"))).otherwise(t))
     out = out.withColumn("last", last).withColumn("rejected", F.when(F.col("chosen_id") == F.col("rejected_id"), F.when(F.col("last").isNull(), F.col("chosen")).otherwise(stale)).otherwise(F.col("other")))
