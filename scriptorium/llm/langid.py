@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,12 @@ ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Languages of one broadcast matrix: with BUCKETS this bounds it to 128 MB; more languages take several, one after the other.
 BLOCK_LANGUAGES = 512
 SMOOTHING = 0.5
-#: Grams whose log-probabilities are gathered at once, and languages.
-GRAM_STEP, LANGUAGE_STEP = 1 << 16, 16
+#: Grams whose log-probabilities are gathered at once.
+GRAM_STEP = 1 << 16
 #: A text is in no learned language if its grams are less likely, by so many nats on average and standard deviations of
 #: such an average, than grams of the language are. Grams overlap, so fewer than all count as independent.
 STRANGE_NATS, STRANGE_DEVIATIONS, OVERLAP = 2.0, 6.0, 6
 _WORD = re.compile(r"[^\W\d_]+")
-#: Whatever is no letter separates words, so digits, tokens and marks say nothing of a language.
-_BREAKS = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 UNKNOWN = "und"
 
@@ -37,11 +37,23 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point, whether it is part of a word: letters, and marks on them."""
+    return np.fromiter((c.isalpha() or unicodedata.category(c)[0] == "M" for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
 def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of all texts' lower-cased character n-grams, an order at a time; whatever is no letter counts as one space, edges too."""
-    plain = [f" {_BREAKS.sub(' ', t.lower())} " for t in texts]
-    chars = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(plain)), [len(t) for t in plain])
+    plain = [f" {t.lower()} " for t in texts]
+    code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(plain), dtype=np.int32), [len(t) for t in plain])
+    word = _letters()[code]
+    keep = word.copy()
+    # of a run of other characters of one text the first stays, as a space
+    keep[:1] = True
+    keep[1:] |= word[:-1] | (owner[1:] != owner[:-1])
+    chars, owner = np.where(word, code, np.uint32(32))[keep].astype(np.uint64), owner[keep]
     shift, sums = np.uint64(64 - (buckets.bit_length() - 1)), None
     for n in ORDERS:
         m = len(chars) - n + 1
@@ -55,7 +67,7 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray
 
 @dataclass
 class Block:
-    """Some of the learned languages: log-probabilities of (buckets, languages), log-priors, and the mean and variance of a gram's log-probability in each language."""
+    """Some of the learned languages: log-probabilities of (languages, buckets), log-priors, and the mean and variance of a gram's log-probability in each language."""
 
     langs: list[str]
     logs: np.ndarray
@@ -112,20 +124,21 @@ def fit(labelled: DataFrame, buckets: int = BUCKETS) -> list[Broadcast]:
         logs = np.log(p)
         mean = (p * logs).sum(0)
         priors = np.log([docs / total for _, docs in known[at : at + BLOCK_LANGUAGES]])
-        blocks.append(spark.sparkContext.broadcast(Block(langs, logs, priors, mean, (p * logs**2).sum(0) - mean**2)))
+        blocks.append(spark.sparkContext.broadcast(Block(langs, np.ascontiguousarray(logs.T), priors, mean, (p * logs**2).sum(0) - mean**2)))
     return blocks
 
 
-def scores(texts: list[str], block: Block) -> np.ndarray:
-    """Log-likelihoods, (texts, languages), of texts with a letter."""
-    out = np.zeros((len(texts), len(block.langs)))
-    for owner, bucket in grams(texts, len(block.logs)):
+def scores(texts: list[str], block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods, (texts, languages), of texts with a letter, and how many grams each has."""
+    out, sizes = np.zeros((len(block.langs), len(texts))), np.zeros(len(texts), np.int64)
+    for owner, bucket in grams(texts, block.logs.shape[1]):
+        sizes += np.bincount(owner, minlength=len(texts))
         for at in range(0, len(owner), GRAM_STEP):
             own, places = owner[at : at + GRAM_STEP], bucket[at : at + GRAM_STEP]
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            for k in range(0, len(block.langs), LANGUAGE_STEP):
-                out[own[starts], k : k + LANGUAGE_STEP] += np.add.reduceat(block.logs[places, k : k + LANGUAGE_STEP], starts, axis=0)
-    return out
+            for k, logs in enumerate(block.logs):
+                out[k, own[starts]] += np.add.reduceat(logs[places], starts)
+    return out.T, sizes
 
 
 def predict(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[str, float, bool]]:
@@ -135,14 +148,11 @@ def predict(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[str,
     if not known or not blocks:
         return result
     own = [texts[i] for i in known]
-    sizes = np.zeros(len(own))
-    for owner, _ in grams(own):
-        sizes += np.bincount(owner, minlength=len(own))
     best, total = np.full(len(own), -np.inf), np.full(len(own), -np.inf)
     name, strange = np.empty(len(own), object), np.zeros(len(own), bool)
     for model in blocks:
         block = model.value
-        likely = scores(own, block)
+        likely, sizes = scores(own, block)
         joint = likely + block.priors
         at = joint.argmax(1)
         top = joint[np.arange(len(own)), at]
