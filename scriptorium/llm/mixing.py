@@ -16,6 +16,8 @@ from .common import running, table_written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Words of a block, and the least blocks that a source is cut in (or a block a word).
 BLOCK_WORDS, SOURCE_BLOCKS = 64, 256
+#: Blocks of a larger mix grow, so that there are about so many and every source keeps points of the schedule.
+MOST_BLOCKS = 1 << 29
 #: No document is taken more often.
 MAX_REPEATS = 3
 #: Golden-ratio points: multiples of this odd number (nearest 2**31 / 1.618034) modulo 2**31.
@@ -77,7 +79,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, source_blocks: int = SO
     w = Window.partitionBy("__all")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     # blocks of equal size in each source: m blocks over its words, block b from floor(b * size / m)
-    sources = sources.withColumn("m", F.greatest(F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"), F.least("source_size", F.lit(source_blocks).cast("long"))))
+    whole = F.expr(f"(sum(source_size) over () + {MOST_BLOCKS - 1}) div {MOST_BLOCKS}")
+    sources = sources.withColumn("w", F.greatest(F.lit(block_words).cast("long"), whole))
+    sources = sources.withColumn("m", F.greatest(F.expr("(source_size + w - 1) div w"), F.least("source_size", F.lit(source_blocks).cast("long")))).drop("w")
     sources = sources.withColumn("slots", F.round(F.when(F.col("source_size") > 0, F.col("target") * F.col("m") / F.col("source_size")).otherwise(0.0)).cast("long"))
     sources = sources.withColumn("__all", F.lit(0)).withColumn("n", F.sum("slots").over(w))
     order = w.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -125,8 +129,8 @@ WITH rows AS (
   FROM s1 WINDOW before AS (ORDER BY cap::DOUBLE / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), s3 AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM s2 WHERE level * w <= cap ORDER BY nth LIMIT 1) * w, cap::DOUBLE)) AS target,
-    greatest((source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS}, least(source_size, {SOURCE_BLOCKS}))::BIGINT AS m
-  FROM s2
+    greatest((source_size + block - 1) // block, least(source_size, {SOURCE_BLOCKS}))::BIGINT AS m
+  FROM (SELECT *, greatest({BLOCK_WORDS}, (sum(source_size) OVER () + {MOST_BLOCKS - 1}) // {MOST_BLOCKS})::BIGINT AS block FROM s2)
 ), s4 AS (
   SELECT *, CASE WHEN source_size > 0 THEN round(target * m / source_size) ELSE 0 END::BIGINT AS slots FROM s3
 ), s5 AS (
