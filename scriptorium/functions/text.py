@@ -62,11 +62,14 @@ def wrapped(words: Column, limit: int) -> Column:
 
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token lists: each different token of the two becomes one private character, of which there are 131,068."""
-    known = F.array_distinct(F.concat(a, b))
-    place = lambda t: F.array_position(known, t) + (PRIVATE - 1)
-    one = lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 8, "0")), "UTF-32")
-    coded = lambda x: F.array_join(F.transform(x, one), "")
-    return F.when(F.size(known) > 131_068, F.raise_error(F.lit("too many different tokens"))).otherwise(F.levenshtein(coded(a), coded(b)))
+
+    def distance(known: Column) -> Column:
+        one = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + (PRIVATE - 1)), 8, "0")), "UTF-32")
+        coded = lambda x: F.array_join(F.transform(x, one), "")
+        return F.when(F.size(known) > 131_068, F.raise_error(F.lit("too many different tokens"))).otherwise(F.levenshtein(coded(a), coded(b)))
+
+    # an array of one, so that the tokens are listed once for each pair and not for each token
+    return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0]
 
 
 def words(text: Column) -> Column:
