@@ -602,3 +602,21 @@ def test_html_layout_names_hide_no_main_text(name):
         page = f"<body><div class='{name}'><div id=menu>Menu</div>{inner}</div><div class='nav-links'>next page</div>{related}</body>"
         got = html_text.main_text(page)
         assert got == body.strip()
+
+
+def test_pipeline_stages_take_nulls_and_empty_tables(spark, tmp_path):
+    """Every stage on an empty table, and on nulls, empty and equal rows that a stage before might keep."""
+    spark.createDataFrame([(None, "x y"), (1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(None, None, None, None), (1, None, None, None), (2, "", "en", None), (2, "", "en", None), (None, "words here", None, "s"), (3, "words here", "xx", "s")]
+    left = {"language": {None, 3}, "near_duplicates": {1, 3}, "decontamination": {None, 1, 2, 3}, "personal_data": {None, 1, 2, 3}, "mixing": {None, 1, 2, 3}}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs(spark, []), str(tmp_path))
+        assert none.count() == 0 and (name == "mixing" or none.columns == docs(spark, []).columns)
+        assert {r.doc_id for r in stage(spark, docs(spark, odd), str(tmp_path)).collect()} == left[name], name
+
+
+def test_preference_format_takes_nulls(spark):
+    schema = "id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt_turns int"
+    rows = [(1, None, None, 9), (2, [("user", None), None], [("user", "")], 9), (3, [("assistant", "a")], None, 9)]
+    got = {r.id: (r.prompt_turns, r.chosen_text, r.rejected_text) for r in chat.preference_format(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (0, "", ""), 2: (1, "", ""), 3: (0, "<|assistant|>\na<|end|>\n", "")}
