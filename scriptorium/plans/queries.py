@@ -139,12 +139,21 @@ r0 AS (SELECT ink_id, run FROM (SELECT ink_id, unnest(string_split(c, '|')) AS r
 
 
 def _merge_sql(n: int) -> str:
+    """Runs after n merges (r) and the expansions of the symbols (e), step by step."""
     out = _RUNS
     for i in range(n):
-        out += f""", p{i} AS MATERIALIZED (SELECT a || b AS pair, x.ex || y.ex AS ex, x.ex AS xe, y.ex AS ye, n FROM (
-            SELECT run[at] AS a, run[at + 1] AS b, count(*) AS n FROM (SELECT run, unnest(range(1, length(run))) AS at FROM r{i}) GROUP BY ALL) JOIN e{i} x ON x.sym = a JOIN e{i} y ON y.sym = b ORDER BY n DESC, xe, ye LIMIT 1),
-        r{i + 1} AS MATERIALIZED (SELECT ink_id, replace(run, pair, chr({57344 + 10 + i})) AS run FROM r{i}, p{i}),
-        e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} UNION ALL SELECT chr({57344 + 10 + i}), ex FROM p{i})""".replace("at", "pos")
+        made = f"chr({57344 + 10 + i})"
+        out += f""",
+        p{i} AS MATERIALIZED (
+          SELECT a || b AS pair, x.ex || y.ex AS ex, x.ex AS xe, y.ex AS ye, n
+          FROM (SELECT run[place] AS a, run[place + 1] AS b, count(*) AS n FROM (SELECT run, unnest(range(1, length(run))) AS place FROM r{i}) GROUP BY ALL)
+            JOIN e{i} x ON x.sym = a JOIN e{i} y ON y.sym = b
+          ORDER BY n DESC, xe, ye LIMIT 1
+        ), r{i + 1} AS MATERIALIZED (
+          SELECT ink_id, replace(run, pair, {made}) AS run FROM r{i}, p{i}
+        ), e{i + 1} AS MATERIALIZED (
+          SELECT * FROM e{i} UNION ALL SELECT {made}, ex FROM p{i}
+        )"""
     return out
 
 
@@ -273,7 +282,7 @@ def g19_segment_hits(spark, d):
     return views.boxes(spark, d).select("page", "idx", g.segment_hits_box(n(0.0), n(80.0), n(60.0), n(0.0), g.Box.of()).alias("hit"))
 
 
-@query("SELECT page, idx, (30 BETWEEN least(l, r) - 0.5 AND greatest(l, r) + 0.5) AND (40 BETWEEN least(t, t) - 0.5 AND greatest(t, t) + 0.5) AS on_top FROM v_box".replace("40 BETWEEN", "10 BETWEEN"), "v_box")
+@query("SELECT page, idx, 30 BETWEEN l - 0.5 AND r + 0.5 AND 10 BETWEEN t - 0.5 AND t + 0.5 AS on_top FROM v_box", "v_box")
 def g20_on_segment(spark, d):
     return views.boxes(spark, d).select("page", "idx", g.on_segment(F.lit(30.0), F.lit(10.0), F.col("l"), F.col("t"), F.col("r"), F.col("t")).alias("on_top"))
 
@@ -301,10 +310,16 @@ def p1_densify(spark, d):
     return paths.densify(views.ink(spark, d), 7.5).groupBy("ink_id", "stroke_id").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_SEG}, tot AS (SELECT ink_id, stroke_id, max(s) AS total, ceil(max(s) / 9.0)::INT AS n FROM way GROUP BY ALL), smp AS (SELECT *, unnest(range(n + 1)) AS k FROM tot),
-at AS (SELECT t.ink_id, t.stroke_id, k, n, arg_max(w.px, w.s) AS dummy, min(w.s) FILTER (WHERE w.s >= k * total / n - 1e-9) AS hit FROM smp t JOIN way w USING (ink_id, stroke_id) GROUP BY ALL)
+@query(f"""
+WITH {_SEG}, tot AS (
+  SELECT ink_id, stroke_id, max(s) AS total, ceil(max(s) / 9.0)::INT AS n FROM way GROUP BY ALL
+), smp AS (
+  SELECT *, unnest(range(n + 1)) AS k FROM tot
+), pt AS (
+  SELECT t.ink_id, t.stroke_id, k, n, min(w.s) FILTER (WHERE w.s >= k * total / n - 1e-9) AS hit FROM smp t JOIN way w USING (ink_id, stroke_id) GROUP BY ALL
+)
 SELECT a.ink_id, a.stroke_id, count(*)::BIGINT AS samples, round(sum(CASE WHEN w.d > 0 THEN w.px + (w.x - w.px) * ((k * t.total / t.n) - (w.s - w.d)) / w.d ELSE w.x END), 3) AS sx
-FROM at a JOIN tot t USING (ink_id, stroke_id) JOIN way w ON w.ink_id = a.ink_id AND w.stroke_id = a.stroke_id AND w.s = a.hit GROUP BY ALL""".replace("at AS (", "pt AS (").replace("FROM at a", "FROM pt a"), "v_ink")
+FROM pt a JOIN tot t USING (ink_id, stroke_id) JOIN way w ON w.ink_id = a.ink_id AND w.stroke_id = a.stroke_id AND w.s = a.hit GROUP BY ALL""", "v_ink")
 def p3_resample(spark, d):
     return paths.resample(views.ink(spark, d), 9.0).groupBy("ink_id", "stroke_id").agg(F.count("*").alias("samples"), F.round(F.sum("x"), 3).alias("sx"))
 
@@ -355,7 +370,9 @@ def p14_line_scale(spark, d):
     return views.ink(spark, d).groupBy("ink_id").agg(_r(paths.line_scale(10.0)).alias("scale"))
 
 
-@query("SELECT ink_id, stroke_id, list_sum(list_transform([0, 2, 4, 5, 7], lambda i: xs[i + 1]))::DOUBLE AS sx FROM (SELECT ink_id, stroke_id, list(x ORDER BY point_id) AS xs FROM v_ink GROUP BY ALL)".replace("[0, 2, 4, 5, 7]", "list_transform(range(5), lambda k: round_even(k * 7 / 4::DOUBLE, 0)::INT)").replace("::DOUBLE AS sx", " AS sx").replace("list_sum(", "round(list_sum(").replace(") AS sx", "), 6) AS sx", 1), "v_ink")
+@query("""
+SELECT ink_id, stroke_id, round(list_sum(list_transform(range(5), lambda k: xs[round_even(k * 7 / 4::DOUBLE, 0)::INT + 1])), 6) AS sx
+FROM (SELECT ink_id, stroke_id, list(x ORDER BY point_id) AS xs FROM v_ink GROUP BY ALL)""", "v_ink")
 def p17_subsample(spark, d):
     rows = views.inks(spark, d).select("ink_id", F.posexplode("strokes").alias("stroke_id", "s"))
     return rows.select("ink_id", "stroke_id", _r(F.aggregate(paths.subsample(F.col("s"), 5), F.lit(0.0), lambda a, p: a + p["x"])).alias("sx"))
@@ -545,7 +562,11 @@ def j19_order_score(spark, d):
     return evaluation.order_score(c, rows)
 
 
-@query(f"SELECT r.page, r.idx, string_agg(w.label, ' ' ORDER BY w.t, w.l, w.idx) AS words FROM v_box r LEFT JOIN v_box w ON r.page = w.page AND w.idx % 2 = 0 AND {_IOU.replace('a.', 'w.').replace('b.', 'r.').replace('r.r.', 'r.')} / ((w.r - w.l) * (w.b - w.t)) >= 0.5 WHERE r.idx % 2 = 1 GROUP BY ALL".replace("w.r.", "w."), "v_box")
+@query("""
+SELECT r.page, r.idx, string_agg(w.label, ' ' ORDER BY w.t, w.l, w.idx) AS words
+FROM v_box r LEFT JOIN v_box w ON r.page = w.page AND w.idx % 2 = 0
+  AND greatest(least(w.r, r.r) - greatest(w.l, r.l), 0) * greatest(least(w.b, r.b) - greatest(w.t, r.t), 0) / ((w.r - w.l) * (w.b - w.t)) >= 0.5
+WHERE r.idx % 2 = 1 GROUP BY ALL""", "v_box")
 def j5_label_regions(spark, d):
     words, regions = _sides(spark, d)
     return spatial.labelled(words, regions.drop("label", "score"))
@@ -665,7 +686,9 @@ def a7_best_of(spark, d):
     return rows.agg(_r(F.avg(F.col("best").cast("int"))).alias("best"), F.count("*").alias("labels"))
 
 
-@query("SELECT lang, quantile_cont(n_chars::DOUBLE, 0.5::DOUBLE) AS p50, quantile_cont(n_chars::DOUBLE, 0.9::DOUBLE) AS p90, quantile_cont(n_chars::DOUBLE, 0.99::DOUBLE) AS p99 FROM documents GROUP BY lang".replace("quantile_cont(", "round(quantile_cont(").replace("::DOUBLE) AS", "::DOUBLE), 6) AS"))
+@query("""
+SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.5::DOUBLE), 6) AS p50, round(quantile_cont(n_chars::DOUBLE, 0.9::DOUBLE), 6) AS p90, round(quantile_cont(n_chars::DOUBLE, 0.99::DOUBLE), 6) AS p99
+FROM documents GROUP BY lang""")
 def a8_percentiles(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(*[_r(F.percentile("n_chars", p)).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))])
 
