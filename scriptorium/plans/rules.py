@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators import augment, corpus, evaluation, paths, sequences, spatial, validation
+from ..sources import ink
 from . import views
 from .queries import _FLOW, _nodes, _r, query
 from .views import table
@@ -414,6 +415,33 @@ def w2_fragment_order(spark, d):
 
 # --- pages ----------------------------------------------------------------------------------------------------------
 
+#: Results by supplier: lists, single results and inks, and each kind of mistake.
+_RESULTS = """
+SELECT s_suppkey, CASE s_suppkey % 9
+  WHEN 0 THEN '[{"ink": {"strokes": []}, "image": "first.png"}, {"ink": {"strokes": [{"points": [[' || s_nationkey::VARCHAR || ', 2], [3, 4.5]]}]}, "image": "page.png"}]'
+  WHEN 1 THEN '{"ink": {"strokes": [{"points": [[1, ' || s_nationkey::VARCHAR || ']]}]}, "image": 5}'
+  WHEN 2 THEN '{"strokes": [{"points": [[0, 0]]}, {"points": []}]}'
+  WHEN 3 THEN '[{"strokes": []}]' WHEN 4 THEN '{"strokes": [' WHEN 5 THEN '[1, 2]' WHEN 6 THEN '{"ink": {"points": []}}' WHEN 7 THEN '{"strokes": [{"points": [["a", 1]]}]}' END AS value
+FROM supplier"""
+
+
+@query(f"""
+SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'page.png' END AS image,
+  CASE s_suppkey % 9 WHEN 3 THEN 'index out of range' WHEN 4 THEN 'invalid JSON' WHEN 5 THEN 'no object' WHEN 6 THEN 'no strokes' WHEN 7 THEN 'invalid ink' WHEN 8 THEN 'invalid JSON' END AS error,
+  CASE WHEN s_suppkey % 9 = 0 THEN len(json_extract(value, '$[1].ink.strokes[*].points[*]')) WHEN s_suppkey % 9 = 1 THEN len(json_extract(value, '$.ink.strokes[*].points[*]')) WHEN s_suppkey % 9 = 2 THEN len(json_extract(value, '$.strokes[*].points[*]')) END::INT AS points
+FROM ({_RESULTS})""")
+def io4_results(spark, d):
+    kind, nation = F.col("s_suppkey") % 9, F.col("s_nationkey").cast("string")
+    value = (
+        F.when(kind == 0, F.concat(F.lit('[{"ink": {"strokes": []}, "image": "first.png"}, {"ink": {"strokes": [{"points": [['), nation, F.lit(', 2], [3, 4.5]]}]}, "image": "page.png"}]')))
+        .when(kind == 1, F.concat(F.lit('{"ink": {"strokes": [{"points": [[1, '), nation, F.lit(']]}]}, "image": 5}')))
+        .when(kind == 2, '{"strokes": [{"points": [[0, 0]]}, {"points": []}]}').when(kind == 3, '[{"strokes": []}]').when(kind == 4, '{"strokes": [').when(kind == 5, "[1, 2]")
+        .when(kind == 6, '{"ink": {"points": []}}').when(kind == 7, '{"strokes": [{"points": [["a", 1]]}]}')
+    )
+    rows = ink.result_at(table(spark, d, "supplier").select("s_suppkey", value.alias("value")), "value", 1)
+    return rows.select("s_suppkey", "image", "error", F.size(F.flatten("strokes")).alias("points"))
+
+
 _TSV = """
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 11 = 0 THEN 'n/a' ELSE l_quantity::VARCHAR END AS conf, (l_partkey % 40)::VARCHAR AS "left", (l_suppkey % 20)::VARCHAR AS top,
   (l_linenumber - 1)::VARCHAR AS width, '12' AS height, CASE WHEN l_suppkey % 7 = 0 THEN '  ' ELSE ' ' || l_returnflag || ' ' END AS text FROM lineitem"""

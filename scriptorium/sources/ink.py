@@ -30,6 +30,35 @@ def read_ink_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(doc.alias("d")).select("d.text", "d.used_fallback", F.transform(F.col("d.ink.strokes"), lambda s: F.transform(s["points"], lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))).alias("strokes"))
 
 
+def result_at(rows: DataFrame, column: str = "value", index: int = 0) -> DataFrame:
+    """Add ``strokes``, ``image`` and ``error`` to JSON texts: an ink, a result that holds one, or a list of results, of which the one at ``index`` counts.
+
+    ``image`` is the result's, where it is a text.  Where there is no ink,
+    strokes are null and ``error`` says why: ``invalid JSON``, ``index out of
+    range``, ``no object``, ``no strokes`` or ``invalid ink``; null texts are
+    invalid JSON.
+    """
+    is_a = lambda c, kind: F.coalesce(F.expr(f"startswith(schema_of_variant({c}), '{kind}')"), F.lit(False))
+    out = rows.withColumn("__v", F.try_parse_json(column))
+    listed = is_a("__v", "ARRAY")
+    out = out.withColumn("__far", listed & (F.lit(index < 0) | (F.coalesce(F.json_array_length(column), F.lit(0)) <= index)))
+    out = out.withColumn("__e", F.when(listed, F.expr(f"try_variant_get(__v, '$[{max(index, 0)}]', 'variant')")).otherwise(F.col("__v")))
+    holds = is_a("__e", "OBJECT") & F.array_contains(F.json_object_keys(F.to_json("__e")), "ink")
+    out = out.withColumn("__r", F.when(holds, F.expr("try_variant_get(__e, '$.ink', 'variant')")).otherwise(F.col("__e")))
+    strokes = F.expr("try_variant_get(__r, '$.strokes', 'array<struct<points:array<array<double>>>>')")
+    strokes = F.transform(strokes, lambda s: F.transform(s["points"], lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))))
+    image = F.when(holds & is_a("try_variant_get(__e, '$.image', 'variant')", "STRING"), F.expr("try_variant_get(__e, '$.image', 'string')"))
+    out = out.withColumns({"strokes": strokes, "image": image})
+    whole = F.forall("strokes", lambda s: s.isNotNull() & F.forall(s, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    named = is_a("__r", "OBJECT") & F.coalesce(F.array_contains(F.json_object_keys(F.to_json("__r")), "strokes"), F.lit(False))
+    error = (
+        F.when(F.col("__v").isNull(), "invalid JSON").when(F.col("__far"), "index out of range").when(~is_a("__e", "OBJECT"), "no object")
+        .when(~named, "no strokes").when(~F.coalesce(whole, F.lit(False)), "invalid ink")
+    )
+    out = out.withColumn("error", error).withColumn("strokes", F.when(F.col("error").isNull(), F.col("strokes")))
+    return out.drop("__v", "__far", "__e", "__r")
+
+
 def read_inkml(spark: SparkSession, path: str) -> DataFrame:
     """InkML files -> ``file, trace_id, brush, seq, x, y, t``; time is null where the format has two channels.
 
