@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_text, langid, licenses, media, mixing, pii, simhash, substrings
+from . import chat, decontam, divergence, html_text, langid, licenses, media, mixing, pieces, pii, repair, simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Key of the surrogates in the queries over test tables. A production run passes a secret of its own.
@@ -57,6 +57,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.conversation_repair(_read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_read(spark, sf_dir, "documents", "doc_id", "text"), pieces.public_model())
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +76,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_pii, op3_preference, op4_decontamination, op5_substrings, op6_mixing, op7_media, op8_language, op9_html, op10_licenses]
+    own = [op1_simhash, op2_pii, op3_preference, op4_decontamination, op5_substrings, op6_mixing, op7_media, op8_language, op9_html, op10_licenses, op11_repair, op12_divergence, op13_sentencepiece]
     return {f.__name__: f for f in own} | {"pipeline": _pipeline}
 
 
@@ -113,7 +125,7 @@ FROM d LEFT JOIN gone USING (id) LEFT JOIN k USING (id)
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are tested against brute force in tests/llm."""
-    sql = {"op3_preference": chat.oracle(), "op4_decontamination": _OP4, "op5_substrings": _OP5, "op6_mixing": mixing.SQL}
+    sql = {"op3_preference": chat.oracle(), "op4_decontamination": _OP4, "op5_substrings": _OP5, "op6_mixing": mixing.SQL, "op11_repair": repair.SQL, "op12_divergence": divergence.SQL}
     import corpus_pipeline
 
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
