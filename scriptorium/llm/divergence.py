@@ -17,9 +17,8 @@ from .common import as_bytes, slices, table_written
 
 #: A language keeps the terms of at least so many of its documents; a group reports so many terms.
 KEPT_DOCUMENTS, TOP_TERMS = 3, 200
-BILLION = 1_000_000_000
-#: Terms that a task holds before it passes their counts on.
-HELD_TERMS = 400_000
+#: Terms that a task holds before it passes their counts on, as many in a row; a document counts as so many occurrences in one number.
+HELD_TERMS, TERMS_A_ROW, DOCUMENT = 800_000, 4096, 1 << 32
 #: Sources of a language are dealt in blocks of so many; pairs are summed up in matrices of two blocks (512 KB).
 BLOCK_SOURCES = 256
 #: Matrices that a task holds, and pairs of postings that it unfolds at once.
@@ -53,32 +52,34 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``docs(lang, source, text)`` -> ``lang, source, term, n, docs``: occurrences and documents of each term, added up in each task only."""
+    """``docs(lang, source, text)`` -> ``lang, source, x``: occurrences and documents of terms, ``array<struct<term, n, docs>>``, added up in each task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = words = 0
         for part in slices(batches):
             for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2))):
-                own = Counter(terms(text))
-                occurrences, documents = held.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(documents)
-                occurrences.update(own)
-                documents.update(own.keys())
-                size += len(documents)
-            if size > HELD_TERMS:
+                found = terms(text)
+                words += len(found)
+                own = held.setdefault((lang, source), {})
+                size -= len(own)
+                for term, n in Counter(found).items():  # a document and its occurrences as one number
+                    own[term] = own.get(term, 0) + DOCUMENT + n
+                size += len(own)
+            if size > HELD_TERMS or words > DOCUMENT // 2:
                 yield from out(held)
-                held, size = {}, 0
+                held, size, words = {}, 0, 0
         yield from out(held)
 
     def out(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (occurrences, documents) in held.items():
-            n = len(occurrences)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(occurrences), pa.binary()).cast(pa.string())]
-            counts = [pa.array(list(occurrences.values()), pa.int64()), pa.array([documents[t] for t in occurrences], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), own in held.items():
+            counts = np.fromiter(own.values(), np.int64, len(own))
+            columns = [pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(counts % DOCUMENT), pa.array(counts // DOCUMENT)]
+            cuts = [*range(0, len(own), TERMS_A_ROW), len(own)] if own else [0]
+            listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, ["term", "n", "docs"]))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(listed), pa.string()), pa.array([source] * len(listed), pa.string()), listed], ["lang", "source", "x"])
 
-    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return docs.mapInArrow(run, "lang string, source string, x array<struct<term:string,n:bigint,docs:bigint>>")
 
 
 def postings(docs: DataFrame, groups: DataFrame, kept_documents: int = KEPT_DOCUMENTS) -> DataFrame:
@@ -90,23 +91,21 @@ def postings(docs: DataFrame, groups: DataFrame, kept_documents: int = KEPT_DOCU
     common term brings a row for each source, whatever its number of documents.
     """
     term = Window.partitionBy("lang", "term")
-    counted = term_counts(docs).join(groups.select("lang", "source", "block", "id"), ["lang", "source"])
+    counted = term_counts(docs).join(groups.select("lang", "source", "block", "id"), ["lang", "source"]).select("lang", "block", "id", F.inline("x"))
     counted = counted.groupBy("lang", "term", "block", "id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counted = counted.select("lang", "term", "block", "id", "n", F.sum("docs").over(term).alias("docs"), F.sum("n").over(term).alias("total"), (F.col("block") == F.min("block").over(term)).alias("first"))
     packed = counted.filter(F.col("docs") >= kept_documents).groupBy("lang", "term", "total", "first", "block").agg(F.collect_list(F.struct("id", "n")).alias("x"))
     return packed.select("lang", "term", "total", "first", "block", F.col("x.id").alias("ids"), F.col("x.n").alias("counts"))
 
 
-def numbered_groups(docs: DataFrame) -> DataFrame:
+def numbered_groups(docs: DataFrame, block: int = BLOCK_SOURCES) -> DataFrame:
     """``lang, source, block, id``: every group, numbered by source in its language; there are as many rows as groups."""
-    groups = docs.select("lang", "source").distinct()
     at = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    return groups.select("lang", "source", F.expr(f"{BLOCK_SOURCES}").alias("size"), at.alias("at")).select(
-        "lang", "source", F.floor(F.col("at") / F.col("size")).cast("int").alias("block"), (F.col("at") % F.col("size")).cast("int").alias("id")
-    )
+    groups = docs.select("lang", "source").distinct().withColumn("at", at)
+    return groups.select("lang", "source", F.floor(F.col("at") / block).cast("int").alias("block"), (F.col("at") % block).cast("int").alias("id"))
 
 
-def source_divergence(docs: DataFrame, kept_documents: int = KEPT_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+def source_divergence(docs: DataFrame, kept_documents: int = KEPT_DOCUMENTS, top: int = TOP_TERMS, block: int = BLOCK_SOURCES) -> DataFrame:
     """``docs(text, lang, source)`` -> ``lang, source, part, item, value, rank``.
 
     Part ``pair`` ranks a language's other sources by the divergence of a
@@ -117,7 +116,7 @@ def source_divergence(docs: DataFrame, kept_documents: int = KEPT_DOCUMENTS, top
     an empty table gives an empty one.
     """
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    groups = table_written(numbered_groups(docs), "sources")
+    groups = table_written(numbered_groups(docs, block), "sources")
     table = table_written(postings(docs, groups, kept_documents), "postings")
     flat = table.select("lang", "term", "total", "block", F.explode(F.arrays_zip("ids", "counts")).alias("x")).select("lang", "term", "total", "block", F.col("x.ids").alias("id"), F.col("x.counts").alias("n"))
     # the histogram of each group: how many of its terms occur so often, and how often these do in the language
@@ -127,7 +126,7 @@ def source_divergence(docs: DataFrame, kept_documents: int = KEPT_DOCUMENTS, top
     stats = groups.join(sums, ["lang", "block", "id"], "left").join(kept, "lang", "left")
     stats = table_written(stats.select("lang", "source", "block", "id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "lang_size", "size")]).withColumn("none", F.when(F.col("kept") > 0, share(F.lit(0), F.col("size") + F.col("kept")))), "shares")
     most = stats.agg(F.max("block")).first()[0]
-    return _pairs(table, buckets, stats, most or 0).unionByName(_terms(flat, buckets, stats, top))
+    return _pairs(table, buckets, stats, most or 0, block).unionByName(_terms(flat, buckets, stats, top))
 
 
 def _with_shares(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -162,7 +161,7 @@ def _terms(flat: DataFrame, buckets: DataFrame, stats: DataFrame, top: int) -> D
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
 
-def _pairs(table: DataFrame, buckets: DataFrame, stats: DataFrame, most: int) -> DataFrame:
+def _pairs(table: DataFrame, buckets: DataFrame, stats: DataFrame, most: int, size: int) -> DataFrame:
     """Divergence of each two sources of a language, from histograms and postings.
 
     With ``f00`` for a term that neither has, the sum over all terms is ``kept *
@@ -173,7 +172,7 @@ def _pairs(table: DataFrame, buckets: DataFrame, stats: DataFrame, most: int) ->
     blocks = table_written(blocks.select("lang", F.col("block").alias("other"), F.col("x.none").alias("others")), "blocks")
     single = buckets.join(stats.select("lang", "block", "id", "size", "kept", "none"), ["lang", "block", "id"])
     single = single.select("lang", "block", "id", "terms", share(F.col("n"), F.col("size") + F.col("kept")).alias("p"), "none")
-    alone = single.join(blocks, "lang").select("lang", "block", "id", "terms", "p", "none", "other", "others").mapInArrow(_alone, _PARTS)
+    alone = single.join(blocks, "lang").select("lang", "block", "id", "terms", "p", "none", "other", "others").mapInArrow(lambda batches: _alone(batches, size), _PARTS)
     sizes = stats.groupBy("lang", "block").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("x"), F.first("kept").alias("kept"))
     sizes = table_written(sizes.select("lang", "block", F.col("x.size").alias("sizes"), "kept"), "sizes")
     shares = F.transform(F.arrays_zip("ids", "counts"), lambda x: share(x["counts"], F.element_at("sizes", x["ids"] + 1) + F.col("kept")))
@@ -184,9 +183,9 @@ def _pairs(table: DataFrame, buckets: DataFrame, stats: DataFrame, most: int) ->
     if most > 0:
         b = ready.select("lang", "term", *[F.col(c).alias(f"{c}2") for c in ("block", "ids", "p", "none")])
         together = together.unionByName(ready.join(b, ["lang", "term"]).filter("block < block2").drop("term"))
-    parts = alone.unionByName(together.mapInArrow(_together, _PARTS))
+    parts = alone.unionByName(together.mapInArrow(lambda batches: _together(batches, size), _PARTS))
     exact = parts.groupBy("lang", "at", "at2").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("more"))
-    here = stats.select("lang", "source", (F.col("block") * BLOCK_SOURCES + F.col("id")).alias("at"), "none", "kept")
+    here = stats.select("lang", "source", (F.col("block") * size + F.col("id")).alias("at"), "none", "kept")
     there = here.select("lang", F.col("source").alias("item"), F.col("at").alias("at2"), F.col("none").alias("none2"))
     rows = here.join(there, "lang").filter("at <> at2").join(exact, ["lang", "at", "at2"], "left")
     both = F.coalesce(F.col("kept") * gap(F.col("none"), F.col("none2")), F.lit(0)).cast("decimal(38,0)")
@@ -204,12 +203,12 @@ def _parts(lang: str, at: np.ndarray, at2: np.ndarray, value: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays(columns, ["lang", "at", "at2", "value"])
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alone(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Corrections for the terms of one source, against every source of a block: as the first of a pair, and as the second."""
     for batch in batches:
         lang, other = batch.column(0).to_pylist(), batch.column(6).to_pylist()
         block, id_, terms_, p, none = (batch.column(k).to_numpy() for k in range(1, 6))
-        at = block.astype(np.int64) * BLOCK_SOURCES + id_
+        at = block.astype(np.int64) * size + id_
         by: dict[tuple[str, int], list[int]] = {}
         for i, key in enumerate(zip(lang, other)):
             by.setdefault(key, []).append(i)
@@ -221,31 +220,31 @@ def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, mine, zero = terms_[rows, None], p[rows, None], none[rows, None]
             first = np.add.reduceat(n * (_gap(mine, others) - _gap(zero, others)), starts)
             second = np.add.reduceat(n * (_gap(others, mine) - _gap(others, zero)), starts)
-            own, there = np.repeat(at[rows][starts], len(others)), np.tile(np.arange(len(others)) + far * BLOCK_SOURCES, len(starts))
+            own, there = np.repeat(at[rows][starts], len(others)), np.tile(np.arange(len(others)) + far * size, len(starts))
             yield _parts(name, own, there, first.ravel())
             yield _parts(name, there, own, second.ravel())
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Corrections for the terms of both sources of a pair, summed up by task."""
     held: dict[tuple[str, int, int], np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, a, b), sums in held.items():
-            i, j = np.divmod(np.flatnonzero(sums), BLOCK_SOURCES)
-            yield _parts(lang, i + a * BLOCK_SOURCES, j + b * BLOCK_SOURCES, sums.ravel()[sums.ravel() != 0])
+            i, j = np.divmod(np.flatnonzero(sums), size)
+            yield _parts(lang, i + a * size, j + b * size, sums.ravel()[sums.ravel() != 0])
         held.clear()
 
     def add(key: tuple[str, int, int], rows: np.ndarray, left: tuple, right: tuple) -> None:
-        sums = held.setdefault(key, np.zeros((BLOCK_SOURCES, BLOCK_SOURCES), np.int64)).ravel()
-        sizes = left[1][rows] * right[1][rows]
-        cuts = np.searchsorted(np.cumsum(sizes) // PAIR_STEP, np.arange(1, int(sizes.sum()) // PAIR_STEP + 2))
+        sums = held.setdefault(key, np.zeros((size, size), np.int64)).ravel()
+        found = left[1][rows] * right[1][rows]
+        cuts = np.searchsorted(np.cumsum(found) // PAIR_STEP, np.arange(1, int(found.sum()) // PAIR_STEP + 2))
         for part in np.split(rows, cuts):
             if len(part):
                 i, j = _unfolded(left, right, part)
                 s, t = left[0][:, i], right[0][:, j]
                 value = _gap(s[1], t[1]) - _gap(s[1], t[2]) - _gap(s[2], t[1]) + _gap(s[2], t[2])
-                np.add.at(sums, s[0] * BLOCK_SOURCES + t[0], value)
+                np.add.at(sums, s[0] * size + t[0], value)
 
     for batch in batches:
         names, blocks, blocks2 = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist()
