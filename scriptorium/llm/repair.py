@@ -71,11 +71,11 @@ class Search:
         self.back = bytearray()
 
     def turn(self, role: str, text: bytes, gone: bool, cut: bool) -> None:
-        """One more turn; ``gone``: it must be deleted; ``cut``: it is truncated."""
+        """One more turn; ``gone``: it must be deleted; ``cut``: it is truncated, which costs if it stays."""
         initial = role[:1] if role[:1] in ("s", "u", "a") else ""
         best: dict[int, tuple[int, int, str, int]] = {}
         for state, (cost, rank, _) in self.layer.items():
-            for after, more, suffix in MOVES[initial, gone, cut][state]:
+            for after, more, suffix in MOVES[initial, gone, cut and not gone][state]:
                 key = (cost + more, rank, suffix, state)
                 if after not in best or key < best[after]:
                     best[after] = key
