@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranks import ranked
@@ -113,3 +116,28 @@ def edit_ops(read: Column, label: Column) -> Column:
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "array<struct<kind:string,label:string,read:string>>")(read, label)
+
+
+#: What the SQL function ``edit_script`` returns.
+SCRIPT_COLUMNS = "id string, place long, kind string, label_token string, read_token string"
+
+
+def register_edit_script(spark: SparkSession, name: str = "edit_script") -> None:
+    """Make the SQL table function known: ``SELECT * FROM edit_script(TABLE(pairs) PARTITION BY id)``.
+
+    ``pairs(id string, read array<string>, label array<string>)``, other columns ignored, gives the mistakes of
+    each pair, counted from the end as in ``edit_script``: ``id, place, kind, label_token, read_token``.  A pair
+    with a null list has none.  Batches pass as Arrow; the rows of one id are dealt to one task.
+    """
+
+    class EditScript:
+        def eval(self, pairs: pa.RecordBatch) -> Iterator[pa.Table]:
+            out: dict[str, list] = {n: [] for n in ("id", "place", "kind", "label_token", "read_token")}
+            for key, read, label in zip(*(pairs.column(c).to_pylist() for c in ("id", "read", "label"))):
+                for place, op in enumerate(edit_script(read, label) if read is not None and label is not None else [], 1):
+                    for column, value in zip(out.values(), (key, place, *op)):
+                        column.append(value)
+            types = {"place": pa.int64()}
+            yield pa.table({n: pa.array(v, types.get(n, pa.string())) for n, v in out.items()})
+
+    spark.udtf.register(name, F.arrow_udtf(EditScript, returnType=SCRIPT_COLUMNS))

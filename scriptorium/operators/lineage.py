@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that ``spark.checkpoint.dir`` names; a folder of its own only in local mode where none is set, as in tests."""
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; one of its own only in local mode where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder and known.isDefined():
+        folder = known.get()
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scriptorium-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

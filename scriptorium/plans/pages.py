@@ -389,8 +389,8 @@ def t13_writing_plans(spark, d):
 @query("SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM (SELECT DISTINCT doc_id, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10)) || [lang, source]) AS s FROM documents)) WHERE s <> '' AND length(s) <= 50 GROUP BY doc_id")
 def io30_json_strings(spark, d):
     doc = F.to_json(F.struct("lang", F.struct("source", F.array(F.struct("text")).alias("blocks")).alias("body"), F.col("n_chars")))
-    rows = table(spark, d, "documents").select("doc_id", F.explode(documents.json_strings(doc)).alias("s"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+    rows = documents.json_lines(table(spark, d, "documents").select("doc_id", doc.alias("doc")), "doc_id", "doc")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("SELECT o_custkey AS page, count(*) FILTER (WHERE o_orderstatus = 'F') AS renders, count(*) FILTER (WHERE o_orderstatus <> 'F') AS rejected FROM orders GROUP BY 1")

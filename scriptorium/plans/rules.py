@@ -80,6 +80,16 @@ def e2_edit_script(spark, d):
     return rows.select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("place"), "op.kind", F.col("op.label").alias("label_token"), F.col("op.read").alias("read_token"))
 
 
+@query(f"WITH RECURSIVE {_READS} {_SCRIPT} SELECT * FROM script")
+def e2_edit_script_sql(spark, d):
+    """The same through the SQL table function."""
+    evaluation.register_edit_script(spark)
+    pairs = _pairs(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("id"), "read", "label")
+    rows = spark.sql("SELECT * FROM edit_script(TABLE(SELECT * FROM {pairs}) PARTITION BY id)", pairs=pairs)
+    key = F.split("id", ":")
+    return rows.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "place", "kind", "label_token", "read_token")
+
+
 @query(f"WITH RECURSIVE {_READS} SELECT conv_id % 7 AS grp, count(*) AS n, round(sum(errors) / sum(tokens), 6) AS error_rate, round(avg((errors = 0)::INT), 6) AS exact FROM reads GROUP BY 1")
 def a3_error_rate(spark, d):
     rows = evaluation.error_rate(_reads(spark, d).withColumn("grp", F.col("conv_id") % 7), "grp")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
+from ..operators.lineage import cut
 
 _NOTES = "annotation array<struct<_VALUE:string,_type:string>>"
 _GROUPS = f"traceGroup struct<traceGroup:array<struct<{_NOTES.replace(' ', ':', 1)},traceGroup:array<struct<{_NOTES.replace(' ', ':', 1)},traceView:array<struct<_traceDataRef:string>>>>>>>"
@@ -94,30 +94,30 @@ def read_svg_glyphs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.col("_unicode").alias("ch"), F.coalesce("_horiz-adv-x", "usual", F.lit(500.0)).alias("advance"), strokes("_d").alias("strokes"))
 
 
-def json_strings(text: Column, most: int = 50) -> Column:
-    """The distinct lines, in order, of all strings at any depth of a JSON text, trimmed; empty ones and those over ``most`` characters go. None in a text that isn't JSON."""
-
-    def lines(value) -> list[str]:
-        out, open_ = set(), [value]
-        while open_:
-            v = open_.pop()
-            if isinstance(v, str):
-                out.update(s for s in map(str.strip, v.split("\n")) if 0 < len(s) <= most)
-            else:
-                open_.extend(v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())
-        return sorted(out)
-
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return [] if t is None else lines(json.loads(t))
-            except (ValueError, RecursionError):
-                return []
-
-        return texts.map(one)
-
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<string>")(text)
+def json_lines(rows: DataFrame, key: str, text: str, most: int = 50) -> DataFrame:
+    """The distinct lines, trimmed, of all strings at any depth of JSON texts: ``key, line``; empty lines and those over ``most`` characters go.
+
+    Texts that aren't JSON, and nulls, have none.  Objects and arrays are opened one level a round, all rows at once, so
+    there are as many rounds as the deepest text has levels; strings leave as soon as they are reached.
+    """
+    spark = rows.sparkSession
+    open_ = rows.select(F.col(key).alias("__k"), F.try_parse_json(text).alias("v")).filter("v is not null")
+    kind = F.schema_of_variant("v")
+    found = []
+    while True:
+        open_ = cut(open_.withColumn("kind", kind))
+        found.append(open_.filter("kind = 'STRING'").select("__k", F.variant_get("v", "$", "string").alias("s")))
+        inner = open_.filter(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
+        if not inner.limit(1).count():
+            break
+        open_ = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("__k", F.col("value").alias("v")).filter("v is not null")
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    space = r"^[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+    line = F.regexp_replace(F.regexp_replace("line", space, ""), space[1:] + "$", "")
+    lines = every.select("__k", F.explode(F.split("s", "\n")).alias("line")).select("__k", line.alias("line"))
+    return lines.filter(F.length("line").between(1, most)).distinct().withColumnRenamed("__k", key)
 
 
 def manifest(results: DataFrame, most: int = 10) -> DataFrame:

@@ -58,8 +58,10 @@ def test_svg_font(spark, tmp_path):
 
 
 def test_strings_reports_lists(spark, tmp_path):
-    df = spark.createDataFrame([('{"a": ["x\\n y ", {"b": "' + "z" * 51 + '"}], "n": 1}',), ("not json",), (None,)], "t string")
-    assert [r[0] for r in df.select(documents.json_strings(F.col("t"))).collect()] == [["x", "y"], [], []]
+    texts = ['{"a": ["x\\n y ", {"b": "' + "z" * 51 + '"}], "n": 1, "key": null}', "not json", None, '"top"', "[" * 30 + '"deep"' + "]" * 30, '["x", "x"]', "[]", "7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, t string")
+    got = sorted(map(tuple, documents.json_lines(df, "key", "t").collect()))
+    assert got == [(0, "x"), (0, "y"), (3, "top"), (4, "deep"), (5, "x")]
     html = documents.html_report(spark.createDataFrame([("<b>", None)], "a string, b int"), "a", "b").first().html
     assert html == "<table><tr><th>a</th><th>b</th></tr><tr><td>&lt;b&gt;</td><td></td></tr></table>"
     results = spark.createDataFrame([("p", "a", []), ("p", "b", [str(i) for i in range(12)])], "page string, file string, problems array<string>")
