@@ -78,7 +78,7 @@ class PenTracker(StatefulProcessor):
         out.insert(0, "writer", writer)
         return out
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         own = pd.concat([self._waiting(), new[["seq", "code"]].astype("int64")], ignore_index=True)
         out = self._go_on(int(key[0]), own)
@@ -89,10 +89,10 @@ class PenTracker(StatefulProcessor):
         if len(out):
             yield out
 
-    def handleExpiredTimer(self, key: Any, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = self._go_on(int(key[0]), self._waiting(), given_up=True)
         if self.early.exists():  # a second gap waits no longer than the first
-            self.handle.registerTimer(timer_values.getCurrentWatermarkInMs() + self.patience_ms)
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience_ms)
         if len(out):
             yield out
 
