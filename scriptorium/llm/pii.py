@@ -9,6 +9,7 @@ every document, without any table of what was seen.
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 import unicodedata
@@ -74,13 +75,23 @@ NUMBERS = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\w]|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<local>(?<![\w.,+-])(?:\d{3,5}(?:[ ]\d{3,6}){1,3}|\d{9,12})(?![\w-]|[.,]\d))"
 )
+#: What stands before a number that is a telephone's though it has no such format, and before a secret without a sign of assignment.
+_PHONE_CUE = re.compile(r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|whatsapp|contact)\b[^\n]{0,16}\Z")
+_SECRET_CUE = re.compile(r"(?i)(?:secret|token|key|credential|passw|auth)[^\n]{0,24}\Z")
+_ENTROPY = re.compile(r"(?<![\w/+=.-])[A-Za-z0-9/+_-]{32,}={0,2}(?![\w/+=-])")
 SECRETS = re.compile(
     r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b[\"']?\s{0,20}(?P<sign>[:=])\s{0,20}"
-    r"(?:\"(?P<a>[^\"\s]{6,})\"|'(?P<b>[^'\s]{6,})'|(?P<c>[^\s\"',;]{6,}))|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?P<pem>[^-]{16,})-----END"
+    r"(?:\"(?P<a>[^\"\s]{6,})\"|'(?P<b>[^'\s]{6,})'|(?P<c>[^\s\"',;]{6,}))|-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?P<pem>(?s:.{16,}?))(?=-----END|\Z)"
 )
 _VERSION = re.compile(r"(?i)(?:\bv|\bver|version|release|build)[.:]?\s{0,3}\Z")
+#: The end of what stands before a sentence.
+_SENTENCE = re.compile(r"(?:\A|[.!?:\n])[\s\"'“”«»(\[]*\Z")
+#: A word just before and just after a place.
+_WORD_END, _WORD_START = re.compile(r"[^\W_][ \t]*\Z"), re.compile(r"[ \t]*[^\W_]")
 _NUMERIC_START = re.compile(r"[@\d]")
 
 
@@ -120,6 +131,8 @@ def canonical(kind: str, value: str) -> str:
         return ascii_digits(value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
     return value.lower() if kind in ("email", "name", "given") else value
 
 
@@ -251,6 +264,18 @@ class Surrogates:
                 x = self.permuted(x, 1 << 32, b"ip")
         return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
+    def _ip6(self, value: str) -> str:
+        """The first group stays, and which groups are zero; the others are permuted, and written as they were: short, full or plain."""
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(value).exploded.split(":")]
+        at = [k for k, g in enumerate(groups) if g and k]
+        tweak = "ip6:" + ",".join([str(groups[0]), *map(str, at)])
+        for k, i in zip(at, self._indices([groups[k] - 1 for k in at], [0xFFFF] * len(at), tweak.encode())):
+            groups[k] = i + 1
+        new = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups))
+        full = all(len(g) == 4 for g in value.split(":"))
+        text = str(new) if "::" in value else new.exploded if full else ":".join(f"{g:x}" for g in groups)
+        return text.upper() if re.search("[A-F]", value) else text
+
     def _iban(self, value: str) -> str:
         whole = value.replace(" ", "")
         body = self.letters(whole[4:], "iban" + whole[:2])
@@ -326,6 +351,15 @@ def is_card(digits: str) -> bool:
     return CARDS.fullmatch(digits) is not None and luhn(digits[:-1]) == digits[-1]
 
 
+def _is_ip6(value: str) -> bool:
+    """Whether a text is an address of version 6 that tells of someone: three groups at least aren't zero."""
+    try:
+        groups = ipaddress.IPv6Address(value).exploded.split(":")
+    except ValueError:
+        return False
+    return sum(int(g, 16) > 0 for g in groups) > 2
+
+
 def iban_digits(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -346,13 +380,16 @@ def _bounded(text: str, start: int, end: int) -> bool:
 
 
 def people(text: str, surrogates: Surrogates) -> list[Entity]:
-    """Names after a title, known given names with a surname, and all further mentions of these in the text, in any case.
+    """Names after a title, known given names with a surname, and all further mentions of these in the text.
 
-    Names start with no small letter. Where cues overlap, all count; a name of
+    Names start with no small letter. A mention in small letters counts where it stands alone between marks;
+    among words it may be an ordinary one ("you may go", with Mrs May in the text). A name that also
+    stands so among words stays where a sentence begins, unless a cue names it there. Where cues overlap, all count; a name of
     over 64 letters exchanges its letters. Of two readings of a word (given
     name and surname) the first in the text holds for all its mentions.
     """
     found: dict[str, str | None] = {}  # each name in lower case, and its gender if it is a known given name
+    cued: set[int] = set()  # where the names of cues stand
     for last, cue in _cues().iter(text):
         start, end = last + 1 - len(cue), last + 1
         if not _bounded(text, start, end) or end < len(text) and text[end] == "-":
@@ -361,13 +398,16 @@ def people(text: str, surrogates: Surrogates) -> list[Entity]:
         m = (_NAMES if title else _SURNAME).match(text, end)
         if not m:
             continue
-        words = [] if title else [cue]
-        for x in _WORD.findall(m[1]):
+        words, places = ([], []) if title else ([cue], [start])
+        for word in _WORD.finditer(m[1]):
+            x = word[0]
             if x[0].islower() or x.lower() in OFFICES or x in _TITLE_GENDER or cue.isupper() and len(cue) > 3 and not x.isupper():
                 break
             words.append(x)
+            places.append(m.start(1) + word.start())
         if len(words) < (1 if title else 2):
             continue
+        cued.update(places)
         gender = _TITLE_GENDER[cue] if title else None
         for i, x in enumerate(words):
             known = _GIVEN_GENDER.get(x.lower()) if i + 1 < len(words) or len(words) == 1 else None
@@ -376,12 +416,16 @@ def people(text: str, surrogates: Surrogates) -> list[Entity]:
             found.setdefault(x.lower(), known)
     if not found:
         return []
-    out = []
+    out, seen = [], []
     for m in _WORD.finditer(text):
         word = m[0]
         pieces = [(word, m.start())] if word.lower() in found else [(x[0], m.start() + x.start()) for x in re.finditer(r"[^\W\d_]+", word)]
-        for x, at in pieces:
-            if x.lower() in found and (len(x) > 2 or x[0].isupper()) and _bounded(text, at, at + len(x)):
+        seen += [(x, at) for x, at in pieces if x.lower() in found and _bounded(text, at, at + len(x))]
+    alone = {at for x, at in seen if x[0].islower() and not (_WORD_END.search(text, max(0, at - 8), at) or _WORD_START.match(text, at + len(x)))}
+    ordinary = {x for x, at in seen if x[0].islower() and at not in alone}
+    for x, at in seen:
+        if at in alone or not x[0].islower() and (at in cued or x.lower() not in ordinary or not _SENTENCE.search(text, max(0, at - 40), at)):
+            if len(x) > 2 or not x[0].islower():
                 gender = found[x.lower()]
                 out.append(Entity(at, at + len(x), "given" if gender else "name", x.lower(), surrogates.given_name(x, gender) if gender else surrogates.name(x)))
     return out
@@ -403,6 +447,12 @@ def entities(text: str, surrogates: Surrogates) -> list[Entity]:
                 continue
             if kind == "card" and not is_card(ascii_digits(value)):
                 continue
+            if kind == "ip6" and not _is_ip6(value):
+                continue
+            if kind == "local":
+                if not 9 <= len(ascii_digits(value)) <= 12 or not _PHONE_CUE.search(text, max(0, start - 32), start):
+                    continue
+                kind = "phone"
             if kind == "ip" and _VERSION.search(text, max(0, start - 12), start):
                 continue
             found.append(Entity(start, m.end(), kind, canonical(kind, value), surrogates.replace(kind, value)))
@@ -414,6 +464,10 @@ def entities(text: str, surrogates: Surrogates) -> list[Entity]:
             if group == "c" and m["sign"] == ":" and value.rstrip(".!?)").isalpha() and (value.islower() or value.istitle()):
                 continue
             found.append(Entity(*m.span(group), "secret", value, surrogates.replace("secret", value)))
+    for m in _ENTROPY.finditer(text):
+        value = m[0]
+        if re.search("[a-z]", value) and re.search("[A-Z]", value) and re.search("[0-9]", value) and _SECRET_CUE.search(text, max(0, m.start() - 40), m.start()):
+            found.append(Entity(*m.span(), "secret", value, surrogates.replace("secret", value)))
     found += people(text, surrogates)
     found.sort(key=lambda e: (e.start, -e.end))
     out: list[Entity] = []
