@@ -27,7 +27,7 @@ WINDOW_LINES = 3
 SURGE_CHARS = 80
 #: Where an article holds half of a page's characters outside links, those outside of it count for one in so many.
 OUTSIDE = 4
-#: Longer class names and ids are no hints.
+#: Of longer class names and ids only the parts in their last so many characters count.
 NAME_CHARS = 100
 
 # Names from the HTML standard and usual class names.
@@ -41,7 +41,7 @@ BOXES = frozenset("html body main article section div td fieldset center details
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "aside audio button canvas datalist dialog fieldset footer form head iframe label math menu nav noembed noframes noscript object option "
+    "aside audio button canvas datalist dialog fieldset footer form head iframe menu nav noembed noframes noscript option "
     "script search select style svg template textarea title video xmp".split()
 )
 HINTS = re.compile(
@@ -55,20 +55,25 @@ _LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|without|no|by)(?=[_-])", re.I)
 #: Articles that aren't the page's own, and heads that belong to the article.
 ASIDES = re.compile(r"(?:^|[\s_-])(?:comments?|related|recommended|promo\w*|sponsor\w*|advert\w*|ads?|teaser)(?=$|[\s_-])", re.I)
 OWN_HEADS = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]?(?:header|head|title|body|content|text)(?=$|[\s_-])", re.I)
+_QUOTE = re.compile(r"(?:^|[_-])(?:pull)?quote(?=$|[_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _PLAIN_END = re.compile(r"[^>\"']*+>")
 _END = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"(?<![^\s=/])([^\s=/]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+)")
-_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:$|[\s=])")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening tag of the same kind closes.
 _SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def _tail(name: str) -> str:
+    """A class name or id, of a long one its last whole parts."""
+    return name if len(name) <= NAME_CHARS else re.split(r"[_-]", name[-NAME_CHARS:], maxsplit=1)[-1]
+
+
 def _hint(value: str) -> int:
     """2 if one of the names in a class or id is a hint, 3 if one ends in a hint, else 0."""
-    found = [_BOXES.sub("", x) for x in value.split() if len(x) <= NAME_CHARS and not _LAYOUT.search(x)]
+    found = [_BOXES.sub("", x) for x in map(_tail, value.split()) if not _LAYOUT.search(x)]
     if any(m.end() == len(x) for x in found if (m := HINTS.match(x))):
         return 2
     return 3 if any(m.end() == len(x) for x in found for m in HINTS.finditer(x)) else 0
@@ -76,23 +81,27 @@ def _hint(value: str) -> int:
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
     """0: no, 1: yes, 2 or 3: a hint says so, as in ``_hint``. ``inside``: whether an article or main element is open."""
-    if tag in HIDDEN:
+    if tag in HIDDEN and not (tag == "aside" and inside):
         return 1
     if tag == "header":
         return int(not inside)
     if not attributes or tag in ("html", "body"):
-        return 0
-    if _HIDDEN_ATTRIBUTE.search(attributes):
+        return int(tag == "aside")
+    found: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), v.strip("\"'"))
+    if "hidden" in found:
         return 1
+    if tag == "aside":  # a quote of the story may stand in one
+        return int(not any(_QUOTE.search(y) for k in ("class", "id") for y in found.get(k, "").split()))
     if tag in ("main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "a"):
         return 0
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
         return 1
     if re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", found.get("style", ""), re.I):
         return 1
     names = [found.get(k, "") for k in ("class", "id")]
-    own = [y for x in names for y in x.split() if len(y) <= NAME_CHARS]
+    own = [_tail(y) for x in names for y in x.split()]
     if tag == "article":
         return int(any(ASIDES.search(y) for y in own if not _LAYOUT.search(y)))
     if any(OWN_HEADS.search(y) for y in own):
