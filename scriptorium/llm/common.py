@@ -8,13 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows is hot; there are at most as many hot keys.
 HOT_SHARE = 1000
-#: Rows that one step of an Arrow function holds as Python objects.
-SLICE_ROWS = 256
+#: Rows that one step of an Arrow function holds as Python objects, and bytes of text where steps have many rows.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
+#: Rows and bytes of a step where a worker reads several tables from disk in each.
+MANY_BLOCKS = 10_000, SLICE_BYTES
 #: Lower-case A-Z and blank out every other ASCII byte that is no letter or digit.
 _ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -52,11 +55,17 @@ def table_written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As ``table_written``, in buckets by ``key``, so that joins on it don't shuffle this table."""
+    """As ``table_written``, in about ``buckets`` buckets by ``key``, at most as many as Spark allows, so that joins on it don't shuffle this table.
+
+    The table leaves the catalog at once; its files stay, and the result reads them.
+    """
     spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     name = f"scriptorium_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(max(1, buckets), key).option("path", f"{shared_folder(spark)}/scriptorium/{name}").format("parquet").saveAsTable(name)
-    return spark.read.table(name)
+    df.write.bucketBy(max(1, min(buckets, most)), key).option("path", f"{shared_folder(spark)}/scriptorium/{name}").format("parquet").saveAsTable(name)
+    out = spark.read.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
@@ -79,11 +88,22 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> Da
     return rows.join(hot, on).unionByName(rest).drop("n")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Short pieces of each batch, so that few texts are Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Short pieces of each batch, in rows and, if ``size`` is given, in bytes of text, so that few texts are Python objects at once; a longer row is a piece of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if size is None or batch.nbytes <= size:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        before, at = np.cumsum(sizes) - sizes, 0
+        while at < batch.num_rows:
+            end = max(at + 1, min(at + rows, int(np.searchsorted(before + sizes, before[at] + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

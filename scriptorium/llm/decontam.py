@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, slices
+from .common import MANY_BLOCKS, alnum_words, as_bytes, slices
 
 WINDOW_WORDS = 13
 #: Windows of benchmark text in one broadcast search table; a larger benchmark takes several, one after the other.
@@ -162,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
         return found
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256 if len(tables) == 1 else 10_000):
+        for part in slices(batches, *(MANY_BLOCKS if len(tables) > 1 else ())):
             got = judge(as_bytes(part.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
             )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256 if len(tables) == 1 else 10_000):
+        for part in slices(batches, *(MANY_BLOCKS if len(tables) > 1 else ())):
             got = judge(as_bytes(part.column(at_text)))
             yield part.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h, _ in got], pa.bool_()))
 

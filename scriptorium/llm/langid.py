@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, slices, table_written
+from .common import MANY_BLOCKS, slices, table_written
 
 #: Orders of the n-grams, and buckets that they are hashed to (a power of 2).
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
@@ -152,6 +152,8 @@ def predict(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[str,
     name, strange = np.empty(len(own), object), np.zeros(len(own), bool)
     for model in blocks:
         block = model.value
+        if len(blocks) > 1:
+            model.__dict__.pop("_value", None)  # a worker holds one block; the next use reads it from its disk again
         likely, sizes = scores(own, block)
         joint = likely + block.priors
         at = joint.argmax(1)
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE_ROWS if len(blocks) < 2 else 10_000):
+        for part in slices(batches, *(MANY_BLOCKS if len(blocks) > 1 else ())):
             got = predict(part.column(at).to_pylist(), blocks)
             new = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "score", "strange"])
@@ -215,7 +217,7 @@ def known_language(docs: DataFrame) -> DataFrame:
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE_ROWS if len(blocks) < 2 else 10_000):
+        for part in slices(batches, *(MANY_BLOCKS if len(blocks) > 1 else ())):
             texts = part.column(at).to_pylist()
             if not blocks:
                 yield part.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
