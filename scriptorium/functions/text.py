@@ -12,6 +12,10 @@ SENTINEL = r"<extra_id_\d+>|</s>|<pad>"
 LATEX_TOKEN = r"(?s)\\(?:begin|end)\{[A-Za-z*]+\}|\\[A-Za-z]+|\\.|."
 #: The first of the supplementary private characters.
 PRIVATE = 0xF0000
+#: Names of functions that a formula writes upright; a writer without such a symbol spells them.
+OPERATOR_NAMES = (
+    "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln lg exp lim liminf limsup max min sup inf det dim ker deg gcd arg hom Pr mod bmod"
+).split()
 IDENTIFIER = r"^[A-Za-z][A-Za-z0-9_-]*$"
 
 
@@ -75,3 +79,16 @@ def token_distance(a: Column, b: Column) -> Column:
 def words(text: Column) -> Column:
     """The words between white space as tokens."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def reply_formula(reply: Column, field: str = "latex") -> Column:
+    """The formula in a model's JSON reply, without white space, back quotes and dollar signs around it; null where the reply is no JSON or has none."""
+    bare = F.trim(F.btrim(F.trim(F.get_json_object(reply, f"$.{field}")), F.lit("`")))
+    return F.trim(F.btrim(bare, F.lit("$")))
+
+
+def spelled(tokens: Column, known: Column) -> Column:
+    """Tokens with the names of functions that aren't ``known`` spelled letter by letter."""
+    letters = lambda t: F.filter(F.split(F.substr(t, F.lit(2), F.length(t)), ""), lambda c: c != "")
+    named = lambda t: t.startswith("\\") & F.substr(t, F.lit(2), F.length(t)).isin(OPERATOR_NAMES) & ~F.array_contains(known, t)
+    return F.flatten(F.transform(tokens, lambda t: F.when(named(t), letters(t)).otherwise(F.array(t))))

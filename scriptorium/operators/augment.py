@@ -114,45 +114,43 @@ def rounded(values: Column, digits: int = 2) -> Column:
     return F.pandas_udf(run, "double")(values)
 
 
-def writing_plan(text: str, corrections: list[dict]) -> list[dict]:
-    """The steps in which a line is written with its corrections (``index, wrong, style, replace``).
-
-    Steps have ``kind`` char (``at`` in the text, null for a wrong character, ``ch``,
-    ``deleted``, ``over``: the step it is written upon) or the style of a
-    mark (``first``, ``last`` step that it crosses out).  A strike or scribble
-    crosses the wrong characters out and writing goes on; an overwrite puts
-    ``replace`` characters, as many as are wrong if null, upon them.
-    Corrections within overwritten characters are passed over; of two at one
-    place the last counts.
+def writing_steps(lines: DataFrame) -> DataFrame:
+    """The steps in which lines are written with their corrections: ``lines(id, text, fixes array<struct<index, wrong, style, replace>>)`` -> rows by step.
+
+    ``id, step, kind, at, ch, deleted, over, first, last``: kind ``char`` writes ``ch``, the text's character ``at``, or one that is
+    wrong (``at`` null, ``deleted``), or over the wrong one of step ``over``; any other kind is a mark through the steps from ``first`` to
+    ``last``.  ``wrong`` is written where text ``index`` begins.  A strike or scribble then crosses it out; an overwrite puts ``replace``
+    characters of the text, null: as many as are wrong, on top.  Of fixes at one place the last counts; one inside overwritten
+    characters or outside the text is passed over.  Null texts have no steps.
     """
-    steps: list[dict] = []
-    char = lambda at, ch, over=None: steps.append({"kind": "char", "at": at, "ch": ch, "deleted": at is None, "over": over})
-    at = 0
-    for index, c in sorted({c["index"]: c for c in corrections}.items()):
-        if not at <= index < len(text):
-            continue
-        for k in range(at, index):
-            char(k, text[k])
-        at, first, wrong = index, len(steps), c["wrong"]
-        for ch in wrong:
-            char(None, ch)
-        if c["style"] == "overwrite":
-            n = len(wrong) if pd.isna(c.get("replace")) else int(c["replace"])
-            at = min(index + n, len(text))
-            for k in range(index, at):
-                char(k, text[k], first + k - index if k - index < len(wrong) else None)
-        else:
-            steps.append({"kind": c["style"], "first": first, "last": len(steps) - 1})
-    for k in range(at, len(text)):
-        char(k, text[k])
-    return steps
-
-
-def writing_plans(text: Column, corrections: Column) -> Column:
-    """``writing_plan`` of texts and arrays of corrections, by batches."""
-
-    def run(texts: pd.Series, fixes: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else writing_plan(t, [] if f is None else list(f)) for t, f in zip(texts, fixes)], dtype=object)
-
-    run.__annotations__ = {"texts": pd.Series, "fixes": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<kind:string,at:int,ch:string,deleted:boolean,over:int,first:int,last:int>>")(text, corrections)
+    wide = lambda f: F.when(f["style"] == "overwrite", F.coalesce(f["replace"], F.length(f["wrong"]))).otherwise(0)
+    # by place, so that the last of one place is known by the next one being elsewhere
+    placed = F.array_sort(F.transform(F.coalesce("fixes", F.array()), lambda f, k: F.struct(f["index"].alias("index"), k.alias("k"), f["wrong"].alias("wrong"), f["style"].alias("style"), wide(f).cast("int").alias("wide"))))
+    rows = lines.filter("text is not null").select("id", "text", placed.alias("f"))
+    known = F.filter("f", lambda f, k: (f["index"] >= 0) & (f["index"] < F.length("text")) & ~F.coalesce(F.get("f", k + 1)["index"] == f["index"], F.lit(False)))
+    rows = rows.withColumn("f", known)
+    free = F.aggregate("f", F.struct(F.lit(0).alias("end"), F.slice("f", 1, 0).alias("kept")), lambda acc, f: F.when(f["index"] < acc["end"], acc).otherwise(
+        F.struct(F.least(f["index"] + f["wide"], F.length("text")).alias("end"), F.concat(acc["kept"], F.array(f)).alias("kept"))), lambda acc: acc["kept"])
+    rows = rows.withColumn("f", free)
+    # an event's place in the line: where it belongs, then wrong characters, a mark, the right ones on top, or plain text
+    event = lambda anchor, turn, k, kind, at, ch, back: F.struct(anchor.alias("anchor"), F.lit(turn).alias("turn"), k.alias("k"), kind.alias("kind"), at.cast("int").alias("at"), ch.alias("ch"), back.cast("int").alias("back"))
+    none, every = F.lit(None), lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: k < n)
+    letter = lambda text, k: F.substr(text, k + 1, F.lit(1))
+    end = lambda f: F.least(f["index"] + f["wide"], F.length("text"))
+
+    def fixed(f: Column) -> Column:
+        n = F.length(f["wrong"])
+        wrong = F.transform(every(n), lambda k: event(f["index"], 0, k, F.lit("char"), none, letter(f["wrong"], k), none))
+        mark = event(f["index"], 1, F.lit(0), f["style"], none, none.cast("string"), n)
+        right = F.transform(every(end(f) - f["index"]), lambda k: event(f["index"], 2, k, F.lit("char"), f["index"] + k, letter(F.col("text"), f["index"] + k), F.when(k < n, n)))
+        return F.concat(wrong, F.when(f["style"] == "overwrite", right).otherwise(F.array(mark)))
+
+    covered = lambda k: F.exists("f", lambda f: (f["index"] <= k) & (k < end(f)))
+    plain = F.transform(F.filter(every(F.length("text")), lambda k: ~covered(k)), lambda k: event(k, 3, F.lit(0), F.lit("char"), k, letter(F.col("text"), k), none))
+    events = rows.select("id", F.explode(F.concat(F.flatten(F.transform("f", fixed)), plain)).alias("e")).select("id", "e.*")
+    step = F.row_number().over(Window.partitionBy("id").orderBy("anchor", "turn", "k")) - 1
+    char = F.col("kind") == "char"
+    back = F.col("step") - F.col("back")
+    return events.withColumn("step", step).select(
+        "id", "step", "kind", "at", "ch", F.when(char, F.col("at").isNull()).alias("deleted"), F.when(char, back).alias("over"), F.when(~char, back).alias("first"), F.when(~char, F.col("step") - 1).alias("last")
+    )

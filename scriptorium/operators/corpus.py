@@ -112,3 +112,9 @@ def only_for_training(lines: DataFrame, split: str = "split") -> DataFrame:
 def dropped(lines: DataFrame, tokens: str, points: str, most_tokens: int = 50, most_points: int = 2000) -> DataFrame:
     """``lines`` with ``reason``: ``tokens`` or ``points`` where a line has too many (tokens are asked first), null where it stays."""
     return lines.withColumn("reason", F.when(F.size(tokens) > most_tokens, "tokens").when(F.col(points) > most_points, "points"))
+
+
+def learning_rate(step: Column, warm: int, total: int, peak: float) -> Column:
+    """Rises linearly over ``warm`` steps, then falls along half a cosine to nothing at ``total``."""
+    fall = 0.5 * (1 + F.cos(F.pi() * (step - warm) / float(total - warm)))
+    return peak * F.when(step < warm, (step + 1) / float(warm)).otherwise(fall)

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import charts, formulas, packing, routing, scoring
 from . import views
 from .queries import _r, query
@@ -134,6 +135,24 @@ def t16_formula_nodes(spark, d):
     return out.withColumns({c: F.coalesce(c, F.lit(-1)).cast("int") for c in ("node", "parent", "place")})
 
 
+@query(r"""
+WITH r AS (
+  SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '\sin' WHEN 2 THEN '\log x+\alpha' ELSE '\arctan\frac{' || p_size || '}{2}' END AS latex FROM part
+), t AS (
+  SELECT p_partkey, latex, list_filter(regexp_extract_all(latex, '(?s)\\(?:begin|end)\{[A-Za-z*]+\}|\\[A-Za-z]+|\\.|.'), lambda x: x <> ' ') AS t FROM r
+)
+SELECT p_partkey, latex, array_to_string(flatten(list_transform(t, lambda x: CASE WHEN x IN ('\sin', '\arctan') THEN string_split(x[2:], '') ELSE [x] END)), ' ') AS tokens FROM t""")
+def t21_replies(spark, d):
+    """Formulas out of JSON replies, some of which are broken; a writer that knows the logarithm spells other functions."""
+    k = F.col("p_partkey") % 4
+    size = F.col("p_size").cast("string")
+    body = F.when(k == 1, F.lit(r"$\\sin$")).when(k == 2, F.lit(r" `$$\\log x+\\alpha$` ")).otherwise(F.concat(F.lit(r"`\\arctan\\frac{"), size, F.lit(r"}{2}`")))
+    reply = F.when(k == 0, F.lit("no reply")).otherwise(F.concat(F.lit('{"box": {}, "latex": "'), body, F.lit('"}')))
+    rows = table(spark, d, "part").select("p_partkey", tx.reply_formula(reply).alias("latex"))
+    tokens = F.filter(tx.latex_tokens(F.col("latex")), lambda t: t != " ")
+    return rows.select("p_partkey", "latex", F.array_join(tx.spelled(tokens, F.array(F.lit(r"\log"))), " ").alias("tokens"))
+
+
 # --- charts ---------------------------------------------------------------------------------------------------------
 
 

@@ -374,13 +374,21 @@ def l16_digitized(spark, d):
     return out.withColumn("t", F.round("t", 3))
 
 
-@query("SELECT p_partkey, length(p_name) + CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS steps, p_name[:2] || 'xy' || p_name[3:] AS written FROM part")
+@query("""
+SELECT p_partkey, length(p_name) + CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS steps, p_name[:2] || 'xy' || p_name[3:] AS written,
+  CASE WHEN p_size % 2 = 0 THEN 'char' ELSE 'strike' END AS fifth, CASE WHEN p_size % 2 = 0 THEN '2 3' ELSE '' END AS over, CASE WHEN p_size % 2 = 0 THEN '' ELSE '2-3' END AS marks
+FROM part""")
 def t13_writing_plans(spark, d):
     """Every name is begun wrongly after two characters: overwritten, or struck out with a mark."""
     style = F.when(F.expr("p_size % 2 = 0"), "overwrite").otherwise("strike")
     fix = F.array(F.struct(F.lit(2).alias("index"), F.lit("xy").alias("wrong"), style.alias("style"), F.lit(None).cast("int").alias("replace")))
-    rows = table(spark, d, "part").select("p_partkey", augment.writing_plans(F.col("p_name"), fix).alias("s"))
-    return rows.select("p_partkey", F.size("s").cast("long").alias("steps"), F.array_join(F.transform("s", lambda x: x["ch"]), "").alias("written"))
+    steps = augment.writing_steps(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), fix.alias("fixes")))
+    joined = lambda c, by: F.array_join(F.sort_array(F.collect_list(F.struct("step", c)))["c"], by)
+    shown = {"written": (F.coalesce("ch", F.lit("")), ""), "over": (F.col("over").cast("string"), " ")}
+    return steps.groupBy(F.col("id").alias("p_partkey")).agg(
+        F.count("*").alias("steps"), *[joined(c.alias("c"), by).alias(n) for n, (c, by) in shown.items()], F.max(F.when(F.col("step") == 4, F.col("kind"))).alias("fifth"),
+        F.coalesce(F.max(F.concat_ws("-", F.col("first").cast("string"), F.when(F.col("first").isNotNull(), F.col("last").cast("string")))), F.lit("")).alias("marks"),
+    )
 
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------

@@ -806,8 +806,7 @@ def io33_checksum(spark, d):
 @query("SELECT id, lr FROM (SELECT o_orderkey AS id, round(0.001::DOUBLE * CASE WHEN o_orderkey % 1000 < 100 THEN ((o_orderkey % 1000) + 1) / 100.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * ((o_orderkey % 1000) - 100) / 900.0::DOUBLE)) END, 9) AS lr FROM orders)")
 def m11_learning_rate(spark, d):
     """Linear warm-up, then half a cosine."""
-    s = F.col("o_orderkey") % 1000
-    lr = 0.001 * F.when(s < 100, (s + 1) / 100.0).otherwise(0.5 * (1 + F.cos(F.pi() * (s - 100) / 900.0)))
+    lr = corpus.learning_rate(F.col("o_orderkey") % 1000, 100, 1000, 0.001)
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(lr, 9).alias("lr"))
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import symbols
+from ..operators import glyphs, symbols
+from ..sources import documents
 from . import views
+from .files import _folder
 from .queries import _r, query
+from .views import table
 
 # --- gates ----------------------------------------------------------------------------------------------------------
 
@@ -123,3 +126,56 @@ _RING = _ROUND.format(n=28, x="(l + ux * m)", s="-", r="body / 2", a="2 * pi()",
 ) {_outline_sql('FROM two UNION ALL FROM one')}""", "v_box")
 def g26_component_shapes(spark, d):
     return _summed(symbols.component_outlines(_components(spark, d), "page", "idx"))
+
+
+# --- glyphs ---------------------------------------------------------------------------------------------------------
+
+
+def _fonts(spark, d) -> DataFrame:
+    """Three SVG fonts of the characters in the parts' names, written as files and read again: each lacks every fifth character."""
+    chars = table(spark, d, "part").select(F.explode(F.split("p_name", "")).alias("ch")).filter("ch <> ''").distinct()
+    chars = chars.unionByName(spark.createDataFrame([(c,) for c in glyphs.CAPITALS], "ch string")).distinct().withColumn("code", F.ascii("ch"))
+    at = _folder(spark, "fonts")
+    for k in range(3):
+        own = chars.filter((F.col("code") % 5 != k) | F.col("ch").isin(*glyphs.CAPITALS))
+        top = F.when(F.col("ch").isin(*glyphs.CAPITALS), 700 + 50 * k).otherwise(500 + F.col("code") % 200)
+        glyph = F.format_string('<glyph unicode="&#%d;" horiz-adv-x="%d" d="M0 0L%d %d"/>', "code", 300 + F.col("code") % 17 * 10 + 25 * k, F.col("code") % 50, top)
+        body = own.agg(F.array_join(F.sort_array(F.collect_list(glyph)), "").alias("body"))
+        body.select(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><defs><font horiz-adv-x="500">'), "body", F.lit("</font></defs></svg>"))).coalesce(1).write.text(f"{at}/font{k}")
+    rows = documents.read_svg_glyphs(spark, f"{at}/font*")
+    return glyphs.cap_scaled(rows.select(F.regexp_extract("file", r"/(font\d)/", 1).alias("font"), "ch", "advance", "strokes"))
+
+
+_GLYPHS = """
+line AS (SELECT p_partkey AS id, unnest(string_split(p_name, '')) AS ch, generate_subscripts(string_split(p_name, ''), 1) - 1 AS pos FROM part
+), glyph AS (
+  SELECT ch, k, ascii(ch) AS code, (300 + ascii(ch) % 17 * 10 + 25 * k)::DOUBLE / (700 + 50 * k) AS advance,
+    (CASE WHEN ch IN ('H', 'E') THEN 700 + 50 * k ELSE 500 + ascii(ch) % 200 END)::DOUBLE / (700 + 50 * k) AS top FROM (SELECT DISTINCT ch FROM line), range(3) r(k)
+  WHERE ascii(ch) % 5 <> k OR ch IN ('H', 'E')
+)"""
+
+
+@query(f"""WITH {_GLYPHS}, pool AS (SELECT ch, max(advance) AS advance FROM glyph GROUP BY ch HAVING count(*) = 3)
+SELECT id, round(coalesce(sum(advance), 0), 6) AS width, count(*) FILTER (advance IS NULL) AS missing FROM line LEFT JOIN pool USING (ch) GROUP BY id""")
+def t11_pool_widths(spark, d):
+    """The width of each part's name that is safe for all fonts of the pool, by the fonts' own advances."""
+    own = _fonts(spark, d)
+    labels = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    return glyphs.text_widths(labels, glyphs.pool_advances(own, own.select("font"))).select("id", _r("width").alias("width"), "missing")
+
+
+@query(f"""WITH {_GLYPHS}, first AS (SELECT ch, min(k) AS k, arg_min(advance, k) AS advance, arg_min(top, k) AS top FROM glyph GROUP BY ch
+), laid AS (
+  SELECT id, pos, k, top, advance, code, sum(advance) OVER (PARTITION BY id ORDER BY pos) - advance AS x FROM (SELECT l.id, l.pos, f.k, f.advance, f.top, ascii(l.ch) AS code FROM line l JOIN first f USING (ch))
+)
+SELECT id, count(*) AS glyphs, count(*) FILTER (k > 0) AS fallbacks, round(max(x + advance), 6) AS width, round(max(top), 6) AS top, round(max(x + code % 50 / (700 + 50 * k)), 6) AS right_ FROM laid GROUP BY id""")
+def t22_laid_out(spark, d):
+    """Each part's name in glyphs: the first of three fonts that has a character, at the place that the advances before make."""
+    own = _fonts(spark, d)
+    pool = own.select("font").distinct().withColumn("place", F.substr("font", F.lit(5), F.lit(1)).cast("int"))
+    rows = glyphs.laid_out(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), own, pool)
+    each = F.flatten("strokes")
+    far = lambda c: F.max(F.array_max(F.transform(each, lambda p: p[c])))
+    return rows.groupBy("id").agg(
+        F.count("*").alias("glyphs"), F.count_if(F.col("font") != "font0").alias("fallbacks"), _r(F.max(F.col("x") + F.col("advance"))).alias("width"), _r(far("y")).alias("top"), _r(far("x")).alias("right_")
+    )

@@ -81,11 +81,22 @@ def test_held_out_lines_stop(spark):
         corpus.only_for_training(lines).collect()
 
 
-def test_writing_plan():
-    plan = augment.writing_plan("abcd", [{"index": 1, "wrong": "xy", "style": "strike"}])
-    assert [s.get("ch") for s in plan] == ["a", "x", "y", None, "b", "c", "d"] and (plan[3]["first"], plan[3]["last"]) == (1, 2)
-    over = augment.writing_plan("abcd", [{"index": 1, "wrong": "x", "style": "overwrite", "replace": 2}, {"index": 2, "wrong": "q", "style": "strike"}])
-    assert [(s["at"], s["over"]) for s in over] == [(0, None), (None, None), (1, 1), (2, None), (3, None)]
+def test_writing_steps(spark):
+    cases = {
+        1: ("abcd", [(1, "xy", "strike", None)]), 2: ("abcd", [(1, "x", "overwrite", 2), (2, "q", "strike", None)]), 3: ("ab", [(1, "first", "strike", None), (1, "z", "scribble", None), (7, "w", "strike", None)]),
+        4: ("ab", None), 5: (None, []), 6: ("abc", [(1, "pqr", "overwrite", None)]), 7: ("abc", [(0, "", "strike", None)]),
+    }
+    rows = spark.createDataFrame([(k, *v) for k, v in cases.items()], "id int, text string, fixes array<struct<index:int,wrong:string,style:string,replace:int>>")
+    plans = {}
+    for r in augment.writing_steps(rows).orderBy("id", "step").collect():
+        plans.setdefault(r.id, []).append(r)
+    plan, over = plans[1], plans[2]
+    assert [s.ch for s in plan] == ["a", "x", "y", None, "b", "c", "d"] and (plan[3].first, plan[3].last) == (1, 2)
+    assert [(s["at"], s.over) for s in over] == [(0, None), (None, None), (1, 1), (2, None), (3, None)]
+    assert [(s.kind, s.ch) for s in plans[3]] == [("char", "a"), ("char", "z"), ("scribble", None), ("char", "b")]
+    assert [s.ch for s in plans[4]] == ["a", "b"] and 5 not in plans
+    assert [(s["at"], s.over, s.deleted) for s in plans[6]] == [(0, None, False), (None, None, True), (None, None, True), (None, None, True), (1, 1, False), (2, 2, False)]
+    assert (plans[7][0].first, plans[7][0].last) == (0, -1)
 
 
 def test_ocr_rows(spark, tmp_path):
