@@ -11,22 +11,25 @@ from .lineage import cut
 def ranked(rows: DataFrame, order: list[str], by: str | None = None, out: str = "rank", size: str | None = None) -> DataFrame:
     """Add ``out``: the place of each row from 0 in the order of the columns ``order``, within its ``by`` if named; ``size`` adds how many rows are ordered.
 
-    Rows are dealt by ranges of the order and numbered in their range; sums of
+    Rows are dealt by ranges of the order and numbered where they lie; sums of
     the ranges' sizes, a row for each, say where a range begins.  A group is
-    spread over as many ranges as it fills.  Rows that tie in all columns are
-    in any order; an empty table gives an empty one.
+    spread over as many ranges as it fills, and joined with where it began by
+    range and group, so that no task sees a large one whole.  Rows that tie in
+    all columns are in any order; an empty table gives an empty one.
     """
     keys = [*([by] if by else []), *order]
-    # the ranges are kept, as they are drawn anew whenever they are computed
-    placed = cut(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    # the ranges are kept, as they are drawn anew whenever they are computed; the number holds a row's range and its place there
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("__id", F.monotonically_increasing_id())
+    placed = placed.withColumn("__range", F.shiftright("__id", 33))
     ranges = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     ranges = ranges.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
-    numbered = placed.join(F.broadcast(ranges.drop("__n")), "__range").withColumn(out, F.col("__before") + number - 1).drop("__range", "__before")
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(ranges.drop("__n")), "__range").withColumn(out, F.col("__before") + inside).drop("__id", "__before")
     if by is None:
+        numbered = numbered.drop("__range")
         return numbered.crossJoin(F.broadcast(placed.agg(F.count("*").alias(size)))) if size else numbered
-    groups = placed.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias(size or "__size"))
-    first = numbered.groupBy(F.col(by).alias("__g")).agg(F.min(out).alias("__first"))
-    groups = groups.join(first, groups["__by"].eqNullSafe(first["__g"])).drop("__g")
-    joined = numbered.join(groups, numbered[by].eqNullSafe(groups["__by"])).withColumn(out, F.col(out) - F.col("__first"))
-    return joined.drop("__by", "__first", "__size")
+    parts = numbered.groupBy("__range", F.col(by).alias("__by")).agg(F.min(out).alias("__least"), F.count("*").alias("__n"))
+    groups = parts.groupBy(F.col("__by").alias("__g")).agg(F.min("__least").alias("__first"), F.sum("__n").alias(size or "__size"))
+    parts = parts.join(groups, parts["__by"].eqNullSafe(groups["__g"])).drop("__g", "__least", "__n").withColumnRenamed("__range", "__r")
+    joined = numbered.join(parts, (F.col("__range") == F.col("__r")) & numbered[by].eqNullSafe(parts["__by"])).withColumn(out, F.col(out) - F.col("__first"))
+    return joined.drop("__by", "__first", "__size", "__range", "__r")
