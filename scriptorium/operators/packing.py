@@ -1,4 +1,4 @@
-"""Packing of blocks on pages: a fold over the space that is still free, for several attempts, the first that fits."""
+"""Packing of blocks on pages: a fold over the space that is still free, attempt after attempt until one fits."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 ATTEMPTS, SHRINK, BOARDS = 12, (1.0, 0.92, 0.8464, 0.778688), (1.0, 1.25, 1.5)
 #: Steps of the search for any free spot.
 SCAN = 10.0
-_STATE = "struct<placed:array<struct<x:double,y:double,w:double,h:double>>,column:double,lost:boolean>"
+_PLACED = "array<struct<x:double,y:double,w:double,h:double>>"
+_STATE = f"struct<placed:{_PLACED},column:double,lost:boolean>"
 
 
 def kept_with_next(blocks: DataFrame, gap: float) -> DataFrame:
@@ -27,16 +28,16 @@ def kept_with_next(blocks: DataFrame, gap: float) -> DataFrame:
     return rows.groupBy("page", "g").agg(F.min("idx").alias("idx"), F.max("w").alias("w"), F.max(F.col("dy") + F.col("h")).alias("h"), members.alias("members")).drop("g")
 
 
-def _free(x: Column, y: Column, w: Column, h: Column, placed: Column, gap: Column, margin: float) -> Column:
+def _free(x: Column, y: Column, w: Column, h: Column, placed: Column, gap: Column, margin: float, sheet: tuple[Column, Column]) -> Column:
     """Whether a block lies on the page, in half its margin, and 0.6 of a gap away from the placed ones."""
-    on = (x >= margin * 0.5) & (y >= margin * 0.5) & (x + w <= F.col("width") - margin * 0.5) & (y + h <= F.col("height") - margin * 0.5)
+    on = (x >= margin * 0.5) & (y >= margin * 0.5) & (x + w <= sheet[0] - margin * 0.5) & (y + h <= sheet[1] - margin * 0.5)
     near = gap * 0.6
     hit = lambda p: (x - near < p["x"] + p["w"]) & (p["x"] - near < x + w) & (y - near < p["y"] + p["h"]) & (p["y"] - near < y + h)
     return on & ~F.exists(placed, hit)
 
 
-def packed(blocks: Column, gap: Column, column_gap: Column, margin: float, beside_first: Column) -> Column:
-    """``struct<placed, column, lost>`` for blocks (``array<struct<w, h>>``) in order, on a page of ``width`` by ``height``.
+def packed(blocks: Column, gap: Column, column_gap: Column, margin: float, beside_first: Column, sheet: tuple[Column, Column]) -> Column:
+    """``struct<placed, column, lost>`` for blocks (``array<struct<w, h>>``) in order, on a page of a width and height.
 
     A block goes below the last one in its column, beside it, at the top of a
     new column, or to the first free spot by rows, whichever is free first;
@@ -50,35 +51,43 @@ def packed(blocks: Column, gap: Column, column_gap: Column, margin: float, besid
         below, beside = spot(s["column"], last["y"] + last["h"] + gap, False), spot(last["x"] + last["w"] + column_gap, last["y"], True)
         column = spot(F.array_max(F.transform(placed, lambda p: p["x"] + p["w"])) + column_gap, F.lit(margin), True)
         first = F.when(F.size(placed) == 0, F.array(spot(F.lit(margin), F.lit(margin), True))).when(beside_first, F.array(beside, below, column)).otherwise(F.array(below, beside, column))
-        chosen = F.get(F.filter(first, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin)), F.lit(0))
+        chosen = F.get(F.filter(first, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin, sheet)), F.lit(0))
         steps = lambda room: F.sequence(F.lit(0), F.greatest(F.floor((room - margin) / SCAN).cast("int"), F.lit(0)))
-        spots = F.flatten(F.transform(steps(F.col("height") - h), lambda j: F.transform(steps(F.col("width") - w), lambda i: spot(margin + i * SCAN, margin + j * SCAN, True))))
-        scanned = F.get(F.filter(spots, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin)), F.lit(0))
+        spots = F.flatten(F.transform(steps(sheet[1] - h), lambda j: F.transform(steps(sheet[0] - w), lambda i: spot(margin + i * SCAN, margin + j * SCAN, True))))
+        scanned = F.get(F.filter(spots, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin, sheet)), F.lit(0))
         lost = F.struct(placed.alias("placed"), s["column"].alias("column"), F.lit(True).alias("lost")).cast(_STATE)
         put = lambda c: F.struct(
             F.concat(placed, F.array(F.struct(c["x"].alias("x"), c["y"].alias("y"), w.alias("w"), h.alias("h")))).alias("placed"), F.when(c["new"], c["x"]).otherwise(s["column"]).alias("column"), F.lit(False).alias("lost")
         ).cast(_STATE)
-        return F.when(s["lost"], s).when(chosen.isNotNull(), put(chosen)).when(scanned.isNotNull(), put(scanned)).otherwise(lost)
+        # as a list of one, so that a spot is looked for once
+        placing = F.get(F.transform(F.array(F.coalesce(chosen, scanned)), lambda c: F.when(c.isNull(), lost).otherwise(put(c))), F.lit(0))
+        return F.when(s["lost"], s).otherwise(placing)
 
     return F.aggregate(blocks, F.struct(F.array().alias("placed"), F.lit(0.0).alias("column"), F.lit(False).alias("lost")).cast(_STATE), step)
 
 
 def layouts(blocks: DataFrame, width: float, height: float, gap: float, column_gap: float, margin: float) -> DataFrame:
-    """``blocks(page, idx, w, h)`` -> ``page, attempt, idx, x, y, scale``: the places of the first attempt that fits all of a page's blocks.
+    """``blocks(page, idx, w, h)`` -> ``page, attempt, idx, x, y, scale``: the places of the first attempt that fits all of a page's blocks; later ones aren't made.
 
     Attempts 0 to 11: every second one tries beside before below; from the third on
     blocks shrink, three times at most; from the seventh and tenth on the page is larger.  A page that
     no attempt fits has rows with null ``attempt`` and places.  A page's blocks are one row: what one page holds.
     """
     pages = blocks.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("idx", "w", "h"))).alias("b"))
-    rows = pages.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at)
-    rows = rows.withColumn("scale", pick(SHRINK, F.least(F.greatest(F.col("attempt") - 2, F.lit(0)), F.lit(3)) + 1))
-    board = pick(BOARDS, F.when(F.col("attempt") < 6, 1).when(F.col("attempt") < 9, 2).otherwise(3))
-    rows = rows.withColumns({"width": width * board, "height": height * board})
-    scaled = F.transform("b", lambda b: F.struct((b["w"] * F.col("scale")).alias("w"), (b["h"] * F.col("scale")).alias("h")))
-    rows = rows.withColumn("s", packed(scaled, gap * F.col("scale"), column_gap * F.col("scale"), margin, F.col("attempt") % 2 == 1))
-    first = rows.filter("not s.lost").groupBy("page").agg(F.min(F.struct("attempt", "scale", "s.placed")).alias("m"))
-    out = pages.join(first, "page", "left").select("page", "m.attempt", "m.scale", F.col("m.placed").alias("placed"), F.posexplode("b.idx").alias("at", "idx"))
+
+    def attempt(a: Column) -> Column:
+        """The places of an attempt, null if some block has none."""
+        scale = pick(SHRINK, F.least(F.greatest(a - 2, F.lit(0)), F.lit(3)) + 1)
+        board = pick(BOARDS, F.when(a < 6, 1).when(a < 9, 2).otherwise(3))
+        scaled = F.transform("b", lambda b: F.struct((b["w"] * scale).alias("w"), (b["h"] * scale).alias("h")))
+        s = packed(scaled, gap * scale, column_gap * scale, margin, a % 2 == 1, (width * board, height * board))
+        # as a list of one, so that the attempt is made once
+        made = F.transform(F.array(s), lambda s: F.when(~s["lost"], F.struct(a.alias("attempt"), scale.alias("scale"), s["placed"].alias("placed"))))
+        return F.get(made, F.lit(0))
+
+    none = F.lit(None).cast(f"struct<attempt:int,scale:double,placed:{_PLACED}>")
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), none, lambda found, a: F.when(found.isNotNull(), found).otherwise(attempt(a)))
+    out = pages.withColumn("m", first).select("page", "m.attempt", "m.scale", F.col("m.placed").alias("placed"), F.posexplode("b.idx").alias("at", "idx"))
     spot = F.get("placed", F.col("at"))
     return out.select("page", "attempt", "idx", spot["x"].alias("x"), spot["y"].alias("y"), "scale")
