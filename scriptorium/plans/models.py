@@ -78,11 +78,29 @@ _LISTED = ", ".join(f"'{f}'" for f in FORMULAS)
 _OPENS, _SCRIPTS = r"['{', '\left', '\begin{matrix}']", "['^', '_']"
 
 
-@query(rf"""WITH RECURSIVE text AS (
+def _formulas(spark, d) -> DataFrame:
+    """A formula of each part, with another one inside."""
+    listed = F.array(*map(F.lit, FORMULAS))
+    inner = F.replace(F.element_at(listed, (F.col("p_size") % 6 + 1).cast("int")), F.lit("?"), F.expr("chr(97 + p_partkey % 26)"))
+    outer = F.replace(F.element_at(listed, (F.col("p_partkey") % 12 + 1).cast("int")), F.lit("?"), F.concat(F.lit("{"), inner, F.lit("}")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("formula"), outer.alias("latex"))
+
+
+_FORMULAS = rf"""
+text AS (
   SELECT p_partkey AS formula, replace([{_LISTED}][p_partkey % 12 + 1], '?', '{{' || replace([{_LISTED}][p_size % 6 + 1], '?', chr((97 + p_partkey % 26)::INT)) || '}}') AS latex FROM part
 ), raw AS (
   SELECT formula, regexp_extract_all(latex, '(?s)\\(?:begin|end)\{{[A-Za-z*]+\}}|\\[A-Za-z]+|\\.|.') AS t FROM text
-), tok AS (
+)"""
+
+
+@query(f"WITH {_FORMULAS} SELECT formula, t.unnest AS token, count(*) AS n FROM raw, unnest(t) t GROUP BY ALL")
+def t1_latex_tokens(spark, d):
+    """How often each token stands in each formula: commands, environments and single characters."""
+    return _formulas(spark, d).select("formula", F.explode(tx.latex_tokens(F.col("latex"))).alias("token")).groupBy("formula", "token").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH RECURSIVE {_FORMULAS}, tok AS (
   SELECT formula, list_filter(list_transform(range(1, len(t) + 1), lambda i: {{'p': i - 1, 't': t[i], 'd': CASE WHEN t[i] IN ('\left', '\right') THEN t[i + 1] END, 'skip': t[i] = ' ' OR (i > 1 AND t[i - 1] IN ('\left', '\right'))}}), lambda x: NOT x.skip) AS toks FROM raw
 ), run AS (
   SELECT formula, 0 AS i, [{{'n': -1, 'w': -1, 'e': '', 'b': -1, 's': '', 'd': ''}}] AS stack, NULL::BIGINT AS node, NULL::BIGINT AS parent, NULL::VARCHAR AS kind, NULL::VARCHAR AS value, NULL::VARCHAR AS error,
@@ -127,11 +145,7 @@ UNION ALL SELECT formula, -1, -1, -1, NULL, NULL, error FROM bad
 UNION ALL SELECT formula, -1, -1, -1, NULL, NULL, NULL FROM tok WHERE len(toks) = 0""")
 def t16_formula_nodes(spark, d):
     """The trees of formulas made from the parts' keys and sizes."""
-    listed = F.array(*map(F.lit, FORMULAS))
-    inner = F.replace(F.element_at(listed, (F.col("p_size") % 6 + 1).cast("int")), F.lit("?"), F.expr("chr(97 + p_partkey % 26)"))
-    outer = F.replace(F.element_at(listed, (F.col("p_partkey") % 12 + 1).cast("int")), F.lit("?"), F.concat(F.lit("{"), inner, F.lit("}")))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("formula"), outer.alias("latex"))
-    out = formulas.formula_nodes(rows)
+    out = formulas.formula_nodes(_formulas(spark, d))
     return out.withColumns({c: F.coalesce(c, F.lit(-1)).cast("int") for c in ("node", "parent", "place")})
 
 
