@@ -21,6 +21,8 @@ KEPT_DOCUMENTS, TOP_TERMS = 3, 200
 HELD_TERMS, TERMS_A_ROW, DOCUMENT = 800_000, 4096, 1 << 32
 #: Sources of a language are dealt in blocks of so many; pairs are summed up in matrices of two blocks (512 KB).
 BLOCK_SOURCES = 256
+#: Parts that a group's terms are ranked in before the best of all are.
+RANK_PARTS = 16
 #: Matrices that a task holds, and pairs of postings that it unfolds at once.
 HELD_MATRICES, PAIR_STEP = 32, 1 << 19
 #: Lower-case A-Z; blank out other ASCII bytes.
@@ -148,17 +150,26 @@ def _terms(flat: DataFrame, buckets: DataFrame, stats: DataFrame, top: int) -> D
     order = Window.partitionBy(*group).orderBy(F.desc("bound"), F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     early = bounded.withColumn("seen", F.coalesce(F.sum("terms").over(order), F.lit(0))).filter(F.col("seen") < top)
     value = gap(F.col("p"), F.col("q"))
-    best = Window.partitionBy(*group).orderBy(F.desc("value"))
 
     def evaluated(chosen: DataFrame) -> DataFrame:
         return _with_shares(flat.join(chosen, [*group, "n"]), stats).filter("p > q").withColumn("value", value)
 
-    kth = evaluated(early.select(*group, "n")).select(*group, "value").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
+    kth = _best(evaluated(early.select(*group, "n")).select(*group, "term", "value"), group, top)
     kth = kth.groupBy(*group).agg(F.when(F.count("*") >= top, F.min("value")).otherwise(F.lit(-1)).alias("kth"))
     late = bounded.join(table_written(kth, "kth"), group).filter(F.col("bound") >= F.col("kth")).select(*group, "n", "kth")
     found = evaluated(late).filter(F.col("value") >= F.col("kth"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("value"), "term"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+    return _best(found, group, top).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+
+
+def _best(rows: DataFrame, group: list[str], top: int) -> DataFrame:
+    """The ``top`` rows of each group by value and term, with their ``rank``.
+
+    The terms of a group are ranked in parts first, so that of a group with many no task gets more than a part's and the parts' best.
+    """
+    order = [F.desc("value"), F.col("term")]
+    part = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("term"), F.lit(RANK_PARTS))).withColumn("__rank", part).filter(F.col("__rank") <= top).drop("__part", "__rank")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= top)
 
 
 def _pairs(table: DataFrame, buckets: DataFrame, stats: DataFrame, most: int, size: int) -> DataFrame:
