@@ -1,4 +1,4 @@
-"""Cutting lineage in operators that iterate."""
+"""Cutting lineage in operators that iterate; dealing rows to tasks by what they cost."""
 
 from __future__ import annotations
 
@@ -25,3 +25,13 @@ def cut(rows: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_folder(rows.sparkSession)
     return rows.checkpoint()
+
+
+def dealt(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to tasks of about ``each`` rows, and no fewer tasks than the session has shuffle partitions.
+
+    For steps whose work or results by row are large for its bytes: partitions of a
+    given number aren't merged by size.  Rows are counted first.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // each)), *keys)

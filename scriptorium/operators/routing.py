@@ -1,25 +1,92 @@
-"""Wires with right angles on a grid: cheapest paths of all pages at once, by frontiers."""
+"""Wires with right angles on a grid: cheapest paths, each searched where its page's cells are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .lineage import cut
+from .lineage import dealt
 
 # What a bend costs, a crossing, and each side on which a wire runs beside another; a step costs 1.
 BEND, CROSSING, BESIDE = 3.0, 6.0, 1.5
 #: Right, down, left, up.
 STEPS = ((1, 0), (0, 1), (-1, 0), (0, -1))
-_STATE = ["page", "net", "i", "j", "d"]
-
+#: What lies in a cell: a wall, a level wire, an upright one.
+_WALL, _LEVEL, _UPRIGHT = range(3)
+#: Requests of a task at most, by number: a search takes long for the bytes of its row.
+TASK_ROWS = 50_000
 
-def _step(d: Column, k: int) -> Column:
-    return F.element_at(F.array(*[F.lit(s[k]) for s in STEPS]), d + 1)
 
+def cheapest(ask: tuple[int, int, int, int], lying: list[int], columns: int, rows: int, bend: float, crossing: float, beside: float) -> tuple[float | None, str | None]:
+    """Cost and path of the cheapest wire from (si, sj) to (ti, tj), by letters the first of these; ``lying`` has ``3 * cell + what`` for what lies in cells.
 
-def arrivals(requests: DataFrame, blocked: DataFrame, wires: DataFrame, columns: int, rows: int, bend: float = BEND, crossing: float = CROSSING, beside: float = BESIDE) -> DataFrame:
-    """Cheapest ways to every state that a cheapest wire may pass: ``page, net, i, j, d, cost, path``; ``d`` is the direction of the last step.
+    States (cell, direction) are taken in the order of what their way costs, with the
+    least that is still to go, then of letters.  Cells are numbered with a rim around the grid.
+    """
+    si, sj, ti, tj = ask
+    wide = rows + 2
+    cell = lambda i, j: (i + 1) * wide + j + 1
+    if (si, sj) == (ti, tj):
+        return 0.0, ""
+    if not (-1 <= si <= columns and -1 <= sj <= rows and 0 <= ti < columns and 0 <= tj < rows):
+        return None, None
+    held: dict[int, int] = {}
+    for x in lying:
+        held[x // 3] = held.get(x // 3, 0) | 1 << x % 3
+    delta = [i * wide + j for i, j in STEPS]
+    target = cell(ti, tj)
+    # the distance to the target counts only where sums of costs are exact; else ways that cost the same might seem different
+    exact = all(c >= 0 and float(c * 1024).is_integer() for c in (bend, crossing, beside))
+    entry: dict[tuple[int, int], float | None] = {}
+
+    def enter(at: int, level: int) -> float | None:
+        """What it costs to enter a cell in a direction, null if none may."""
+        i, j = at // wide - 1, at % wide - 1
+        if not (0 <= i < columns and 0 <= j < rows):
+            return None
+        if at == target:
+            return 0.0
+        kind, own = held.get(at, 0), _LEVEL if level else _UPRIGHT
+        if kind >> _WALL & 1 or kind >> own & 1:
+            return None
+        side = 1 if level else wide
+        near = (held.get(at - side, 0) >> own & 1) + (held.get(at + side, 0) >> own & 1)
+        return (crossing if kind else 0.0) + near * beside
+
+    first = cell(si, sj)
+    heap = [(0.0, "", 0.0, first, d) for d in range(4)]
+    done = set()
+    while heap:
+        _, path, cost, at, d = heapq.heappop(heap)
+        if at == target:
+            return cost, path
+        if (at, d) in done:
+            continue
+        done.add((at, d))
+        wired = held.get(at, 0) >> _LEVEL
+        for o in (d,) if wired else ((d, (d + 1) % 4, (d + 3) % 4)):
+            to = at + delta[o]
+            if (to, o) in done:
+                continue
+            key = to, o % 2
+            if key not in entry:
+                entry[key] = enter(to, o % 2 == 0)
+            more = entry[key]
+            if more is None:
+                continue
+            way = cost + 1 + (0.0 if o == d else bend) + more
+            ahead = abs(to // wide - 1 - ti) + abs(to % wide - 1 - tj) if exact else 0
+            heapq.heappush(heap, (way + ahead, path + "RDLU"[o], way, to, o))
+    return None, None
+
+
+def routes(requests: DataFrame, blocked: DataFrame, wires: DataFrame, columns: int, rows: int, bend: float = BEND, crossing: float = CROSSING, beside: float = BESIDE) -> DataFrame:
+    """The cheapest wire of each request: ``page, net, cost, path``, null where there is no way.
 
     ``requests(page, net, si, sj, ti, tj)`` ask for a wire each; cells of ``blocked(page,
     i, j)`` can't be entered, except as a target.  ``wires(page, i, j, level)`` are
@@ -27,62 +94,26 @@ def arrivals(requests: DataFrame, blocked: DataFrame, wires: DataFrame, columns:
     wire where it is upright and the other way round; a wire beside them costs more.  Wires don't turn back.
     ``path`` has a letter of RDLU for each step; of equally cheap paths the first by letters counts.
 
-    Each round takes the states that became cheaper one step on, so there are as many
-    rounds as the longest of the cheapest paths has steps; states that are dearer than
-    a way known to their target, the distance to it included, are dropped.
+    What lies on a page is one list, no longer than the grid has cells, and the
+    only thing shuffled besides the requests; no state of a search leaves its task.
     """
-    field = cut(_field(blocked, wires))
-    start = requests.select("page", "net", F.col("si").alias("i"), F.col("sj").alias("j"), F.explode(F.array(*map(F.lit, range(4)))).alias("d"), F.lit(0.0).alias("cost"), F.lit("").alias("path"), "ti", "tj")
-    start = start.join(field.select("page", "i", "j", "wired"), ["page", "i", "j"], "left")
-    every = frontier = cut(start.select(*_STATE, "cost", "path", "ti", "tj", F.coalesce("wired", F.lit(False)).alias("wired")))
-    while frontier.limit(1).count():
-        o, level = F.col("o"), F.col("d") % 2 == 0
-        moves = frontier.withColumn("o", F.explode(F.array(*map(F.lit, range(4))))).filter((o != (F.col("d") + 2) % 4) & (~F.col("wired") | (o == F.col("d"))))
-        moves = moves.select(
-            "page", "net", (F.col("i") + _step(o, 0)).alias("i"), (F.col("j") + _step(o, 1)).alias("j"), o.alias("d"), "ti", "tj",
-            (F.col("cost") + 1 + F.when(o == F.col("d"), 0.0).otherwise(bend)).alias("cost"), F.concat("path", F.substr(F.lit("RDLU"), o + 1, F.lit(1))).alias("path"),
-        ).filter(F.col("i").between(0, columns - 1) & F.col("j").between(0, rows - 1))
-        moves = moves.groupBy(*_STATE, "ti", "tj").agg(F.min(F.struct("cost", "path")).alias("m")).join(field, ["page", "i", "j"], "left")
-        target = (F.col("i") == F.col("ti")) & (F.col("j") == F.col("tj"))
-        along = F.when(level, F.col("level")).otherwise(F.col("upright"))
-        extra = F.when(F.col("wired"), crossing).otherwise(0.0) + F.when(level, F.col("near_level")).otherwise(F.col("near_upright")) * beside
-        moves = moves.filter(target | F.coalesce(~F.col("wall") & ~along, F.lit(True))).select(
-            *_STATE, "ti", "tj", (F.col("m.cost") + F.when(target, 0.0).otherwise(F.coalesce(extra, F.lit(0.0)))).alias("cost"), "m.path", F.coalesce("wired", F.lit(False)).alias("wired"), target.alias("there")
-        )
-        known = every.groupBy(*_STATE).agg(F.min(F.struct("cost", "path")).alias("old"))
-        reached = every.filter(target).groupBy("page", "net").agg(F.min("cost").alias("way"))
-        moves = moves.join(known, _STATE, "left").join(reached, ["page", "net"], "left")
-        ahead = F.abs(F.col("ti") - F.col("i")) + F.abs(F.col("tj") - F.col("j"))
-        better = (F.col("old").isNull() | (F.struct("cost", "path") < F.col("old"))) & (F.col("way").isNull() | (F.col("cost") + ahead <= F.col("way")))
-        frontier = cut(moves.filter(better).select(*_STATE, "cost", "path", "ti", "tj", "wired"))
-        every = every.unionByName(frontier)
-    return every.groupBy(*_STATE).agg(F.min(F.struct("cost", "path")).alias("m")).select(*_STATE, "m.cost", "m.path")
-
-
-def _field(blocked: DataFrame, wires: DataFrame) -> DataFrame:
-    """``page, i, j, wall, wired, level, upright, near_level, near_upright``: what a wire meets in a cell, and how many wires lie beside it."""
-    at = lambda c, by: (F.col(c) + by).alias(c)
-    none, yes = F.lit(0), F.lit(1)
-
-    def part(rows: DataFrame, i: int = 0, j: int = 0, **values: Column) -> DataFrame:
-        return rows.select("page", at("i", i), at("j", j), *[values.get(c, none).alias(c) for c in ("wall", "level", "upright", "near_level", "near_upright")])
-
-    flat = wires.select("page", "i", "j", "level").distinct()
-    parts = [part(blocked, wall=yes), part(flat.filter("level"), level=yes), part(flat.filter("not level"), upright=yes)]
-    parts += [part(flat.filter("level"), j=k, near_level=yes) for k in (-1, 1)] + [part(flat.filter("not level"), i=k, near_upright=yes) for k in (-1, 1)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    sums = every.groupBy("page", "i", "j").agg(*[F.max(c).alias(c) if c in ("wall", "level", "upright") else F.sum(c).alias(c) for c in ("wall", "level", "upright", "near_level", "near_upright")])
-    return sums.select("page", "i", "j", (F.col("wall") > 0).alias("wall"), ((F.col("level") > 0) | (F.col("upright") > 0)).alias("wired"), (F.col("level") > 0).alias("level"), (F.col("upright") > 0).alias("upright"), "near_level", "near_upright")
-
-
-def routes(requests: DataFrame, blocked: DataFrame, wires: DataFrame, columns: int, rows: int, **costs: float) -> DataFrame:
-    """The cheapest wire of each request: ``page, net, cost, path``, null where there is no way; see ``arrivals``."""
-    best = arrivals(requests, blocked, wires, columns, rows, **costs)
-    ends = requests.select("page", "net", F.col("ti").alias("i"), F.col("tj").alias("j"))
-    found = best.join(ends, ["page", "net", "i", "j"]).groupBy("page", "net").agg(F.min(F.struct("cost", "path")).alias("m")).select("page", "net", "m.cost", "m.path")
-    return requests.select("page", "net").join(found, ["page", "net"], "left")
+    on = F.col("i").between(-1, columns) & F.col("j").between(-1, rows)
+    at = ((F.col("i") + 1) * (rows + 2) + F.col("j") + 1).cast("int") * 3
+    what = F.when(F.col("level"), _LEVEL).otherwise(_UPRIGHT)
+    lies = blocked.filter(on).select("page", (at + _WALL).alias("x")).unionByName(wires.filter(on).select("page", (at + what).alias("x")))
+    asked = dealt(requests.select("page", "net", "si", "sj", "ti", "tj"), TASK_ROWS, "page")
+    sheets = lies.groupBy("page").agg(F.collect_set("x").alias("lying"))
+    both = asked.join(sheets, "page", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ask = list(zip(*(batch.column(c).to_pylist() for c in ("page", "si", "sj", "ti", "tj"))))
+            found = [(None, None) if None in a else cheapest(a[1:], lying or [], columns, rows, bend, crossing, beside) for a, lying in zip(ask, batch.column("lying").to_pylist())]
+            new = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("net"), *new], ["page", "net", "cost", "path"])
+
+    keys = [requests.schema["page"], requests.schema["net"]]
+    return both.mapInArrow(run, T.StructType([*keys, T.StructField("cost", T.DoubleType()), T.StructField("path", T.StringType())]))
 
 
 def cells(routes_: DataFrame, requests: DataFrame) -> DataFrame:
