@@ -22,9 +22,14 @@ def inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ink_id, strokes array<array<struct<x, y>>>: the same, a row for each ink, without a shuffle."""
     xy = lambda s, q: F.struct(*((F.get("embedding", s * 16 + q * 2 + k).cast("double") * 300 + 112).alias(n) for k, n in enumerate("xy")))
     strokes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda q: xy(s, q)))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
+    return vectors.select(F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
 
 
+    return inks_of(table(spark, sf_dir, "embeddings"))
+
+
+def inks_of(vectors: DataFrame) -> DataFrame:
+    """``inks`` of rows ``vec_id, embedding``."""
 def pen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """writer, t (microseconds), x, y: the events as pen samples."""
     return table(spark, sf_dir, "events").select(
