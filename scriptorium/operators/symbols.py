@@ -22,7 +22,7 @@ BUBBLE, BULGE, BODY, BODY_SHARE = 0.07, 0.12, 30.0, 0.7
 ONE_INPUT = ("not", "buf")
 INVERTED = ("nand2", "nor2", "xnor2", "not")
 ONE_PORT = ("ground", "terminal")
-_PIECES = "kind string, part string, stroke int, seq int, form string, p array<double>"
+_STROKES = "kind string, part string, stroke int, pieces array<struct<seq:int,form:string,p:array<double>>>"
 
 
 def gate_ports(boxes: DataFrame) -> DataFrame:
@@ -136,23 +136,38 @@ def _points(p: Column, form: Column) -> Column:
     return F.when(form == "point", F.array(at(p[0], p[1], p[2]))).when(form == "curve", F.transform(steps(p[9], F.lit(16)), curve)).otherwise(F.transform(steps(p[9], p[8]), arc))
 
 
-def _outlines(framed: DataFrame, pieces: list[Piece], *keys: str) -> DataFrame:
+def _strokes(framed: DataFrame, pieces: list[Piece], *keys: str) -> DataFrame:
+    """``*keys, kind, part, stroke, points array<struct<n, x, y>>``: each stroke in its symbol's row, so that none is put together by a shuffle."""
     spark: SparkSession = framed.sparkSession
-    table = spark.createDataFrame([(k, part, s, n, form, [float(v) for v in p]) for k, part, s, n, form, p in pieces], _PIECES)
-    rows = framed.join(F.broadcast(table), "kind")  # some 120 rows, whatever the pages
-    rows = rows.select(*keys, "kind", "part", "stroke", "seq", F.posexplode(_points(F.col("p"), F.col("form"))).alias("k", "at"))
-    return rows.select(*keys, "kind", "part", "stroke", (F.col("seq") * 100 + F.col("k")).alias("n"), "at.x", "at.y")
+    own: dict[tuple, list] = {}
+    for kind, part, stroke, seq, form, p in pieces:
+        own.setdefault((kind, part, stroke), []).append((seq, form, [float(v) for v in p]))
+    table = spark.createDataFrame([(*k, sorted(v)) for k, v in own.items()], _STROKES)
+    rows = framed.join(F.broadcast(table), "kind")  # some 60 rows, whatever the pages
+    point = lambda q, seq, k: F.struct((seq * 100 + k).alias("n"), q["x"].alias("x"), q["y"].alias("y"))
+    points = F.flatten(F.transform("pieces", lambda c: F.transform(_points(c["p"], c["form"]), lambda q, k: point(q, c["seq"], k))))
+    return rows.select(*keys, "kind", "part", "stroke", points.alias("points"))
 
 
-def gate_outlines(boxes: DataFrame, *keys: str) -> DataFrame:
-    """``boxes(*keys, kind, l, t, r, b)`` -> ``*keys, kind, part, stroke, n, x, y``: the points of each gate, in order of ``n`` in a stroke of a part."""
+def _outlines(strokes: DataFrame, *keys: str) -> DataFrame:
+    rows = strokes.select(*keys, "kind", "part", "stroke", F.explode("points").alias("at"))
+    return rows.select(*keys, "kind", "part", "stroke", "at.n", "at.x", "at.y")
+
+
+def gate_strokes(boxes: DataFrame, *keys: str) -> DataFrame:
+    """``boxes(*keys, kind, l, t, r, b)`` -> ``*keys, kind, part, stroke, points array<struct<n, x, y>>``: the strokes of each gate, points in order."""
     w, h, none = F.col("r") - F.col("l"), F.col("b") - F.col("t"), F.lit(0.0)
     frame = {"ox": F.col("l"), "oy": F.col("t"), "ax": w, "ay": none, "bx": h, "by": none, "cx": none, "cy": h, "unit": h}
-    return _outlines(boxes.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), gate_pieces(), *keys)
+    return _strokes(boxes.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), gate_pieces(), *keys)
 
 
-def component_outlines(placed: DataFrame, *keys: str) -> DataFrame:
-    """``placed(*keys, kind, ax, ay, bx, by, size)`` -> points as in ``gate_outlines``.
+def gate_outlines(boxes: DataFrame, *keys: str) -> DataFrame:
+    """The points of ``gate_strokes`` as rows: ``*keys, kind, part, stroke, n, x, y``, in order of ``n`` in a stroke of a part."""
+    return _outlines(gate_strokes(boxes, *keys), *keys)
+
+
+def component_strokes(placed: DataFrame, *keys: str) -> DataFrame:
+    """``placed(*keys, kind, ax, ay, bx, by, size)`` -> strokes as in ``gate_strokes``.
 
     Bodies are 30 units long times ``size``, at most 0.7 of the way; grounds and
     terminals have no second end.  Other components without length raise.
@@ -164,4 +179,9 @@ def component_outlines(placed: DataFrame, *keys: str) -> DataFrame:
     unit = F.when(single, F.col("size")).otherwise(F.least(BODY * F.col("size"), BODY_SHARE * F.col("__l")))
     ux, uy = F.col("__x") / F.col("__l"), F.col("__y") / F.col("__l")
     frame = {"ox": F.col("ax"), "oy": F.col("ay"), "ax": F.col("__x"), "ay": F.col("__y"), "bx": ux * unit, "by": uy * unit, "cx": -uy * unit, "cy": ux * unit, "unit": unit}
-    return _outlines(rows.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), component_pieces(), *keys)
+    return _strokes(rows.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), component_pieces(), *keys)
+
+
+def component_outlines(placed: DataFrame, *keys: str) -> DataFrame:
+    """The points of ``component_strokes`` as rows, as in ``gate_outlines``."""
+    return _outlines(component_strokes(placed, *keys), *keys)

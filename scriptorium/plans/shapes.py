@@ -30,10 +30,11 @@ def g25_gate_ports(spark, d):
 
 def _summed(rows: DataFrame) -> DataFrame:
     """Each stroke: how many points, their sums (a little more, so that none is just between two rounded values), and where it begins and ends."""
-    end = lambda f, c: _r(f(c, "n"))
-    return rows.groupBy("page", "idx", "kind", "part", "stroke").agg(
-        F.count("*").alias("points"), F.round(F.sum("x") + 0.0000123, 4).alias("x"), F.round(F.sum("y") + 0.0000123, 4).alias("y"), F.round(F.sum(F.col("x") * F.col("y")) + 0.00123, 2).alias("xy"),
-        end(F.min_by, "x").alias("x0"), end(F.min_by, "y").alias("y0"), end(F.max_by, "x").alias("x1"), end(F.max_by, "y").alias("y1"),
+    total = lambda f: F.aggregate("points", F.lit(0.0), lambda a, q: a + f(q))
+    first, last = F.element_at("points", 1), F.element_at("points", -1)
+    return rows.select(
+        "page", "idx", "kind", "part", "stroke", F.size("points").cast("long").alias("points"), F.round(total(lambda q: q["x"]) + 0.0000123, 4).alias("x"), F.round(total(lambda q: q["y"]) + 0.0000123, 4).alias("y"),
+        F.round(total(lambda q: q["x"] * q["y"]) + 0.00123, 2).alias("xy"), _r(first["x"]).alias("x0"), _r(first["y"]).alias("y0"), _r(last["x"]).alias("x1"), _r(last["y"]).alias("y1"),
     )
 
 
@@ -70,7 +71,7 @@ _OR = ("bx", "t"), ("bx + 0.6 * (xe - bx)", "t"), ("xe", "ym"), ("bx + 0.6 * (xe
   UNION ALL SELECT page, idx, kind, 'bubble', 0, {_ROUND.format(n=12, x='xe + 0.07 * h', s='-', r='0.07 * h', a='2 * pi()', y='ym')} FROM g WHERE inverted
 ) {_outline_sql('FROM s')}""", "v_box")
 def g25_gate_shapes(spark, d):
-    return _summed(symbols.gate_outlines(_gates(spark, d), "page", "idx"))
+    return _summed(symbols.gate_strokes(_gates(spark, d), "page", "idx"))
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -125,7 +126,7 @@ _RING = _ROUND.format(n=28, x="(l + ux * m)", s="-", r="body / 2", a="2 * pi()",
   UNION ALL SELECT page, idx, kind, 'body', 0, {_ROUND.format(n=12, x='l', s='-', r='1.25', a='2 * pi()', y='t')} FROM c WHERE kind = 'terminal'
 ) {_outline_sql('FROM two UNION ALL FROM one')}""", "v_box")
 def g26_component_shapes(spark, d):
-    return _summed(symbols.component_outlines(_components(spark, d), "page", "idx"))
+    return _summed(symbols.component_strokes(_components(spark, d), "page", "idx"))
 
 
 # --- glyphs ---------------------------------------------------------------------------------------------------------
