@@ -39,6 +39,22 @@ def resample(points: DataFrame, spacing: float, *labels: str) -> DataFrame:
 
     The stroke is cut in ceil(length / spacing) equal parts. Samples
     are made segment by segment, each from the share of the way it covers, so
+def densified(strokes: Column, step: float) -> Column:
+    """The points of ``densify`` for strokes given as arrays of points (x, y), as one array."""
+
+    def between(a: Column, b: Column) -> Column:
+        n = F.greatest(F.ceil(F.hypot(b["x"] - a["x"], b["y"] - a["y"]) / step), F.lit(1)).cast("int")
+        on = lambda e, c, k: e["a"][c] + (e["b"][c] - e["a"][c]) * k / e["n"]
+        # as a list of one, so that the parts are counted once
+        return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), n.alias("n"))), lambda e: F.transform(F.sequence(F.lit(1), e["n"]), lambda k: F.struct(on(e, "x", k).alias("x"), on(e, "y", k).alias("y"))))[0]
+
+    def stroke(s: Column) -> Column:
+        later = F.flatten(F.transform(F.slice(s, F.lit(2), F.size(s)), lambda b, i: between(F.get(s, i), b)))
+        return F.concat(F.slice(s, 1, 1), later)
+
+    return F.flatten(F.transform(strokes, stroke))
+
+
     no join is needed. A stroke without length is one point.
     """
     way = arc_length(points).withColumn("total", F.max("s").over(Window.partitionBy("ink_id", "stroke_id")))

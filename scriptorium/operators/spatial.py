@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import Box, contained, iou
 
 BOX = ("l", "t", "r", "b")
+#: Cells of a page that are laid out whole, gaps closed; on a larger page cells are looked up.
+DENSE_CELLS = 1 << 20
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -83,24 +90,89 @@ def labelled(words: DataFrame, regions: DataFrame, share: float = 0.5) -> DataFr
     return regions.select("page", "idx").join(found, ["page", "idx"], "left")
 
 
+def _hits(item: np.ndarray, probes: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, radius: int) -> np.ndarray:
+    """Of a page's cells, by number of item: at [p, q], how many probing cells of p have a cell of q within ``radius``."""
+
+    def closed(v: np.ndarray) -> np.ndarray:
+        """Coordinates with wide gaps closed to what is just out of reach."""
+        own, at = np.unique(v, return_inverse=True)
+        return np.r_[0, np.cumsum(np.minimum(np.diff(own), radius + 1))][at] + radius
+
+    x, y = closed(x), closed(y)
+    wide = int(y.max()) + radius + 1
+    key = x * wide + y
+    cells, at = np.unique(key, return_inverse=True)
+    area = (int(x.max()) + radius + 1) * wide
+    dense = area <= DENSE_CELLS
+    span = int(key.max()) + 1
+    once = np.unique(item[probes] * span + key[probes])  # a cell may be listed again and again
+    asked, owner = once % span, once // span
+    out = np.zeros((n, n), np.int64)
+    for low in range(0, n, 62):  # so many items in the bits of a number
+        some = (item >= low) & (item < low + 62)
+        held = np.zeros(area if dense else len(cells), np.int64)
+        np.bitwise_or.at(held, (key if dense else at)[some], np.int64(1) << (item[some] - low))
+        seen = np.zeros(len(asked), np.int64)
+        for i in range(-radius, radius + 1):
+            for j in range(-radius, radius + 1):
+                if i * i + j * j <= radius * radius:
+                    to = asked + i * wide + j
+                    if dense:
+                        seen |= held[to]
+                    else:
+                        place = np.minimum(np.searchsorted(cells, to), len(cells) - 1)
+                        seen |= np.where(cells[place] == to, held[place], 0)
+        for q in range(low, min(n, low + 62)):
+            out[:, q] = np.bincount(owner[(seen >> (q - low)) & 1 > 0], minlength=n)
+    return out
+
+
+def near_items(items: DataFrame, radius: int, least: int, allowed: DataFrame | None = None) -> DataFrame:
+    """``near_pairs`` of rows ``page, item, probes, cells array<struct<cx, cy>>``, dealt by page: nothing else is shuffled, and no pair of cells is a row."""
+    kinds = {f.name: f.dataType for f in items.schema.fields}
+    row = F.struct("item", "probes", "cells")
+    pages = items.filter("item is not null and page is not null").groupBy("page").agg(F.collect_list(row).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            rows = lists.flatten()
+            names, probes, cells = rows.field("item").to_pylist(), np.array([bool(p) for p in rows.field("probes").to_pylist()], bool), rows.field("cells")
+            size = cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = cells.flatten()
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cx", "cy"))
+            row_end = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            cell_end = np.r_[0, np.cumsum(size)]
+            pages_, a, b, hits = [], [], [], []
+            for page, low, high in zip(batch.column("page").to_pylist(), np.r_[0, row_end[:-1]], row_end):
+                own = sorted(set(names[low:high]))
+                number = {name: k for k, name in enumerate(own)}
+                codes = np.array([number[name] for name in names[low:high]], np.int64)
+                part = slice(cell_end[low], cell_end[high])
+                if part.start == part.stop:
+                    continue
+                found = _hits(np.repeat(codes, size[low:high]), np.repeat(probes[low:high], size[low:high]), x[part], y[part], len(own), radius)
+                both = np.triu(found + found.T, 1)
+                for p, q in zip(*np.nonzero((both >= least) & (both > 0))):
+                    pages_.append(page), a.append(own[p]), b.append(own[q]), hits.append(int(both[p, q]))
+            kind = batch.schema.field("items").type.value_type.field("item").type
+            yield pa.RecordBatch.from_arrays([pa.array(pages_, batch.schema.field("page").type), pa.array(a, kind), pa.array(b, kind), pa.array(hits, pa.int64())], ["page", "a", "b", "hits"])
+
+    out = T.StructType([T.StructField("page", kinds["page"]), T.StructField("a", kinds["item"]), T.StructField("b", kinds["item"]), T.StructField("hits", T.LongType())])
+    hits = pages.mapInArrow(run, out)
+    return hits if allowed is None else hits.join(allowed, ["page", "a", "b"], "left_anti")
+
+
 def near_pairs(points: DataFrame, radius: int, least: int, allowed: DataFrame | None = None) -> DataFrame:
     """Items of a page whose ink comes within ``radius`` cells in ``least`` places or more: ``page, a, b, hits``; a < b.
 
     ``points(page, item, cx, cy, probes)`` in grid cells.  Cells of items that
     probe (text and formulas) look around: a place counts for each other item
-    near it, so two such items count from both sides.  Each probing cell is
-    sent to the cells of the disc around it, so the proximity join is an
-    equi-join; ``allowed(page, a, b)`` pairs, a < b, are left out.
+    near it, so two such items count from both sides.  A page's items are marked in
+    one number a cell, and the numbers of the disc around a cell are put together; ``allowed(page, a, b)`` pairs, a < b, are left out.
     """
-    disc = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    cells = points.select("page", "item", "cx", "cy", "probes").distinct()
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disc])
-    around = cells.filter("probes").select("page", "item", F.col("cx").alias("x"), F.col("cy").alias("y"), F.explode(offsets).alias("o"))
-    around = around.select("page", "item", "x", "y", (F.col("x") + F.col("o.i")).alias("cx"), (F.col("y") + F.col("o.j")).alias("cy"))
-    other = cells.select("page", F.col("item").alias("other"), "cx", "cy")
-    near = around.join(other, ["page", "cx", "cy"]).filter("item != other").select("page", "item", "other", "x", "y").distinct()
-    hits = near.groupBy("page", F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
-    return hits if allowed is None else hits.join(allowed, ["page", "a", "b"], "left_anti")
+    cells = points.filter("cx is not null and cy is not null").groupBy("page", "item", "probes").agg(F.collect_set(F.struct("cx", "cy")).alias("cells"))
+    return near_items(cells, radius, least, allowed)
 
 
 def text_rows(tsv: DataFrame, least: float = 20.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators import augment, corpus, evaluation, paths, sequences, spatial, validation
+from ..operators.lineage import dealt
 from ..sources import ink
 from . import views
 from .queries import _FLOW, _nodes, _r, query
@@ -205,6 +206,16 @@ hits AS (
 )"""
 
 
+def _inked(spark, d) -> DataFrame:
+    """The cells of ``_cells`` as a list for each ink; inks are dealt by page before they become cells."""
+    page = F.expr("vec_id div 16").alias("page")
+    rows = dealt(table(spark, d, "embeddings").filter("vec_id is not null and embedding is not null").select(page, "vec_id", "embedding"), 5_000, "page")
+    inks = views.inks_of(rows, "page")
+    cell = lambda p: F.struct(F.floor(p["x"] / 8).alias("cx"), F.floor(p["y"] / 8).alias("cy"))
+    cells = F.transform(paths.densified(F.col("strokes"), 4), cell)
+    return inks.select("page", F.col("ink_id").alias("item"), (F.col("ink_id") % 3 != 0).alias("probes"), cells.alias("cells"))
+
+
 def _cells(spark, d) -> DataFrame:
     dense = paths.densify(views.ink(spark, d), 4)
     cell = lambda c: F.floor(F.col(c) / 8).alias(f"c{c}")
@@ -213,14 +224,14 @@ def _cells(spark, d) -> DataFrame:
 
 @query(f"WITH {_CELLS}, {_hits(2)} SELECT * FROM hits WHERE hits >= 10", "v_ink")
 def j9_near_ink(spark, d):
-    return spatial.near_pairs(_cells(spark, d), 2, 10)
+    return spatial.near_items(_inked(spark, d), 2, 10)
 
 
 @query(f"WITH {_CELLS}, {_hits(3)} SELECT * FROM hits WHERE hits >= 3 AND NOT (a % 4 = 0 AND b = a + 1)", "v_ink")
 def v12_clearance(spark, d):
     """Clean pages: 2.5 cells, three hits; an underline (every fourth ink) may touch what comes after it."""
     allowed = table(spark, d, "embeddings").filter("vec_id % 4 = 0").select(F.expr("vec_id div 16").alias("page"), F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return spatial.near_pairs(_cells(spark, d), 3, 3, allowed)
+    return spatial.near_items(_inked(spark, d), 3, 3, allowed)
 
 
 @query(f"WITH {_CELLS} SELECT page, cx, cy, count(*) AS items FROM cell GROUP BY ALL", "v_ink")

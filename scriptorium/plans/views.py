@@ -25,7 +25,11 @@ def inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
 
 
-    return inks_of(table(spark, sf_dir, "embeddings"))
+def inks_of(vectors: DataFrame, *more: str) -> DataFrame:
+    """``inks`` of rows ``vec_id, embedding``, with the columns ``more``."""
+    xy = lambda s, q: F.struct(*((F.get("embedding", s * 16 + q * 2 + k).cast("double") * 300 + 112).alias(n) for k, n in enumerate("xy")))
+    strokes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda q: xy(s, q)))
+    return vectors.select(*more, F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
 
 
 def inks_of(vectors: DataFrame) -> DataFrame:
