@@ -34,10 +34,14 @@ def encoded(lines: DataFrame, vocabulary: DataFrame, key: str, column: str = "to
     return out.filter("bad = 0").select(key, "ids")
 
 
+def unreadable(lines: DataFrame, vocabulary: DataFrame, key: str, column: str = "tokens") -> DataFrame:
+    """The ``key`` of lines with a token outside the vocabulary."""
+    return lines.select(key, F.explode(F.array_distinct(column)).alias("token")).join(vocabulary, "token", "left_anti").select(key).distinct()
+
+
 def readable(lines: DataFrame, vocabulary: DataFrame, key: str, column: str = "tokens") -> DataFrame:
     """Lines all of whose tokens are in the vocabulary."""
-    bad = lines.select(key, F.explode(F.array_distinct(column)).alias("token")).join(vocabulary, "token", "left_anti").select(key).distinct()
-    return lines.join(bad, key, "left_anti")
+    return lines.join(unreadable(lines, vocabulary, key, column), key, "left_anti")
 
 
 def offset_statistics(offsets: DataFrame) -> DataFrame:
