@@ -87,9 +87,9 @@ def derendered(boxes: DataFrame, load: Callable[[], Model], prompt: str = RECOGN
     return out.withColumns({"text": tx.plain(F.col("raw")), "strokes": on_page(detokenize(tx.tokens_of(F.col("raw"))))})
 
 
-def merged_pages(results: DataFrame) -> DataFrame:
-    """``results(page, idx, text, strokes, used_fallback)`` -> ``page, text, strokes, any_fallback``: the crops of a page in order, as one ink."""
+def merged_pages(results: DataFrame, *more: Column) -> DataFrame:
+    """``results(page, idx, text, strokes, used_fallback)`` -> ``page, text, strokes, any_fallback``: the crops of a page in order, as one ink; ``more`` are other aggregates of a page."""
     parts = F.sort_array(F.collect_list(F.struct("idx", "text", "strokes")))
-    rows = results.groupBy("page").agg(parts.alias("p"), F.max("used_fallback").alias("any_fallback"))
+    rows = results.groupBy("page").agg(parts.alias("p"), F.max("used_fallback").alias("any_fallback"), *more)
     texts = F.array_join(F.filter(F.col("p.text"), lambda t: t != ""), " ")
-    return rows.select("page", texts.alias("text"), F.flatten("p.strokes").alias("strokes"), "any_fallback")
+    return rows.select("page", texts.alias("text"), F.flatten("p.strokes").alias("strokes"), *[c for c in rows.columns if c not in ("page", "p")])

@@ -63,8 +63,7 @@ def m1_scored(spark, d):
 def m2_scored_pages(spark, d):
     """The crops of each page as one ink, with how often its crops were scored."""
     rows = _derendered(spark, d)
-    pages = scoring.merged_pages(rows).select("page", "text", F.size("strokes").alias("strokes"), "any_fallback")
-    return pages.join(rows.groupBy("page").agg(F.sum("passes").alias("passes")), "page")
+    return scoring.merged_pages(rows, F.sum("passes").alias("passes")).select("page", "text", F.size("strokes").alias("strokes"), "any_fallback", "passes")
 
 
 # --- formulas -------------------------------------------------------------------------------------------------------
