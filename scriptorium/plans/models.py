@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import charts, formulas, packing, routing, scoring
+from ..operators.lineage import dealt
 from . import views
 from .queries import _r, query
 from .views import table
@@ -96,7 +97,7 @@ text AS (
 @query(f"WITH {_FORMULAS} SELECT formula, t.unnest AS token, count(*) AS n FROM raw, unnest(t) t GROUP BY ALL")
 def t1_latex_tokens(spark, d):
     """How often each token stands in each formula: commands, environments and single characters."""
-    return _formulas(spark, d).select("formula", F.explode(tx.latex_tokens(F.col("latex"))).alias("token")).groupBy("formula", "token").agg(F.count("*").alias("n"))
+    return dealt(_formulas(spark, d), formulas.TASK_ROWS, "formula").select("formula", F.explode(tx.latex_tokens(F.col("latex"))).alias("token")).groupBy("formula", "token").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH RECURSIVE {_FORMULAS}, tok AS (
