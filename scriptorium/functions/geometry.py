@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -109,15 +110,16 @@ def rounded_rectangle(box: Box, radius: Column, n: int = 6) -> Column:
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     plain = F.array(*(point(x, y) for x, y in ((box.left, box.top), (box.right, box.top), (box.right, box.bottom), (box.left, box.bottom), (box.left, box.top))))
 
-    def at(i: Column) -> Column:
-        corner, part = F.floor(i / (n + 1)), i % (n + 1)
-        turn = F.radians(corner * 90 - 90 + part * (90 / n))
-        x = F.when(corner < 2, box.right - r).otherwise(box.left + r)
-        y = F.when(corner.isin(0, 3), box.top + r).otherwise(box.bottom - r)
-        return point(x + r * F.cos(turn), y + r * F.sin(turn))
+    # the turns are the same for all boxes, so they are constants; the last point is the first again
+    turns = [(corner, math.radians(corner * 90 - 90 + part * (90 / n))) for corner in range(4) for part in range(n + 1)]
+    steps = F.array(*(F.struct(F.lit(math.cos(t)).alias("c"), F.lit(math.sin(t)).alias("s"), F.lit(k < 2).alias("right"), F.lit(k in (0, 3)).alias("top")) for k, t in [*turns, turns[0]]))
 
-    # the last point is the first again
-    round_ = F.transform(F.sequence(F.lit(0), F.lit(4 * n + 4)), lambda i: at(i % (4 * n + 4)))
+    def at(s: Column, e: Column) -> Column:
+        return point(F.when(s["right"], e["right"]).otherwise(e["left"]) + e["r"] * s["c"], F.when(s["top"], e["top"]).otherwise(e["bottom"]) + e["r"] * s["s"])
+
+    # as a list of one, so that the corners' centres are computed once for a box
+    centres = F.array(F.struct(r.alias("r"), (box.right - r).alias("right"), (box.left + r).alias("left"), (box.top + r).alias("top"), (box.bottom - r).alias("bottom")))
+    round_ = F.transform(centres, lambda e: F.transform(steps, lambda s: at(s, e)))[0]
     return F.when(r <= 0, plain).otherwise(round_)
 
 
