@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .lineage import dealt
+
+#: Points of a task, about, where each becomes many samples.
+TASK_ROWS = 200_000
+
 
 def _stroke() -> WindowSpec:
     return Window.partitionBy("ink_id", "stroke_id").orderBy("point_id")
@@ -34,11 +39,6 @@ def densify(points: DataFrame, step: float) -> DataFrame:
     return rows.select("ink_id", "stroke_id", "point_id", "part", on("px", "x").alias("x"), on("py", "y").alias("y"))
 
 
-def resample(points: DataFrame, spacing: float, *labels: str) -> DataFrame:
-    """Points evenly spaced along each stroke, both ends kept: ``ink_id, stroke_id, sample, x, y``, and ``labels`` of the first point at or past each sample.
-
-    The stroke is cut in ceil(length / spacing) equal parts. Samples
-    are made segment by segment, each from the share of the way it covers, so
 def densified(strokes: Column, step: float) -> Column:
     """The points of ``densify`` for strokes given as arrays of points (x, y), as one array."""
 
@@ -55,6 +55,11 @@ def densified(strokes: Column, step: float) -> Column:
     return F.flatten(F.transform(strokes, stroke))
 
 
+def resample(points: DataFrame, spacing: float, *labels: str) -> DataFrame:
+    """Points evenly spaced along each stroke, both ends kept: ``ink_id, stroke_id, sample, x, y``, and ``labels`` of the first point at or past each sample.
+
+    The stroke is cut in ceil(length / spacing) equal parts. Samples
+    are made segment by segment, each from the share of the way it covers, so
     no join is needed. A stroke without length is one point.
     """
     way = arc_length(points).withColumn("total", F.max("s").over(Window.partitionBy("ink_id", "stroke_id")))
@@ -206,19 +211,21 @@ def timed(points: DataFrame, rate: float, short: float = 0.002) -> DataFrame:
     """
     w = _stroke()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    way = _segments(points).withColumn("t", F.sum(F.coalesce(F.col("d") / ((F.col("speed") + F.lag("speed").over(w)) / 2), F.lit(0.0))).over(upto))
+    way = _segments(dealt(points, TASK_ROWS, "ink_id", "stroke_id")).withColumn("t", F.sum(F.coalesce(F.col("d") / ((F.col("speed") + F.lag("speed").over(w)) / 2), F.lit(0.0))).over(upto))
     way = way.withColumns({"pt": F.lag("t").over(w), "end": F.max("t").over(Window.partitionBy("ink_id", "stroke_id")), "first": F.row_number().over(w) == 2, "last": F.lead("t").over(w).isNull()})
     k = F.sequence(F.greatest(F.floor(F.col("pt") * rate) - 1, F.lit(0)), F.ceil(F.col("t") * rate) + 1)
-    at = way.filter("pt is not null").withColumn("k", F.explode(k)).withColumn("at", F.col("k") / F.lit(float(rate)))
+    # the sample at the end, number -1, is made with the others, so that a stroke's rows stay where they are
+    none, ends = F.array().cast("array<bigint>"), F.col("k") == -1
+    ks = F.concat(F.when(F.col("pt").isNull(), none).otherwise(k), F.when(F.col("last"), F.array(F.lit(-1).cast("long"))).otherwise(none))
+    at = way.withColumn("k", F.explode(ks)).withColumn("at", F.col("k") / F.lit(float(rate)))
     n = F.ceil(F.col("end") * rate)
     dropped = (n > 1) & (F.col("k") == n - 1) & (F.col("end") - F.col("at") < short)
-    at = at.filter(((F.col("at") > F.col("pt")) | (F.col("first") & (F.col("k") == 0))) & (F.col("at") <= F.col("t")) & (F.col("k") < n) & ~dropped)
+    at = at.filter(ends | ((F.col("at") > F.col("pt")) | (F.col("first") & (F.col("k") == 0))) & (F.col("at") <= F.col("t")) & (F.col("k") < n) & ~dropped)
     share = F.coalesce(F.try_divide(F.col("at") - F.col("pt"), F.col("t") - F.col("pt")), F.lit(0.0))
     place = lambda c: F.col(f"p{c}") + share * (F.col(c) - F.col(f"p{c}"))
-    inner = at.select("ink_id", "stroke_id", place("x").alias("x"), place("y").alias("y"), F.col("at").alias("t"))
-    ends = way.filter("last").select("ink_id", "stroke_id", "x", "y", F.col("end").alias("t"))
+    rows = at.select("ink_id", "stroke_id", *[F.when(ends, F.col(c)).otherwise(place(c)).alias(c) for c in "xy"], F.when(ends, F.col("end")).otherwise(F.col("at")).alias("t"))
     number = F.row_number().over(Window.partitionBy("ink_id", "stroke_id").orderBy("t")) - 1
-    return inner.unionByName(ends).withColumn("sample", number).select("ink_id", "stroke_id", "sample", "x", "y", "t")
+    return rows.withColumn("sample", number).select("ink_id", "stroke_id", "sample", "x", "y", "t")
 
 
 def strictly_rising(rows: DataFrame, t: str, by: str, order: str, gap: Column | float, out: str = "t_fixed") -> DataFrame:
