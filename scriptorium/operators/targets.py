@@ -43,10 +43,11 @@ def table_inputs(items: DataFrame, key: str = "table", inputs_per_row: str = "n_
 
     Adds ``span``: the next run, and all that remain if those are more.
     """
-    own = Window.partitionBy("page", key).orderBy("pos")
-    leaf = F.when(F.col(key).isNotNull(), F.col("leaf"))
-    rows = items.withColumns({"written": F.row_number().over(own) - 1, "rest": F.collect_list(leaf).over(own.rowsBetween(0, Window.unboundedFollowing))})
-    due = runs(rows, key, "written", "rest", inputs_per_row).filter(F.col("before").isNotNull() & (F.col("written") >= 2 * F.col(inputs_per_row)))
+    own = Window.partitionBy("page", key).orderBy("start")
+    # runs follow one another, so what a run has before and after it is other runs
+    written = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.array_compact(F.flatten(F.collect_list("leaves").over(own.rowsBetween(0, Window.unboundedFollowing))))
+    due = runs(items, key, inputs_per_row).withColumns({"written": written, "rest": rest}).filter(F.col("before").isNotNull() & (F.col("written") >= 2 * F.col(inputs_per_row)))
     spans = [F.struct(F.lit("next").alias("span"), F.col("leaves").alias("target")), F.when(F.size("rest") > F.col("n"), F.struct(F.lit("remaining").alias("span"), F.col("rest").alias("target")))]
     due = due.withColumn("s", F.explode(F.array_compact(F.array(*spans))))
     return due.select(*_target("truth_table_inputs", F.col(key), F.col("before.leaf"), F.col("before.pos"), F.col("s.target")), "s.span")
@@ -67,9 +68,10 @@ def table_rules(items: DataFrame, key: str = "table") -> DataFrame:
 
 def header_sequences(cells: DataFrame, counting: DataFrame) -> DataFrame:
     """``cells(page, element, pos, leaf)`` of headers that count up, ``counting(page, element)``: what is left after each written cell but the first and the last."""
-    w = Window.partitionBy("page", "element").orderBy("pos")
-    rest = F.collect_list("leaf").over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = cells.join(counting, ["page", "element"], "left_semi").withColumns({"k": F.row_number().over(w), "rest": rest}).filter((F.col("k") > 1) & (F.size("rest") > 0))
+    every = F.sort_array(F.collect_list(F.struct("pos", "leaf"))).alias("every")
+    lists = cells.join(counting, ["page", "element"], "left_semi").groupBy("page", "element").agg(every)
+    rows = lists.select("page", "element", "every", F.posexplode("every").alias("k", "cell")).filter("k > 0").select("page", "element", "cell.pos", "cell.leaf", F.slice("every", F.col("k") + 2, F.size("every")).alias("after"))
+    rows = rows.withColumn("rest", F.array_compact(F.col("after.leaf"))).filter(F.size("rest") > 0)
     return rows.select(*_target("header_sequence", F.col("element"), F.col("leaf"), F.col("pos"), F.col("rest")))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import dealt
+
+#: Boxes of a task, about.
+BOX_ROWS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,9 +25,7 @@ def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ink_id, strokes array<array<struct<x, y>>>: the same, a row for each ink, without a shuffle."""
-    xy = lambda s, q: F.struct(*((F.get("embedding", s * 16 + q * 2 + k).cast("double") * 300 + 112).alias(n) for k, n in enumerate("xy")))
-    strokes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda q: xy(s, q)))
-    return vectors.select(F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
+    return inks_of(table(spark, sf_dir, "embeddings"))
 
 
 def inks_of(vectors: DataFrame, *more: str) -> DataFrame:
@@ -32,8 +35,6 @@ def inks_of(vectors: DataFrame, *more: str) -> DataFrame:
     return vectors.select(*more, F.col("vec_id").alias("ink_id"), strokes.alias("strokes"))
 
 
-def inks_of(vectors: DataFrame) -> DataFrame:
-    """``inks`` of rows ``vec_id, embedding``."""
 def pen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """writer, t (microseconds), x, y: the events as pen samples."""
     return table(spark, sf_dir, "events").select(
@@ -44,7 +45,7 @@ def pen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, idx, l, t, r, b, score, label: the lines of an order as boxes of a page."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").withColumn("idx", F.row_number().over(w))
+    rows = dealt(table(spark, sf_dir, "lineitem"), BOX_ROWS, "l_orderkey").withColumn("idx", F.row_number().over(w))
     left, top = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 20).cast("double")
     return rows.select(
         F.col("l_orderkey").alias("page"), "idx", left.alias("l"), top.alias("t"), (left + 20 + F.col("l_quantity")).alias("r"), (top + 30 + F.col("l_linenumber") * 5).alias("b"),
