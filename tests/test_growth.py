@@ -1,8 +1,10 @@
 """Steps whose figures grow no faster than their input: plans without what grew, and the same results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from scriptorium.operators import ranks, routing
+import __spark_entry__ as contract
+from scriptorium.operators import corpus, lineage, ranks, routing, spatial, splines
 
 
 def plan(df) -> str:
@@ -23,3 +25,63 @@ def test_middle_without_one_task(spark):
         found = ranks.middle(rows, "q")
         assert found.first()[0] == rows.agg(F.median("q")).first()[0]
     assert "percentile" not in plan(found) and "median" not in plan(found)
+
+
+def query(spark, name):
+    return contract.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_rows_are_dealt_by_number(spark):
+    assert lineage.dealt(spark.range(100), 10, "id").rdd.getNumPartitions() == 10
+    assert lineage.dealt(spark.range(0), 10, "id").rdd.getNumPartitions() == 4
+    for name in ("t1_latex_tokens", "t16_formula_nodes", "w4_table_inputs", "w6_header_sequences", "w11_timed_samples"):
+        assert "REPARTITION_BY_NUM" in plan(query(spark, name))
+
+
+def test_outlines_need_no_aggregate(spark):
+    for name in ("g25_gate_shapes", "g26_component_shapes"):
+        assert "Aggregate" not in plan(query(spark, name))
+
+
+def test_strokes_are_fitted_together(spark):
+    for name in ("p19_spline_fit", "p21_spline_ratio"):
+        assert "InPandas" not in plan(query(spark, name))
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 8, 13):
+        points = np.concatenate([rng.normal(size=(20, k, 2)), np.ones((1, k, 2)), np.repeat(rng.normal(size=(1, 1, 2)), k, axis=1)])
+        assert np.allclose(splines.errors(points, 4), [splines.fit(p, 4)[1] for p in points], atol=1e-9)
+
+
+def test_crops_are_scored_once(spark):
+    assert plan(query(spark, "m2_scored_pages")).count("MapInArrow") == 1
+
+
+def test_turns_of_corners_are_constants(spark):
+    assert "COS(" not in plan(query(spark, "g24_outlines")).upper()
+
+
+def test_strokes_are_encoded_once(spark):
+    for name in ("c12_encode_merges", "c14_decode_merges"):
+        assert "Window" not in plan(query(spark, name))
+
+
+def test_unreadable_lines(spark):
+    lines = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c", "c"]), (3, []), (4, None)], "key int, tokens array<string>")
+    known = spark.createDataFrame([("a",), ("b",)], "token string")
+    assert [r.key for r in corpus.unreadable(lines, known, "key").collect()] == [2]
+    assert sorted(r.key for r in corpus.readable(lines, known, "key").collect()) == [1, 3, 4]
+
+
+def test_near_pairs_without_rows_of_pairs(spark, monkeypatch):
+    for name in ("j9_near_ink", "v12_clearance"):
+        assert "cx" not in "".join(x for x in plan(query(spark, name)).splitlines() if "Exchange" in x or "Aggregate" in x)
+    rng = np.random.default_rng(5)
+    n, r = 70, 3
+    item, x, y = rng.integers(0, n, 900), rng.integers(-40, 40, 900) ** 3, rng.integers(0, 9, 900)
+    own = item % 3 > 0
+    want = np.zeros((n, n), int)
+    for p, u, v in {(int(a), int(b), int(c)) for a, b, c, d in zip(item, x, y, own) if d}:
+        want[p, np.unique(item[(x - u) ** 2 + (y - v) ** 2 <= r * r])] += 1
+    for cells in (1 << 20, 0):
+        monkeypatch.setattr(spatial, "DENSE_CELLS", cells)
+        assert (spatial._hits(item, own, x, y, n, r) == want).all()
