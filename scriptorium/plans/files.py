@@ -86,6 +86,8 @@ def st4_pen_states(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("writer"), (F.row_number().over(order) - 1).cast("long").alias("seq"), (F.col("event_id") % 11).cast("int").alias("code"), F.col("ts").cast("timestamp").alias("ts"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("writer", "seq"), F.lit(3)))
     at = _folder(spark, "codes")
+    rows.write.parquet(f"{at}/all")  # numbered once, not for each part
+    rows = spark.read.parquet(f"{at}/all")
     tracking.use_provider(spark)
     for part in range(3):
         rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/in")

@@ -1,10 +1,13 @@
 """Steps whose figures grow no faster than their input: plans without what grew, and the same results."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from scriptorium.operators import corpus, lineage, ranks, routing, spatial, splines
+from scriptorium.operators.codec import DIRECTIONS
+from scriptorium.streaming import tracking
 
 
 def plan(df) -> str:
@@ -85,3 +88,78 @@ def test_near_pairs_without_rows_of_pairs(spark, monkeypatch):
     for cells in (1 << 20, 0):
         monkeypatch.setattr(spatial, "DENSE_CELLS", cells)
         assert (spatial._hits(item, own, x, y, n, r) == want).all()
+
+
+class Handle:
+    """One state and its timers, as a block of writers has them."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.exists, self.get, self.registerTimer, self.deleteTimer = lambda: self.value is not None, lambda: self.value, self.timers.add, self.timers.remove
+
+    def getValueState(self, name, schema):
+        return self
+
+    def update(self, value):
+        self.value = value
+
+
+class Writer:
+    """A writer's rows one by one, given up by time."""
+
+    def __init__(self):
+        self.x = self.y = self.next = 0
+        self.down, self.waiting, self.due = False, {}, None
+
+    def go_on(self):
+        while self.next in self.waiting:
+            code = self.waiting.pop(self.next)
+            status = "bad code" if not 0 <= code <= 9 else "bad pen" if code < 2 and (code == 0) == self.down else "ok"
+            dx, dy = DIRECTIONS.get(code, (0, 0))
+            self.x, self.y, self.down = self.x + dx, self.y + dy, code == 0 if 0 <= code < 2 else self.down
+            yield self.next, self.x, self.y, self.down, status
+            self.next += 1
+        self.due = self.due if self.waiting else None
+
+    def batch(self, rows, patience):
+        late = []
+        for seq, code, ms in rows:
+            if seq < self.next or seq in self.waiting:
+                late.append(seq)
+            else:
+                self.waiting[seq] = code
+        self.due = max(r[2] for r in rows) + patience
+        return [*self.go_on(), *((seq, self.x, self.y, self.down, "late") for seq in late)]
+
+    def time(self, watermark, patience):
+        if self.due is None or self.due >= watermark:
+            return []
+        self.next, self.due = min(self.waiting), watermark + patience
+        return list(self.go_on())
+
+
+def listed(frames):
+    return [r for f in frames for r in f.itertuples(index=False, name=None)]
+
+
+def test_writers_of_a_block_share_a_state():
+    rng = np.random.default_rng(7)
+    handle, tracker, writers, seen = Handle(), tracking.PenTracker(15), {w: Writer() for w in range(-2, 5)}, set()
+    tracker.init(handle)
+    for k in range(99):
+        n = int(rng.integers(1, 12))
+        rows = pd.DataFrame({"writer": rng.integers(-2, 5, n), "seq": rng.integers(max(k - 4, 0), k + 4, n), "code": rng.integers(-1, 12, n), "ms": k * 10 + rng.integers(0, 9, n)})
+        got = listed(tracker.handleInputRows((0,), iter([rows[: n // 2], rows[n // 2 :]]), None))
+        want = [(w, *r) for w, of in rows.groupby("writer") for r in writers[w].batch(list(of[["seq", "code", "ms"]].itertuples(index=False, name=None)), 15)]
+        assert sorted(got) == sorted(want)
+        seen |= {r[-1] for r in got}
+        assert handle.timers == {min(d for w in writers.values() if (d := w.due) is not None)} if any(w.due is not None for w in writers.values()) else not handle.timers
+        watermark = k * 10 + 9
+        for timer in [t for t in handle.timers if t < watermark]:
+            values = type("Values", (), {"getCurrentWatermarkInMs": lambda self: watermark})()
+            got = listed(tracker.handleExpiredTimer((0,), values, None))
+            handle.timers.discard(timer)
+            want = [(w, *r) for w in writers for r in writers[w].time(watermark, 15)]
+            assert sorted(got) == sorted(want) and want
+            seen.add("given up")
+    assert seen == {"ok", "bad pen", "bad code", "late", "given up"}
