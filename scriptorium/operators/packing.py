@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 # How attempts shrink text and then grow the page.
 ATTEMPTS, SHRINK, BOARDS = 12, (1.0, 0.92, 0.8464, 0.778688), (1.0, 1.25, 1.5)
 #: Steps of the search for any free spot.
 SCAN = 10.0
-_PLACED = "array<struct<x:double,y:double,w:double,h:double>>"
-_STATE = f"struct<placed:{_PLACED},column:double,lost:boolean>"
+#: Places of blocks, and spots of a search, that a task holds at once.
+CELLS = 1 << 20
 
 
 def kept_with_next(blocks: DataFrame, gap: float) -> DataFrame:
@@ -28,42 +33,86 @@ def kept_with_next(blocks: DataFrame, gap: float) -> DataFrame:
     return rows.groupBy("page", "g").agg(F.min("idx").alias("idx"), F.max("w").alias("w"), F.max(F.col("dy") + F.col("h")).alias("h"), members.alias("members")).drop("g")
 
 
-def _free(x: Column, y: Column, w: Column, h: Column, placed: Column, gap: Column, margin: float, sheet: tuple[Column, Column]) -> Column:
-    """Whether a block lies on the page, in half its margin, and 0.6 of a gap away from the placed ones."""
-    on = (x >= margin * 0.5) & (y >= margin * 0.5) & (x + w <= sheet[0] - margin * 0.5) & (y + h <= sheet[1] - margin * 0.5)
-    near = gap * 0.6
-    hit = lambda p: (x - near < p["x"] + p["w"]) & (p["x"] - near < x + w) & (y - near < p["y"] + p["h"]) & (p["y"] - near < y + h)
-    return on & ~F.exists(placed, hit)
-
-
-def packed(blocks: Column, gap: Column, column_gap: Column, margin: float, beside_first: Column, sheet: tuple[Column, Column]) -> Column:
-    """``struct<placed, column, lost>`` for blocks (``array<struct<w, h>>``) in order, on a page of a width and height.
+def _scanned(w: np.ndarray, h: np.ndarray, placed: tuple[np.ndarray, ...], near: float, margin: float, sheet: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The first free spot by rows for a block of each page, NaN where there is none; ``placed`` are x, y, w and h of the blocks before, by page."""
+    x, y = np.full(len(w), np.nan), np.full(len(w), np.nan)
+    steps = lambda room: np.floor(np.nan_to_num(np.maximum((room - margin) / SCAN, 0))).astype(np.int64) + 1
+    across, down = steps(sheet[0] - w), steps(sheet[1] - h)
+    i = np.arange(across.max())
+    spot_x = margin + i * SCAN
+    some = max(CELLS // len(i), 1)
+    for first in range(0, len(w), some):
+        left, rows = np.arange(first, min(first + some, len(w))), 0
+        while len(left := left[down[left] > rows]):
+            j = np.arange(rows, min(rows + max(CELLS // (len(i) * len(left)), 1), down[left].max()))
+            rows, spot_y = j[-1] + 1, margin + j * SCAN
+            px, py, pw, ph = (v[left, :, None] for v in placed)
+            bw, bh = w[left, None], h[left, None]
+            # a block is hit where it is hit both across and down
+            hit_x = (spot_x - near < px + pw) & (px - near < (spot_x + bw)[:, None])
+            hit_y = (spot_y - near < py + ph) & (py - near < (spot_y + bh)[:, None])
+            free_x = (i < across[left, None]) & (spot_x >= margin * 0.5) & (spot_x + bw <= sheet[0] - margin * 0.5)
+            free_y = (j < down[left, None]) & (spot_y >= margin * 0.5) & (spot_y + bh <= sheet[1] - margin * 0.5)
+            free = free_y[:, :, None] & free_x[:, None]
+            for k in range(px.shape[1]):
+                free &= ~(hit_y[:, k, :, None] & hit_x[:, k, None])
+            free = free.reshape(len(left), -1)
+            at = free.argmax(1)
+            found = free[np.arange(len(left)), at]
+            y[left[found]], x[left[found]] = spot_y[at[found] // len(i)], spot_x[at[found] % len(i)]
+            left = left[~found]
+    return x, y
+
+
+def packed(w: np.ndarray, h: np.ndarray, n: np.ndarray, gap: float, column_gap: float, margin: float, beside_first: bool, sheet: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``x, y, lost`` of blocks in order, for pages of a width and height at once: a row each, with ``n`` blocks.
 
     A block goes below the last one in its column, beside it, at the top of a
     new column, or to the first free spot by rows, whichever is free first;
     ``beside_first`` turns the first two round.  ``lost``: some block had no place.
     """
-
-    def step(s: Column, b: Column) -> Column:
-        placed, w, h = s["placed"], b["w"], b["h"]
-        spot = lambda x, y, new: F.struct(x.alias("x"), y.alias("y"), F.lit(new).alias("new"))
-        last = F.element_at(placed, F.size(placed))
-        below, beside = spot(s["column"], last["y"] + last["h"] + gap, False), spot(last["x"] + last["w"] + column_gap, last["y"], True)
-        column = spot(F.array_max(F.transform(placed, lambda p: p["x"] + p["w"])) + column_gap, F.lit(margin), True)
-        first = F.when(F.size(placed) == 0, F.array(spot(F.lit(margin), F.lit(margin), True))).when(beside_first, F.array(beside, below, column)).otherwise(F.array(below, beside, column))
-        chosen = F.get(F.filter(first, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin, sheet)), F.lit(0))
-        steps = lambda room: F.sequence(F.lit(0), F.greatest(F.floor((room - margin) / SCAN).cast("int"), F.lit(0)))
-        spots = F.flatten(F.transform(steps(sheet[1] - h), lambda j: F.transform(steps(sheet[0] - w), lambda i: spot(margin + i * SCAN, margin + j * SCAN, True))))
-        scanned = F.get(F.filter(spots, lambda c: _free(c["x"], c["y"], w, h, placed, gap, margin, sheet)), F.lit(0))
-        lost = F.struct(placed.alias("placed"), s["column"].alias("column"), F.lit(True).alias("lost")).cast(_STATE)
-        put = lambda c: F.struct(
-            F.concat(placed, F.array(F.struct(c["x"].alias("x"), c["y"].alias("y"), w.alias("w"), h.alias("h")))).alias("placed"), F.when(c["new"], c["x"]).otherwise(s["column"]).alias("column"), F.lit(False).alias("lost")
-        ).cast(_STATE)
-        # as a list of one, so that a spot is looked for once
-        placing = F.get(F.transform(F.array(F.coalesce(chosen, scanned)), lambda c: F.when(c.isNull(), lost).otherwise(put(c))), F.lit(0))
-        return F.when(s["lost"], s).otherwise(placing)
-
-    return F.aggregate(blocks, F.struct(F.array().alias("placed"), F.lit(0.0).alias("column"), F.lit(False).alias("lost")).cast(_STATE), step)
+    x, y, column, lost, near = np.zeros(w.shape), np.zeros(w.shape), np.zeros(len(w)), np.zeros(len(w), bool), gap * 0.6
+    for k in range(w.shape[1]):
+        at = np.flatnonzero(~lost & (n > k))
+        if not len(at):
+            break
+        bw, bh = w[at, k], h[at, k]
+        placed = px, py, pw, ph = tuple(v[at, :k] for v in (x, y, w, h))
+        top = np.full(len(at), margin)
+        if k:
+            below = column[at], py[:, -1] + ph[:, -1] + gap, False
+            beside = px[:, -1] + pw[:, -1] + column_gap, py[:, -1], True
+            spots = [*((beside, below) if beside_first else (below, beside)), ((px + pw).max(1) + column_gap, top, True)]
+        else:
+            spots = [(top, top, True)]
+        bx, by, new = np.full(len(at), np.nan), np.full(len(at), np.nan), np.ones(len(at), bool)
+        for sx, sy, fresh in spots:
+            # on the page, in half its margin, and 0.6 of a gap away from the placed ones
+            free = np.isnan(bx) & (sx >= margin * 0.5) & (sy >= margin * 0.5) & (sx + bw <= sheet[0] - margin * 0.5) & (sy + bh <= sheet[1] - margin * 0.5)
+            u, v = sx[:, None], sy[:, None]
+            free &= ~((u - near < px + pw) & (px - near < u + bw[:, None]) & (v - near < py + ph) & (py - near < v + bh[:, None])).any(1)
+            bx[free], by[free], new[free] = sx[free], sy[free], fresh
+        none = np.flatnonzero(np.isnan(bx))
+        if len(none):
+            bx[none], by[none] = _scanned(bw[none], bh[none], tuple(p[none] for p in placed), near, margin, sheet)
+        x[at, k], y[at, k], lost[at] = bx, by, np.isnan(bx)
+        column[at] = np.where(new, bx, column[at])
+    return x, y, lost
+
+
+def _fitted(w: np.ndarray, h: np.ndarray, n: np.ndarray, width: float, height: float, gap: float, column_gap: float, margin: float) -> tuple[np.ndarray, ...]:
+    """``attempt, scale, x, y`` of pages, a row each with ``n`` blocks; ``attempt`` is -1 where none fits."""
+    attempt, scale, x, y = np.full(len(w), -1, np.int32), np.full(len(w), np.nan), np.zeros(w.shape), np.zeros(w.shape)
+    left = np.arange(len(w))
+    for a in range(ATTEMPTS):
+        s, board = SHRINK[min(max(a - 2, 0), 3)], BOARDS[0 if a < 6 else 1 if a < 9 else 2]
+        ax, ay, lost = packed(w[left] * s, h[left] * s, n[left], gap * s, column_gap * s, margin, a % 2 == 1, (width * board, height * board))
+        made = left[~lost]
+        attempt[made], scale[made], x[made], y[made] = a, s, ax[~lost], ay[~lost]
+        left = left[lost]
+        if not len(left):
+            break
+    return attempt, scale, x, y
 
 
 def layouts(blocks: DataFrame, width: float, height: float, gap: float, column_gap: float, margin: float) -> DataFrame:
@@ -71,23 +120,34 @@ def layouts(blocks: DataFrame, width: float, height: float, gap: float, column_g
 
     Attempts 0 to 11: every second one tries beside before below; from the third on
     blocks shrink, three times at most; from the seventh and tenth on the page is larger.  A page that
-    no attempt fits has rows with null ``attempt`` and places.  A page's blocks are one row: what one page holds.
+    no attempt fits has rows with null ``attempt`` and places.  A page's blocks are one row: what one page holds;
+    pages of a batch are packed together, block after block.
     """
-    pages = blocks.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("idx", "w", "h"))).alias("b"))
-    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at)
-
-    def attempt(a: Column) -> Column:
-        """The places of an attempt, null if some block has none."""
-        scale = pick(SHRINK, F.least(F.greatest(a - 2, F.lit(0)), F.lit(3)) + 1)
-        board = pick(BOARDS, F.when(a < 6, 1).when(a < 9, 2).otherwise(3))
-        scaled = F.transform("b", lambda b: F.struct((b["w"] * scale).alias("w"), (b["h"] * scale).alias("h")))
-        s = packed(scaled, gap * scale, column_gap * scale, margin, a % 2 == 1, (width * board, height * board))
-        # as a list of one, so that the attempt is made once
-        made = F.transform(F.array(s), lambda s: F.when(~s["lost"], F.struct(a.alias("attempt"), scale.alias("scale"), s["placed"].alias("placed"))))
-        return F.get(made, F.lit(0))
-
-    none = F.lit(None).cast(f"struct<attempt:int,scale:double,placed:{_PLACED}>")
-    first = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), none, lambda found, a: F.when(found.isNotNull(), found).otherwise(attempt(a)))
-    out = pages.withColumn("m", first).select("page", "m.attempt", "m.scale", F.col("m.placed").alias("placed"), F.posexplode("b.idx").alias("at", "idx"))
-    spot = F.get("placed", F.col("at"))
-    return out.select("page", "attempt", "idx", spot["x"].alias("x"), spot["y"].alias("y"), "scale")
+    sizes = [F.col(c).cast("double").alias(c) for c in "wh"]
+    pages = blocks.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("idx", *sizes))).alias("b")).select("page", "b.idx", "b.w", "b.h")
+    names = [("attempt", IntegerType()), ("idx", blocks.schema["idx"].dataType), ("x", DoubleType()), ("y", DoubleType()), ("scale", DoubleType())]
+    schema = StructType([StructField("page", blocks.schema["page"].dataType), *(StructField(*n) for n in names)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, idx, *wh = batch.columns
+            n = np.diff(idx.offsets.to_numpy())
+            w, h = (v.flatten().to_numpy(zero_copy_only=False) for v in wh)
+            begin = np.cumsum(n) - n
+            order, first = np.argsort(-n, kind="stable"), 0
+            while first < len(order):  # pages of about one size together
+                most = max(n[order[first]], 1)
+                own = order[first : first + max(CELLS // most, 1)]
+                first += len(own)
+                inside = np.arange(most) < n[own, None]
+                flat = (begin[own, None] + np.arange(most))[inside]
+                grid = np.zeros((2, len(own), most))
+                grid[:, inside] = w[flat], h[flat]
+                attempt, scale, x, y = _fitted(*grid, n[own], width, height, gap, column_gap, margin)
+                at = np.repeat(np.arange(len(own)), n[own])
+                none = attempt[at] < 0
+                columns = [page.take(pa.array(own[at])), pa.array(attempt[at], mask=none), idx.flatten().take(pa.array(flat))]
+                columns += [pa.array(v, mask=none) for v in (x[inside], y[inside], scale[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return pages.mapInArrow(place, schema)

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from scriptorium.operators import corpus, lineage, ranks, routing, spatial, splines
+from scriptorium.operators import corpus, lineage, packing, ranks, routing, spatial, splines
 from scriptorium.operators.codec import DIRECTIONS
 from scriptorium.streaming import tracking
 
@@ -163,3 +163,56 @@ def test_writers_of_a_block_share_a_state():
             assert sorted(got) == sorted(want) and want
             seen.add("given up")
     assert seen == {"ok", "bad pen", "bad code", "late", "given up"}
+
+
+def laid_out(blocks, width, height, gap, column_gap, margin):
+    """``attempt, scale, places`` of a page's blocks (w, h), one spot after the other."""
+    for a in range(12):
+        s, board = 0.92 ** min(max(a - 2, 0), 3), (1, 1.25, 1.5)[(a >= 6) + (a >= 9)]
+        placed, column = [], 0.0
+        for w, h in ((w * s, h * s) for w, h in blocks):
+            near = gap * s * 0.6
+            free = lambda x, y: (
+                x >= margin / 2 and y >= margin / 2 and x + w <= width * board - margin / 2 and y + h <= height * board - margin / 2  # noqa: B023
+                and not any(x - near < p + pw and p - near < x + w and y - near < q + ph and q - near < y + h for p, q, pw, ph in placed)  # noqa: B023
+            )
+            spots = [(margin, margin, True)]
+            if placed:
+                x, y, lw, lh = placed[-1]
+                spots = [(column, y + lh + gap * s, False), (x + lw + column_gap * s, y, True)][:: -1 if a % 2 else 1] + [(max(p[0] + p[2] for p in placed) + column_gap * s, margin, True)]
+            spots += [(margin + i * 10, margin + j * 10, True) for j in range(max(int((height * board - h - margin) // 10), 0) + 1) for i in range(max(int((width * board - w - margin) // 10), 0) + 1)]
+            spot = next((c for c in spots if free(*c[:2])), None)
+            if spot is None:
+                break
+            placed.append((*spot[:2], w, h))
+            column = spot[0] if spot[2] else column
+        else:
+            return a, s, [p[:2] for p in placed]
+    return None
+
+
+def test_pages_are_packed_together(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pages = [[(float(w), float(h)) for w, h in zip(rng.integers(5, 75, n), rng.integers(5, 60, n))] for n in rng.integers(1, 15, 150)]
+    pages += [[(9.0, 7.0)] * 70, [(400.0, 3.0)], [(20.0, 20.0), (3.0, 500.0)], [(155.0, 125.0)] * 2]
+    sheet = (160.0, 130.0, 4.0, 6.0, 5.0)
+    want = [laid_out(p, *sheet) for p in pages]
+    assert None in want and len({w[0] for w in want if w}) > 5
+    n = np.array([len(p) for p in pages])
+    w, h = (np.array([[b[k] for b in p] + [0.0] * (n.max() - len(p)) for p in pages]) for k in (0, 1))
+    for cells in (1 << 20, 100, 1):
+        monkeypatch.setattr(packing, "CELLS", cells)
+        attempt, scale, x, y = packing._fitted(w, h, n, *sheet)
+        for k, own in enumerate(want):
+            assert attempt[k] == (own[0] if own else -1)
+            assert own is None or (abs(scale[k] - own[1]) < 1e-9 and np.allclose(np.stack([x[k, : n[k]], y[k, : n[k]]], 1), own[2]))
+    # keys of any kind, places back in their order, sizes that are missing
+    rows = [(None if p % 50 == 7 else f"p{p}", f"b{k:02}", *b) for p, own in enumerate(pages) if p % 50 != 7 or p < 50 for k, b in enumerate(own)] + [("gone", "b00", None, 3.0)]
+    found = packing.layouts(spark.createDataFrame(rows, "page string, idx string, w double, h double"), *sheet)
+    assert "MapInArrow" in plan(found) and "aggregate(" not in plan(found)
+    got = {(r.page, r.idx): (r.attempt, r.x, r.y) for r in found.collect()}
+    assert len(got) == len(rows) and got["gone", "b00"] == (None, None, None)
+    for page, idx, *_ in rows[:-1]:
+        own = want[int(page[1:]) if page else 7]
+        a, *at = got[page, idx]
+        assert a is None if own is None else (a == own[0] and np.allclose(at, own[2][int(idx[1:])]))
