@@ -140,7 +140,7 @@ class PenTracker(StatefulProcessor):
             yield out
 
 
-def pen_states(codes: DataFrame, late: str = "1 hour", patience_ms: int = 3_600_000, block: int = 64) -> DataFrame:
+def pen_states(codes: DataFrame, late: str = "1 hour", patience_ms: int = 3_600_000, block: int = 16) -> DataFrame:
     """A stream of ``codes(writer, seq, code, ts)`` -> ``writer, seq, x, y, down, status``, in whichever order the rows come.
 
     ``seq`` counts a writer's codes from 0.  Status: ``ok``, ``bad pen``, ``bad code`` or ``late``; see ``PenTracker``.
