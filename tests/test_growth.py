@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from scriptorium.operators import corpus, lineage, packing, ranks, routing, spatial, splines
+from scriptorium.operators import corpus, formulas, lineage, packing, ranks, routing, spatial, splines
 from scriptorium.operators.codec import DIRECTIONS
 from scriptorium.streaming import tracking
 
@@ -216,3 +216,20 @@ def test_pages_are_packed_together(spark, monkeypatch):
         own = want[int(page[1:]) if page else 7]
         a, *at = got[page, idx]
         assert a is None if own is None else (a == own[0] and np.allclose(at, own[2][int(idx[1:])]))
+
+
+def test_formulas_are_read_in_their_rows(spark):
+    text = plan(query(spark, "t16_formula_nodes"))
+    assert "Window" not in text and "Join" not in text and text.count("Exchange") == 1 and text.count("MapInArrow") == 1
+    # indexes in an index, keys that are missing or stand twice, and texts of several batches
+    latex = [r"\sqrt[\sqrt[a]b]c", "x^2", "x^2", "{a", None, *(" " * 400_000 + c for c in "efgh")]
+    rows = spark.createDataFrame([(None if k < 2 else "twice" if k < 4 else str(k), t) for k, t in enumerate(latex)], "formula string, latex string").coalesce(1)
+    got = {}
+    for r in formulas.formula_nodes(rows).collect():
+        got.setdefault(r.formula, []).append(tuple(r)[1:])
+    x = [(0, None, 0, "symbol", "x", None), (1, 0, 0, "script", "^", None), (2, 1, 0, "symbol", "2", None)]
+    root = [(0, None, 0, "command", "\\sqrt", None), (1, 0, 0, "index", None, None), (2, 1, 0, "command", "\\sqrt", None), (3, 2, 0, "index", None, None)]
+    root += [(4, 3, 0, "symbol", "a", None), (6, 2, 1, "symbol", "b", None), (8, 0, 1, "symbol", "c", None)]
+    sort = lambda rows: sorted(rows, key=str)
+    assert sort(got.pop(None)) == sort(root + x) and sort(got.pop("twice")) == sort([*x, (None,) * 5 + ("unbalanced",)])
+    assert got == {"4": [(None,) * 6]} | {str(k): [(400_000, None, 0, "symbol", c, None)] for k, c in zip(range(5, 9), "efgh")}
