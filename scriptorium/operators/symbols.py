@@ -1,4 +1,4 @@
-"""Gates and schematic components: their ports and outlines as tables of pieces, joined to where they are placed.
+"""Gates and schematic components: their ports and outlines as tables of pieces, brought to where they are placed.
 
 Every placed symbol has a frame: an origin and vectors A, B, C, so that a piece's
 point ``(a, b, c)`` lies at ``origin + a A + b B + c C``.  A gate's A is its width, B its
@@ -8,12 +8,18 @@ terminal to the second, B along it and C across it by the length of its body.
 
 from __future__ import annotations
 
-from math import pi
+from collections.abc import Callable, Iterator
+from math import cos, pi, sin
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StringType, StructField, StructType
 
 Piece = tuple[str, str, int, int, str, list[float]]
+#: Columns with their types, and what makes them of the x and y of strokes alike: a row a stroke, a column a point.
+Summary = tuple[list[tuple[str, DataType]], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]]
 
 # The symbols' names and proportions.
 GATES = ("and2", "or2", "xor2", "nand2", "nor2", "xnor2", "not", "buf")
@@ -22,7 +28,10 @@ BUBBLE, BULGE, BODY, BODY_SHARE = 0.07, 0.12, 30.0, 0.7
 ONE_INPUT = ("not", "buf")
 INVERTED = ("nand2", "nor2", "xnor2", "not")
 ONE_PORT = ("ground", "terminal")
-_STROKES = "kind string, part string, stroke int, pieces array<struct<seq:int,form:string,p:array<double>>>"
+FRAME = ("ox", "oy", "ax", "ay", "bx", "by", "cx", "cy", "unit")
+X_FRAME, Y_FRAME = (0, 2, 4, 6, 8), (1, 3, 5, 7, 8)
+#: Symbols that a task draws at once.
+ROWS = 1 << 13
 
 
 def gate_ports(boxes: DataFrame) -> DataFrame:
@@ -109,44 +118,83 @@ def component_pieces() -> list[Piece]:
     return out + _arc("terminal", "body", 0, 0, start, (-2.5, 0), (0, -2.5), 2 * pi, 12, form="ring")
 
 
-def _points(p: Column, form: Column) -> Column:
-    """Points of a piece in a symbol's frame, as array<struct<x, y>>."""
-
-    def at(a: Column, b: Column, c: Column) -> Column:
-        return F.struct(*[(F.col(f"o{k}") + a * F.col(f"a{k}") + b * F.col(f"b{k}") + c * F.col(f"c{k}")).alias(k) for k in "xy"])
-
-    def ring(a: Column, b: Column, c: Column, right: Column, down: Column) -> Column:
-        middle = at(a, b, c)
-        return F.struct((middle["x"] + right * F.col("unit")).alias("x"), (middle["y"] + down * F.col("unit")).alias("y"))
-
-    def curve(i: Column) -> Column:
-        t = i / 16
-        return at(*[(1 - t) * (1 - t) * p[k] + 2 * (1 - t) * t * p[3 + k] + t * t * p[6 + k] for k in range(3)])
-
-    def turn(i: Column) -> tuple[Column, Column]:
-        angle = p[7] * i / p[8]
-        sine, cosine = F.sin(angle), F.cos(angle)
-        return p[3] * sine + p[5] * cosine, p[4] * sine + p[6] * cosine
-
-    def arc(i: Column) -> Column:
-        b, c = turn(i)
-        return F.when(form == "ring", ring(p[0], p[1], p[2], b, c)).otherwise(at(p[0], p[1] + b, p[2] + c))
-
-    steps = lambda skip, n: F.sequence(skip.cast("int"), n.cast("int"))
-    return F.when(form == "point", F.array(at(p[0], p[1], p[2]))).when(form == "curve", F.transform(steps(p[9], F.lit(16)), curve)).otherwise(F.transform(steps(p[9], p[8]), arc))
+def _traced(form: str, p: list[float]) -> list[tuple[float, ...]]:
+    """Points ``(a, b, c)`` of a piece in any symbol's frame, and how far right and down of there by its unit."""
+    if form == "point":
+        return [(*p, 0.0, 0.0)]
+    out = []
+    for i in range(int(p[9]), 17 if form == "curve" else int(p[8]) + 1):
+        if form == "curve":
+            t = i / 16
+            out.append((*((1 - t) * (1 - t) * p[k] + 2 * (1 - t) * t * p[3 + k] + t * t * p[6 + k] for k in range(3)), 0.0, 0.0))
+            continue
+        sine, cosine = sin(p[7] * i / p[8]), cos(p[7] * i / p[8])
+        right, down = p[3] * sine + p[5] * cosine, p[4] * sine + p[6] * cosine
+        out.append((*p[:3], right, down) if form == "ring" else (p[0], p[1] + right, p[2] + down, 0.0, 0.0))
+    return out
 
 
-def _strokes(framed: DataFrame, pieces: list[Piece], *keys: str) -> DataFrame:
-    """``*keys, kind, part, stroke, points array<struct<n, x, y>>``: each stroke in its symbol's row, so that none is put together by a shuffle."""
-    spark: SparkSession = framed.sparkSession
+def _drawings(pieces: list[Piece]) -> dict[str, list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """By kind, each stroke: part, number, its points' ``n``, and what their x and y take of a frame, a column each."""
     own: dict[tuple, list] = {}
     for kind, part, stroke, seq, form, p in pieces:
         own.setdefault((kind, part, stroke), []).append((seq, form, [float(v) for v in p]))
-    table = spark.createDataFrame([(*k, sorted(v)) for k, v in own.items()], _STROKES)
-    rows = framed.join(F.broadcast(table), "kind")  # some 60 rows, whatever the pages
-    point = lambda q, seq, k: F.struct((seq * 100 + k).alias("n"), q["x"].alias("x"), q["y"].alias("y"))
-    points = F.flatten(F.transform("pieces", lambda c: F.transform(_points(c["p"], c["form"]), lambda q, k: point(q, c["seq"], k))))
-    return rows.select(*keys, "kind", "part", "stroke", points.alias("points"))
+    out: dict[str, list] = {}
+    for (kind, part, stroke), strokes in own.items():
+        points = [(seq * 100 + k, *q) for seq, form, p in sorted(strokes) for k, q in enumerate(_traced(form, p))]
+        n, a, b, c, right, down = (np.array(v) for v in zip(*points))
+        x, y = (np.stack([np.ones(len(n)), a, b, c, by]) for by in (right, down))
+        out.setdefault(kind, []).append((part, stroke, n.astype(np.int32), x, y))
+    return out
+
+
+def _strokes(framed: DataFrame, pieces: list[Piece], *keys: str, summary: Summary | None = None) -> DataFrame:
+    """``*keys, kind, part, stroke, points array<struct<n, x, y>>``, or what ``summary`` makes of the points: symbols of a batch are drawn together.
+
+    A point is a fixed sum of a symbol's frame, so that the points of a stroke are a
+    product of matrices, and none is put together by a shuffle or a step for each.
+    """
+    drawings, names = _drawings(pieces), [*keys, "kind"]
+    points = ArrayType(StructType([StructField("n", IntegerType()), StructField("x", DoubleType()), StructField("y", DoubleType())]))
+    more, function = summary or ([("points", points)], None)
+    fields = [StructField(n, framed.schema[n].dataType) for n in names]
+    schema = StructType([*fields, StructField("part", StringType()), StructField("stroke", IntegerType()), *(StructField(*m) for m in more)])
+
+    def column(values: np.ndarray, null: np.ndarray) -> pa.Array:
+        """Values without what a null in a frame has made NaN."""
+        return pa.array(values, mask=null & np.isnan(values) if null.any() and values.dtype.kind == "f" else None)
+
+    def listed(n: np.ndarray, x: np.ndarray, y: np.ndarray, null: np.ndarray) -> pa.Array:
+        lost = np.repeat(null, len(n))
+        values = [pa.array(np.tile(n, len(x))), column(x.ravel(), lost), column(y.ravel(), lost)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(n)), pa.StructArray.from_arrays(values, names=["n", "x", "y"]))
+
+    def drawn(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns = [some.column(k) for k in range(len(names), some.num_columns)]
+        frame = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], 1)
+        nulls = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in columns], 0)
+        kinds, rows, parts, strokes, values = some.column(len(keys)).dictionary_encode(), [], [], [], []
+        codes = kinds.indices.fill_null(-1).to_numpy()
+        for code, kind in enumerate(kinds.dictionary.to_pylist()):
+            at = np.flatnonzero(codes == code)
+            in_x, in_y, null = frame[at][:, X_FRAME], frame[at][:, Y_FRAME], nulls[at]
+            for part, stroke, n, of_x, of_y in drawings.get(kind, ()):
+                x, y = in_x @ of_x, in_y @ of_y
+                values.append([column(v, null) for v in function(x, y)] if function else [listed(n, x, y, null)])
+                rows.append(at)
+                parts += [part] * len(at)
+                strokes.append(np.full(len(at), stroke, np.int32))
+        if rows:
+            own = pa.array(np.concatenate(rows))
+            out = [some.column(k).take(own) for k in range(len(names))] + [pa.array(parts, pa.string()), pa.array(np.concatenate(strokes))]
+            yield pa.RecordBatch.from_arrays(out + [pa.concat_arrays(v) for v in zip(*values)], names=schema.names)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                yield from drawn(batch.slice(first, ROWS))
+
+    return framed.select(*names, *FRAME).mapInArrow(draw, schema)
 
 
 def _outlines(strokes: DataFrame, *keys: str) -> DataFrame:
@@ -154,11 +202,11 @@ def _outlines(strokes: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "kind", "part", "stroke", "at.n", "at.x", "at.y")
 
 
-def gate_strokes(boxes: DataFrame, *keys: str) -> DataFrame:
-    """``boxes(*keys, kind, l, t, r, b)`` -> ``*keys, kind, part, stroke, points array<struct<n, x, y>>``: the strokes of each gate, points in order."""
+def gate_strokes(boxes: DataFrame, *keys: str, summary: Summary | None = None) -> DataFrame:
+    """``boxes(*keys, kind, l, t, r, b)`` -> ``*keys, kind, part, stroke, points array<struct<n, x, y>>``: the strokes of each gate, points in order; with ``summary`` its columns instead of them."""
     w, h, none = F.col("r") - F.col("l"), F.col("b") - F.col("t"), F.lit(0.0)
     frame = {"ox": F.col("l"), "oy": F.col("t"), "ax": w, "ay": none, "bx": h, "by": none, "cx": none, "cy": h, "unit": h}
-    return _strokes(boxes.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), gate_pieces(), *keys)
+    return _strokes(boxes.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), gate_pieces(), *keys, summary=summary)
 
 
 def gate_outlines(boxes: DataFrame, *keys: str) -> DataFrame:
@@ -166,7 +214,7 @@ def gate_outlines(boxes: DataFrame, *keys: str) -> DataFrame:
     return _outlines(gate_strokes(boxes, *keys), *keys)
 
 
-def component_strokes(placed: DataFrame, *keys: str) -> DataFrame:
+def component_strokes(placed: DataFrame, *keys: str, summary: Summary | None = None) -> DataFrame:
     """``placed(*keys, kind, ax, ay, bx, by, size)`` -> strokes as in ``gate_strokes``.
 
     Bodies are 30 units long times ``size``, at most 0.7 of the way; grounds and
@@ -179,7 +227,7 @@ def component_strokes(placed: DataFrame, *keys: str) -> DataFrame:
     unit = F.when(single, F.col("size")).otherwise(F.least(BODY * F.col("size"), BODY_SHARE * F.col("__l")))
     ux, uy = F.col("__x") / F.col("__l"), F.col("__y") / F.col("__l")
     frame = {"ox": F.col("ax"), "oy": F.col("ay"), "ax": F.col("__x"), "ay": F.col("__y"), "bx": ux * unit, "by": uy * unit, "cx": -uy * unit, "cy": ux * unit, "unit": unit}
-    return _strokes(rows.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), component_pieces(), *keys)
+    return _strokes(rows.select(*keys, "kind", *[c.alias(n) for n, c in frame.items()]), component_pieces(), *keys, summary=summary)
 
 
 def component_outlines(placed: DataFrame, *keys: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from ..operators import glyphs, symbols
 from ..sources import documents
@@ -28,18 +30,23 @@ def g25_gate_ports(spark, d):
     return symbols.gate_ports(_gates(spark, d)).select("page", "idx", "kind", "port", "x", "y")
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Each stroke: how many points, their sums (a little more, so that none is just between two rounded values), and where it begins and ends."""
-    total = lambda f: F.aggregate("points", F.lit(0.0), lambda a, q: a + f(q))
-    first, last = F.element_at("points", 1), F.element_at("points", -1)
-    return rows.select(
-        "page", "idx", "kind", "part", "stroke", F.size("points").cast("long").alias("points"), F.round(total(lambda q: q["x"]) + 0.0000123, 4).alias("x"), F.round(total(lambda q: q["y"]) + 0.0000123, 4).alias("y"),
-        F.round(total(lambda q: q["x"] * q["y"]) + 0.00123, 2).alias("xy"), _r(first["x"]).alias("x0"), _r(first["y"]).alias("y0"), _r(last["x"]).alias("x1"), _r(last["y"]).alias("y1"),
-    )
+def _rounded(v: np.ndarray, n: int) -> np.ndarray:
+    """Half away from zero, as SQL does."""
+    many = v * 10.0**n
+    return np.where(np.abs(many) < 1 << 52, np.trunc(many + np.copysign(0.5, many)) / 10.0**n, v)
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    ends = [_rounded(v[:, k], 6) for k in (0, -1) for v in (x, y)]
+    return [np.full(len(x), x.shape[1]), _rounded(x.sum(1) + 0.0000123, 4), _rounded(y.sum(1) + 0.0000123, 4), _rounded(np.einsum("sp,sp->s", x, y) + 0.00123, 2), *ends]
+
+
+#: Of each stroke: how many points, their sums (a little more, so that none is just between two rounded values), and where it begins and ends.
+_SUMMED = [("points", LongType()), *((c, DoubleType()) for c in ("x", "y", "xy", "x0", "y0", "x1", "y1"))], _sums
 
 
 def _outline_sql(strokes: str) -> str:
-    """Strokes with ``p``, a list of points, summed up as in ``_summed``."""
+    """Strokes with ``p``, a list of points, summed up as in ``_sums``."""
     n = "list_sum(list_transform(p, lambda q: q.{}))"
     ends = ", ".join(f"round(p[{at}].{c}, 6) AS {c}{k}" for k, at in ((0, 1), (1, -1)) for c in "xy")
     return f"SELECT page, idx, kind, part, stroke, len(p) AS points, round({n.format('x')} + 0.0000123, 4) AS x, round({n.format('y')} + 0.0000123, 4) AS y, round(list_sum(list_transform(p, lambda q: q.x * q.y)) + 0.00123, 2) AS xy, {ends} FROM ({strokes})"
@@ -71,7 +78,7 @@ _OR = ("bx", "t"), ("bx + 0.6 * (xe - bx)", "t"), ("xe", "ym"), ("bx + 0.6 * (xe
   UNION ALL SELECT page, idx, kind, 'bubble', 0, {_ROUND.format(n=12, x='xe + 0.07 * h', s='-', r='0.07 * h', a='2 * pi()', y='ym')} FROM g WHERE inverted
 ) {_outline_sql('FROM s')}""", "v_box")
 def g25_gate_shapes(spark, d):
-    return _summed(symbols.gate_strokes(_gates(spark, d), "page", "idx"))
+    return symbols.gate_strokes(_gates(spark, d), "page", "idx", summary=_SUMMED)
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -126,7 +133,7 @@ _RING = _ROUND.format(n=28, x="(l + ux * m)", s="-", r="body / 2", a="2 * pi()",
   UNION ALL SELECT page, idx, kind, 'body', 0, {_ROUND.format(n=12, x='l', s='-', r='1.25', a='2 * pi()', y='t')} FROM c WHERE kind = 'terminal'
 ) {_outline_sql('FROM two UNION ALL FROM one')}""", "v_box")
 def g26_component_shapes(spark, d):
-    return _summed(symbols.component_strokes(_components(spark, d), "page", "idx"))
+    return symbols.component_strokes(_components(spark, d), "page", "idx", summary=_SUMMED)
 
 
 # --- glyphs ---------------------------------------------------------------------------------------------------------

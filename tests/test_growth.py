@@ -5,8 +5,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from scriptorium.operators import corpus, formulas, lineage, packing, ranks, routing, spatial, splines
+from scriptorium.operators import corpus, formulas, lineage, packing, ranks, routing, spatial, splines, symbols
 from scriptorium.operators.codec import DIRECTIONS
+from scriptorium.plans import shapes
 from scriptorium.streaming import tracking
 
 
@@ -233,3 +234,49 @@ def test_formulas_are_read_in_their_rows(spark):
     sort = lambda rows: sorted(rows, key=str)
     assert sort(got.pop(None)) == sort(root + x) and sort(got.pop("twice")) == sort([*x, (None,) * 5 + ("unbalanced",)])
     assert got == {"4": [(None,) * 6]} | {str(k): [(400_000, None, 0, "symbol", c, None)] for k, c in zip(range(5, 9), "efgh")}
+
+
+def gate(kind, l, t, r, b):
+    """The points of a gate's strokes by part and number, one after the other."""
+    w, h, ym = r - l, b - t, (t + b) / 2
+    bend = lambda p, q, s: [tuple((1 - i / 16) ** 2 * u + 2 * (1 - i / 16) * (i / 16) * v + (i / 16) ** 2 * z for u, v, z in zip(p, q, s)) for i in range(17)]
+    inverted, back = kind in ("nand2", "nor2", "xnor2", "not"), l + 0.12 * w * (kind in ("xor2", "xnor2"))
+    end, out = r - 0.14 * h * inverted, {}
+    if kind in ("and2", "nand2"):
+        arc = [(end - h / 2 + h / 2 * np.sin(np.pi * i / 16), ym - h / 2 * np.cos(np.pi * i / 16)) for i in range(17)]
+        out["body", 0] = [(l, t), (end - h / 2, t), *arc, (l, b), (l, t)]
+    elif kind in ("not", "buf"):
+        out["body", 0] = [(l, t), (end, ym), (l, b), (l, t)]
+    else:
+        at = back + 0.6 * (end - back)
+        out["body", 0] = bend((back, t), (at, t), (end, ym)) + bend((end, ym), (at, b), (back, b))[1:] + bend((back, b), (back + 0.24 * w, ym), (back, t))[1:]
+        if back > l:
+            out["xor_curve", 0] = bend((l, t), (l + 0.24 * w, ym), (l, b))
+        out |= {("stubs", k): [(l, t + s * h), (back + 0.09 * w, t + s * h)] for k, s in ((0, 0.25), (1, 0.75))}
+    if inverted:
+        out["bubble", 0] = [(end + 0.07 * h - 0.07 * h * np.sin(np.pi * i / 6), ym - 0.07 * h * np.cos(np.pi * i / 6)) for i in range(13)]
+    return out
+
+
+def test_symbols_are_drawn_together(spark):
+    for name in ("g25_gate_shapes", "g26_component_shapes"):
+        text = plan(query(spark, name))
+        assert text.count("MapInArrow") == 1 and "lambda" not in text and "Join" not in text
+    rng = np.random.default_rng(13)
+    kinds = [*symbols.GATES, "coil", None]
+    rows = [(k, kinds[k % 10], *(float(v) for v in (l, t, l + w, t + h))) for k, (l, t, w, h) in enumerate(rng.uniform(1, 90, (300, 4)))]
+    rows.append((300, "buf", None, 1.0, 3.0, 5.0))
+    boxes = spark.createDataFrame(rows, "id int, kind string, l double, t double, r double, b double").coalesce(1)
+    got = {(r.id, r.part, r.stroke): r.points for r in symbols.gate_strokes(boxes, "id").collect()}
+    lost = got.pop((300, "body", 0))
+    assert [(q.x, q.y) for q in lost] == [(None, y) for y in (1, 3, 5, 1)]
+    want = {(k, *stroke): p for k, kind, *box in rows[:300] if kind in symbols.GATES for stroke, p in gate(kind, *box).items()}
+    assert set(got) == set(want)
+    for key, points in want.items():
+        assert np.allclose([(q.x, q.y) for q in got[key]], points, atol=1e-9) and [q.n for q in got[key]] == sorted(q.n for q in got[key])
+    # more symbols than are drawn at once, and sums that have no value
+    many = spark.range(symbols.ROWS + 500).select(F.col("id"), F.lit("nor2").alias("kind"), *[F.when(F.col("id") != 7, F.lit(v)).alias(c) for c, v in zip("ltrb", (0.0, 0.0, 4.0, 2.0))]).coalesce(1)
+    sums = symbols.gate_strokes(many, "id", summary=shapes._SUMMED)
+    assert sums.columns == ["id", "kind", "part", "stroke", *"points x y xy x0 y0 x1 y1".split()]
+    assert sums.filter("part = 'bubble'").agg(F.count("*"), F.count_distinct("id"), F.count("x"), F.min("points")).first() == (symbols.ROWS + 500, symbols.ROWS + 500, symbols.ROWS + 499, 13)
+    assert list(shapes._rounded(np.array([0.25, -0.25, 1.04, 3e17]), 1)) == [0.3, -0.3, 1.0, 3e17] and np.isnan(shapes._rounded(np.array([np.nan]), 1)[0])
